@@ -28,6 +28,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -45,13 +46,14 @@ PAGES = 8
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*+(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*+)*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/a-zA-Z][^>]*\Z|([^<]+|<)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
+_CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in _RAW}
 _NEVER = frozenset("head nav footer aside form button select dialog menu svg canvas object audio video datalist".split()) | _RAW
 _BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -66,6 +68,7 @@ _NAMED = re.compile(
     re.I,
 )
 _HEADER = re.compile(r"(?:^|\s)(?:site-|page-|top-|global-)?header(?=$|\s)", re.I)
+_TELLING = re.compile(r"class|id\s*=|role|hidden|style", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 
@@ -83,26 +86,33 @@ class Element:
         self.block = block or self
 
 
-def _open(tag: str, attributes: str, above: Element) -> Element:
-    block = tag in _BLOCK or tag in _NEVER
+@lru_cache(maxsize=65536)
+def _marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Of a start tag: its key in a style path, and whether it is noise, a header, or main."""
     names = role = ""
     hidden = False
-    if attributes and not attributes.isspace():
-        for name, value in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'")
-            if name in ("class", "id"):
-                names += f" {value}"
-            elif name == "role":
-                role = value.lower()
-            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                hidden = True
-    noise = above.noise or hidden or tag in _NEVER or role in _ROLES or bool(names and tag not in ("body", "html") and _NAMED.search(names))
-    if not above.main and (tag == "header" or (names and tag not in ("body", "html") and _HEADER.search(names))):
-        noise = True
-    main = above.main or tag in ("article", "main") or role == "main"
-    if not block:
-        return Element(tag, above, above.node, noise, main, above.block if noise == above.noise else None)
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
+        if name in ("class", "id"):
+            names += f" {value}"
+        elif name == "role":
+            role = value.lower()
+        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+            hidden = True
+    named = names if tag not in ("body", "html") else ""
+    noise = hidden or tag in _NEVER or role in _ROLES or bool(named and _NAMED.search(named))
     key = re.sub(r"\d+", "", f"{tag}.{names.split()[0] if names.split() else ''}")
+    return key, noise, tag == "header" or bool(named and _HEADER.search(named)), tag in ("article", "main") or role == "main"
+
+
+def _open(tag: str, attributes: str, above: Element) -> Element:
+    if tag not in _BLOCK and tag not in _NEVER and not _TELLING.search(attributes):
+        return Element(tag, above, above.node, above.noise, above.main, above.block)
+    key, noise, header, main = _marks(tag, attributes if _TELLING.search(attributes) else "")
+    noise = above.noise or noise or (header and not above.main)
+    main = above.main or main
+    if tag not in _BLOCK and tag not in _NEVER and noise == above.noise:
+        return Element(tag, above, above.node, noise, main, above.block)
     node = _step(above.node, key)
     above.block.kinds.append(node)
     return Element(tag, above, node, noise, main, None)
@@ -148,7 +158,7 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
                 now = x.parent
             continue
         if tag in _RAW:
-            stop = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I).search(page, at)
+            stop = _CLOSING[tag].search(page, at)
             at = stop.end() if stop else end
             continue
         if tag in _VOID:

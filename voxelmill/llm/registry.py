@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL."""
 
-from voxelmill.llm import decontaminate, exact_dedup, mixing, simhash_dedup, substring_dedup, token_output
+from voxelmill.llm import decontaminate, exact_dedup, html_text, language, mixing, quality, simhash_dedup, substring_dedup, token_counts, token_output
 
-_MODULES = (token_output, simhash_dedup, substring_dedup, decontaminate, mixing, exact_dedup)
+_MODULES = (quality, token_output, simhash_dedup, token_counts, substring_dedup, html_text, decontaminate, language, mixing, exact_dedup)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
