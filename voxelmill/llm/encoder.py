@@ -9,6 +9,8 @@ that spell a special token, go to the library whole.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +22,7 @@ _BLANK = "\t\n\r "
 #: Pre-tokens of byte-level BPE over the characters that _OTHER lets through.
 PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]")
-#: Pre-tokens that a worker keeps; beyond that it starts anew.
+#: Pre-tokens of each of the two generations that a worker keeps.
 CACHE = 500_000
 
 
@@ -34,6 +36,25 @@ def _alphabet() -> dict[int, str]:
 _ALPHABET = _alphabet()
 
 
+class _Cache(dict):
+    """Ids by pre-token.  When a generation is full it becomes the old one, and what is used of that
+    moves to the new one, so frequent pre-tokens stay."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, part: str) -> bytes:
+        known = self.old.get(part)
+        if known is None:
+            known = self.encode(part)
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[part] = known
+        return known
+
+
 class Encoder:
     """``ids(text)`` as little-endian bytes of ``width`` bytes each; ``count(pretoken)``."""
 
@@ -41,9 +62,11 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
+        self.code = "H" if self.width == 2 else "I"
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Cache(self._encode)
+        self.pretoken = self.cache.__getitem__
         self.regular = "ByteLevel" in repr(self.library.pre_tokenizer) and "use_regex=True" in repr(self.library.pre_tokenizer) and "add_prefix_space=False" in repr(self.library.pre_tokenizer) and self.library.normalizer is None
 
     def whole(self, text: str) -> bytes:
@@ -54,24 +77,16 @@ class Encoder:
         """Whether PRETOKEN cuts this text as the library does."""
         return self.regular and not _OTHER.search(text) and not (self.special and self.special.search(text))
 
-    def pretoken(self, part: str) -> bytes:
-        known = self.cache.get(part)
-        if known is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            spelled = part.encode().decode("latin-1").translate(_ALPHABET)
-            known = np.array([t.id for t in self.library.model.tokenize(spelled)], self.dtype).tobytes()
-            self.cache[part] = known
-        return known
+    def _encode(self, part: str) -> bytes:
+        spelled = part.encode().decode("latin-1").translate(_ALPHABET)
+        ids = array(self.code, [t.id for t in self.library.model.tokenize(spelled)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def ids(self, text: str) -> bytes:
-        if not self.plain(text):
-            return self.whole(text)
-        parts = PRETOKEN.findall(text)
-        try:
-            return b"".join(map(self.cache.__getitem__, parts))
-        except KeyError:
-            return b"".join(map(self.pretoken, parts))
+        """Ids of a whole text, as the library gives them."""
+        return b"".join(map(self.pretoken, PRETOKEN.findall(text))) if self.plain(text) else self.whole(text)
 
 
 @lru_cache(maxsize=2)
