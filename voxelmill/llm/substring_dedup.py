@@ -28,9 +28,12 @@ from voxelmill.llm.shared import partitions
 from voxelmill.llm.textops import Spans, Words, chunks, column_bytes, mix, repeats, sliding_min
 
 WINDOW = 20
-GRAM = 5
+GRAM = 3
 #: Buckets of each shuffle partition; a task holds one bucket at a time.
-BUCKETS = 4
+BUCKETS = 8
+#: Bytes of a bucket's text that are hashed at a time.
+_SLICE = 1 << 20
+_ZSTD = pa.Codec("zstd", compression_level=6)
 _NULL_KEY = -(1 << 63)
 _HEAD = np.dtype([("key", "<i8"), ("uid", "<i8"), ("start", "<i4"), ("size", "<i4")])
 _BLOB = "bucket int, marks binary, n long, heads binary, text binary, text_size long"
@@ -98,8 +101,8 @@ def super_kmers(batches: Iterator[pa.RecordBatch], window: int, gram: int, bucke
             out["bucket"].append(int(bucket[part[0]]))
             out["marks"].append(ranges.tobytes() if k == 0 and len(ranges) else None)
             out["n"].append(len(part))
-            out["heads"].append(pa.compress(heads[part].tobytes(), "zstd", asbytes=True))
-            out["text"].append(pa.compress(joined, "zstd", asbytes=True))
+            out["heads"].append(_ZSTD.compress(heads[part].tobytes(), asbytes=True))
+            out["text"].append(_ZSTD.compress(joined, asbytes=True))
             out["text_size"].append(len(joined))
         yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int32()), ("marks", pa.binary()), ("n", pa.int64()), ("heads", pa.binary()), ("text", pa.binary()), ("text_size", pa.int64())]))
 
@@ -111,26 +114,34 @@ def _bucket(blobs: list[tuple[bytes, int, bytes, int]], window: int) -> np.ndarr
         texts.append(pa.decompress(packed, size, "zstd", asbytes=True))
         heads.append(np.frombuffer(pa.decompress(packed_heads, n * _HEAD.itemsize, "zstd", asbytes=True), _HEAD))
     head, text = np.concatenate(heads), b"".join(texts)
-    size = head["size"].astype(np.int64)
-    stop = np.cumsum(size)
+    del texts
+    stop = np.cumsum(head["size"].astype(np.int64))
+    begin = stop - head["size"]
     order = np.lexsort((head["start"], head["uid"], head["key"]))
-    begin = (stop - size).tolist()
-    stop = stop.tolist()
-    text = b"".join([text[begin[i] : stop[i]] for i in order.tolist()])
-    head = head[order]
-    words = Words(np.frombuffer(text, np.uint8), np.concatenate([[0], np.cumsum(head["size"].astype(np.int64))]))
-    start, row = _windows(words, window)
-    hashes = Spans(words.hashes(), "word").hash(start, start + window)
-    a, b = words.start, words.end  # words are one space apart already
-    later, first = repeats(hashes, lambda i: text[a[start[i]] : b[start[i] + window - 1]])
-    at = start - words.first[row] + head["start"][row]
+    head, begin, stop = head[order], begin[order], stop[order]
+
+    # Hashes of a slice of super-k-mers at a time; of each window its hash, super-k-mer, number and bytes.
+    parts: list[tuple] = []
+    cut = np.searchsorted(np.cumsum(stop - begin), np.arange(0, len(text), _SLICE))
+    for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(head)]):
+        if i == j:
+            continue
+        part = b"".join([text[a:b] for a, b in zip(begin[i:j].tolist(), stop[i:j].tolist())])
+        words = Words(np.frombuffer(part, np.uint8), np.concatenate([[0], np.cumsum(stop[i:j] - begin[i:j])]))
+        start, row = _windows(words, window)
+        shift = begin[i:j][row] - words.offsets[row]
+        hashes = Spans(words.hashes(), "word").hash(start, start + window)
+        parts.append((hashes, (row + i).astype(np.int32), (start - words.first[row]).astype(np.int32), words.start[start] + shift, words.end[start + window - 1] + shift))
+    hashes, row, number, a, b = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    later, first = repeats(hashes, lambda i: text[a[i] : b[i]])
+    at = number + head["start"][row]
     same = (head["key"][row[later]] == head["key"][row[first]]) & (head["uid"][row[later]] == head["uid"][row[first]]) & (at[later] == at[first])
-    marked = np.zeros(len(start), bool)
+    marked = np.zeros(len(hashes), bool)
     marked[later[~same]] = True
-    r, i, j = _ranges(start, row, marked, window)
+    r, i, j = _ranges(at, row, marked, window)
     ranges = np.zeros(len(r), _RANGE)
-    shift = head["start"][r] - words.first[r]
-    ranges["key"], ranges["uid"], ranges["start"], ranges["stop"] = head["key"][r], head["uid"][r], i + shift, j + shift
+    ranges["key"], ranges["uid"], ranges["start"], ranges["stop"] = head["key"][r], head["uid"][r], i, j
     return ranges
 
 
@@ -142,14 +153,16 @@ def repeated(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
     """From blobs sorted by bucket: the ranges to remove, bucket by bucket."""
     now, blobs = None, []
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["marks"]:
-                yield _as_batch(np.frombuffer(row["marks"], _RANGE))
-            if row["bucket"] != now and blobs:
+        bucket, n, size = (batch.column(c).to_pylist() for c in ("bucket", "n", "text_size"))
+        for i in range(len(batch)):
+            marks = batch.column("marks")[i]
+            if marks.is_valid:
+                yield _as_batch(np.frombuffer(marks.as_buffer(), _RANGE))
+            if bucket[i] != now and blobs:
                 yield _as_batch(_bucket(blobs, window))
                 blobs = []
-            now = row["bucket"]
-            blobs.append((row["heads"], row["n"], row["text"], row["text_size"]))
+            now = bucket[i]
+            blobs.append((batch.column("heads")[i].as_buffer(), n[i], batch.column("text")[i].as_buffer(), size[i]))
     if blobs:
         yield _as_batch(_bucket(blobs, window))
 
