@@ -52,6 +52,13 @@ def letter_words(column: pa.Array) -> Words:
     return Words(*column_bytes(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(column.cast(pa.string()), "")), r"[^\p{L}]+", " ")))
 
 
+def _some(words: Words, which: np.ndarray) -> Words:
+    """Some of the words, without their rows."""
+    out = Words.__new__(Words)
+    out.data, out.start, out.end = words.data, words.start[which], words.end[which]
+    return out
+
+
 def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(word number, feature) of all features of all words."""
     data = words.data.astype(np.uint64) + np.uint64(1)
@@ -174,9 +181,7 @@ class Model:
             return np.zeros((0, len(self.languages)))
         own = Spans(words.data.astype(np.uint64) + np.uint64(1), "byte").hash(words.start, words.end)
         _, first, back = np.unique(own, return_index=True, return_inverse=True)
-        once = Words.__new__(Words)  # each distinct word once
-        once.data, once.start, once.end = words.data, words.start[first], words.end[first]
-        emission = _emissions(*features(once), self.weights, len(first))[back]
+        emission = _emissions(*features(_some(words, first)), self.weights, len(first))[back]
         begins = np.zeros(len(words), bool)
         begins[words.first[:-1][np.diff(words.first) > 0]] = True
         alpha, beta = forward_backward(emission, begins, self.start, self.transition)
@@ -189,21 +194,22 @@ def train(texts: list[str], labels: list[str], seed: int = 17, epochs: int = EPO
     languages = sorted(set(labels))
     k = len(languages)
     words = letter_words(pa.array(texts, pa.string()))
-    at, feature = features(words)
-    by_word = np.argsort(at, kind="stable")
-    at, feature = at[by_word], feature[by_word]
-    edge = np.searchsorted(at, np.arange(len(words) + 1))
-    label_of = np.array([languages.index(x) for x in labels])
-    stretches = []
-    for row in range(len(texts)):
+    taken, stretches, n = [], [], 0
+    for row, label in enumerate(labels):
         a, b = int(words.first[row]), int(words.first[row + 1])
         if b - a > WORDS:
             a += int(rng.integers(0, b - a - WORDS + 1))
             b = a + WORDS
+        taken.append(np.arange(a, b))
         while a < b:
             c = min(b, a + int(rng.integers(*STRETCH)))
-            stretches.append((a, c, label_of[row]))
-            a = c
+            stretches.append((n, n + c - a, languages.index(label)))
+            n, a = n + c - a, c
+    at, feature = features(_some(words, np.concatenate(taken)))
+    by_word = np.argsort(at, kind="stable")
+    at, feature = at[by_word], feature[by_word].astype(np.int32)
+    edge = np.searchsorted(at, np.arange(n + 1))
+    del words, at, by_word
     weights, transition, start = np.zeros((1 << BITS, k)), np.zeros((k, k)), np.zeros(k)
     g_weights, g_transition, g_start = np.full_like(weights, 1e-2), np.full_like(transition, 1.0), np.full_like(start, 1.0)
     rate = 0.3
