@@ -37,6 +37,8 @@ ORDERS = (2, 3)
 BITS = 18
 PER_LANGUAGE = 400
 WORDS = 150
+#: Characters of a sampled row that are fetched.
+PIECE = 3000
 EPOCHS = 6
 #: Words of a training stretch before the language may change.
 STRETCH = (5, 40)
@@ -205,11 +207,13 @@ def train(texts: list[str], labels: list[str], seed: int = 17, epochs: int = EPO
             c = min(b, a + int(rng.integers(*STRETCH)))
             stretches.append((n, n + c - a, languages.index(label)))
             n, a = n + c - a, c
-    at, feature = features(_some(words, np.concatenate(taken)))
-    by_word = np.argsort(at, kind="stable")
-    at, feature = at[by_word], feature[by_word].astype(np.int32)
-    edge = np.searchsorted(at, np.arange(n + 1))
-    del words, at, by_word
+    chosen, counts, parts = np.concatenate(taken), [], []
+    for i in range(0, n, 20_000):
+        at, feature = features(_some(words, chosen[i : i + 20_000]))
+        counts.append(np.bincount(at, minlength=min(20_000, n - i)))
+        parts.append(feature[np.argsort(at, kind="stable")].astype(np.int32))
+    feature, edge = np.concatenate(parts or [np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum(np.concatenate(counts or [np.zeros(0, np.int64)]))])
+    del words, parts, chosen, taken
     weights, transition, start = np.zeros((1 << BITS, k)), np.zeros((k, k)), np.zeros(k)
     g_weights, g_transition, g_start = np.full_like(weights, 1e-2), np.full_like(transition, 1.0), np.full_like(start, 1.0)
     rate = 0.3
@@ -255,7 +259,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
         return None
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
     chance = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    cut = F.substring("text", 1, 40_000)  # of a sampled row, in which WORDS words are taken
+    # Of a sampled row, a piece at a random place, in which WORDS words are taken.
+    cut = F.col("text").substr((F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.char_length("text") - PIECE, F.lit(1))) + 1).cast("int"), F.lit(PIECE))
     sample = rows.filter(chance < F.try_element_at(share, F.col("lang"))).select("doc_id", cut.alias("text"), "lang").limit(4 * per_language * len(counts)).collect()
     sample = sorted(sample, key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in sample], [r["lang"] for r in sample]) if sample else None
