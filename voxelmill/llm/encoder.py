@@ -78,7 +78,8 @@ class Encoder:
         return self.regular and not _OTHER.search(text) and not (self.special and self.special.search(text))
 
     def _encode(self, part: str) -> bytes:
-        spelled = part.encode().decode("latin-1").translate(_ALPHABET)
+        plain = part.isascii() and part.lstrip(" ").isprintable() and part[1:].find(" ") < 0
+        spelled = part.replace(" ", _ALPHABET[32]) if plain else part.encode().decode("latin-1").translate(_ALPHABET)
         ids = array(self.code, [t.id for t in self.library.model.tokenize(spelled)])
         if sys.byteorder == "big":
             ids.byteswap()

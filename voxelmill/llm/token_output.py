@@ -7,7 +7,7 @@ speculative tasks leave no second copy and any file system that Spark writes wil
 
 A shard is: a header (``_HEADER``), the documents' keys and id offsets, the index, then the raw ids,
 little-endian, 2 bytes each for vocabularies of up to 65,536 entries, else 4.  The index is a minimal
-perfect hash: a displacement for each bucket of about 4 keys, and for each slot the first document
+perfect hash: a displacement for each bucket of about 2 keys, and for each slot the first document
 of its key with a 32-bit fingerprint, so a lookup costs one bucket, one slot and one comparison, and
 a key that is not there is told by its fingerprint (and then by the key stored with the document).
 Null keys are stored but can't be looked up; documents that share a key lie side by side, as their
@@ -38,11 +38,14 @@ _MAGIC = b"VMTOKEN1"
 #: magic, task, shard of the task, id width, documents, keys, displacements, ids
 _HEADER = struct.Struct("<8sqqqqqqq")
 _GOLDEN = 0x9E3779B97F4A7C15
-_FOUR = 4
+#: Keys of a bucket of the index, on average, and displacements that are tried at once.
+_BUCKET = 2
+_TRIES = 32
 
 
-def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
-    h = keys.view(np.uint64) + np.uint64((seed + 1) * _GOLDEN % (1 << 64))
+def _hash(keys: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
+    """Hashes of keys under a seed, or under each of a column of seeds."""
+    h = keys.view(np.uint64) + (np.atleast_1d(seed).astype(np.uint64) + np.uint64(1)) * np.uint64(_GOLDEN)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -55,7 +58,7 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     free slots.  A bucket of one key stores its slot itself, as -slot - 1.
     """
     n = len(keys)
-    shift = np.zeros(max(1, -(-n // _FOUR)), np.int64)
+    shift = np.zeros(max(1, -(-n // _BUCKET)), np.int64)
     slots, marks = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
     if not n:
         return shift, slots, marks
@@ -70,14 +73,17 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(mine) <= 1:
             singles += [(b, mine[0])] if len(mine) else []
             continue
-        d = 1
+        d = np.arange(1, _TRIES + 1)[:, None]
         while True:
             at = (_hash(keys[mine], d) % np.uint64(n)).astype(np.int64)
-            if not taken[at].any() and len(set(at.tolist())) == len(at):
+            apart = np.diff(np.sort(at, axis=1), axis=1).min(axis=1) > 0
+            good = np.flatnonzero(apart & ~taken[at].any(axis=1))
+            if len(good):
                 break
-            d += 1
+            d += _TRIES
+        at = at[good[0]]
         taken[at] = True
-        shift[b], slots[at] = d, mine
+        shift[b], slots[at] = d[good[0], 0], mine
     for (b, k), at in zip(singles, np.flatnonzero(~taken).tolist()):
         shift[b], slots[at] = -at - 1, k
     marks = (_hash(keys, 1 << 40) >> np.uint64(32)).astype(np.uint32)[slots]
