@@ -1,15 +1,12 @@
 """Each operator against brute force, and with nulls, empty and repeated rows and empty tables."""
 
-import html
 import itertools
 import math
 import re
-import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
-import pyarrow as pa
 import pytest
 import public_tokenizers
 import xxhash
@@ -299,7 +296,6 @@ def test_style_tree(spark):
     texts = Counter((r.page_id, r.text) for r in got)
     assert texts[0, "own words 0 0"] == 2 and texts[5, "own words 5 35"] == 1
     assert texts[90, ""] == texts[91, ""] == texts[92, "only"] == 1
-    assert html.unescape("&amp;") == "&"
 
 
 def test_language(spark, docs, empty):
@@ -350,4 +346,3 @@ def test_pipeline(spark):
         assert 0 < kept.count()
     final = corpus_pipeline.STAGES[-1][1](spark, kept, sf).collect()
     assert len(final) == kept.count()
-    assert zlib.crc32(b"") == 0 and pa.__version__
