@@ -44,6 +44,36 @@ def signals(spark: SparkSession, sf_dir: str, protocol: Protocol = PROTOCOL) ->
     return rows.withColumn("signal", F.transform(points, value)).drop("_c2")
 
 
+def two_fibers(spark: SparkSession, sf_dir: str, protocol: Protocol = PROTOCOL) -> DataFrame:
+    """Voxels with two crossing fibers (fractions f1, f2, directions u1x, ..., u2z; diffusivities ad_k_true,
+    rd_k_true), their normalised signal with noise, and its isotropic part."""
+    rows = truth(spark, sf_dir)
+    at = {1: F.col("dir_id"), 2: (F.col("dir_id") + 10) % 20}
+    rows = rows.withColumns({f"u{k}{c}": F.element_at(C.doubles(d[i] for d in DIRECTIONS), at[k] + 1) for k in at for i, c in enumerate("xyz")})
+    rows = rows.withColumns({"f1": 0.6 * F.col("ff"), "f2": 0.4 * F.col("ff"), "ad_1_true": F.col("ad_true"), "rd_1_true": F.col("rd_true"), "ad_2_true": F.col("ad_true"), "rd_2_true": F.col("rd_true") + 1e-4})
+    b = C.doubles(protocol.b)
+    iso = F.transform(b, lambda x: F.col("rf") * F.exp(-x * 0.15e-3) + F.col("hf") * F.exp(-x * 1e-3) + F.col("wf") * F.exp(-x * 3e-3))
+
+    def fiber(k: int):  # noqa: ANN202
+        shape = C.squared_cosines(*[F.col(f"u{k}{c}") for c in "xyz"], protocol)
+        return F.transform(C.fiber_signal(b, shape, F.col(f"ad_{k}_true"), F.col(f"rd_{k}_true")), lambda x: F.col(f"f{k}") * x)
+
+    points = F.arrays_zip(iso.alias("i"), fiber(1).alias("p"), fiber(2).alias("q"), F.sequence(F.lit(0), F.lit(len(protocol.b) - 1)).alias("m"))
+    noise = lambda m: 0.002 * (((7919 * F.col("voxel_id") + 104729 * m) % 1000) / 999.0 - 0.5)
+    return rows.withColumn("iso_signal", iso).withColumn("signal", F.transform(points, lambda x: x["i"] + x["p"] + x["q"] + noise(x["m"])))
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One labelled row for each part: true cell (ff_level, rf_level), and biased estimates of both."""
+    k = F.col("p_partkey")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        k.alias("voxel_id"), F.element_at(C.doubles((0.0, 0.2, 0.4, 0.6)), (k % 4 + 1).cast("int")).alias("ff_level"),
+        F.element_at(C.doubles((0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5)), (F.floor(k / 4) % 9 + 1).cast("int")).alias("rf_level"),
+    ).filter("ff_level + rf_level <= 0.95")
+    noise = 0.002 * (F.col("voxel_id") * 7919 % 11) / 10
+    return rows.withColumn("ff_est", F.col("ff_level") + 0.001 * (F.col("voxel_id") % 7)).withColumn("rf_est", F.greatest(F.col("rf_level") * (0.9 - 0.3 * F.col("ff_level")) - 0.03, F.lit(0.0)) + noise)
+
+
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as dictionary weights: one voxel for each order."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
