@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
-from voxelmill.plans import queries
+from voxelmill.plans import fitting, queries
 
+QUERIES, SQL = queries.QUERIES | fitting.QUERIES, queries.SQL | fitting.SQL
 SF = "/root/testdata/sf0.001"
 
 
@@ -16,10 +17,10 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, duck, name):
-    got = queries.QUERIES[name](spark, SF).toPandas()
-    want = duck.execute(queries.SQL[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()
+    want = duck.execute(SQL[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     rows = lambda d: sorted(map(str, d[columns].itertuples(index=False, name=None)))

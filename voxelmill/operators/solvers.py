@@ -28,37 +28,64 @@ FINE_AD, FINE_RD, FINE_RATIO = (0.6e-3, 2.6e-3, 14), (0.15e-3, 1.1e-3, 12), 1.1
 def nnls(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
     """Minimisers of x'Gx/2 - h'x over x >= 0, for rows of h and one G or one for each row.
 
-    Block principal pivoting, for all rows together: variables that break a sign condition change
-    sides at once while their number falls, else one at a time, so it ends where G is positive
-    definite.  A part in 1e10 is added to the diagonal for columns that all but coincide.
+    An active-set method for all rows together: the variable of steepest descent is freed, the free ones
+    are solved for, and those that would turn negative are stopped at zero first.  Free sets are small, so
+    only their part of G is solved.  A part in 1e10 is added to the diagonal for columns that all but coincide.
     """
     rows, n = rhs.shape
-    gram = np.broadcast_to(gram, (rows, n, n))
-    jitter = 1e-10 * np.trace(gram, axis1=1, axis2=2) / n
-    x, slope = np.zeros((rows, n)), -rhs.astype(float)
-    free = np.zeros((rows, n), bool)
-    fewest, chances = np.full(rows, n + 1), np.full(rows, 3)
-    limit = 1e-10 * np.maximum(1.0, np.abs(rhs).max(1, initial=0.0))[:, None]
-    for _ in range(20 * n + 20):  # rounding alone could make it go round for ever
-        wrong = (free & (x < -limit)) | (~free & (slope < -limit))
-        count = wrong.sum(1)
-        at = np.flatnonzero(count)
-        if not len(at):
+    shared = gram.ndim == 2
+    jitter = 1e-10 * np.trace(gram, axis1=-2, axis2=-1) / n
+    jitter = np.full(rows, jitter) if shared else jitter
+    x, free, barred = np.zeros((rows, n)), np.zeros((rows, n), bool), np.zeros((rows, n), bool)
+    limit = 1e-10 * np.maximum(1.0, np.abs(rhs).max(1, initial=0.0))
+    going = np.arange(rows)
+
+    def solved(at: np.ndarray) -> np.ndarray:
+        """Of these rows, the minimiser over their free variables."""
+        most = int(free[at].sum(1).max())
+        if not most:
+            return np.zeros((len(at), n))
+        idx = np.argsort(~free[at], axis=1, kind="stable")[:, :most]
+        own = np.take_along_axis(free[at], idx, 1)
+        part = gram[idx[:, :, None], idx[:, None, :]] if shared else gram[at[:, None, None], idx[:, :, None], idx[:, None, :]]
+        part = np.where(own[:, :, None] & own[:, None, :], part, 0.0)
+        part[:, np.arange(most), np.arange(most)] += np.where(own, jitter[at][:, None], 1.0)
+        value = np.linalg.solve(part, np.where(own, np.take_along_axis(rhs[at], idx, 1), 0.0)[:, :, None])[:, :, 0]
+        out = np.zeros((len(at), n))
+        np.put_along_axis(out, idx, np.where(own, value, 0.0), 1)
+        return out
+
+    for _ in range(10 * n + 10):  # rounding alone could make it go round for ever
+        slope = (x[going] @ gram if shared else (gram[going] @ x[going][:, :, None])[:, :, 0]) - rhs[going]
+        slope[free[going] | barred[going]] = np.inf
+        pick = slope.argmin(1)
+        more = slope[np.arange(len(going)), pick] < -limit[going]
+        going, pick = going[more], pick[more]
+        if not len(going):
             break
-        fell = count[at] < fewest[at]
-        fewest[at[fell]] = count[at[fell]]
-        chances[at] = np.where(fell, 3, chances[at] - 1)
-        one = at[chances[at] < 0]
-        last = n - 1 - wrong[one][:, ::-1].argmax(1)
-        wrong[one] = False
-        wrong[one, last] = True
-        free[at] ^= wrong[at]
-        inside = free[at]
-        system = np.where(inside[:, :, None] & inside[:, None, :], gram[at], 0.0)
-        system[:, np.arange(n), np.arange(n)] += np.where(inside, jitter[at][:, None], 1.0)
-        x[at] = np.linalg.solve(system, np.where(inside, rhs[at], 0.0)[:, :, None])[:, :, 0]
-        slope[at] = np.where(inside, 0.0, (gram[at] @ x[at][:, :, None])[:, :, 0] - rhs[at])
-    return np.maximum(x, 0.0)
+        free[going, pick] = True
+        z = solved(going)
+        idle = z[np.arange(len(going)), pick] <= 0  # descent too small for the arithmetic
+        free[going[idle], pick[idle]] = False
+        barred[going[idle], pick[idle]] = True
+        at, z = going[~idle], z[~idle]
+        barred[at] = False
+        while len(at):
+            negative = free[at] & (z <= 0)
+            fine = ~negative.any(1)
+            x[at[fine]] = z[fine]
+            at, z, negative = at[~fine], z[~fine], negative[~fine]
+            if not len(at):
+                break
+            old = x[at]
+            ratio = np.where(negative, old / np.where(negative, np.maximum(old - z, 1e-300), 1.0), np.inf)
+            step = ratio.min(1)
+            new = old + step[:, None] * (z - old)
+            stop = negative & (ratio <= step[:, None])
+            free[at] &= ~stop
+            x[at] = np.where(free[at], np.maximum(new, 0.0), 0.0)
+            z = solved(at)
+    return x
 
 
 def _fit(rows: DataFrame, solve: Callable[[pa.RecordBatch], list[pa.Array]], added: list[tuple[str, T.DataType]]) -> DataFrame:
@@ -75,7 +102,7 @@ def _fit(rows: DataFrame, solve: Callable[[pa.RecordBatch], list[pa.Array]], add
 
 
 def _matrix(part: pa.RecordBatch, name: str) -> np.ndarray:
-    return part.column(name).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+    return part.column(name).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1) if part.num_rows else np.zeros((0, 0))
 
 
 def _column(part: pa.RecordBatch, name: str) -> np.ndarray:
@@ -163,8 +190,8 @@ def spectra(rows: DataFrame, dictionary: Dictionary, fiber: float, iso: float, g
     return _fit(rows, solve, [("w", doubles), ("concentration", T.DoubleType()), ("dirs", T.ArrayType(T.IntegerType())), ("shares", doubles)])
 
 
-def single_fiber(rows: DataFrame, protocol: Protocol, grid: list, ad: tuple = FINE_AD, rd: tuple = FINE_RD, ratio: float = FINE_RATIO) -> DataFrame:
-    """Tensor and fractions of one fiber of known direction (ux, uy, uz), together.
+def single_fiber(rows: DataFrame, protocol: Protocol, grid: list, ad: tuple = FINE_AD, rd: tuple = FINE_RD, ratio: float = FINE_RATIO, signal: str = "signal") -> DataFrame:
+    """Tensor and fractions of one fiber of known direction (ux, uy, uz), together; null without one.
 
     For each admissible pair of diffusivities the fiber's column and the isotropic ones get the best
     non-negative weights; the pair with the least residual stays, and 5 x 5 pairs around it at half the
@@ -190,10 +217,13 @@ def single_fiber(rows: DataFrame, protocol: Protocol, grid: list, ad: tuple = FI
         return float(residual[at]), pairs[at], w[at]
 
     def solve(part: pa.RecordBatch) -> list[pa.Array]:
-        y = _matrix(part, "signal")
+        y = _matrix(part, signal)
         u = np.column_stack([_column(part, c) for c in ("ux", "uy", "uz")])
         found = []
         for s, c2 in zip(y, (u @ g.T) ** 2):
+            if np.isnan(c2[0]):
+                found.append((None, (None, None), None))
+                continue
             one = best(s, c2, coarse)
             around = [(max(0.2e-3, one[1][0] + (i - 2) * step[0] / 2), max(S.RD_MIN, one[1][1] + (j - 2) * step[1] / 2)) for i in range(5) for j in range(5)]
             around = np.array([p for p in around if p[0] >= p[1] * ratio])
@@ -245,7 +275,7 @@ def _log_regression(s: np.ndarray, other: np.ndarray, part: np.ndarray, b: np.nd
 
 def crossing_fibers(rows: DataFrame, protocol: Protocol, fibers: int = 2, rounds: int = 25) -> DataFrame:
     """Diffusivities of crossing fibers with known fractions f1, f2, ..., directions u1x, u1y, u1z, ... and an
-    isotropic signal ``iso_signal``: three rounds of one fiber after the other, then damped Gauss-Newton steps
+    isotropic signal ``iso_signal``; null if a direction is.  Three rounds of one fiber after the other, then damped Gauss-Newton steps
     on all of them within bounds.  Adds ad1, rd1, ad2, rd2, ..., cost0 (of the start) and cost.
     """
     b, g = np.array(protocol.b), np.array(protocol.g)
@@ -256,7 +286,13 @@ def crossing_fibers(rows: DataFrame, protocol: Protocol, fibers: int = 2, rounds
         return f[:, :, None] * np.exp(-b * (rd + (ad - rd) * c2))
 
     def solve(part: pa.RecordBatch) -> list[pa.Array]:
-        s, iso = _matrix(part, "signal"), _matrix(part, "iso_signal")
+        known = ~np.isnan(np.column_stack([_column(part, f"u{k + 1}x") for k in range(fibers)])).any(1)
+        fitted = refine(part.filter(pa.array(known)))
+        at = pa.array(np.where(known, np.cumsum(known) - 1, 0), mask=~known)
+        return [pa.array(v, pa.float64()).take(at) for v in fitted]
+
+    def refine(part: pa.RecordBatch) -> list[np.ndarray]:
+        s, iso = _matrix(part, "signal").reshape(-1, len(b)), _matrix(part, "iso_signal").reshape(-1, len(b))
         f = np.column_stack([_column(part, f"f{k + 1}") for k in range(fibers)])
         u = np.stack([np.column_stack([_column(part, f"u{k + 1}{c}") for c in "xyz"]) for k in range(fibers)], 1)
         c2 = (u @ g.T) ** 2
@@ -292,7 +328,7 @@ def crossing_fibers(rows: DataFrame, protocol: Protocol, fibers: int = 2, rounds
             active = active[better]
             if not len(active):
                 break
-        return [*[pa.array(p[:, k]) for k in range(2 * fibers)], pa.array(start), pa.array(cost)]
+        return [*p.T, start, cost]
 
     names = [f"{n}{k + 1}" for k in range(fibers) for n in ("ad", "rd")] + ["cost0", "cost"]
     return _fit(rows, solve, [(n, T.DoubleType()) for n in names])

@@ -72,7 +72,13 @@ def with_fractions(rows: DataFrame, dictionary: solvers.Dictionary) -> DataFrame
     return rows.drop("_ff", "_rf", "_hf", "_wf", "_adc", "_all")
 
 
-def fit(rows: DataFrame, protocol: Protocol, config: Config = Config()) -> DataFrame:  # noqa: B008
+def noise_of(rows: DataFrame, protocol: Protocol) -> DataFrame:
+    """One row: snr, sigma from the repeats at b = 0, or from the background where there is one or none."""
+    repeated = sum(b < S.B0_NOISE for b in protocol.b) >= 2
+    return signals.temporal_noise(rows, protocol) if repeated else signals.spatial_noise(rows)
+
+
+def fit(rows: DataFrame, protocol: Protocol, config: Config = Config(), noise: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """Fractions, fibers and diffusivities of voxels (voxel_id, in_mask, signal).
 
     The signal loses its Rician bias, the spectrum is fitted over the whole dictionary, and fibers are
@@ -80,11 +86,11 @@ def fit(rows: DataFrame, protocol: Protocol, config: Config = Config()) -> DataF
     two together to the corrected one.  Fractions come from the anchored fit at the end: with two fibers
     their sum stays and the isotropic rest is shared out anew.  Voxels outside the mask, or without signal
     at b = 0, give no row.  The spectrum, each tensor and the anchored fit are Arrow passes over the rows'
-    own partitions; only the noise estimate is an aggregate.
+    own partitions; only the noise is an aggregate, and a stream of rows will do where it is given.
     """
     dictionary = config.dictionary(protocol)
     fiber, iso = config.penalties(dictionary)
-    noise = signals.temporal_noise(rows, protocol) if sum(b < S.B0_NOISE for b in protocol.b) >= 2 else signals.spatial_noise(rows)
+    noise = noise_of(rows, protocol) if noise is None else noise
     both = signals.corrected(rows.filter("signal is not null").select("voxel_id", "in_mask", "signal", F.col("signal").alias("raw")), noise)
     both = signals.normalised(signals.in_mask(both), protocol)
     raw0 = C.s0(F.col("raw"), protocol)
@@ -94,21 +100,19 @@ def fit(rows: DataFrame, protocol: Protocol, config: Config = Config()) -> DataF
     found = found.withColumn("n_fibers", many)
     u = dictionary.u
     for k in (1, 2):
-        near = F.when(F.col("n_fibers") >= k, F.get("dirs", F.lit(k - 1)))
-        found = found.withColumns({f"u{k}{c}": F.element_at(C.doubles(u[:, i]), near + 1) for i, c in enumerate("xyz")})
+        has = F.col("n_fibers") >= k
+        near = F.coalesce(F.get("dirs", F.lit(k - 1)), F.lit(0))  # a null index into a literal array gives no null
+        found = found.withColumns({f"u{k}{c}": F.when(has, F.element_at(C.doubles(u[:, i]), near + 1)) for i, c in enumerate("xyz")})
         found = found.withColumn(f"f{k}", F.when(F.col("n_fibers") >= k, F.get("shares", F.lit(k - 1)) * F.col("ff")).otherwise(F.lit(0.0)))
-    none = F.lit(None).cast("double")
-    keep = ["voxel_id", "s0", "signal", "concentration", "ff", "rf", "hf", "wf", "mean_iso_adc", "n_fibers", "f1", "f2", *[f"u{k}{c}" for k in (1, 2) for c in "xyz"]]
     tensor = ["ad1", "rd1", "ad2", "rd2"]
-    zero = found.filter("n_fibers = 0").select(*keep, *[none.alias(n) for n in tensor])
-    one = found.filter("n_fibers = 1").withColumns({"corrected": F.col("signal"), "signal": F.col("raw"), "ux": F.col("u1x"), "uy": F.col("u1y"), "uz": F.col("u1z")})
-    one = solvers.single_fiber(one, protocol, list(map(float, dictionary.grid))).withColumn("signal", F.col("corrected"))
-    one = one.select(*keep, F.col("fit_ad").alias("ad1"), F.col("fit_rd").alias("rd1"), none.alias("ad2"), none.alias("rd2"))
+    alone = F.col("n_fibers") == 1
+    found = found.withColumns({f"u{c}": F.when(alone, F.col(f"u1{c}")) for c in "xyz"})
+    found = solvers.single_fiber(found, protocol, list(map(float, dictionary.grid)), signal="raw").drop("raw", "ux", "uy", "uz", "fit_w", "fit_residual")
     b = C.doubles(protocol.b)
     iso_signal = F.transform(b, lambda x: F.col("rf") * F.exp(-x * S.D_RES) + F.col("hf") * F.exp(-x * S.D_HIN) + F.col("wf") * F.exp(-x * S.D_WAT))
-    two = solvers.crossing_fibers(found.filter("n_fibers = 2").withColumn("iso_signal", iso_signal), protocol).select(*keep, *tensor)
-    # The three parts share a scan of the spectra only if those are cached; the caller may do that.
-    out = solvers.anchored_fractions(zero.unionByName(one).unionByName(two), protocol)
+    found = solvers.crossing_fibers(found.withColumn("iso_signal", iso_signal), protocol).drop("iso_signal", "cost0", "cost")
+    found = found.withColumns({"ad1": F.when(alone, F.col("fit_ad")).otherwise(F.col("ad1")), "rd1": F.when(alone, F.col("fit_rd")).otherwise(F.col("rd1"))})
+    out = solvers.anchored_fractions(found, protocol)
     w = [F.get("anchored", F.lit(i)) for i in range(5)]
     tot, rest = sum(w, F.lit(0.0)), w[2] + w[3] + w[4]
     solved = {"ff": (w[0] + w[1]) / tot, "rf": w[2] / tot, "hf": w[3] / tot, "wf": w[4] / tot}
@@ -240,7 +244,7 @@ def fiber_penalty_discrepancy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(_WEIGHTS + """, conc AS (SELECT voxel_id, CASE WHEN max(total) >= 1e-10 THEN max(mass) / max(total) ELSE 0 END AS c FROM basin GROUP BY voxel_id),
-fibers AS (SELECT vec_id AS voxel_id, list_sum(list_transform(embedding[1:60], x -> greatest(x::DOUBLE, 0))) / list_sum(list_transform(embedding, x -> greatest(x::DOUBLE, 0))) AS ff FROM embeddings WHERE label = 0)
+fibers AS (SELECT vec_id AS voxel_id, list_sum(list_transform(embedding[1:60], lambda x: greatest(x::DOUBLE, 0))) / list_sum(list_transform(embedding, lambda x: greatest(x::DOUBLE, 0))) AS ff FROM embeddings WHERE label = 0)
 SELECT round(CASE WHEN count(*) >= 30 THEN quantile_cont(c, 0.9) ELSE 0.35::DOUBLE END, 6) AS gate, count(*) AS rows FROM conc JOIN fibers USING (voxel_id) WHERE ff > 0.15""")
 def concentration_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate that nine in ten of the fiber-free reference voxels stay under."""
@@ -262,12 +266,12 @@ def restricted_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(_LABELLED + """, m AS (SELECT ff_level, rf_level, max(rf_est) OVER (PARTITION BY ff_level ORDER BY rf_level) AS est, row_number() OVER (PARTITION BY ff_level ORDER BY rf_level) AS i, count(*) OVER (PARTITION BY ff_level) AS n FROM resp),
-lev AS (SELECT ff_level, avg(ff_est) AS at, row_number() OVER (ORDER BY avg(ff_est)) AS j, count(*) OVER () AS levels FROM resp GROUP BY ff_level),
+lev AS (SELECT ff_level, avg(ff_est) AS mid, row_number() OVER (ORDER BY avg(ff_est)) AS j, count(*) OVER () AS levels FROM resp GROUP BY ff_level),
 k AS (SELECT voxel_id, rf, m.ff_level, n, count(*) FILTER (WHERE est <= rf) AS below FROM truth CROSS JOIN m GROUP BY ALL),
 inv AS (SELECT k.voxel_id, k.ff_level, CASE WHEN below = 0 OR below = k.n THEN lo.rf_level ELSE lo.rf_level + (k.rf - lo.est) / (hi.est - lo.est) * (hi.rf_level - lo.rf_level) END AS v
   FROM k JOIN m lo ON lo.ff_level = k.ff_level AND lo.i = greatest(below, 1) LEFT JOIN m hi ON hi.ff_level = k.ff_level AND hi.i = below + 1),
-pick AS (SELECT voxel_id, ff, rf, hf, (SELECT count(*) FROM lev WHERE at <= ff) AS nj FROM truth),
-out AS (SELECT p.voxel_id, p.rf, p.hf, greatest(0.0::DOUBLE, least(1.0::DOUBLE, a.v + CASE WHEN l.j < h.j AND p.ff > l.at THEN (p.ff - l.at) / (h.at - l.at) ELSE 0 END * (b.v - a.v))) AS c
+pick AS (SELECT voxel_id, ff, rf, hf, (SELECT count(*) FROM lev WHERE mid <= ff) AS nj FROM truth),
+out AS (SELECT p.voxel_id, p.rf, p.hf, greatest(0.0::DOUBLE, least(1.0::DOUBLE, a.v + CASE WHEN l.j < h.j AND p.ff > l.mid THEN (p.ff - l.mid) / (h.mid - l.mid) ELSE 0 END * (b.v - a.v))) AS c
   FROM pick p JOIN lev l ON l.j = greatest(nj, 1) JOIN lev h ON h.j = least(nj + 1, h.levels) JOIN inv a ON a.voxel_id = p.voxel_id AND a.ff_level = l.ff_level JOIN inv b ON b.voxel_id = p.voxel_id AND b.ff_level = h.ff_level)
 SELECT voxel_id, round(c, 6) AS rf_corrected, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, hf - (c - rf))), 6) AS hf_corrected FROM out""")
 def restricted_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
