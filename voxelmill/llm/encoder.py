@@ -23,7 +23,7 @@ _BLANK = "\t\n\r "
 PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]")
 #: Pre-tokens of each of the two generations that a worker keeps.
-CACHE = 500_000
+CACHE = 150_000
 
 
 def _alphabet() -> dict[int, str]:
