@@ -266,19 +266,23 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     return train([r["text"] for r in sample], [r["lang"] for r in sample]) if sample else None
 
 
+def _scores(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray]:
+    """The language of each text, and its share of the marginals."""
+    n = len(texts)
+    if model is None:
+        return [UNKNOWN] * n, np.zeros(n)
+    words = letter_words(texts)
+    count = np.diff(words.first)
+    gamma = model.marginals(words)
+    total = np.stack([np.bincount(words.rows(), g, n) for g in gamma.T], axis=1)
+    best = total.argmax(1)
+    score = np.where(count > 0, np.clip(total[np.arange(n), best] / np.maximum(count, 1), 0, 1), 0.0)
+    return [model.languages[b] if c else UNKNOWN for b, c in zip(best.tolist(), count.tolist())], score
+
+
 def _identify(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
-        n = len(batch)
-        words = letter_words(batch.column("text"))
-        count = np.diff(words.first)
-        if model is None:
-            pred, score = [UNKNOWN] * n, np.zeros(n)
-        else:
-            gamma = model.marginals(words)
-            total = np.stack([np.bincount(words.rows(), g, n) for g in gamma.T], axis=1)
-            best = total.argmax(1)
-            score = np.where(count > 0, np.clip(total[np.arange(n), best] / np.maximum(count, 1), 0, 1), 0.0)
-            pred = [model.languages[b] if c else UNKNOWN for b, c in zip(best.tolist(), count.tolist())]
+        pred, score = _scores(batch.column("text"), model)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
 
@@ -306,17 +310,23 @@ def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return rows.mapInArrow(lambda it: _identify(it, sent.value), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def _keep(batches: Iterator[pa.RecordBatch], model: Model | None, least: float, column: str) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, column):
-        rows = pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), pa.nulls(len(batch), pa.bool_()), batch.column(column)], names=["doc_id", "held_out", "text"])
-        for out in _identify(iter([rows]), model):
-            yield batch.filter(pc.and_(pc.not_equal(out.column("lang_pred"), UNKNOWN), pc.greater_equal(out.column("score"), least)))
-
-
 def in_language(docs: DataFrame, least: float = 0.35) -> DataFrame:
-    """The documents, with all their columns, of which a language is known with score ``least`` or more."""
+    """The documents, with all their columns, of which a language is known with score ``least`` or more.
+
+    Only texts go to Python and only decisions come back; the other columns stay in the JVM.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs))
-    return docs.mapInArrow(lambda it: _keep(it, sent.value, least, "text"), docs.schema)
+
+    @F.arrow_udf("boolean")
+    def known(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            keep: list[bool] = []
+            for part in chunks(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text"):
+                pred, score = _scores(part.column("text"), sent.value)
+                keep += [p != UNKNOWN and s >= least for p, s in zip(pred, score.tolist())]
+            yield pa.array(keep, pa.bool_())
+
+    return docs.filter(known(F.col("text")))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
