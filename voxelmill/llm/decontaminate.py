@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelmill.llm.shared import released
 from voxelmill.llm.textops import Spans, Words, chunks, column_bytes
 
 SHINGLE = 5
@@ -148,6 +149,7 @@ class Items:
         return sorted((self.ids[k], s, w, v) for k, (v, s, w) in out.items())
 
 
+@released
 def _match(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("similarity", pa.float64())]))
     for batch in chunks(batches, "text"):

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm.shared import small, stash
+from voxelmill.llm.shared import released, small, stash
 from voxelmill.llm.textops import chunks
 
 GAMMA = 0.9
@@ -196,6 +196,7 @@ def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
     return " ".join(kept or [t for _, t in blocks])
 
 
+@released
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each chunk: host, node, parent, kind (0 presence, 1 text, 2 child sequence), value, pages."""
     names = ["host", "node", "parent", "kind", "value", "pages"]
@@ -269,6 +270,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return nodes.groupBy("host").applyInPandas(_compose, "host string, node long, pages long, importance double")
 
 
+@released
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "html"):
         low = batch.column("low").to_pylist()

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.llm.quality import held_out
+from voxelmill.llm.shared import released
 from voxelmill.llm.textops import Spans, Words, chunks, column_bytes, mix
 
 AFFIX = 3
@@ -280,12 +281,14 @@ def _scores(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray
     return [model.languages[b] if c else UNKNOWN for b, c in zip(best.tolist(), count.tolist())], score
 
 
+@released
 def _identify(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
         pred, score = _scores(batch.column("text"), model)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
 
+@released
 def _label(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
         words = letter_words(batch.column("text"))
@@ -318,6 +321,7 @@ def in_language(docs: DataFrame, least: float = 0.35) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     @F.arrow_udf("boolean")
+    @released
     def known(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             keep: list[bool] = []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm.shared import stash
+from voxelmill.llm.shared import released, stash
 from voxelmill.llm.textops import Spans, Words, chunks, column_bytes
 
 FOLDS = 5
@@ -114,6 +114,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     return np.stack([out[name] for name in NAMES], axis=1)
 
 
+@released
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
         x = statistics(batch.column("text"))
@@ -184,6 +185,7 @@ def fit(features: DataFrame, labels: DataFrame, pool: float = POOL, ridge: float
     return Discriminant(total.reshape(2, p, p), pool, ridge)
 
 
+@released
 def _scored(batches: Iterator[pa.RecordBatch], model: Discriminant, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = batch.column("x").flatten().to_numpy().reshape(-1, len(NAMES))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.llm.components import components
-from voxelmill.llm.shared import partitions, small, stash
+from voxelmill.llm.shared import partitions, released, small, stash
 
 RADIUS = 4
 SHINGLE = 4
@@ -64,6 +64,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
+@released
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column("text")
@@ -159,6 +160,7 @@ def _group_links(key: np.ndarray, fp: np.ndarray, radius: int, reference: np.nda
     return np.concatenate(left or [fp[:0]]), np.concatenate(right or [fp[:0]])
 
 
+@released
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """From (key, fp) sorted by key; a group may span batches."""
     reference = pivots()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm.shared import partitions
+from voxelmill.llm.shared import partitions, released
 from voxelmill.llm.textops import Spans, Words, chunks, column_bytes, mix, repeats, sliding_min
 
 WINDOW = 20
@@ -57,6 +57,7 @@ def _ranges(start: np.ndarray, row: np.ndarray, marked: np.ndarray, window: int)
     return [row[head], start[head], start[tail] + window]
 
 
+@released
 def super_kmers(batches: Iterator[pa.RecordBatch], window: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """From (key, uid, text): for each chunk and bucket, the packed super-k-mers of windows that are
     first in their chunk; and the ranges of windows that are not."""
@@ -149,6 +150,7 @@ def _as_batch(ranges: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ranges[c])) for c in _RANGE.names], names=list(_RANGE.names))
 
 
+@released
 def repeated(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """From blobs sorted by bucket: the ranges to remove, bucket by bucket."""
     now, blobs = None, []
@@ -176,6 +178,7 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     return packed.mapInArrow(lambda it: repeated(it, window), "key long, uid long, start int, stop int")
 
 
+@released
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {"doc_id": batch.column("doc_id"), "n_words": [], "n_removed": [], "kept_text": []}

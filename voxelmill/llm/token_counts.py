@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.llm.encoder import PRETOKEN, Encoder, encoder
+from voxelmill.llm.shared import released
 
 LEAF = 32
 GROW = 4
@@ -157,6 +158,7 @@ def edit(enc: Encoder, tree: Tree, text: str, start: int, stop: int, new: str) -
     return tree.replace(first, last, chars, tokens), after, sum(map(len, parts))
 
 
+@released
 def _build(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
     enc = encoder(vocabulary)
     for batch in batches:
@@ -179,6 +181,7 @@ def attach(trees: DataFrame, edits: DataFrame) -> DataFrame:
     return trees.join(own, "doc_id", "left")
 
 
+@released
 def _edit(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
     enc = encoder(vocabulary)
     for batch in batches:

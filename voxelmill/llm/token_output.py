@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelmill.llm.encoder import encoder
-from voxelmill.llm.shared import new_path, partitions, stash
+from voxelmill.llm.shared import new_path, partitions, released, stash
 
 END_ID = 2
 #: Payload bytes after which a shard is closed.
@@ -139,6 +139,7 @@ def pack(task: int, number: int, width: int, keys: list[int], encoded: list[byte
     return b"".join([head, key.astype("<i8").tobytes(), start.tobytes(), shift.astype("<i8").tobytes(), slots.tobytes(), marks.astype("<u4").tobytes(), *encoded])
 
 
+@released
 def _shards(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, limit: int) -> Iterator[pa.RecordBatch]:
     enc = encoder(vocabulary)
     end = np.array([end_id], enc.dtype).tobytes()
@@ -166,6 +167,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     shards.select(F.col("shard").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
+@released
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
