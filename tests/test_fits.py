@@ -88,6 +88,45 @@ def test_corner_and_cap(spark):
     assert calibration.discrepancy(residual, 2.0, 0.0).first()[0] == pytest.approx(2**0.5)
 
 
+def test_fewest_and_crosscheck(spark):
+    scores = lambda *s: spark.createDataFrame([(n, float(x)) for n, x in s], "n_iso int, score double")
+    got = calibration.fewest(scores((4, 2.0), (6, 1.01), (8, 1.0), (10, 1.0))).first()
+    assert (got["best"], got["n_iso"], got["span"]) == (8, 6, 1.0)
+    flat = calibration.fewest(scores((4, 1.004), (6, 1.0))).first()
+    assert (flat["best"], flat["n_iso"]) == (6, None)
+    assert calibration.fewest(scores()).first()["n_iso"] is None
+    assert calibration.near_sizes(10) == [4, 6, 8, 10, 12, 14, 16] and calibration.near_sizes(5) == [4, 5, 6, 8, 10, 11]
+    assert calibration.crosscheck(scores((4, 2.0), (8, 1.0)), 10).first()["agrees"] is True
+    assert calibration.crosscheck(scores((4, 2.0), (8, 1.0)), 12).first()["agrees"] is False
+
+
+def test_grid_scores_are_the_least_of_each_curve(spark):
+    rows = signals.normalised(X.signals(spark, SF), X.PROTOCOL).filter("voxel_id < 20")
+    y, b = np.array([r["signal"] for r in rows.collect()]), np.array(X.PROTOCOL.b)
+    for row in calibration.grid_scores(spark, calibration.moments(rows, 64), b, {4: [1e-4, 1e-3, 3e-3], 6: [1e-4, 5e-4, 1e-3, 3e-3]}).collect():
+        a = np.exp(-b[:, None] * np.array([1e-4, 1e-3, 3e-3] if row["n_iso"] == 4 else [1e-4, 5e-4, 1e-3, 3e-3])[None, :])
+        best = np.inf
+        for v in np.logspace(-5, 1, 40):
+            hat = a @ np.linalg.solve(a.T @ a + v * np.eye(a.shape[1]), a.T)
+            best = min(best, ((y.T - hat @ y.T) ** 2).sum(0).mean() / 64 / (1 - np.trace(hat) / 64) ** 2)
+        assert row["score"] == pytest.approx(best, rel=1e-6)
+
+
+def test_two_pass(spark):
+    rows = signals.normalised(X.signals(spark, SF), X.PROTOCOL).filter("voxel_id < 20").select("signal")
+    d = fitting.Config(directions=8).dictionary(X.PROTOCOL)
+    got = {r["step"]: r["lambda"] for r in calibration.two_pass(rows, d, 0.02).collect()}
+    assert got["iso"] == min(got["iso_second"], got["iso_cap"])
+    assert got["fiber_first"] >= calibration.fiber_floor(d, got["iso_first"]) and got["fiber"] >= calibration.fiber_floor(d, got["iso"])
+    y = np.array([r["signal"] for r in rows.collect()])
+    w = solvers.nnls(d.matrix.T @ d.matrix + np.diag(d.penalty(1.0, 0.01)), y @ d.matrix)
+    left = np.array([r["signal"] for r in calibration.without_fibers(rows, d, 1.0, 0.01).collect()])
+    assert np.allclose(left, y - w[:, : d.fibers] @ d.matrix[:, : d.fibers].T, atol=1e-7)
+    assert calibration.two_pass(rows.filter("false"), d, 0.0).count() == 6
+    with pytest.raises(ValueError):
+        calibration.two_pass(rows, d, 0.02, "other")
+
+
 def test_text_protocol(spark, tmp_path):
     (tmp_path / "b").write_text("0 1000\n2000  1000\n")
     (tmp_path / "g").write_text("0 2 0 0\n0 0 3 0\n0 0 0 1\n")

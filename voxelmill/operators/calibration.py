@@ -33,8 +33,7 @@ def moments(rows: DataFrame, n: int) -> np.ndarray:
     return out[:-1].reshape(n, n) / max(out[-1], 1.0)
 
 
-def penalty_curve(spark: SparkSession, moment: np.ndarray, matrix: np.ndarray, fixed: np.ndarray, varied: np.ndarray, values: np.ndarray) -> DataFrame:
-    """lambda, rss, eta2, dof, gcv for ridge penalties ``fixed + lambda * varied`` on the columns."""
+def _points(moment: np.ndarray, matrix: np.ndarray, fixed: np.ndarray, varied: np.ndarray, values: np.ndarray) -> list[tuple]:
     n = len(matrix)
     out = []
     for value in values:
@@ -46,7 +45,12 @@ def penalty_curve(spark: SparkSession, moment: np.ndarray, matrix: np.ndarray, f
         dof = float(matrix.shape[1] - np.sum(reg * np.diag(inverse)))
         gcv = max(rss, 0.0) / n / max((1 - dof / n) ** 2, 1e-12) if dof < n else float("inf")
         out.append((float(value), max(rss, 0.0), max(eta2, 0.0), dof, gcv))
-    return spark.createDataFrame(out, "lambda double, rss double, eta2 double, dof double, gcv double")  # one row a value
+    return out
+
+
+def penalty_curve(spark: SparkSession, moment: np.ndarray, matrix: np.ndarray, fixed: np.ndarray, varied: np.ndarray, values: np.ndarray) -> DataFrame:
+    """lambda, rss, eta2, dof, gcv for ridge penalties ``fixed + lambda * varied`` on the columns."""
+    return spark.createDataFrame(_points(moment, matrix, fixed, varied, values), "lambda double, rss double, eta2 double, dof double, gcv double")  # one row a value
 
 
 def least(curve: DataFrame, score: str = "gcv") -> DataFrame:
@@ -77,25 +81,116 @@ def cap(curve: DataFrame, limit: float) -> DataFrame:
     return rows.agg(F.coalesce(F.max(F.when(F.col("fine") == 1, F.col("lambda"))), F.min("lambda")).alias("lambda"))
 
 
-def residual_curve(sample: DataFrame, dictionary: Dictionary, iso: float, values: list[float]) -> DataFrame:
-    """lambda, residual: mean squared residual of the non-negative fit of a sample, for each fiber penalty."""
-    a = dictionary.matrix
-    grams = {v: a.T @ a + np.diag(dictionary.penalty(v, iso)) for v in map(float, values)}
+def _residuals(sample: DataFrame, matrix: np.ndarray, penalties: dict[float, np.ndarray]) -> DataFrame:
+    grams = {v: matrix.T @ matrix + np.diag(reg) for v, reg in penalties.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             value = batch.column("lambda").to_numpy()
             for v in np.unique(value):
-                s = batch.column("signal").filter(pa.array(value == v)).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(a))
+                s = batch.column("signal").filter(pa.array(value == v)).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(matrix))
                 for at in range(0, len(s), ROWS):
                     part = s[at : at + ROWS]
-                    off = part - nnls(grams[float(v)], part @ a) @ a.T
+                    off = part - nnls(grams[float(v)], part @ matrix) @ matrix.T
                     yield pa.RecordBatch.from_pydict({"lambda": np.full(len(part), v), "residual": (off * off).sum(1)})
 
-    each = sample.select("signal", F.explode(F.array(*[F.lit(float(v)) for v in values])).alias("lambda")).repartition(4 * len(values), "lambda", "signal")
+    each = sample.select("signal", F.explode(F.array(*[F.lit(v) for v in penalties])).alias("lambda")).repartition(4 * len(penalties), "lambda", "signal")
     return each.mapInArrow(run, "lambda double, residual double").groupBy("lambda").agg(F.avg("residual").alias("residual"))
 
 
+def residual_curve(sample: DataFrame, dictionary: Dictionary, iso: float, values: list[float]) -> DataFrame:
+    """lambda, residual: mean squared residual of the non-negative fit of a sample, for each fiber penalty."""
+    return _residuals(sample, dictionary.matrix, {v: dictionary.penalty(v, iso) for v in map(float, values)})
+
+
+def iso_residual_curve(sample: DataFrame, dictionary: Dictionary, values: list[float]) -> DataFrame:
+    """The same of the isotropic atoms alone, for each isotropic penalty."""
+    return _residuals(sample, dictionary.iso, {v: np.full(len(dictionary.grid), v) for v in map(float, values)})
+
+
+def without_fibers(sample: DataFrame, dictionary: Dictionary, fiber: float, iso: float) -> DataFrame:
+    """``signal`` of the sample less the fiber atoms' part of its non-negative fit."""
+    a = dictionary.matrix
+    gram = a.T @ a + np.diag(dictionary.penalty(fiber, iso))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(a))
+            for at in range(0, len(s), ROWS):
+                part = s[at : at + ROWS]
+                w = nnls(gram, part @ a)[:, : dictionary.fibers]
+                yield pa.RecordBatch.from_pydict({"signal": list(part - w @ a[:, : dictionary.fibers].T)})
+
+    return sample.select("signal").mapInArrow(run, "signal array<double>")
+
+
+def two_pass(sample: DataFrame, dictionary: Dictionary, sigma: float, method: str = "discrepancy") -> DataFrame:
+    """step, lambda: both penalties of a sample, chosen in two passes; ``iso`` and ``fiber`` are the results.
+
+    The first pass takes the isotropic penalty by cross-validation on the whole signal and the fiber
+    penalty by discrepancy.  The second takes the isotropic one on what the first fit's fibers leave, not
+    above the value where the isotropic fit of that stops meeting the noise, and with it the fiber penalty
+    by ``method``: discrepancy, gcv or corner.  Only single numbers come to the driver between steps.
+    """
+    if method not in ("discrepancy", "gcv", "corner"):
+        raise ValueError(f"no such method: {method}")
+    spark, n, k = sample.sparkSession, len(dictionary.b), len(dictionary.grid)
+    limit = n * sigma**2
+
+    def by_gcv(rows: DataFrame) -> float:
+        curve = penalty_curve(spark, moments(rows, n), dictionary.iso, np.zeros(k), np.ones(k), np.logspace(-5, 1, 40))
+        return least(curve).first()["lambda"]
+
+    def fiber(iso: float, how: str) -> float:
+        if how == "discrepancy":
+            curve = residual_curve(sample, dictionary, iso, list(np.logspace(-6, 4, 16)))
+            return discrepancy(curve, limit, fiber_floor(dictionary, iso)).first()["lambda"] or fiber_floor(dictionary, iso)
+        curve = penalty_curve(spark, moments(sample, n), dictionary.matrix, dictionary.penalty(0.0, iso), dictionary.penalty(1.0, 0.0), np.logspace(-4, 4, 40))
+        return (least(curve) if how == "gcv" else corner(curve)).first()["lambda"]
+
+    steps = {"iso_first": by_gcv(sample)}
+    steps["fiber_first"] = fiber(steps["iso_first"], "discrepancy")
+    rest = without_fibers(sample, dictionary, steps["fiber_first"], steps["iso_first"])
+    steps["iso_second"] = by_gcv(rest)
+    top = cap(iso_residual_curve(rest, dictionary, list(np.logspace(-5, 1, 16))), limit).first()["lambda"]
+    steps["iso_cap"] = steps["iso_second"] if top is None else top  # no rows, no cap
+    steps["iso"] = min(steps["iso_second"], steps["iso_cap"])
+    steps["fiber"] = fiber(steps["iso"], method)
+    return spark.createDataFrame(list(steps.items()), "step string, lambda double")  # six numbers
+
+
+def grid_scores(spark: SparkSession, moment: np.ndarray, b: np.ndarray, grids: dict[int, list[float]]) -> DataFrame:
+    """n_iso, lambda, score: for each isotropic grid, its best penalty by cross-validation, from one moment."""
+    points = []
+    for n, grid in grids.items():
+        atoms = np.exp(-b[:, None] * np.array(grid)[None, :])
+        points += [(n, p[0], p[-1]) for p in _points(moment, atoms, np.zeros(len(grid)), np.ones(len(grid)), np.logspace(-5, 1, 40))]
+    curves = spark.createDataFrame(points, "n_iso int, lambda double, gcv double")  # 40 rows a grid
+    return curves.groupBy("n_iso").agg(F.min_by("lambda", F.struct("gcv", "lambda")).alias("lambda"), F.min("gcv").alias("score"))
+
+
+def near_sizes(size: int, lo: int = 4, hi: int = 34, radius: int = 6, step: int = 2) -> list[int]:
+    """Grid sizes to compare a chosen one with: within the radius, in steps, both ends and itself included."""
+    a, b = max(lo, size - radius), min(hi, size + radius)
+    return sorted({a, size, b, *range(a, b + 1, step)})
+
+
+def fewest(scores: DataFrame, within: float = 0.02, flat: float = 0.005) -> DataFrame:
+    """One row of ``scores(n_iso, score)``: best (least score, the smaller of equals), span (relative), and
+    n_iso, the smallest whose score is within a share of the least; null where the span is under ``flat``."""
+    low = scores.agg(F.min("score").alias("least"), F.max("score").alias("most"), F.min_by("n_iso", F.struct("score", "n_iso")).alias("best"))
+    rows = scores.crossJoin(F.broadcast(low))  # one row is broadcast
+    close = F.min(F.when(F.col("score") <= F.col("least") * (1 + within), F.col("n_iso")))
+    span = F.first((F.col("most") - F.col("least")) / F.nullif(F.col("least"), F.lit(0.0)))
+    return rows.agg(F.first("best").alias("best"), span.alias("span"), close.alias("close")).select("best", "span", F.when(F.col("span") < flat, None).otherwise(F.col("close")).alias("n_iso"))
+
+
+def crosscheck(scores: DataFrame, size: int, step: int = 2) -> DataFrame:
+    """One row: the chosen size, the best by score, and whether they lie within a step."""
+    best = scores.agg(F.min_by("n_iso", F.struct("score", "n_iso")).alias("best"))
+    return best.select(F.lit(size).alias("chosen"), "best", (F.abs(F.col("best") - size) <= step).alias("agrees"))
+
+
 def discrepancy(curve: DataFrame, limit: float, floor: float) -> DataFrame:
     """One row: the value at which the rising residual meets the limit, by its logarithm between the two
     neighbours; the least value (not under the floor) if all exceed the limit, the greatest if none does."""

@@ -243,6 +243,31 @@ def fiber_penalty_discrepancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.unionByName(calibration.cap(curve, limit).select(F.lit("cap").alias("method"), "lambda"))
 
 
+@_query()
+def two_pass_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both penalties of a sample, chosen in two passes."""
+    sigma = signals.sample_sigma(signals.sample(signals.eligible(X.signals(spark, sf_dir), X.PROTOCOL), SAMPLE), X.PROTOCOL).first()["sigma"] or 0.0
+    return calibration.two_pass(_sample(spark, sf_dir), Config().dictionary(X.PROTOCOL), sigma)
+
+
+def _grid_scores(spark: SparkSession, sf_dir: str, sizes: list[int]) -> DataFrame:
+    b = np.array(X.PROTOCOL.b)
+    return calibration.grid_scores(spark, calibration.moments(_rows(spark, sf_dir), len(b)), b, {n: iso_grid(n) for n in sizes})
+
+
+@_query()
+def iso_grid_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest isotropic grid that scores like the best one, over the moments of all voxels."""
+    return calibration.fewest(_grid_scores(spark, sf_dir, list(range(4, 36, 2))))
+
+
+@_query()
+def iso_grid_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether cross-validation over all voxels agrees with the isotropic grid of the fit."""
+    size = Config().iso_steps
+    return calibration.crosscheck(_grid_scores(spark, sf_dir, calibration.near_sizes(size)), size)
+
+
 @_query(_WEIGHTS + """, conc AS (SELECT voxel_id, CASE WHEN max(total) >= 1e-10 THEN max(mass) / max(total) ELSE 0 END AS c FROM basin GROUP BY voxel_id),
 fibers AS (SELECT vec_id AS voxel_id, list_sum(list_transform(embedding[1:60], lambda x: greatest(x::DOUBLE, 0))) / list_sum(list_transform(embedding, lambda x: greatest(x::DOUBLE, 0))) AS ff FROM embeddings WHERE label = 0)
 SELECT round(CASE WHEN count(*) >= 30 THEN quantile_cont(c, 0.9) ELSE 0.35::DOUBLE END, 6) AS gate, count(*) AS rows FROM conc JOIN fibers USING (voxel_id) WHERE ff > 0.15""")
