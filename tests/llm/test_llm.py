@@ -269,6 +269,25 @@ def test_decontamination(spark, empty):
     assert decontaminate.benchmark_matches(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_decontamination_blocks(spark):
+    """Items that share phrases, in one block and in many."""
+    rng = np.random.default_rng(18)
+    phrase = [" ".join(f"p{x}" for x in rng.integers(0, 300, 8)) for _ in range(4)]
+    fresh = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 900, n))
+    item = [f"{fresh(14)} {phrase[i % 4]} {fresh(6)} {phrase[(i + 1) % 4]}" for i in range(12)]
+    texts = []
+    for i, t in enumerate(item):
+        for spot in (0, 7, 16, 25, 33):
+            w = t.split()
+            w[spot] = "changed"
+            texts.append(f"{fresh(5)} {' '.join(w)} {phrase[i % 4]}")
+        texts.append(t.replace(phrase[i % 4], phrase[(i + 2) % 4]))  # another item's phrase
+    docs = make(spark, [(i, t, "en", "s") for i, t in enumerate([*texts, texts[0]])])
+    bench = spark.createDataFrame([*enumerate(item), (0, item[0].upper()), (50, None), (51, " . ")], "item_id long, text string")
+    got = [sorted(map(str, decontaminate.benchmark_matches(docs, bench, n).collect())) for n in (5000, 5, 2)]
+    assert any("item_id" in r for r in got[0]) and got[0] == got[1] == got[2]
+
+
 def test_quality(spark, docs, empty):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

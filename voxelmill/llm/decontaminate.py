@@ -15,8 +15,11 @@ least weights over the sum of greatest weights of the two bags of shingles must
 more.  A document with fewer words than an item is one window.
 
 The benchmark is the stated query set: it goes to all tasks in blocks of ``ITEMS`` items, so its size
-there is bounded, and each block meets every document.  Null and empty texts match nothing, nor do
-null or empty items; repeated rows each get their result.  Columns other than the named are ignored.
+there is bounded, and each block meets every document.  Weights count the items of all blocks: with
+more than one, Spark counts the items and their shingles once, and what two items or more share goes
+to each task (about 50 bytes a shared shingle), since windows hold shingles of other blocks too; any
+other shingle weighs as one that a single item has.  Null and empty texts match nothing, nor do null
+or empty items; repeated rows each get their result.  Columns other than the named are ignored.
 """
 
 from __future__ import annotations
@@ -57,26 +60,61 @@ def _near() -> np.ndarray:
     return np.bitwise_count(values[:, None] ^ values[None, :]) <= RADIUS // 8
 
 
+class Shared:
+    """The number of items of the whole benchmark, and the shingles that two of them or more have: their
+    hashes in rising order, texts and numbers of items."""
+
+    def __init__(self, items: int, hashes: np.ndarray, texts: pa.Array, having: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.items, self.hash, self.text, self.having = items, hashes[order], texts.take(pa.array(order)), having[order]
+
+    def found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are here, and the first place of each of these."""
+        if not len(self.hash):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        hit = np.flatnonzero(self.hash[at] == hashes)
+        return hit, at[hit]
+
+    def count(self, text: bytes, at: int) -> int:
+        """Items that have the shingle, whose hash stands at this place first."""
+        h = self.hash[at]
+        while at < len(self.hash) and self.hash[at] == h:
+            if self.text[at].as_py() == text:
+                return int(self.having[at])
+            at += 1
+        return 1
+
+
 class Items:
-    """A block of the benchmark, ready for matching."""
+    """A block of the benchmark, ready for matching.  ``shared`` is of the whole benchmark; without it the
+    block is the whole."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], shared: Shared | None = None):
         words = plain_words(pa.array(texts, pa.string()))
         joined, begin, end = words.joined()
         hashes = words.hashes()
-        self.ids, self.size, self.bag, self.hash = [], [], [], []
+        self.ids, self.size, self.texts, self.bag, self.hash = [], [], [], [], []
         for k, i in enumerate(ids):
             a, b = int(words.first[k]), int(words.first[k + 1])
             if b > a:
                 self.ids.append(i)
                 self.size.append(b - a)
                 n = min(SHINGLE, b - a)
-                self.bag.append(Counter(joined[begin[x] : end[x + n - 1]] for x in range(a, b - n + 1)))
+                self.texts.append([joined[begin[x] : end[x + n - 1]] for x in range(a, b - n + 1)])
+                self.bag.append(Counter(self.texts[-1]))
                 at = np.arange(a, b - n + 1)
                 self.hash.append(Spans(hashes[a:b], "word").hash(at - a, at - a + n))
-        having = Counter(s for bag in self.bag for s in bag)
-        self.alone = float(np.log(1 + len(self.ids)))
-        self.weight = {s: float(np.log(1 + len(self.ids) / c)) for s, c in having.items()}
+        self.shared = shared
+        self.items = len(self.ids) if shared is None else shared.items
+        self.alone = float(np.log(1 + self.items))
+        if shared is None:
+            having = Counter(s for bag in self.bag for s in bag)
+            self.weight = {s: float(np.log(1 + self.items / c)) for s, c in having.items()}
+        else:
+            self.weight = {s: self.alone for bag in self.bag for s in bag}
+            for own, hashed in zip(self.texts, self.hash):
+                self.weight |= self.common(own, hashed)
         # For each number of words a shingle has: the hashes, and the items that have each.
         self.index: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in sorted({min(SHINGLE, n) for n in self.size}):
@@ -89,14 +127,23 @@ class Items:
         near = _near()
         self.blocks = {n: near[self.print_[k].view(np.uint8).reshape(-1, 8)] for n, k in self.by_size.items()}  # item, block, value
 
+    def common(self, texts: list[bytes], hashes: np.ndarray) -> dict[bytes, float]:
+        """Weights of those of the shingles that two items of the whole benchmark or more have."""
+        hit, at = self.shared.found(hashes)
+        return {texts[i]: float(np.log(1 + self.items / self.shared.count(texts[i], p))) for i, p in zip(hit.tolist(), at.tolist())}
+
     def weights(self, hashes: np.ndarray) -> np.ndarray:
         """Weights by shingle hash, for fingerprints."""
         out = np.full(len(hashes), self.alone)
+        if self.shared is not None:
+            hit, at = self.shared.found(hashes)
+            out[hit] = np.log(1 + self.items / self.shared.having[at])
+            return out
         for unique, first, _ in self.index.values():
             if len(unique):
                 at = np.minimum(np.searchsorted(unique, hashes), len(unique) - 1)
                 hit = unique[at] == hashes
-                out[hit] = np.log(1 + len(self.ids) / np.diff(first)[at[hit]])
+                out[hit] = np.log(1 + self.items / np.diff(first)[at[hit]])
         return out
 
     def fingerprints(self, hashes: np.ndarray, start: np.ndarray, count: int) -> np.ndarray:
@@ -106,9 +153,8 @@ class Items:
         np.cumsum(bits * self.weights(hashes)[:, None], axis=0, out=sums[1:])
         return np.packbits(sums[start + count] - sums[start] > 1e-9, axis=1, bitorder="little").view(np.uint64).ravel()
 
-    def similarity(self, item: int, bag: Counter) -> float:
+    def similarity(self, item: int, bag: Counter, weight: dict[bytes, float]) -> float:
         own = self.bag[item]
-        weight = self.weight
         least = sum(min(c, bag[s]) * weight[s] for s, c in own.items() if s in bag)
         most = sum(c * weight[s] for s, c in own.items()) + sum(c * weight.get(s, self.alone) for s, c in bag.items()) - least
         return least / most if most else 0.0
@@ -131,7 +177,8 @@ class Items:
             if words < k:
                 continue
             number = np.arange(len(hashes) - k + 1)
-            prints = self.fingerprints(Spans(hashes, "word").hash(number, number + k), start, words - k + 1)
+            values = Spans(hashes, "word").hash(number, number + k)
+            prints = self.fingerprints(values, start, words - k + 1)
             block = prints.view(np.uint8).reshape(-1, 8)
             mine = self.by_size[n]
             near = np.zeros((len(start), len(mine)), bool)
@@ -141,9 +188,12 @@ class Items:
             close = np.bitwise_count(prints[w] ^ self.print_[mine[i]]) <= RADIUS
             for x in np.unique(w[close]).tolist():
                 s = int(start[x])
-                bag = Counter(text(j, j + k) for j in range(s, s + words - k + 1))
+                shingles = [text(j, j + k) for j in range(s, s + words - k + 1)]
+                bag = Counter(shingles)
+                # Shingles of other blocks have their weights too.
+                weight = self.weight if self.shared is None else self.common(shingles, values[s : s + len(shingles)]) | self.weight
                 for item in mine[i[close & (w == x)]].tolist():
-                    value = self.similarity(item, bag)
+                    value = self.similarity(item, bag, weight)
                     if value >= SIMILARITY - 1e-12 and (item not in out or (-value, s) < (-out[item][0], out[item][1])):
                         out[item] = (value, s, words)
         return sorted((self.ids[k], s, w, v) for k, (v, s, w) in out.items())
@@ -176,6 +226,30 @@ def _match(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array(lists, kind)], names=["doc_id", "uid", "matches"])
 
 
+@released
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hash and text of each item's different shingles; a null one for each item that has words."""
+    for batch in chunks(batches, "text"):
+        items = Items(list(range(len(batch))), batch.column("text").to_pylist())
+        hashes, shingles = [None] * len(items.ids), [None] * len(items.ids)
+        for texts, values in zip(items.texts, items.hash):
+            own = dict(zip(texts, values.view(np.int64).tolist()))
+            shingles += own.keys()
+            hashes += own.values()
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(shingles, pa.binary())], names=["hash", "shingle"])
+
+
+def shared_shingles(items: DataFrame) -> Shared:
+    """Counted by Spark over all items; of the shingles, only those that two of them have come to the driver."""
+    counts = items.select("text").mapInArrow(_shingles, "hash long, shingle binary").groupBy("hash", "shingle").agg(F.count("*").alias("having"))
+    found = counts.filter("shingle is null or having > 1").toArrow()
+    none = pc.is_null(found["shingle"])
+    number = pc.sum(found.filter(none)["having"]).as_py() or 0
+    found = found.filter(pc.invert(none))
+    texts = found["shingle"].cast(pa.large_binary()).combine_chunks()
+    return Shared(number, found["hash"].to_numpy().view(np.uint64), texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, found["having"].to_numpy())
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS) -> DataFrame:
     """One row per input row: doc_id, uid (a hash of the text), matches (item_id, start and number of
     words, similarity; one for each item that the document holds)."""
@@ -183,10 +257,11 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, items_at_once: int
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("uid"), "text")
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
     blocks = max(1, -(-items.count() // items_at_once))
+    shared = shared_shingles(items) if blocks > 1 else None
     found = []
     for b in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect() if blocks > 1 else items.collect()
-        block = Items([r.item_id for r in own], [r.text for r in own])
+        block = Items([r.item_id for r in own], [r.text for r in own], shared)
         sent = spark.sparkContext.broadcast(block)
         found.append(rows.mapInArrow(lambda it, sent=sent: _match(it, sent.value), _OUT))
     if blocks == 1:
@@ -195,7 +270,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, items_at_once: int
     out = found[0].withColumn("block", F.lit(0))
     for b, more in enumerate(found[1:], 1):
         out = out.unionByName(more.withColumn("block", F.lit(b)))
-    rows = out.groupBy("doc_id", "uid").agg(F.flatten(F.collect_set("matches")).alias("matches"), F.count_if(F.col("block") == 0).alias("repeats"))
+    rows = out.groupBy("doc_id", "uid").agg(F.flatten(F.transform(F.collect_set(F.struct("block", "matches")), lambda x: x["matches"])).alias("matches"), F.count_if(F.col("block") == 0).alias("repeats"))
     return rows.withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("repeats").cast("int")))).select("doc_id", "uid", F.array_sort("matches").alias("matches"))
 
 
