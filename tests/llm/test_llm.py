@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import public_tokenizers
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from voxelmill.llm import components, decontaminate, encoder, exact_dedup, html_text, language, mixing, quality, simhash_dedup, substring_dedup, textops, token_counts, token_output
@@ -153,6 +154,24 @@ def test_substring_sql(spark, tmp_path):
     assert got == sorted(con.execute(substring_dedup.ORACLE).fetchall())
 
 
+def test_substring_common_line(spark, tmp_path, monkeypatch):
+    """A line that many documents have between different neighbours fills no bucket."""
+    rng = np.random.default_rng(5)
+    fresh = lambda n: " ".join(f"n{x}" for x in rng.integers(0, 10**6, n))
+    line, tail = " ".join(f"line{x}" for x in range(10)), fresh(15)
+    rows = [(i, f"{fresh(18)} {line} {tail if i % 3 == 0 else fresh(18)}", "en", "s") for i in range(1500)]
+    docs = make(spark, rows).repartition(8)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 1 << 17)
+    keyed = docs.selectExpr("doc_id as key", "xxhash64(text) as uid", "text")
+    held = [r.held for r in substring_dedup.packed_windows(keyed).groupBy("bucket").agg(F.sum("text_size").alias("held")).collect()]
+    assert max(held) <= 2 * substring_dedup.BUCKET_BYTES
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = sorted(map(tuple, substring_dedup.op5_substring_dedup(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(substring_dedup.ORACLE).fetchall())
+
+
 def test_encoder_and_trees():
     import random
 

@@ -10,6 +10,13 @@ sorting brings equal windows together; contents are compared wherever hashes agr
 each pass over a chunk of text keeps only the first of its equal windows, so a passage that a third of
 all documents share reaches its bucket once a chunk, not once a document.
 
+A first pass counts what each slot of minimisers (``SLOTS`` of them) would hold.  Slots are packed into
+buckets of about ``BUCKET_BYTES``, so the number of buckets follows the input; a slot that is larger, as
+that of a short phrase which many documents have between different neighbours, is dealt by a hash of the
+whole window instead: equal windows still meet.  What can't be split is one window's own copies, one a
+chunk.  Where the mean slot passes ``BUCKET_BYTES`` (at several hundred GB of text) all are dealt by
+windows, which sends more text.
+
 Documents are ordered by ``doc_id`` (null first) and then by a hash of the text, so documents that
 share an id have an order; rows that repeat id and text are one document and get the same result.
 Null and empty texts have no words.  Other columns are ignored.
@@ -17,6 +24,7 @@ Null and empty texts have no words.  Other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +37,13 @@ from voxelmill.llm.textops import Spans, Words, chunks, column_bytes, mix, repea
 
 WINDOW = 20
 GRAM = 3
-#: Buckets of each shuffle partition; a task holds one bucket at a time.
+#: Least number of buckets of each shuffle partition; a task holds one bucket at a time.
 BUCKETS = 8
+#: Bytes that a bucket should take in its task, and what a window takes of them besides text.
+BUCKET_BYTES = 64 << 20
+_WINDOW_BYTES = 64
+#: Minimisers are counted in so many slots.
+SLOTS = 1 << 16
 #: Bytes of a bucket's text that are hashed at a time.
 _SLICE = 1 << 20
 _ZSTD = pa.Codec("zstd", compression_level=6)
@@ -57,8 +70,64 @@ def _ranges(start: np.ndarray, row: np.ndarray, marked: np.ndarray, window: int)
     return [row[head], start[head], start[tail] + window]
 
 
+def _hashes(words: Words, start: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the minimiser of each window."""
+    spans = Spans(words.hashes(), "word")
+    number = np.arange(len(words) - gram + 1)
+    return spans.hash(start, start + window), sliding_min(spans.hash(number, number + gram), window - gram + 1)[start]
+
+
+def _slot(least: np.ndarray) -> np.ndarray:
+    return (mix(least) % np.uint64(SLOTS)).astype(np.int64)
+
+
+@released
+def slot_sizes(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """From text: the bytes that each slot's different windows of a chunk take as super-k-mers, and
+    window by window."""
+    together, apart = np.zeros(SLOTS), np.zeros(SLOTS)
+    for batch in chunks(batches, "text"):
+        words = Words(*column_bytes(batch.column("text")))
+        start, row = _windows(words, window)
+        if not len(start):
+            continue
+        hashes, least = _hashes(words, start, window, gram)
+        at = np.sort(np.unique(hashes, return_index=True)[1])
+        start, row, least = start[at], row[at], least[at]
+        sums = np.concatenate([[0], np.cumsum(words.end - words.start + 1)])
+        size = sums[start + window] - sums[start]
+        more = np.zeros(len(start), bool)
+        more[1:] = (np.diff(start) == 1) & (np.diff(row) == 0) & (least[1:] == least[:-1])
+        slot = _slot(least)
+        apart += np.bincount(slot, size + _WINDOW_BYTES, SLOTS)
+        together += np.bincount(slot, np.where(more, sums[start + window] - sums[start + window - 1], size) + _WINDOW_BYTES, SLOTS)
+    slot = np.flatnonzero(apart)
+    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(together[slot].astype(np.int64)), pa.array(apart[slot].astype(np.int64))], names=["slot", "together", "apart"])
+
+
+def deal(docs: DataFrame, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each slot: its first bucket, and the number of buckets that its windows are dealt to."""
+    sizes = docs.select("text").mapInArrow(lambda it: slot_sizes(it, window, gram), "slot long, together long, apart long")
+    sizes = sizes.groupBy("slot").agg(F.sum("together").alias("together"), F.sum("apart").alias("apart")).toArrow()  # SLOTS rows
+    slot, together, apart = (sizes[c].to_numpy() for c in ("slot", "together", "apart"))
+    hot = together > BUCKET_BYTES
+    n = max(partitions(docs.sparkSession) * BUCKETS, -(-int(together[~hot].sum()) // BUCKET_BYTES))
+    first, ways = (np.arange(SLOTS) % n).astype(np.int32), np.ones(SLOTS, np.int32)
+    # The largest slot first, each to the bucket that holds least.
+    held = [(0, b) for b in range(n)]
+    for k in np.lexsort((slot, -together)).tolist():
+        if not hot[k]:
+            size, b = held[0]
+            first[slot[k]] = b
+            heapq.heapreplace(held, (size + int(together[k]), b))
+    for k in np.flatnonzero(hot).tolist():
+        first[slot[k]], ways[slot[k]] = n, -(-int(apart[k]) // BUCKET_BYTES)
+        n += int(ways[slot[k]])
+    return first, ways
+
+
 @released
-def super_kmers(batches: Iterator[pa.RecordBatch], window: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def super_kmers(batches: Iterator[pa.RecordBatch], window: int, gram: int, first_bucket: np.ndarray, ways: np.ndarray) -> Iterator[pa.RecordBatch]:
     """From (key, uid, text): for each chunk and bucket, the packed super-k-mers of windows that are
     first in their chunk; and the ranges of windows that are not."""
     for batch in chunks(batches, "text"):
@@ -70,8 +139,8 @@ def super_kmers(batches: Iterator[pa.RecordBatch], window: int, gram: int, bucke
         if not len(start):
             continue
         packed, begin, end = words.joined()
-        spans = Spans(words.hashes(), "word")
-        later, first = repeats(spans.hash(start, start + window), lambda i: packed[begin[start[i]] : end[start[i] + window - 1]])
+        hashes, least = _hashes(words, start, window, gram)
+        later, first = repeats(hashes, lambda i: packed[begin[start[i]] : end[start[i] + window - 1]])
         own = start - words.first[row]
         same = (key[row[later]] == key[row[first]]) & (uid[row[later]] == uid[row[first]]) & (own[later] == own[first])
         marked, sent = np.zeros(len(start), bool), np.ones(len(start), bool)
@@ -82,12 +151,12 @@ def super_kmers(batches: Iterator[pa.RecordBatch], window: int, gram: int, bucke
         ranges = np.zeros(len(r), _RANGE)
         ranges["key"], ranges["uid"], ranges["start"], ranges["stop"] = key[r], uid[r], a - words.first[r], b - words.first[r]
 
-        number = np.arange(len(words) - gram + 1)
-        least = sliding_min(spans.hash(number, number + gram), window - gram + 1)[start]
         at = np.flatnonzero(sent)
-        cut = np.flatnonzero((np.diff(start[at]) != 1) | (np.diff(row[at]) != 0) | (least[at][1:] != least[at][:-1]))
+        slot = _slot(least[at])
+        dealt = first_bucket[slot] + (hashes[at] % ways[slot].astype(np.uint64)).astype(np.int32)
+        cut = np.flatnonzero((np.diff(start[at]) != 1) | (np.diff(row[at]) != 0) | (least[at][1:] != least[at][:-1]) | (np.diff(dealt) != 0))
         head, tail = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
-        bucket = (mix(least[head]) % np.uint64(buckets)).astype(np.int32)
+        bucket = dealt[np.concatenate([[0], cut + 1])]
         heads = np.zeros(len(head), _HEAD)
         heads["key"], heads["uid"], heads["start"] = key[row[head]], uid[row[head]], own[head]
         s, e = begin[start[head]], end[start[tail] + window - 1]
@@ -169,12 +238,16 @@ def repeated(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         yield _as_batch(_bucket(blobs, window))
 
 
+def packed_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """From (key, uid, text): the packed super-k-mers, with the bucket of each pack."""
+    sent = docs.sparkSession.sparkContext.broadcast(deal(docs, window, gram))
+    return docs.mapInArrow(lambda it: super_kmers(it, window, gram, *sent.value), _BLOB)
+
+
 def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """From (key, uid, text): key, uid, start, stop of word ranges to remove; ranges may overlap."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    packed = docs.mapInArrow(lambda it: super_kmers(it, window, gram, parts * BUCKETS), _BLOB)
-    packed = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    parts = partitions(docs.sparkSession)
+    packed = packed_windows(docs, window, gram).repartition(parts, "bucket").sortWithinPartitions("bucket")
     return packed.mapInArrow(lambda it: repeated(it, window), "key long, uid long, start int, stop int")
 
 
