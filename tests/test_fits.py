@@ -59,6 +59,29 @@ def test_whole_fit(spark):
     assert fitting.fit(rows.filter("false"), X.PROTOCOL).count() == 0
 
 
+def test_fit_takes_calibrations(spark):
+    rows = X.signals(spark, SF).filter("voxel_id < 30")
+    noise = spark.createDataFrame(fitting.noise_of(X.signals(spark, SF), X.PROTOCOL).collect())
+    penalties = fitting.calibrated(rows, X.PROTOCOL, noise=noise)
+    step = {r["step"]: r["lambda"] for r in penalties.collect()}
+    gate, response = fitting.references(X.labelled_signals(spark, SF), X.PROTOCOL, penalties=penalties)
+    assert 0 < gate.first()["gate"] <= 1 and response.filter("rf_est between 0 and 1").count() == response.count() > 30
+    same = fitting.Config(fiber_penalty=step["fiber"], iso_penalty=step["iso"], gate=gate.first()["gate"])
+    raw = fitting.fit(rows, X.PROTOCOL, same, noise)
+    want = calibration.corrected_restricted(raw, response).toPandas().set_index("voxel_id").sort_index()
+    got = fitting.fit(rows, X.PROTOCOL, noise=noise, penalties=penalties, gate=gate, response=response).toPandas().set_index("voxel_id").sort_index()
+    assert np.allclose(got["ff"], want["ff"]) and np.allclose(got["rf"], want["rf_corrected"]) and np.allclose(got["hf"], want["hf_corrected"])
+    assert (got["rf"] - want["rf"]).abs().max() > 1e-3
+
+
+def test_fit_follows_the_compartments_of_the_protocol(spark):
+    keep = [i for i, b in enumerate(X.PROTOCOL.b) if b <= 1000]
+    protocol = fitting.Protocol(tuple(X.PROTOCOL.b[i] for i in keep), tuple(X.PROTOCOL.g[i] for i in keep))
+    got = fitting.fit(X.signals(spark, SF, protocol).filter("voxel_id < 20"), protocol).toPandas()
+    assert len(got) and got[["hf", "wf"]].isna().all().all()
+    assert (got[["ff", "rf", "nrf"]].sum(axis=1) - 1).abs().max() < 1e-6
+
+
 def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     rows = X.signals(spark, SF).filter("voxel_id < 12").select("voxel_id", "in_mask", "signal")
     rows.write.parquet(str(tmp_path / "in"))

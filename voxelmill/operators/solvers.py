@@ -157,8 +157,8 @@ class Dictionary:
         return out
 
 
-def spectra(rows: DataFrame, dictionary: Dictionary, fiber: float, iso: float, gate: float = S.CONCENTRATION_GATE, most: int = 2) -> DataFrame:
-    """Ridge non-negative weights over the whole dictionary, solved again with a greater fiber penalty
+def spectra(rows: DataFrame, dictionary: Dictionary, fiber: float, iso: float, gate: float = S.CONCENTRATION_GATE, most: int = 2, again: bool = True) -> DataFrame:
+    """Ridge non-negative weights over the whole dictionary, solved ``again`` with a greater fiber penalty
     where the fiber weight is spread over directions.
 
     Adds w, concentration (share of the largest basin), dirs (of the fibers) and shares (of their basins).
@@ -175,12 +175,12 @@ def spectra(rows: DataFrame, dictionary: Dictionary, fiber: float, iso: float, g
         h = _matrix(part, "signal") @ a
         w = nnls(gram, h)
         c = share(dictionary.basins(w))
-        again = np.flatnonzero(c < SPREAD_HIGH)
-        if len(again):
-            grow = 1 + (SPREAD_GAIN - 1) * np.clip((SPREAD_HIGH - c[again]) / (SPREAD_HIGH - SPREAD_LOW), 0, 1)
-            more = np.repeat(gram[None], len(again), 0)
+        spread = np.flatnonzero((c < SPREAD_HIGH) & again)
+        if len(spread):
+            grow = 1 + (SPREAD_GAIN - 1) * np.clip((SPREAD_HIGH - c[spread]) / (SPREAD_HIGH - SPREAD_LOW), 0, 1)
+            more = np.repeat(gram[None], len(spread), 0)
             more[:, is_fiber, is_fiber] += ((grow - 1) * fiber)[:, None]
-            w[again] = nnls(more, h[again])
+            w[spread] = nnls(more, h[spread])
         mass = dictionary.basins(w)
         dirs = [dictionary.dominant(m, gate, most) for m in mass]
         shares = [(m[d] / m.sum()).tolist() if d else [] for m, d in zip(mass, dirs)]

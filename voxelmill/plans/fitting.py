@@ -33,7 +33,7 @@ def _query(sql: str | None = None):  # noqa: ANN202
 @dataclass(frozen=True)
 class Config:
     """Parameters of a fit.  Penalties of None are 0.005 for isotropic atoms, and that times the number of
-    fiber atoms for these; ``directions`` of None follows the protocol."""
+    fiber atoms for these; ``directions`` and ``compartments`` (isotropic, 2 or 3) of None follow the protocol."""
 
     directions: int | None = None
     iso_steps: int = 10
@@ -41,8 +41,11 @@ class Config:
     iso_penalty: float = 0.005
     gate: float = S.CONCENTRATION_GATE
     fibers: int = 2
+    compartments: int | None = None
 
     def __post_init__(self) -> None:
+        if self.compartments not in (None, 2, 3):
+            raise ValueError("2 or 3 isotropic compartments can be fitted")
         if not 1 <= self.fibers <= 2:
             raise ValueError("1 or 2 fibers can be fitted")
 
@@ -78,7 +81,37 @@ def noise_of(rows: DataFrame, protocol: Protocol) -> DataFrame:
     return signals.temporal_noise(rows, protocol) if repeated else signals.spatial_noise(rows)
 
 
-def fit(rows: DataFrame, protocol: Protocol, config: Config = Config(), noise: DataFrame | None = None) -> DataFrame:  # noqa: B008
+def _penalties(config: Config, dictionary: solvers.Dictionary, table: DataFrame | None) -> tuple[float, float]:
+    if table is None:
+        return config.penalties(dictionary)
+    own = {r["step"]: r["lambda"] for r in table.filter("step in ('fiber', 'iso')").collect()}  # two numbers
+    return own["fiber"], own["iso"]
+
+
+def calibrated(rows: DataFrame, protocol: Protocol, config: Config = Config(), noise: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """step, lambda: penalties of ``fit`` from a sample of the corrected voxels, in two passes, by cross-validation."""
+    noise = noise_of(rows, protocol) if noise is None else noise
+    both = signals.corrected(rows.filter("signal is not null").select("voxel_id", "in_mask", "signal"), noise)
+    picked = signals.sample(signals.eligible(both, protocol), SAMPLE)
+    picked = rows.sparkSession.createDataFrame(picked.collect(), picked.schema)  # SAMPLE voxels
+    sigma = signals.sample_sigma(picked, protocol).first()["sigma"] or 0.0
+    unit = picked.withColumn("signal", F.transform("signal", lambda s: s / F.col("s0")))
+    return calibration.two_pass(unit, config.dictionary(protocol), sigma, "gcv")
+
+
+def references(labelled: DataFrame, protocol: Protocol, config: Config = Config(), penalties: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """Gate and response table of ``fit`` from a bounded table of labelled signals (voxel_id, ff_level,
+    rf_level, signal): their spectra with the fit's own dictionary and penalties.  The gate is of those without a fiber."""
+    dictionary = config.dictionary(protocol)
+    unit = signals.normalised(labelled.select("voxel_id", "ff_level", "rf_level", "signal"), protocol)
+    found = with_fractions(solvers.spectra(unit, dictionary, *_penalties(config, dictionary, penalties), again=False), dictionary)
+    found = found.select("ff_level", "rf_level", "concentration", "ff", F.col("ff").alias("ff_est"), F.col("rf").alias("rf_est"))
+    found = labelled.sparkSession.createDataFrame(found.collect(), found.schema)  # six numbers a labelled voxel
+    gate = calibration.concentration_gate(found.filter("ff_level = 0"), default=config.gate)
+    return gate, calibration.restricted_response(found)
+
+
+def fit(rows: DataFrame, protocol: Protocol, config: Config = Config(), noise: DataFrame | None = None, penalties: DataFrame | None = None, gate: DataFrame | None = None, response: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """Fractions, fibers and diffusivities of voxels (voxel_id, in_mask, signal).
 
     The signal loses its Rician bias, the spectrum is fitted over the whole dictionary, and fibers are
@@ -87,15 +120,24 @@ def fit(rows: DataFrame, protocol: Protocol, config: Config = Config(), noise: D
     their sum stays and the isotropic rest is shared out anew.  Voxels outside the mask, or without signal
     at b = 0, give no row.  The spectrum, each tensor and the anchored fit are Arrow passes over the rows'
     own partitions; only the noise is an aggregate, and a stream of rows will do where it is given.
+
+    ``penalties`` (step, lambda; as of ``calibrated``) and ``gate`` (one row) stand for those of the config.
+    With a ``response`` table rf is corrected at the end, and hf makes up for it.  Where the protocol (or the
+    config) has two isotropic compartments, hf and wf are null and nrf is fitted; else nrf is their sum.
     """
     dictionary = config.dictionary(protocol)
-    fiber, iso = config.penalties(dictionary)
+    fiber, iso = _penalties(config, dictionary, penalties)
+    least = config.gate if gate is None else gate.first()["gate"]
+    three = (config.compartments or protocol.isotropic_parts) == 3
+    names, fixed = (("rf", "hf", "wf"), (S.D_RES, S.D_HIN, S.D_WAT)) if three else (("rf", "nrf"), (S.D_RES, S.D_NONRES))
     noise = noise_of(rows, protocol) if noise is None else noise
     both = signals.corrected(rows.filter("signal is not null").select("voxel_id", "in_mask", "signal", F.col("signal").alias("raw")), noise)
     both = signals.normalised(signals.in_mask(both), protocol)
     raw0 = C.s0(F.col("raw"), protocol)
     both = both.withColumn("raw", F.transform("raw", lambda s: s / raw0))
-    found = with_fractions(solvers.spectra(both, dictionary, fiber, iso, config.gate, config.fibers), dictionary).drop("w", "in_mask")
+    found = with_fractions(solvers.spectra(both, dictionary, fiber, iso, least, config.fibers), dictionary).drop("w", "in_mask")
+    if not three:
+        found = found.withColumn("nrf", F.col("hf") + F.col("wf")).drop("hf", "wf")
     many = F.when(F.col("ff") > S.FIBER_THRESHOLD, F.size("dirs")).otherwise(F.lit(0))
     found = found.withColumn("n_fibers", many)
     u = dictionary.u
@@ -109,20 +151,24 @@ def fit(rows: DataFrame, protocol: Protocol, config: Config = Config(), noise: D
     found = found.withColumns({f"u{c}": F.when(alone, F.col(f"u1{c}")) for c in "xyz"})
     found = solvers.single_fiber(found, protocol, list(map(float, dictionary.grid)), signal="raw").drop("raw", "ux", "uy", "uz", "fit_w", "fit_residual")
     b = C.doubles(protocol.b)
-    iso_signal = F.transform(b, lambda x: F.col("rf") * F.exp(-x * S.D_RES) + F.col("hf") * F.exp(-x * S.D_HIN) + F.col("wf") * F.exp(-x * S.D_WAT))
+    iso_signal = F.transform(b, lambda x: sum((F.col(n) * F.exp(-x * d) for n, d in zip(names, fixed)), F.lit(0.0)))
     found = solvers.crossing_fibers(found.withColumn("iso_signal", iso_signal), protocol).drop("iso_signal", "cost0", "cost")
     found = found.withColumns({"ad1": F.when(alone, F.col("fit_ad")).otherwise(F.col("ad1")), "rd1": F.when(alone, F.col("fit_rd")).otherwise(F.col("rd1"))})
-    out = solvers.anchored_fractions(found, protocol)
-    w = [F.get("anchored", F.lit(i)) for i in range(5)]
-    tot, rest = sum(w, F.lit(0.0)), w[2] + w[3] + w[4]
-    solved = {"ff": (w[0] + w[1]) / tot, "rf": w[2] / tot, "hf": w[3] / tot, "wf": w[4] / tot}
-    for n in ("rf", "hf", "wf"):
-        kept = F.when(rest > 1e-10, w["ff rf hf wf".split().index(n) + 1] / rest * (1 - F.col("ff"))).otherwise(F.col(n))
+    out = solvers.anchored_fractions(found, protocol, iso=fixed)
+    w = [F.get("anchored", F.lit(i)) for i in range(2 + len(fixed))]
+    tot, rest = sum(w, F.lit(0.0)), sum(w[2:], F.lit(0.0))
+    solved = {"ff": (w[0] + w[1]) / tot, **{n: x / tot for n, x in zip(names, w[2:])}}
+    for n, x in zip(names, w[2:]):
+        kept = F.when(rest > 1e-10, x / rest * (1 - F.col("ff"))).otherwise(F.col(n))
         solved[n] = F.when(F.col("n_fibers") == 2, kept).otherwise(F.when(tot > 1e-10, solved[n]).otherwise(F.col(n)))
     solved["ff"] = F.when((F.col("n_fibers") == 2) | (tot <= 1e-10), F.col("ff")).otherwise(solved["ff"])
     out = out.withColumns({f"_{n}": c for n, c in solved.items()})
     out = out.withColumns({n: F.col(f"_{n}") for n in solved})
-    return out.select("voxel_id", "s0", "n_fibers", "concentration", "ff", "rf", "hf", "wf", "mean_iso_adc", "f1", "f2", *tensor, *[f"u{k}{c}" for k in (1, 2) for c in "xyz"], C.fa(F.col("ad1"), F.col("rd1")).alias("fa1"), C.fa(F.col("ad2"), F.col("rd2")).alias("fa2"))
+    if response is not None:
+        out = calibration.corrected_restricted(out.withColumn("hf", F.col(names[1])), response)
+        out = out.withColumns({"rf": F.col("rf_corrected"), names[1]: F.col("hf_corrected")})
+    out = out.withColumn("nrf", F.col("hf") + F.col("wf")) if three else out.withColumns({n: F.lit(None).cast("double") for n in ("hf", "wf")})
+    return out.select("voxel_id", "s0", "n_fibers", "concentration", "ff", "rf", "hf", "wf", "nrf", "mean_iso_adc", "f1", "f2", *tensor, *[f"u{k}{c}" for k in (1, 2) for c in "xyz"], C.fa(F.col("ad1"), F.col("rd1")).alias("fa1"), C.fa(F.col("ad2"), F.col("rd2")).alias("fa2"))
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,8 +186,11 @@ def _rounded(rows: DataFrame, *same: str) -> DataFrame:
 
 @_query()
 def voxel_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole fit of every voxel."""
-    return fit(X.signals(spark, sf_dir), X.PROTOCOL)
+    """The fit of every voxel, with penalties of its own sample, and gate and response of labelled signals."""
+    rows = X.signals(spark, sf_dir)
+    penalties = calibrated(rows, X.PROTOCOL)
+    gate, response = references(X.labelled_signals(spark, sf_dir), X.PROTOCOL, penalties=penalties)
+    return fit(rows, X.PROTOCOL, penalties=penalties, gate=gate, response=response)
 
 
 @_query()

@@ -15,6 +15,8 @@ PROTOCOL = Protocol(
     tuple([(0.0, 0.0, 0.0)] * 4 + [DIRECTIONS[i % 20] for i in range(60)]),
 )
 WEIGHT_DIRECTIONS = hemisphere(12)
+#: Labelled voxels: 40 for each of 4 x 9 cells.
+LABELLED = 1440
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +76,28 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ff_est", F.col("ff_level") + 0.001 * (F.col("voxel_id") % 7)).withColumn("rf_est", F.greatest(F.col("rf_level") * (0.9 - 0.3 * F.col("ff_level")) - 0.03, F.lit(0.0)) + noise)
 
 
+def labelled_signals(spark: SparkSession, sf_dir: str, protocol: Protocol = PROTOCOL) -> DataFrame:
+    """The signals of voxels of known cell (ff_level, rf_level), up to ``LABELLED`` of them, whose other
+    parameters vary by closed formulas: the rest's shares and diffusivities, and one fiber or two."""
+    k, b = F.col("voxel_id"), C.doubles(protocol.b)
+    part = lambda factor, of, lo, hi: lo + (hi - lo) * (factor * k % of) / (of - 1.0)
+    rows = labelled(spark, sf_dir).filter(k <= LABELLED).select("voxel_id", "ff_level", "rf_level")
+    rows = rows.withColumns({"_r": part(37, 61, 0.1e-3, 0.28e-3), "_h": part(53, 101, 0.4e-3, 2.5e-3), "_w": part(71, 41, 3.0e-3, 5.0e-3), "_s": part(89, 31, 0.4, 0.95)})
+    rows = rows.withColumns({"_ad": part(29, 83, 1.2e-3, 2.0e-3), "_rd": part(43, 47, 0.1e-3, 0.8e-3), "_f": F.when(F.floor(k / 36) % 2 == 0, F.lit(1.0)).otherwise(part(11, 17, 0.0, 1.0))})
+    at = {1: (13 * k % 20).cast("int"), 2: (13 * k % 20).cast("int") + F.lit(10)}
+    shape = {n: C.squared_cosines(*[F.element_at(C.doubles(d[i] for d in DIRECTIONS), x % 20 + 1) for i in range(3)], protocol) for n, x in at.items()}
+    rows = rows.withColumns({f"_c{n}": c for n, c in shape.items()})
+    points = F.arrays_zip(b.alias("b"), F.col("_c1").alias("p"), F.col("_c2").alias("q"), F.sequence(F.lit(0), F.lit(len(protocol.b) - 1)).alias("m"))
+    rest = 1 - F.col("ff_level") - F.col("rf_level")
+
+    def value(x):  # noqa: ANN001, ANN202
+        fiber = lambda c: F.exp(-x["b"] * (F.col("_rd") + (F.col("_ad") - F.col("_rd")) * c))
+        iso = F.col("rf_level") * F.exp(-x["b"] * F.col("_r")) + rest * (F.col("_s") * F.exp(-x["b"] * F.col("_h")) + (1 - F.col("_s")) * F.exp(-x["b"] * F.col("_w")))
+        return F.col("ff_level") * (F.col("_f") * fiber(x["p"]) + (1 - F.col("_f")) * fiber(x["q"])) + iso + 0.02 * (((7919 * k + 104729 * x["m"]) % 1000) / 999.0 - 0.5)
+
+    return rows.select("voxel_id", "ff_level", "rf_level", F.transform(points, value).alias("signal"))
+
+
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as dictionary weights: one voxel for each order."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
