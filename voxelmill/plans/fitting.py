@@ -103,7 +103,9 @@ def references(labelled: DataFrame, protocol: Protocol, config: Config = Config(
     """Gate and response table of ``fit`` from a bounded table of labelled signals (voxel_id, ff_level,
     rf_level, signal): their spectra with the fit's own dictionary and penalties.  The gate is of those without a fiber."""
     dictionary = config.dictionary(protocol)
-    unit = signals.normalised(labelled.select("voxel_id", "ff_level", "rf_level", "signal"), protocol)
+    labelled = labelled.select("voxel_id", "ff_level", "rf_level", "signal")
+    labelled = labelled.sparkSession.createDataFrame(labelled.collect(), labelled.schema)  # a bounded table; ends a plan of large formulas
+    unit = signals.normalised(labelled, protocol)
     found = with_fractions(solvers.spectra(unit, dictionary, *_penalties(config, dictionary, penalties), again=False), dictionary)
     found = found.select("ff_level", "rf_level", "concentration", "ff", F.col("ff").alias("ff_est"), F.col("rf").alias("rf_est"))
     found = labelled.sparkSession.createDataFrame(found.collect(), found.schema)  # six numbers a labelled voxel
