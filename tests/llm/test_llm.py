@@ -3,10 +3,12 @@
 import itertools
 import math
 import re
+import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import xxhash
@@ -214,20 +216,39 @@ def test_token_output(spark, docs, rows, empty):
     found = token_output.lookup(spark, path, [5, 7, 301, 99_999]).collect()
     text = {r[0]: r[1] for r in rows}
     assert Counter((r.doc_id, bytes(r.ids)) for r in found) == Counter([(5, ids(text[5]).tobytes()), (7, ids(text[7]).tobytes()), (7, ids(text[7]).tobytes()), (301, ids("").tobytes())])
+    assert token_output.open_shards(spark, path).count() > 5
+    assert token_output.holding(spark, path, [301]).count() == 1 and token_output.holding(spark, path, []).count() == 0
     out = sorted(token_output.token_digests(docs, BPE).collect(), key=lambda r: r.start)
-    at = 0
+    at, want = 0, Counter((r[0], len(ids(r[1])), zlib.crc32(ids(r[1]).tobytes())) for r in rows)
     for r in out:
         assert r.start == at
         at += r.n_tokens
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == want
+    order = [-1 if r.doc_id is None else r.doc_id for r in out]
+    assert order == sorted(order)
     assert token_output.token_digests(empty, BPE).count() == 0
 
 
+def test_long_texts_are_encoded_in_pieces(monkeypatch, rows):
+    enc, lib = encoder.Encoder(BPE), Tokenizer.from_file(BPE)
+    monkeypatch.setattr(encoder, "PIECE", 500)
+    texts = [r[1] for r in rows if r[1]] + ["it's  \n x" * 400 + "中 文" + " and so on" * 200, "x" * 3000, "<|endoftext|> a b" * 100]
+    at = 0
+    for part, made in enc.encoded(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]), "text"):
+        for i in range(len(part)):
+            assert made.ids[made.at[i] : made.at[i + 1]].tolist() == lib.encode(texts[at], add_special_tokens=False).ids
+            at += 1
+    assert at == len(texts)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 1000])
 def test_perfect_hash(n):
     keys = np.unique(np.random.default_rng(n).integers(-(1 << 62), 1 << 62, n))
-    shard = token_output.Shard(token_output.pack(0, 0, 2, keys.tolist(), [bytes(2 * (i % 3)) for i in range(n)]) + b"\n")
-    assert all(shard.find(int(k)) == [i] for i, k in enumerate(keys))
-    assert not any(shard.find(k) for k in range(50))
+    shard = token_output.Shard(token_output.pack(2, keys, np.arange(n) % 3))
+    assert shard.find(keys).tolist() == list(range(n))
+    assert all(shard.documents(int(k)) == [i] for i, k in enumerate(keys))
+    assert (shard.find(np.arange(50)) == -1).all()
+    assert n == 0 or sorted(shard.slots.tolist()) == list(range(n))
 
 
 def test_mixing(docs, rows, empty):

@@ -12,7 +12,8 @@ their new counts and the sums above them are updated; a leaf that has grown past
 Edits of a document apply in order, each to the text as it then stands; positions beyond the text are
 moved to its end, an edit without a start is passed over, a null replacement is empty.  Null texts
 count as empty.  Texts that spell a special token of the tokenizer are counted whole by the library.
-Repeated rows each get a result.
+Repeated rows each get a result; an empty table gives none.  A very long text is cut and encoded in pieces; an edit of it takes
+time by its own size, but its text and leaves are in memory together (some 3 bytes a byte of text).
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.llm.encoder import PRETOKEN, Encoder, encoder
 from voxelmill.llm.shared import released
+from voxelmill.llm.textops import chunks
 
 LEAF = 32
 GROW = 4
@@ -111,8 +113,9 @@ class Tree:
         return Tree(chars.tolist(), tokens.tolist())
 
 
-def count(enc: Encoder, part: str) -> int:
-    return len(enc.pretoken(part)) // enc.width
+def counts(enc: Encoder, parts: list[str]) -> list[int]:
+    """Tokens of each pre-token."""
+    return [len(ids) // enc.width for ids in enc.cache.many([p.encode() for p in parts])]
 
 
 def build(enc: Encoder, text: str) -> Tree:
@@ -120,51 +123,102 @@ def build(enc: Encoder, text: str) -> Tree:
     if enc.special and enc.special.search(text):
         return Tree([len(text)], [len(enc.whole(text)) // enc.width])
     parts = pieces(enc, text)
-    return Tree(*_leaves(parts, [count(enc, p) for p in parts]))
+    return Tree(*_leaves(parts, counts(enc, parts)))
+
+
+class Document:
+    """A text by leaves, with its tree.  An edit touches the leaves around it alone; a tree that runs out of leaves is
+    laid out anew, which takes GROW - 1 times LEAF pre-tokens put into one leaf, so it is rare."""
+
+    def __init__(self, enc: Encoder, text: str, tree: Tree):
+        self.enc, self.tree = enc, tree
+        self.special = bool(enc.special and enc.special.search(text))
+        ends = list(accumulate((tree.leaf(i)[0] for i in range(tree.leaves)), initial=0))
+        self.leaves = [text[a:b] for a, b in zip(ends, ends[1:])]
+
+    def text(self) -> str:
+        return "".join(self.leaves)
+
+    def between(self, a: int, b: int) -> str:
+        """Characters a to b."""
+        a, b = max(a, 0), min(b, self.tree.chars)
+        if a >= b:
+            return ""
+        i, begin = self.tree.find(a)
+        found, end = [], begin
+        while end < b:
+            found.append(self.leaves[i])
+            end += len(self.leaves[i])
+            i += 1
+        return "".join(found)[a - begin : b - begin]
+
+    def edit(self, start: int, stop: int, new: str) -> int:
+        """Replaces characters [start, stop); returns the number of characters that were encoded again."""
+        enc, tree = self.enc, self.tree
+        start = min(max(start, 0), tree.chars)
+        stop = min(max(stop, start), tree.chars)
+        reach = enc.special_size - 1
+        if self.special or (enc.special and enc.special.search(self.between(start - reach, start) + new + self.between(stop, stop + reach))):
+            text = self.text()
+            text = text[:start] + new + text[stop:]
+            self.__init__(enc, text, build(enc, text))
+            return len(text)
+        first, begin = tree.find(max(0, start - CONTEXT))
+        last, end = first, begin + tree.leaf(first)[0]
+        while last + 1 < tree.leaves and end < stop:
+            last += 1
+            end += tree.leaf(last)[0]
+        grown = len(new) - (stop - start)
+        while True:
+            # Leaf ``last`` ends at ``end``; what follows it lets the cut see past that edge.
+            ahead, look = last, end
+            while ahead + 1 < tree.leaves and look < end + 2 * CONTEXT + 2:
+                ahead += 1
+                look += tree.leaf(ahead)[0]
+            old = "".join(self.leaves[first : ahead + 1])
+            parts = pieces(enc, old[: start - begin] + new + old[stop - begin :])
+            edges = list(accumulate(map(len, parts), initial=0))
+            k = bisect_right(edges, end + grown - begin) - 1
+            if last + 1 >= tree.leaves or edges[k] == end + grown - begin:
+                break
+            last += 1
+            end += tree.leaf(last)[0]
+        parts = parts[:k] if last + 1 < tree.leaves else parts
+        chars, tokens = _leaves(parts, counts(enc, parts))
+        texts = ["".join(parts[i : i + LEAF]) for i in range(0, len(parts), LEAF)]
+        room = last - first + 1
+        if len(chars) > room and len(parts) <= GROW * LEAF * room:  # a little more than fits: fill the last leaf
+            chars = chars[: room - 1] + [sum(chars[room - 1 :])]
+            tokens = tokens[: room - 1] + [sum(tokens[room - 1 :])]
+            texts = texts[: room - 1] + ["".join(texts[room - 1 :])]
+        self.tree = tree.replace(first, last, chars, tokens)
+        self.leaves[first : last + 1] = texts + [""] * (room - len(texts))
+        return sum(map(len, parts))
 
 
 def edit(enc: Encoder, tree: Tree, text: str, start: int, stop: int, new: str) -> tuple[Tree, str, int]:
-    """The tree and text after an edit, and the number of characters that were encoded again."""
-    start = min(max(start, 0), len(text))
-    stop = min(max(stop, start), len(text))
-    after = text[:start] + new + text[stop:]
-    if enc.special and (enc.special.search(text) or enc.special.search(after)):
-        return build(enc, after), after, len(after)
-    grown = len(after) - len(text)
-    first, begin = tree.find(max(0, start - CONTEXT))
-    last, end = first, begin + tree.leaf(first)[0]
-    while last + 1 < tree.leaves and end < stop:
-        last += 1
-        end += tree.leaf(last)[0]
-    while True:
-        # Leaf ``last`` ends at ``end``; what follows it lets the cut see past that edge.
-        ahead, look = last, end
-        while ahead + 1 < tree.leaves and look < end + 2 * CONTEXT + 2:
-            ahead += 1
-            look += tree.leaf(ahead)[0]
-        parts = pieces(enc, after[begin : look + grown])
-        edges = list(accumulate(map(len, parts), initial=0))
-        k = bisect_right(edges, end + grown - begin) - 1
-        if last + 1 >= tree.leaves or edges[k] == end + grown - begin:
-            break
-        last += 1
-        end += tree.leaf(last)[0]
-    parts = parts[:k] if last + 1 < tree.leaves else parts
-    chars, tokens = _leaves(parts, [count(enc, p) for p in parts])
-    room = last - first + 1
-    if len(chars) > room and len(parts) <= GROW * LEAF * room:  # a little more than fits: fill the last leaf
-        chars = chars[: room - 1] + [sum(chars[room - 1 :])]
-        tokens = tokens[: room - 1] + [sum(tokens[room - 1 :])]
-    return tree.replace(first, last, chars, tokens), after, sum(map(len, parts))
+    """The tree and text after one edit, and the number of characters that were encoded again."""
+    doc = Document(enc, text, tree)
+    n = doc.edit(start, stop, new)
+    return doc.tree, doc.text(), n
 
 
 @released
 def _build(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
     enc = encoder(vocabulary)
-    for batch in batches:
-        trees = [build(enc, t or "") for t in batch.column("text").to_pylist()]
-        made = [pa.array([t.tokens for t in trees], pa.int64()), pa.array([t.dump() for t in trees], pa.binary())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "n_tokens", "tree"])
+    for part, made in enc.encoded(batches, "text"):
+        chars, total = made.chars(), []
+        trees = []
+        for r, (a, b) in enumerate(zip(made.first[:-1].tolist(), made.first[1:].tolist())):
+            if made.whole[r]:
+                tree = build(enc, part.column("text")[r].as_py())
+            else:
+                at = np.arange(a, b, LEAF)
+                tree = Tree(*(np.add.reduceat(x, at).tolist() if b > a else [] for x in (chars[:b], made.counts[:b])))
+            total.append(tree.tokens)
+            trees.append(tree.dump())
+        columns = [pa.array(total, pa.int64()), pa.array(trees, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, "n_tokens", "tree"])
 
 
 def build_trees(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -184,15 +238,14 @@ def attach(trees: DataFrame, edits: DataFrame) -> DataFrame:
 @released
 def _edit(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
     enc = encoder(vocabulary)
-    for batch in batches:
+    for batch in chunks(batches, "text"):
         out: dict[str, list] = {"text": [], "n_tokens": [], "tree": [], "encoded": []}
         for text, content, edits in zip(*(batch.column(c).to_pylist() for c in ("text", "tree", "edits"))):
-            text, tree, encoded = text or "", Tree.load(content), 0
+            doc, encoded = Document(enc, text or "", Tree.load(content)), 0
             for e in edits or ():
                 if e is not None and e["start"] is not None:
-                    tree, text, n = edit(enc, tree, text, e["start"], e["stop"] if e["stop"] is not None else e["start"], e["replacement"] or "")
-                    encoded += n
-            for name, value in zip(out, (text, tree.tokens, tree.dump(), encoded)):
+                    encoded += doc.edit(e["start"], e["stop"] if e["stop"] is not None else e["start"], e["replacement"] or "")
+            for name, value in zip(out, (doc.text(), doc.tree.tokens, doc.tree.dump(), encoded)):
                 out[name].append(value)
         types = (pa.string(), pa.int64(), pa.binary(), pa.int64())
         made = [pa.array(v, t) for v, t in zip(out.values(), types)]
