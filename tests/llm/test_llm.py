@@ -18,12 +18,12 @@ from tokenizers import Tokenizer
 from voxelmill.llm import components, decontaminate, encoder, exact_dedup, html_text, language, mixing, quality, simhash_dedup, substring_dedup, textops, token_counts, token_output
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, norm string, digest int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, norm string, digest int, _id long, _keep long, key long, row string"
 WORDS = "the of and to in is a that it was for on as with be by at from".split()
 
 
 def make(spark, rows):
-    return spark.createDataFrame([(i, t, lang, s, len(t or ""), "x", 1) for i, t, lang, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, s, len(t or ""), "x", 1, 2, 3, 4, "y") for i, t, lang, s in rows], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -62,7 +62,9 @@ def test_exact(docs, rows, empty):
     want = Counter((i, best[key(t)], len(groups[key(t)])) for i, t, *_ in rows)
     got = exact_dedup.exact_dedup(docs).collect()
     assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == want
-    assert exact_dedup.survivors(docs).count() == len(groups)
+    assert exact_dedup.survivors(docs).count() == len(groups) and exact_dedup.survivors(docs).columns == docs.columns
+    weak = exact_dedup.exact_dedup(docs, digest=lambda c: F.substring(F.md5(c), 1, 1)).collect()  # contents that share a digest
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in weak) == want
 
 
 def test_simhash(docs, rows, empty):
@@ -274,7 +276,9 @@ def test_mixing(docs, rows, empty):
     for s in names:
         assert abs(taken[s] - share[s]) <= max(len(words(r[1])) for r in rows if r[3] == s)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(3), fan=4).collect()))
-    assert mixing.mixed(docs, fan=4).count() == sum(r.copies for r in got)
+    taken = mixing.mixed(docs, fan=4)
+    assert taken.columns == docs.columns and taken.filter("key <> 4 or row <> 'y' or _id <> 2").count() == 0
+    assert taken.count() == sum(r.copies for r in got)
 
 
 def test_pivotal_is_unbiased():
@@ -289,6 +293,22 @@ def test_pivotal_is_unbiased():
     assert np.allclose(total / 4000, mass, atol=0.25)
 
 
+def test_pivotal_leaves_a_small_document():
+    rng = np.random.default_rng(2)
+    left, total = [], []
+    for _ in range(200):
+        size = rng.integers(1, 2000, 50)
+        mass, draws = size * rng.uniform(0.05, 0.95), rng.random(50)
+        out, held = mixing.pivotal(size, mass, draws)
+        if held >= 0:
+            out, held = mixing.exchange(size, out, draws, held)
+        assert abs(out.sum() - mass.sum()) < 1e-4
+        left.append(int(size[held]) if held >= 0 else 0)
+        total.append(size.sum())
+        assert held < 0 or all(out[i] in (0, size[i]) for i in range(50) if i != held)
+    assert np.median(left) < 100 and np.max(np.array(left) / np.array(total)) < 0.01
+
+
 def test_decontamination(spark, empty):
     rng = np.random.default_rng(8)
     item = [" ".join(f"w{x}" for x in rng.integers(0, 500, n)) for n in (25, 40, 3, 18)]
@@ -357,6 +377,66 @@ def test_style_tree(spark):
     assert texts[90, ""] == texts[91, ""] == texts[92, "only"] == 1
 
 
+def test_html_wrappers_and_teasers():
+    body = "long real body " * 20
+    for name in ("content with-sidebar", "layout has-sidebar", "post no-comments", "wrap nav-open", "main-content", "header"):
+        assert html_text.main_text(f"<div class='{name}'><article>{body}</article></div><div class='ad'>x y</div>") == body.strip()
+    assert html_text.main_text(f"<div class='content'>{body}</div><article>a teaser</article>") == f"{body.strip()} a teaser"
+    assert html_text.main_text(f"<div id='sidebar'>{body}</div><p>b</p>") == f"{body.strip()} b"  # most of the text is no side bar
+    page = f"<article>{body}<div class='comment-list'>c</div><div id=reader-comments>d</div></article><div class='cookie-notice'>n</div><div class='top-banner2'>o</div>"
+    assert html_text.main_text(page) == body.strip()
+
+
+def brute_importance(pages):
+    """Composite importance by the definition, over parsed pages of one host."""
+    kids, texts, parent, kinds = {}, {}, {}, {}
+    for k, page in enumerate(pages):
+        for e in html_text.parse(page)[1][1:]:
+            if not e.noise:
+                parent[e.node] = e.parent.block.node
+                texts.setdefault(e.node, {}).setdefault(k, set()).update(e.texts)
+                kinds.setdefault(e.node, {}).setdefault(k, set())
+                if e.kinds:
+                    kinds[e.node][k].add(tuple(dict.fromkeys(e.kinds)))
+    for n, p in parent.items():
+        kids.setdefault(p, []).append(n)
+
+    def value(n):
+        m = len(texts[n])
+        if m == 1:
+            return 1.0
+        log = lambda x: math.log(x, m)
+        seen = Counter(t for own in texts[n].values() for t in own)
+        ways = Counter(w for own in kinds[n].values() for w in own)
+        content = 1 - sum(c * log(c) for c in seen.values()) / sum(seen.values()) if seen else None
+        style = log(sum(ways.values())) - sum(c * log(c) for c in ways.values()) / sum(ways.values()) if ways else 0.0
+        below = kids.get(n, [])
+        if not below:
+            return style if content is None else content
+        mean = sum(len(texts[c]) * value(c) for c in below) / sum(len(texts[c]) for c in below)
+        mean = mean if content is None else (mean + content) / 2
+        g = html_text.GAMMA ** len(ways)
+        return (1 - g) * style + g * mean
+
+    return {n: value(n) for n in parent if len(texts[n]) > 1}
+
+
+def test_style_tree_alone(spark):
+    """Neutral markup: what repeats over the site goes, what is a page's own stays; against brute force."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(chr(97 + int(x)) for x in rng.integers(0, 26, 8))
+    own = [" ".join(word() for _ in range(30)) for _ in range(9)]
+    html = [f"<body><div class=a><ul><li>Start<li>News<li>Contact<li>Page {k} of 9</ul></div><div class=b><p>{t[:90]}</p><p>{t[90:]}</p>{'<ul><li>' + word() + '</ul>' if k % 2 else ''}</div><section><p>All rights</p><div class={word()}>{k}</div></section></body>" for k, t in enumerate(own)]
+    pages = spark.createDataFrame([(k, "http://site.example/p", h) for k, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r.node: r.importance for r in html_text.style_tree(html_text.with_host(pages)).collect()}
+    want = brute_importance(html)
+    assert got.keys() == want.keys() and all(math.isclose(got[n], want[n], abs_tol=1e-9) for n in want)
+    texts = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert all(texts[k].startswith(" ".join(t[:90].split())) and "News" not in texts[k] and "rights" not in texts[k] for k, t in enumerate(own))
+    plain = {k: html_text.main_text(h) for k, h in enumerate(html)}
+    assert all("News" in plain[k] and "rights" in plain[k] for k in plain)
+
+
 def test_language(spark, docs, empty):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fit(table, 60)

@@ -9,8 +9,9 @@ For each item, every window of a document with the item's number of words that s
 it is a candidate (a window that shares none has similarity 0).  Windows are fingerprinted by the
 weighted signs of their shingles' hash bits.  Multi-index blocks find the items near a window: 64 bits
 in 8 blocks, of which one at least differs in ``RADIUS // 8`` bits or fewer if the whole differs in
-``RADIUS`` or fewer, so each block's table lists the items within that of each value and no
-fingerprint in the radius is missed.  Candidates within the radius are then verified: the sum of
+``RADIUS`` or fewer, so each block's table tells what is within that of each value and no
+fingerprint in the radius is missed.  Since 3 of 8 bits may differ, the blocks let nearly all pairs through; what prunes is the
+shared shingle before them and the radius after.  Candidates within the radius are then verified: the sum of
 least weights over the sum of greatest weights of the two bags of shingles must be ``SIMILARITY`` or
 more.  A document with fewer words than an item is one window.
 
@@ -33,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm.shared import released
+from voxelmill.llm.shared import packed, released
 from voxelmill.llm.textops import Spans, Words, chunks, column_bytes
 
 SHINGLE = 5
@@ -42,6 +43,8 @@ SIMILARITY = 0.8
 RADIUS = 24
 #: Items that are sent to the tasks at once.
 ITEMS = 5000
+#: Pairs of window and item, and shingles of a document, that are in hand at once.
+PAIRS, SPAN = 1 << 18, 1 << 14
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _OUT = "doc_id long, uid long, matches array<struct<item_id:long,start:int,words:int,similarity:double>>"
@@ -123,9 +126,7 @@ class Items:
             unique, first = np.unique(values, return_index=True)
             self.index[size] = (unique, np.append(first, len(pairs)), np.array([p[1] for p in pairs]))
         self.print_ = np.array([self.fingerprints(h, np.array([0]), len(h))[0] for h in self.hash], np.uint64)
-        self.by_size = {n: np.flatnonzero(np.array(self.size) == n) for n in set(self.size)}
-        near = _near()
-        self.blocks = {n: near[self.print_[k].view(np.uint8).reshape(-1, 8)] for n, k in self.by_size.items()}  # item, block, value
+        self.near = _near()
 
     def common(self, texts: list[bytes], hashes: np.ndarray) -> dict[bytes, float]:
         """Weights of those of the shingles that two items of the whole benchmark or more have."""
@@ -147,11 +148,21 @@ class Items:
         return out
 
     def fingerprints(self, hashes: np.ndarray, start: np.ndarray, count: int) -> np.ndarray:
-        """SimHash of the ``count`` shingles from each start on."""
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64) * 2 - 1
-        sums = np.zeros((len(hashes) + 1, 64))
-        np.cumsum(bits * self.weights(hashes)[:, None], axis=0, out=sums[1:])
-        return np.packbits(sums[start + count] - sums[start] > 1e-9, axis=1, bitorder="little").view(np.uint64).ravel()
+        """SimHash of the ``count`` shingles from each start on (rising), some ``SPAN`` of shingles at a time."""
+        out = np.zeros(len(start), np.uint64)
+        done = 0
+        while done < len(start):
+            a = int(start[done])
+            stop = max(done + 1, int(np.searchsorted(start, a + SPAN)))
+            b = int(start[stop - 1]) + count
+            own = hashes[a:b]
+            bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64) * 2 - 1
+            sums = np.zeros((len(own) + 1, 64))
+            np.cumsum(bits * self.weights(own)[:, None], axis=0, out=sums[1:])
+            at = start[done:stop] - a
+            out[done:stop] = np.packbits(sums[at + count] - sums[at] > 1e-9, axis=1, bitorder="little").view(np.uint64).ravel()
+            done = stop
+        return out
 
     def similarity(self, item: int, bag: Counter, weight: dict[bytes, float]) -> float:
         own = self.bag[item]
@@ -159,43 +170,65 @@ class Items:
         most = sum(c * weight[s] for s, c in own.items()) + sum(c * weight.get(s, self.alone) for s, c in bag.items()) - least
         return least / most if most else 0.0
 
+    def candidates(self, n: int, items: list[int], found: dict[int, list[int]], words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item, start) of the windows of n words that share a shingle with an item of that size, in order of the
+        start, some ``PAIRS`` at a time."""
+        spread, last = np.arange(n - min(SHINGLE, n) + 1), max(0, words - n)
+        at = [np.array(found[i]) for i in items]
+        low, step = 0, max(1, PAIRS // (len(items) * len(spread)))
+        edges = np.unique(np.concatenate(at))
+        while low <= last:
+            # Starts [low, high) that hold about PAIRS pairs, by the shingles that are found from low on.
+            ahead = edges[np.searchsorted(edges, low) :]
+            high = last + 1 if len(ahead) <= step else max(low + 1, int(ahead[step]) - len(spread) + 1)
+            pairs = []
+            for i, own in zip(items, at):
+                near = own[np.searchsorted(own, low) : np.searchsorted(own, high + len(spread))]
+                start = np.unique((near[:, None] - spread[None, :]).clip(0, last))
+                start = start[(start >= low) & (start < high)]
+                pairs.append((np.full(len(start), i), start))
+            item, start = (np.concatenate(x) for x in zip(*pairs))
+            if len(item):
+                order = np.argsort(start, kind="stable")
+                yield item[order], start[order]
+            low = high
+
+    def within(self, item: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        """Which windows are within the radius of their item: the blocks' tables first, then the whole."""
+        block, own = prints.view(np.uint8).reshape(-1, 8), self.print_[item].view(np.uint8).reshape(-1, 8)
+        at = np.flatnonzero(self.near[own, block].any(axis=1))
+        out = np.zeros(len(item), bool)
+        out[at] = np.bitwise_count(prints[at] ^ self.print_[item[at]]) <= RADIUS
+        return out
+
     def matches(self, hashes: np.ndarray, found: dict[int, list[int]], text) -> list[tuple[int, int, int, float]]:
         """Of one document with these word hashes: (item, start, words, similarity), the best window of
         each item.  ``found``: for items that share a shingle, where it starts.  ``text(a, b)``: words a
         to b, joined."""
         out: dict[int, tuple[float, int, int]] = {}
-        sizes: dict[int, list[np.ndarray]] = {}
-        for item, at in found.items():
-            n = self.size[item]
-            lead = n - min(SHINGLE, n)
-            spread = np.array(at)[:, None] - np.arange(lead + 1)[None, :]
-            sizes.setdefault(n, []).append(np.unique(spread.clip(0, max(0, len(hashes) - n))))
-        for n, starts in sizes.items():
-            start = np.unique(np.concatenate(starts))
-            words = min(n, len(hashes))
-            k = min(SHINGLE, n)
+        sizes: dict[int, list[int]] = {}
+        for item in found:
+            sizes.setdefault(self.size[item], []).append(item)
+        for n, items in sizes.items():
+            words, k = min(n, len(hashes)), min(SHINGLE, n)
             if words < k:
                 continue
             number = np.arange(len(hashes) - k + 1)
             values = Spans(hashes, "word").hash(number, number + k)
-            prints = self.fingerprints(values, start, words - k + 1)
-            block = prints.view(np.uint8).reshape(-1, 8)
-            mine = self.by_size[n]
-            near = np.zeros((len(start), len(mine)), bool)
-            for b in range(8):
-                near |= self.blocks[n][:, b, :][:, block[:, b]].T
-            w, i = np.nonzero(near)
-            close = np.bitwise_count(prints[w] ^ self.print_[mine[i]]) <= RADIUS
-            for x in np.unique(w[close]).tolist():
-                s = int(start[x])
-                shingles = [text(j, j + k) for j in range(s, s + words - k + 1)]
-                bag = Counter(shingles)
-                # Shingles of other blocks have their weights too.
-                weight = self.weight if self.shared is None else self.common(shingles, values[s : s + len(shingles)]) | self.weight
-                for item in mine[i[close & (w == x)]].tolist():
-                    value = self.similarity(item, bag, weight)
-                    if value >= SIMILARITY - 1e-12 and (item not in out or (-value, s) < (-out[item][0], out[item][1])):
-                        out[item] = (value, s, words)
+            for item, start in self.candidates(n, items, found, len(hashes)):
+                unique, back = np.unique(start, return_inverse=True)
+                prints = self.fingerprints(values, unique, words - k + 1)[back]
+                close = self.within(item, prints)
+                w, i = start[close], item[close]
+                for s in np.unique(w).tolist():
+                    shingles = [text(j, j + k) for j in range(s, s + words - k + 1)]
+                    bag = Counter(shingles)
+                    # Shingles of other blocks have their weights too.
+                    weight = self.weight if self.shared is None else self.common(shingles, values[s : s + len(shingles)]) | self.weight
+                    for one in i[w == s].tolist():
+                        value = self.similarity(one, bag, weight)
+                        if value >= SIMILARITY - 1e-12 and (one not in out or (-value, s) < (-out[one][0], out[one][1])):
+                            out[one] = (value, s, words)
         return sorted((self.ids[k], s, w, v) for k, (v, s, w) in out.items())
 
 
@@ -276,9 +309,10 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, items_at_once: int
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    bad = benchmark_matches(docs, benchmark).filter(F.size("matches") > 0).select(F.col("doc_id").alias("_id"), F.col("uid").alias("_uid"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_uid"))
-    return docs.join(bad.distinct(), same, "left_anti")
+    bad = benchmark_matches(docs, benchmark).filter(F.size("matches") > 0).select("doc_id", "uid").distinct()
+    rows = packed(docs).withColumns({"own_id": F.col("row.doc_id").cast("long"), "own_uid": F.xxhash64("row.text")})
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_uid") == F.col("uid"))
+    return rows.join(bad, same, "left_anti").select("row.*")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,10 @@ to a digest:
 2. salted: rows of hot digests are spread over ``salts`` groups, others have one group;
 3. globally: the salt winners of hot digests (at most ``salts`` rows a content) meet.
 
+Winners then go back to all rows: those of hot digests, of which there are fewer than ``HOT``, by broadcast, so
+that the rows of a large group stay where they are; the others by a join on the digest.  Should two contents share a
+digest, the rows of that digest are told apart by their contents, in a join on both.
+
 Empty tables give no rows.  Rows that repeat both ``doc_id`` and text count each in ``group_size`` and
 have the same result; ``survivors`` returns one of them.  Other columns of the input are carried by
 ``survivors`` and not looked at otherwise, whatever their names.
@@ -18,15 +22,14 @@ have the same result; ``survivors`` returns one of them.  Other columns of the i
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm.shared import stash
+from voxelmill.llm.shared import HOT, hot_keys, packed, spread_join, stash
 
-#: A digest is hot if it has over 1 / HOT_DIGESTS of all rows, so there are fewer than that many.
-HOT_DIGESTS = 1000
 SALTS = 16
 #: Ids, moved to start from 0, lie below this; a rank is code points times this, less the id.
 _STEP = 10**20
@@ -55,28 +58,34 @@ def _id_of(rank: Column) -> Column:
     return F.when(moved < _big(_NULL_ID), (moved - _big(1 << 63)).cast("long"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+def sha256(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 (of ``digest``)."""
     raw = F.col(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(raw).alias("norm"), F.char_length(F.coalesce(raw, F.lit(""))).alias("n"))
-    base = base.select("doc_id", "norm", F.sha2("norm", 256).alias("digest"), _rank(F.col("n"), F.col("doc_id")).alias("rank"))
+    base = base.select("doc_id", "norm", digest(F.col("norm")).alias("digest"), _rank(F.col("n"), F.col("doc_id")).alias("rank"))
 
     members = stash(base.select("doc_id", "digest", "rank"), "op10-members")
-    total = members.count()
-    hot = members.groupBy("digest").agg(F.count("*").alias("rows")).filter(F.col("rows") > max(1.0, total / HOT_DIGESTS))
-    hot = F.broadcast(stash(hot.select("digest", F.lit(True).alias("hot")), "op10-hot"))  # under HOT_DIGESTS rows
+    hot = hot_keys(members.groupBy("digest").agg(F.count("*").alias("rows")), members.count(), "op10-hot")
+    flag = F.broadcast(hot.withColumn("hot", F.lit(True)))  # under HOT rows
 
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "rank"), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    salted = base.join(hot, "digest", "left").groupBy("digest", "norm", salt.alias("salt"), "hot").agg(F.max("rank").alias("best"), F.count("*").alias("size"))
+    salted = base.join(flag, "digest", "left").groupBy("digest", "norm", salt.alias("salt"), "hot").agg(F.max("rank").alias("best"), F.count("*").alias("size"))
     salted = stash(salted.select("digest", F.when(F.col("hot"), F.col("norm")).alias("norm"), "hot", "best", "size"), "op10-salted")
     merged = salted.filter("hot").groupBy("digest", "norm").agg(F.max("best").alias("best"), F.sum("size").alias("size"))
     groups = salted.filter("hot is null").select("digest", "best", "size").unionByName(merged.select("digest", "best", "size"))
-    # Two contents under one SHA-256 digest would be two rows here: the run stops rather than mix them.
-    groups = groups.groupBy("digest").agg(F.max("best").alias("best"), F.max("size").alias("size"), F.count("*").alias("contents"))
-    one = F.when(F.col("contents") == 1, F.col("size")).otherwise(F.raise_error(F.lit("two contents share a SHA-256 digest")).cast("long"))
-    groups = groups.select("digest", "best", one.alias("group_size"))
-
-    return members.join(groups, "digest").select(
+    groups = stash(groups.groupBy("digest").agg(F.max("best").alias("best"), F.max("size").alias("group_size"), F.count("*").alias("contents")), "op10-groups")
+
+    out = spread_join(members, groups.filter("contents = 1").drop("contents"), "digest", hot)
+    shared = groups.filter("contents > 1").select("digest")
+    if not shared.isEmpty():  # contents that share a digest
+        rows = base.join(shared, "digest", "left_semi")
+        own = rows.groupBy("digest", "norm").agg(F.max("rank").alias("best"), F.count("*").alias("group_size"))
+        out = out.unionByName(rows.join(own, ["digest", "norm"]).select(*out.columns))
+    return out.select(
         "doc_id",
         _id_of(F.col("best")).alias("keep_id"),
         "group_size",
@@ -87,9 +96,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The documents that stay, one of each group, with all their columns."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_digest")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.sha2(normalised(F.col("text")), 256) == F.col("_digest"))
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = exact_dedup(docs).filter("kept").select("doc_id", F.col("text_sha256").alias("digest")).distinct()
+    rows = packed(docs).withColumns({"id": F.col("row.doc_id").cast("long"), "key": sha256(normalised(F.col("row.text")))})
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("digest"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["id", "key"]).select("row.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,3 +120,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 
 QUERIES = {"op10_exact_dedup": op10_exact_dedup}
 SQL = {"op10_exact_dedup": ORACLE}
+__all__ = ["HOT", "QUERIES", "SQL", "exact_dedup", "normalised", "survivors"]

@@ -3,23 +3,25 @@
 Pages of one host are merged into a tree of style nodes: the path of tags and classes from the root.
 For each node, over the m pages that have it:
 
-* content importance: 1 less the mean of log_m c over the distinct texts directly in it, c being the
-  number of pages with that text (what stands on every page has 0, what stands on one has 1);
+* content importance: 1 less the mean of log_m c over the texts that each page has directly in it, c being the
+  number of pages with that text: what stands on every page has 0, what stands on one has 1;
 * presentation importance: the entropy, in base m, of the sequences of child nodes it has;
-* composite importance: presentation and the children's mean, the more presentation the more
-  kinds of child there are (weights 1 - GAMMA**l and GAMMA**l for l kinds).
+* composite importance: (1 - g) times presentation plus g times the mean of its children and its own content, where g is
+  ``GAMMA`` to the number of different child sequences: one fixed presentation leaves the decision to the content.
 
-Branches with composite importance under ``LEAST`` on ``PAGES`` pages or more are removed from each page
-of the host.  The tree says nothing of hosts with few pages, and a main text may itself be repeated
-over a site, so it is joined with what the markup says: elements that are never main text (menus,
-headers, footers, asides, forms, scripts, ...) and classes that name such parts are removed; if a
-page has an ``article`` or ``main`` element, only text in it stays, and there the tree may remove
-only ``div`` and ``section`` branches.  A page of which the tree would leave nothing keeps what the
-markup leaves.
+A node of one page has importance 1.  Branches with composite importance under ``LEAST`` are removed from each page of the host;
+of what a page declares as ``article`` or ``main``, only ``div`` and ``section`` branches, and never a branch that holds such
+an element.  A page of which the tree would leave nothing keeps what the markup leaves.
+
+The tree says nothing of hosts with one page, and menus or adverts with other words on each page look like content to it, so it is
+joined with what the markup declares.  Elements and roles that are never main text (menus, footers, asides, forms, scripts,
+...) go, as do elements hidden by an attribute.  Elements with a class or id that names a menu, an advert, a notice, a side bar or comments go,
+unless they hold an ``article`` or ``main`` element or over half of the page's remaining text; words that tell a state of a
+wrapper (``with-sidebar``, ``no-comments``) name nothing.  If ``article`` and ``main`` elements hold half or more of what is then left, only they stay.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by
 one space.  Null and empty html give an empty text; a null url is a host of its own.  Repeated rows
-each get a result, and count as pages of their own.
+each get a result, and count as pages of their own.  Pages of any length are parsed whole, one at a time.
 """
 
 from __future__ import annotations
@@ -37,12 +39,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm.shared import released, small, stash
+from voxelmill.llm.shared import BROADCAST_BYTES, hot_keys, released, stash
 from voxelmill.llm.textops import chunks
 
 GAMMA = 0.9
 LEAST = 0.3
-PAGES = 8
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -61,13 +62,15 @@ _BLOCK = frozenset(
 )
 _ENDS_P = _BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "option"}
 _FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tr td th tbody thead figure figcaption article main body html".split())
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|notices?|alerts?|gdpr|popups?|modals?|overlays?|"
-    r"newsletters?|subscribe|subscription|signup|login|share|sharing|social|related|recommend(?:ed|ations?)?|sidebars?|nav|navbar|navigation|menus?|"
-    r"breadcrumbs?|pagination|pager|footer|masthead|comments?|commentlist|respond|reply|replies|disqus|widgets?|toolbar|skip|searchbox)(?=$|[\s_\d-])",
-    re.I,
-)
-_HEADER = re.compile(r"(?:^|\s)(?:site-|page-|top-|global-)?header(?=$|\s)", re.I)
+#: Words that name parts that aren't main text, and those that may stand around them in a class or id.
+_PARTS = (
+    "ads? adverts? advertisements? advertising banners? sponsor(?:ed|s)? promos? promotions? cookies? consent notices? alerts? gdpr popups? modals? overlays? newsletters? "
+    "subscribe subscription signup login share sharing social related recommend(?:ed|ations?)? sidebars? nav navbar navigation menus? breadcrumbs? pagination pager footer "
+    "masthead comments? commentlist respond reply replies disqus widgets? toolbar skip searchbox header"
+).replace(" ", "|")
+_AROUND = "site|page|main|global|top|bottom|left|right|side|primary|secondary|post|article|user|reader|google|js"
+_BEHIND = r"\d+|bar|box|block|container|wrapper|wrap|area|list|items?|section|unit|slot|links?|content|inner|form|panel|top|bottom|left|right"
+_NAMED = re.compile(rf"(?:(?:{_AROUND})[_-])*(?:{_PARTS})(?:[_-](?:{_PARTS}|{_BEHIND}))*\d*", re.I)
 _TELLING = re.compile(r"class|id\s*=|role|hidden|style", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
@@ -77,10 +80,13 @@ def _step(parent: int, key: str) -> int:
 
 
 class Element:
-    __slots__ = ("tag", "parent", "node", "noise", "main", "kinds", "texts", "block")
+    """``noise``: it or an element around it is never main text; ``named``: its class or id names such a part."""
+
+    __slots__ = ("tag", "parent", "node", "noise", "named", "main", "holds", "size", "kinds", "texts", "block")
 
-    def __init__(self, tag: str, parent: Element | None, node: int, noise: bool, main: bool, block: Element | None):
-        self.tag, self.parent, self.node, self.noise, self.main = tag, parent, node, noise, main
+    def __init__(self, tag: str, parent: Element | None, node: int, noise: bool, named: bool, main: bool, block: Element | None):
+        self.tag, self.parent, self.node, self.noise, self.named, self.main = tag, parent, node, noise, named, main
+        self.holds, self.size = False, 0
         self.kinds: list[int] = []
         self.texts: list[str] = []
         self.block = block or self
@@ -88,39 +94,36 @@ class Element:
 
 @lru_cache(maxsize=65536)
 def _marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """Of a start tag: its key in a style path, and whether it is noise, a header, or main."""
-    names = role = ""
-    hidden = False
+    """Of a start tag: its key in a style path, and whether it is noise, named like noise, or main."""
+    names, role, hidden = [], "", False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            names += f" {value}"
+            names += value.split()
         elif name == "role":
             role = value.lower()
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             hidden = True
-    named = names if tag not in ("body", "html") else ""
-    noise = hidden or tag in _NEVER or role in _ROLES or bool(named and _NAMED.search(named))
-    key = re.sub(r"\d+", "", f"{tag}.{names.split()[0] if names.split() else ''}")
-    return key, noise, tag == "header" or bool(named and _HEADER.search(named)), tag in ("article", "main") or role == "main"
+    named = tag == "header" or (tag not in ("body", "html") and any(map(_NAMED.fullmatch, names)))
+    key = re.sub(r"\d+", "", f"{tag}.{names[0] if names else ''}")
+    return key, hidden or tag in _NEVER or role in _ROLES, named, tag in ("article", "main") or role == "main"
 
 
 def _open(tag: str, attributes: str, above: Element) -> Element:
     if tag not in _BLOCK and tag not in _NEVER and not _TELLING.search(attributes):
-        return Element(tag, above, above.node, above.noise, above.main, above.block)
-    key, noise, header, main = _marks(tag, attributes if _TELLING.search(attributes) else "")
-    noise = above.noise or noise or (header and not above.main)
-    main = above.main or main
-    if tag not in _BLOCK and tag not in _NEVER and noise == above.noise:
-        return Element(tag, above, above.node, noise, main, above.block)
+        return Element(tag, above, above.node, above.noise, False, above.main, above.block)
+    key, noise, named, main = _marks(tag, attributes if _TELLING.search(attributes) else "")
+    noise, named = above.noise or noise, named and not (tag == "header" and above.main)
+    if tag not in _BLOCK and tag not in _NEVER and noise == above.noise and not named:
+        return Element(tag, above, above.node, noise, False, above.main or main, above.block)
     node = _step(above.node, key)
     above.block.kinds.append(node)
-    return Element(tag, above, node, noise, main, None)
+    return Element(tag, above, node, noise, named, above.main or main, None)
 
 
 def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
     """Blocks of text in page order, each with its block element; and all block elements."""
-    root = Element("", None, 1, False, False, None)
+    root = Element("", None, 1, False, False, False, None)
     now, elements = root, [root]
     blocks: list[tuple[Element, str]] = []
     pending: list[str] = []
@@ -178,16 +181,31 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
     return blocks, elements
 
 
+def _settle(blocks: list[tuple[Element, str]], elements: list[Element]) -> None:
+    """Which elements hold main ones, and which of those named like noise are it."""
+    for e, text in blocks:
+        e.size += 0 if e.noise else len(text)
+    for e in reversed(elements[1:]):  # inner ones come after those around them
+        above = e.parent.block
+        above.size += e.size
+        above.holds |= e.holds or (e.main and not e.parent.main)
+    least = elements[0].size / 2
+    for e in elements[1:]:
+        e.noise |= e.parent.block.noise or (e.named and not e.holds and not (e.main and not e.parent.main) and e.size <= least)
+
+
 def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
     """The page's main text; ``low``: the style nodes of its host that are of low importance."""
-    blocks, _ = parse(page)
+    blocks, elements = parse(page)
+    _settle(blocks, elements)
     blocks = [(e, t) for e, t in blocks if not e.noise]
-    if any(e.main for e, _ in blocks):
-        blocks = [(e, t) for e, t in blocks if e.main]
+    inside = [(e, t) for e, t in blocks if e.main]
+    if inside and 2 * sum(len(t) for _, t in inside) >= sum(len(t) for _, t in blocks):
+        blocks = inside
 
     def dropped(e: Element) -> bool:
         while e is not None and e.tag not in ("", "body", "html", "article", "main"):
-            if e.node in low and not (e.main and e.tag in _FLOW):
+            if e.node in low and not e.holds and not (e.main and e.tag in _FLOW):
                 return True
             e = e.parent
         return False
@@ -206,6 +224,8 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             own = set()
             for e in parse(page or "")[1][1:]:
+                if e.noise:
+                    continue
                 parent = e.parent.block.node
                 own.add((host, e.node, parent, 0, 0))
                 own.update((host, e.node, parent, 1, xxhash.xxh64_intdigest(t) >> 1) for t in e.texts)
@@ -217,15 +237,17 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compose(nodes: pd.DataFrame) -> pd.DataFrame:
-    """Composite importance of the nodes of one host."""
+    """Composite importance of the nodes of one host; a row with ``alone`` stands for so many children of one page each."""
+    single = nodes[nodes["alone"] > 0].groupby("parent")["alone"].sum().to_dict()
+    nodes = nodes[nodes["alone"] == 0]
     own, parent, m = {}, dict(zip(nodes["node"], nodes["parent"])), dict(zip(nodes["node"], nodes["pages"]))
-    content, style = {}, {}
+    content, style, ways = {}, {}, {}
     for r in nodes.itertuples():
         base = np.log(max(r.pages, 2))
-        if r.texts:
-            content[r.node] = 1.0 if r.pages <= 1 else max(0.0, 1 - r.text_logs / r.texts / base)
-        if r.kinds:
-            style[r.node] = 1.0 if r.pages <= 1 else max(0.0, (np.log(r.kind_pages) - r.kind_logs / r.kind_pages) / base)
+        if r.texts > 0:
+            content[r.node] = max(0.0, 1 - r.text_logs / r.texts / base)
+        style[r.node] = max(0.0, (np.log(r.kind_pages) - r.kind_logs / r.kind_pages) / base) if r.kinds > 0 else 0.0
+        ways[r.node] = int(r.kinds)
     children: dict[int, list[int]] = {}
     for n, p in parent.items():
         children.setdefault(p, []).append(n)
@@ -238,16 +260,16 @@ def _compose(nodes: pd.DataFrame) -> pd.DataFrame:
         stack += [c for c in children.get(n, ()) if c != n]
     for n in reversed(order):
         below = [c for c in children.get(n, ()) if c in own]
-        if not below:
-            own[n] = content.get(n, style.get(n, 1.0))
+        alone = single.get(n, 0)
+        if not below and not alone:
+            own[n] = content.get(n, style[n])
             continue
-        weight = sum(m[c] for c in below)
-        mean = sum(m[c] * own[c] for c in below) / weight
+        mean = (sum(m[c] * own[c] for c in below) + alone) / (sum(m[c] for c in below) + alone)
         if n in content:
             mean = (mean + content[n]) / 2
-        g = GAMMA ** len(below)
-        own[n] = (1 - g) * style.get(n, 1.0) + g * mean
-    return pd.DataFrame({"host": nodes["host"].iloc[0], "node": list(own), "pages": [m[n] for n in own], "importance": list(own.values())})
+        g = GAMMA ** ways[n]
+        own[n] = (1 - g) * style[n] + g * mean
+    return pd.DataFrame({"host": nodes["host"].iloc[0] if len(nodes) else None, "node": list(own), "pages": [m[n] for n in own], "importance": list(own.values())})
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -263,11 +285,17 @@ def style_tree(pages: DataFrame) -> DataFrame:
     of = lambda k, x: F.sum(F.when(F.col("kind") == k, x))
     log = F.log("pages")
     nodes = seen.groupBy("host", "node", "parent").agg(
-        of(0, F.col("pages")).alias("pages"), F.count_if(F.col("kind") == 1).alias("texts"), of(1, log).alias("text_logs"),
+        of(0, F.col("pages")).alias("pages"), of(1, F.col("pages")).alias("texts"), of(1, F.col("pages") * log).alias("text_logs"),
         F.count_if(F.col("kind") == 2).alias("kinds"), of(2, F.col("pages")).alias("kind_pages"), of(2, F.col("pages") * log).alias("kind_logs"),
     )
-    # One row a style node: the group of a host is as large as its templates, not as its pages.
-    return nodes.groupBy("host").applyInPandas(_compose, "host string, node long, pages long, importance double")
+    # Nodes of one page have importance 1: their parents need their number alone, so the group of a host has the nodes
+    # that its pages share, and not those that each page has of its own (as with generated class names).
+    shared = nodes.filter("pages > 1")
+    both = [F.col(f"single.{a}").eqNullSafe(F.col(f"shared.{b}")) for a, b in (("host", "host"), ("parent", "node"))]
+    single = nodes.filter("pages = 1").groupBy("host", "parent").agg(F.count("*").alias("alone")).withColumns({"node": F.lit(0).cast("long"), "pages": F.lit(0).cast("long")}).alias("single")
+    single = single.join(shared.select("host", "node").distinct().alias("shared"), both[0] & both[1], "left_semi")
+    rows = shared.withColumn("alone", F.lit(0).cast("long")).unionByName(single, allowMissingColumns=True)
+    return rows.groupBy("host").applyInPandas(_compose, "host string, node long, pages long, importance double")
 
 
 @released
@@ -278,13 +306,21 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def extract(pages: DataFrame, least: float = LEAST, at_least: int = PAGES) -> DataFrame:
+def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """One row per input row: page_id, url, text."""
     pages = with_host(pages)
-    low = style_tree(pages).filter((F.col("importance") < least) & (F.col("pages") >= at_least))
-    low = stash(low.groupBy(F.col("host").alias("_host")).agg(F.collect_set("node").alias("low")), "op6-low")
+    low = style_tree(pages).filter(F.col("importance") < least)
+    low = stash(low.groupBy(F.col("host").alias("own")).agg(F.collect_set("node").alias("low")), "op6-low")
     size = low.agg(F.coalesce(F.sum(F.size("low") * 8 + 64), F.lit(0))).first()[0]
-    rows = pages.join(small(low, 1, size), F.col("host").eqNullSafe(F.col("_host")), "left")
+    same = F.col("host").eqNullSafe(F.col("own"))
+    if size <= BROADCAST_BYTES:
+        rows = pages.join(F.broadcast(low), same, "left")
+    else:  # pages of large hosts stay where they are
+        counts = pages.groupBy("host").agg(F.count("*").alias("rows"))
+        hot = hot_keys(counts.filter("host is not null"), pages.count(), "op6-hot")
+        large = F.broadcast(hot)  # under HOT rows
+        warm = pages.join(large, "host", "left_semi").join(F.broadcast(low.join(large, F.col("own") == F.col("host"), "left_semi")), same, "left")
+        rows = pages.join(large, "host", "left_anti").join(low, same, "left").unionByName(warm)
     return rows.select("page_id", "url", "html", "low").mapInArrow(_extract, "page_id long, url string, text string")
 
 

@@ -4,28 +4,36 @@ The size of a document is its number of words ``[^\\x20\\x09-\\x0D]+`` (null tex
 code point with null last, weigh ``weights`` in turn and share ``share`` times all sizes; no target
 exceeds ``cap`` times its source's size, the excess going to the others by weight until none is above.
 
-Each document is owed target / source size copies: a whole part, and a fractional one.  Pivotal
-rounding pairs documents that are still fractional and moves mass (in words) from one to the other
-at random, so that one of them becomes integral, the expected copies stay as owed, and the words the
-pair takes stay the same.  A reduction tree does this at scale: documents of a source are dealt to
-groups of about ``FAN`` by a hash, each group leaves at most one fractional document, and those meet
-in the next level until one is left, whose last fraction is rounded by chance.  A group passes on its
-smallest document, so a source misses its target by less than that one's size.
+Each document is owed target / source size copies: a whole part, and a fractional one, whose words are its
+mass.  Pivotal rounding moves mass at random between a document and the pool of all smaller ones that are still
+fractional, each of which gives or takes in proportion to its size, until the document or one of the pool becomes
+integral; the expected copies stay as owed, and the words that are taken stay the same.  Documents
+are settled from the largest down, so the one that is left is one that all smaller ones together could not settle; these are
+then integral.
+
+A reduction tree does this at scale: documents of a source are dealt to groups of about ``FAN`` by a hash, each
+group leaves at most one fractional document, and those meet in the next level until one group is left.  The document that this one
+leaves becomes whole or nothing, and as many words of smaller ones of that group as fit are exchanged for it, in random order; the
+smallest that did not fit stays fractional and is rounded by chance.  A source misses its target by less than that one's size,
+which is among the smallest unless one document outweighs all smaller ones of its source.
 
 Copies are 0 to ``cap``; sizes of 0 are never fractional.  Draws come from hashes of ids, so reruns
 agree.  Rows that repeat a ``doc_id`` are separate documents.  An empty table, or one without words,
-gives targets of 0.  Columns with clashing names in the input don't matter: only doc_id, text and
-source are read.
+gives targets of 0.  Of the input only doc_id, text and source are read; ``mixed`` carries all columns, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxelmill.llm.shared import small, stash
+from voxelmill.llm.shared import packed, small, stash
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -36,7 +44,7 @@ _ITEM = "source string, doc_id long, uid long, nth int, size long, place long, m
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """source, source_size, target of each source.
+    """source, source_size, target of each source; the windows are over one row a source.
 
     Which sources reach the cap follows from sorting them by cap * size / weight: with the k first of
     them at the cap, the rest share what is left, and k is the least number that leaves none above.
@@ -55,43 +63,98 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return rows.select("source", "source_size", F.when(level.isNull(), F.col("limit")).otherwise(F.least("limit", F.col("weight") * level)).alias("target"))
 
 
+def exchange(size: np.ndarray, mass: np.ndarray, draws: np.ndarray, held: int) -> tuple[np.ndarray, int]:
+    """Settles the document that is left by smaller, integral ones: it becomes 0 or whole, and smaller ones are taken or given
+    back for it, as far as they are not larger than what is missing.  The smallest of the others then holds the rest."""
+    gap = {True: float(size[held] - mass[held]), False: float(mass[held])}  # it is taken, or not
+    turn = {up: np.flatnonzero((size <= size[held]) & (np.arange(len(size)) != held) & ((mass > 0) == up)) for up in gap}
+    able = [up for up in gap if size[turn[up]].sum() >= gap[up]]
+    if not able:
+        return mass, held
+    up = bool(draws[held] * size[held] < mass[held]) if len(able) == 2 else able[0]
+    rest, others = gap[up], []
+    for j in turn[up][np.argsort(draws[turn[up]], kind="stable")].tolist():
+        if size[j] <= rest + 1e-9:
+            rest -= float(size[j])
+            mass[j] = 0.0 if up else float(size[j])
+        else:
+            others.append(j)
+    mass[held] = float(size[held]) if up else 0.0
+    if rest < 1e-6:
+        return mass, -1
+    least = min(others, key=lambda j: (size[j], j))
+    mass[least] = float(size[least]) - rest if up else rest
+    return mass, least
+
+
 def pivotal(size: np.ndarray, mass: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int]:
     """Rounds masses in (0, size) to 0 or size, keeping their sum but for one document.
 
-    Returns the masses and the position of the document that stays fractional, or -1.  Documents meet
-    from the largest down, so it is the last one, or the one that meets it.
+    Returns the masses and the position of the document that stays fractional, or -1.  The pool's documents all move
+    by the same share of their sizes, so one number holds their common shift, and two heaps find those that
+    become integral first.
     """
-    mass = mass.astype(float).copy()
-    held = -1
-    for i in np.argsort(-size, kind="stable").tolist():
-        if held < 0:
-            held = i
+    n, total = len(size), float(mass.sum())
+    out = np.zeros(n)
+    share = [float(m) / float(s) for m, s in zip(mass, size)]
+    order = np.argsort(-size, kind="stable").tolist()
+    low, high = [(r, i) for i, r in enumerate(share)], [(-r, i) for i, r in enumerate(share)]
+    heapq.heapify(low)
+    heapq.heapify(high)
+    pooled, shift, room, step = [True] * n, 0.0, int(size.sum()), 0
+    eps = 1e-9
+    for i in order:
+        if not pooled[i]:
             continue
-        a, b = mass[held], mass[i]
-        rise, fall = min(size[held] - a, b), min(a, size[i] - b)
-        if draws[i] * (rise + fall) < fall:  # the held one gains
-            a, b = a + rise, b - rise
-        else:
-            a, b = a - fall, b + fall
-        eps = 1e-9 * max(size[held], size[i])
-        a = 0.0 if a < eps else float(size[held]) if a > size[held] - eps else a
-        b = 0.0 if b < eps else float(size[i]) if b > size[i] - eps else b
-        mass[held], mass[i] = a, b
-        held_open, new_open = 0 < a < size[held], 0 < b < size[i]
-        held = i if new_open else held if held_open else -1
-    return mass, held
-
-
-def _settle(group: pd.DataFrame) -> pd.DataFrame:
+        pooled[i] = False
+        s = float(size[i])
+        room -= int(size[i])
+        a = (share[i] + shift) * s
+        while eps * s < a < s - eps * s:
+            while low and not pooled[low[0][1]]:
+                heapq.heappop(low)
+            while high and not pooled[high[0][1]]:
+                heapq.heappop(high)
+            if not low:  # no smaller one is left
+                out[i] = total - out.sum()
+                return out, i
+            rise, fall = min(s - a, (low[0][0] + shift) * room), min(a, (1 + high[0][0] - shift) * room)
+            if draws[step] * (rise + fall) < fall:  # the document gains
+                a, shift = a + rise, shift - rise / room
+            else:
+                a, shift = a - fall, shift + fall / room
+            step += 1
+            for heap, sign in ((low, 1), (high, -1)):
+                while heap and (not pooled[heap[0][1]] or not eps < sign * heap[0][0] + shift < 1 - eps):
+                    j = heapq.heappop(heap)[1]
+                    if pooled[j]:
+                        pooled[j] = False
+                        room -= int(size[j])
+                        out[j] = float(size[j]) if share[j] + shift > 0.5 else 0.0
+        out[i] = s if a > s / 2 else 0.0
+    return out, -1
+
+
+def _settle(group: pd.DataFrame, last: bool) -> pd.DataFrame:
     group = group.sort_values(["place", "size", "uid", "nth"], kind="stable").reset_index(drop=True)
+    size = group["size"].to_numpy()
     draws = ((group["place"].to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) / float(1 << 53)
-    mass, held = pivotal(group["size"].to_numpy(), group["mass"].to_numpy(), draws)
-    group["copies"] += (mass >= group["size"].to_numpy()).astype(np.int32)
+    mass, held = pivotal(size, group["mass"].to_numpy(), draws)
+    if last and held >= 0:
+        mass, held = exchange(size, mass, draws, held)
+    group["copies"] += ((mass >= size) & (np.arange(len(group)) != held)).astype(np.int32)
     group["mass"] = mass
     group["open"] = np.arange(len(group)) == held
     return group.drop(columns=["bucket"])
 
 
+def _settler(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        return _settle(group, last)
+
+    return settle
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, fan: int = FAN) -> DataFrame:
     """One row per input row: doc_id, uid, nth, source, size, source_size, target, copies, taken."""
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
@@ -114,7 +177,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     while most:
         groups = max(1, -(-most // fan))
         bucket = F.pmod(F.xxhash64("place", F.lit(depth)), F.lit(groups))
-        done = stash(level.withColumn("bucket", bucket).groupBy("source", "bucket").applyInPandas(_settle, _ITEM), "op9-level")
+        done = stash(level.withColumn("bucket", bucket).groupBy("source", "bucket").applyInPandas(_settler(groups == 1), _ITEM), "op9-level")
         settled.append(done.filter("not open"))
         level, most, depth = done.filter("open"), groups if groups > 1 else 0, depth + 1
     chance = F.pmod(F.xxhash64("place", F.lit(-1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -128,13 +191,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, each repeated as often as it is taken, with all their columns."""
-    key, uid = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64("text")
-    copies = mix(docs, **how).select(key.alias("_key"), F.col("uid").alias("_uid"), "nth", "copies")
-    copies = copies.filter("copies > 0").groupBy("_key", "_uid").agg(F.map_from_entries(F.collect_list(F.struct("nth", "copies"))).alias("_copies"))
-    nth = F.row_number().over(Window.partitionBy("_key", "_uid").orderBy("source"))
-    rows = docs.withColumn("_key", key).withColumn("_uid", uid).withColumn("_nth", nth).join(copies, ["_key", "_uid"])
-    times = F.coalesce(F.element_at("_copies", F.col("_nth")), F.lit(0))
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    copies = mix(docs, **how).filter("copies > 0").select(key.alias("key"), "uid", "nth", "copies")
+    rows = packed(docs).withColumns({"key": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(1 << 63))), "uid": F.xxhash64("row.text")})
+    nth = F.row_number().over(Window.partitionBy("key", "uid").orderBy("row.source"))
+    rows = rows.withColumn("nth", nth).join(copies, ["key", "uid", "nth"])
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

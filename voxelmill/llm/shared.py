@@ -14,12 +14,17 @@ from pyspark.sql import functions as F
 
 #: Largest table, in bytes, that an operator may broadcast after measuring it.
 BROADCAST_BYTES = 8 << 20
+#: A key is hot if it has over 1 / HOT of all rows, so there are fewer than that many.
+HOT = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), one is made and set."""
+    """The folder of ``spark.checkpoint.dir``.  Where that is unset, one is made and set in local mode alone: on a
+    cluster, executors would each write to a disk of their own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="voxelmill-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -45,6 +50,26 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns as one, ``row``, so that columns an operator adds can't clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def hot_keys(counts: DataFrame, total: int, name: str) -> DataFrame:
+    """Of (key, rows), the keys with over 1 / HOT of ``total`` rows: fewer than HOT of them, as a written table."""
+    key = counts.columns[0]
+    return stash(counts.filter(F.col("rows") > max(1.0, total / HOT)).select(key), name)
+
+
+def spread_join(rows: DataFrame, found: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Inner join with ``found``, which has one row a key.  The rows of hot keys (see ``hot_keys``) stay where they are
+    and meet their partners by broadcast, so no task gets a hot key's rows; the others are shuffled."""
+    hot = F.broadcast(hot)  # under HOT rows
+    warm = F.broadcast(found.join(hot, key, "left_semi"))  # a row for each of them
+    cold = rows.join(hot, key, "left_anti").join(found, key)
+    return cold.unionByName(rows.join(warm, key).select(*cold.columns))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,7 +8,8 @@ what links reach.
 
 How links are found without comparing all pairs: the 64 bits are cut into ``radius + 2`` blocks, of
 which two linked fingerprints share at least two entirely, so each distinct fingerprint goes once to
-each pair of blocks.  Within such a group, the distances to ``PIVOTS`` reference fingerprints are laid
+each pair of blocks (with over some 2**29 fingerprints, into ``radius + 3`` and to each three of them, and so on, so that
+groups of unlike fingerprints stay small).  Within such a group, the distances to ``PIVOTS`` reference fingerprints are laid
 out beforehand; by the triangle inequality, pairs whose distance to any reference differs by more
 than the radius can't link and are discarded, and the rest are verified.  Small groups are compared
 row against shifted row; larger ones are explored from member to member, which leaves a spanning
@@ -22,7 +23,9 @@ Equal fingerprints are one node, so exact copies add nothing to any group.  Rows
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +34,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.llm.components import components
-from voxelmill.llm.shared import partitions, released, small, stash
+from voxelmill.llm.shared import hot_keys, packed, partitions, released, small, spread_join, stash
 
 RADIUS = 4
 SHINGLE = 4
 PIVOTS = 16
 #: Members up to which a group is compared shift by shift.
 SHIFTS = 8
+#: Unlike fingerprints that may meet in a group.
+GROUP = 256
 #: Members over which a group is dealt as pairs of parts.
 SPLIT = 20_000
 
@@ -77,11 +82,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("uid"), "text").mapInArrow(_fingerprints, "doc_id long, uid long, fp long")
 
 
-def blocks(radius: int) -> list[int]:
-    """For each pair of the ``radius + 2`` blocks, the mask of its bits."""
-    edges = [round(64 * i / (radius + 2)) for i in range(radius + 3)]
+def blocks(radius: int, shared: int = 2) -> list[int]:
+    """The masks of all choices of ``shared`` of ``radius + shared`` blocks of the 64 bits: two fingerprints within the
+    radius agree in one of them at least."""
+    edges = [round(64 * i / (radius + shared)) for i in range(radius + shared + 1)]
     single = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    return [a | b for a, b in combinations(single, 2)]
+    return [reduce(or_, some) for some in combinations(single, shared)]
+
+
+def shared_blocks(nodes: int, radius: int) -> int:
+    """How many blocks a key should hold for so many fingerprints: the fewest (of which there are the fewest keys) that leave
+    some ``GROUP`` in a group of unlike ones."""
+    return next((k for k in range(2, 6) if nodes / 2 ** (64 * k / (radius + k)) <= GROUP), 6)
 
 
 def _signed(mask: int) -> int:
@@ -181,12 +193,14 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield done(held_key, held_fp)
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
-    """From distinct ``fp``: links (a, b) whose closure equals that of all links within the radius."""
+def links(nodes: DataFrame, radius: int = RADIUS, split: int = SPLIT, shared: int | None = None) -> DataFrame:
+    """From distinct ``fp``: links (a, b) whose closure equals that of all links within the radius, whatever number of blocks
+    (``shared``) a key has."""
     spark = nodes.sparkSession
-    keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(blocks(radius))]
+    masks = blocks(radius, shared or shared_blocks(nodes.count(), radius))
+    keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)]
     spread = nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
-    # Groups too large for one task; there are at most 15 / split of the nodes of them, often none.
+    # Groups too large for one task; there are at most keys / split of the nodes of them, often none.
     large = stash(spread.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > split), "op3-large")
     count = large.count()
     if count:
@@ -204,12 +218,16 @@ def links(nodes: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFra
 def simhash_classes(docs: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
     """One row per input row: doc_id, uid, fp, root (the class), component_id (its least doc_id)."""
     prints = stash(fingerprints(docs), "op3-fingerprints")
-    nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "op3-nodes")
+    nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "op3-nodes")
+    size = nodes.agg(F.count("*").alias("nodes"), F.sum("rows").alias("rows")).first()
     roots = stash(components(links(nodes.select("fp"), radius, split)).withColumnRenamed("node", "fp"), "op3-roots")
-    named = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("fp", "root", "component_id")
-    return prints.join(named, "fp").select("doc_id", "uid", "fp", "root", "component_id")
+    named = stash(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "op3-named")
+    # Rows of a fingerprint, and fingerprints of a class, may be a third of all.
+    classes = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("rows"))
+    wide = hot_keys(classes.select("root", "rows"), size["nodes"], "op3-hot")
+    named = spread_join(named.select("fp", "root"), classes.drop("rows"), "root", wide)
+    copied = hot_keys(nodes.select("fp", "rows"), size["rows"] or 0, "op3-hot")
+    return spread_join(prints, named, "fp", copied).select("doc_id", "uid", "fp", "root", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -220,9 +238,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """One document of each class, with all its columns: the least ``doc_id`` (null last, ties by a
     hash of the text).  Of rows that repeat both id and text, one stays."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("keep")
-    keep = simhash_classes(docs).groupBy("root").agg(first).select(F.col("keep.doc_id").alias("_id"), F.col("keep.uid").alias("_uid"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_uid"))
-    return docs.join(keep, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    keep = simhash_classes(docs).groupBy("root").agg(first).select(F.col("keep.doc_id").alias("keep_id"), F.col("keep.uid").alias("keep_uid"))
+    rows = packed(docs).withColumns({"id": F.col("row.doc_id").cast("long"), "uid": F.xxhash64("row.text")})
+    same = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("uid") == F.col("keep_uid"))
+    return rows.join(keep, same, "left_semi").dropDuplicates(["id", "uid"]).select("row.*")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
