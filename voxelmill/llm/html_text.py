@@ -16,7 +16,7 @@ an element.  A page of which the tree would leave nothing keeps what the markup
 The tree says nothing of hosts with one page, and menus or adverts with other words on each page look like content to it, so it is
 joined with what the markup declares.  Elements and roles that are never main text (menus, footers, asides, forms, scripts,
 ...) go, as do elements hidden by an attribute.  Elements with a class or id that names a menu, an advert, a notice, a side bar or comments go,
-unless they hold an ``article`` or ``main`` element or over half of the page's remaining text; words that tell a state of a
+unless they hold an ``article`` or ``main`` element or, where the page has no such element, over half of its remaining text; words that tell a state of a
 wrapper (``with-sidebar``, ``no-comments``) name nothing.  If ``article`` and ``main`` elements hold half or more of what is then left, only they stay.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by
@@ -189,9 +189,9 @@ def _settle(blocks: list[tuple[Element, str]], elements: list[Element]) -> None:
         above = e.parent.block
         above.size += e.size
         above.holds |= e.holds or (e.main and not e.parent.main)
-    least = elements[0].size / 2
+    most = elements[0].size / 2 if not elements[0].holds else -1  # a page with a main element has its text there
     for e in elements[1:]:
-        e.noise |= e.parent.block.noise or (e.named and not e.holds and not (e.main and not e.parent.main) and e.size <= least)
+        e.noise |= e.parent.block.noise or (e.named and not e.holds and not (e.main and not e.parent.main) and (e.size <= most or most < 0))
 
 
 def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
