@@ -4,11 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelmill.operators import calibration, signals, solvers
+from voxelmill import schema as S
+from voxelmill.operators import calibration, quantiles, signals, solvers
 from voxelmill.plans import fitting
 from voxelmill.sources import fixtures as X
 from voxelmill.sources.maps import read_maps, write_maps
 from voxelmill.sources.protocols import read_protocol
+from voxelmill.sources.signals import SIGNALS, read_signals, write_signals
 from voxelmill.streaming.fits import fit_stream
 
 SF = "/root/testdata/sf0.001"
@@ -162,3 +164,187 @@ def test_maps(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0.5, 0.1, None, 2.0), (2, 0.6, 0.2, 0.3, 2.0)], "voxel_id long, hindered_fraction double, nonrestricted_fraction double, dir1_x double, ad_linear double")
     assert write_maps(rows, str(tmp_path / "m")) == ["hindered_fraction", "dir1_x"]
     assert read_maps(spark, str(tmp_path / "m")).count() == 3
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_percentiles(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    rng = np.random.default_rng(7)
+    for values in ([], [3.0], [2.0, 1.0], rng.normal(size=57), rng.normal(size=3000), rng.integers(0, 5, 1000).astype(float), np.r_[np.zeros(500), rng.normal(size=500)]):
+        rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(3)
+        for p in (0.0, 0.1, 0.5, 0.9, 1.0):
+            got = quantiles.percentiles(rows, {"q": (F.col("x"), p)}).first()["q"]
+            assert got is None if not len(values) else got == pytest.approx(float(np.percentile(values, 100 * p)), abs=1e-12)
+
+
+def test_signals_of_another_length_or_with_nulls_end_the_job(spark):
+    d = fitting.Config(directions=8).dictionary(X.PROTOCOL)
+    for signal in ([1.0] * 60, [1.0] * 63 + [None]):
+        rows = spark.createDataFrame([(7, [1.0] * 64), (8, signal)], "voxel_id long, signal array<double>").coalesce(1)
+        with pytest.raises(Exception, match="voxel 8"):
+            solvers.spectra(rows, d, 1.0, 0.005).collect()
+
+
+def test_cones():
+    u = S.hemisphere(30)
+    grid = S.spacing(u)
+    dots = np.array(u) @ np.array(u).T - 3 * np.eye(30)
+    assert grid == pytest.approx(np.arccos(dots.max(1)).mean())
+    schedule = S.cone_schedule(grid, np.radians(1))
+    assert S.cone_schedule(0.01, 0.02) == [] and schedule[0][0] == grid and all(n >= 4 for _, n in schedule)
+    assert schedule[0][0] / schedule[1][0] == pytest.approx(schedule[1][0] / np.radians(1))
+    for axis in ((0.0, 0.0, 1.0), (1.0, 0.0, 0.0), (0.6, 0.0, 0.8)):
+        around = solvers.cone(np.array([axis]), 0.3, 25)[0]
+        angle = np.arccos(around @ np.array(axis))
+        assert np.allclose(np.linalg.norm(around, axis=1), 1) and angle.max() <= 0.3 and angle.max() > 0.25
+
+
+def test_refined_directions(spark):
+    got = fitting.refined_directions(spark, SF).toPandas()
+    assert (got["ref_error"] <= got["ref_error0"] + 1e-15).all()
+    assert got["cos_refined"].mean() > got["cos_grid"].mean()
+    assert ((got["ref_ad"] - got["ad_true"]).abs() / got["ad_true"]).median() < 0.03
+    rows = spark.createDataFrame([(1, [1.0] * 64, None, None, None, 0.5, 0.2, 0.2, 0.1)], "voxel_id long, signal array<double>, ux double, uy double, uz double, ff double, rf double, hf double, wf double")
+    assert solvers.refined_directions(rows, X.PROTOCOL, [(0.2, 4)]).first()["ref_ad"] is None
+
+
+def test_refined_directions_by_brute_force(spark):
+    """Every candidate of both cones is scored on its own."""
+    b, g = np.array(X.PROTOCOL.b), np.array(X.PROTOCOL.g)
+    rows = signals.normalised(X.signals(spark, SF), X.PROTOCOL).filter("voxel_id between 1 and 9").select("voxel_id", "signal", "ux", "uy", "uz", "ff", "rf", "hf", "wf")
+    schedule = [(0.3, 7), (0.1, 5)]
+    for r in solvers.refined_directions(rows, X.PROTOCOL, schedule).collect():
+        s, best = np.array(r["signal"]), (np.inf, None)
+
+        def score(u):
+            iso = r["rf"] * np.exp(-b * 0.15e-3) + r["hf"] * np.exp(-b * 1e-3) + r["wf"] * np.exp(-b * 3e-3)
+            c2, flat = (g @ u) ** 2, np.maximum(s, 0.01)
+            y = np.log(np.clip((flat - iso) / (r["ff"] + 1e-12), 0.01, 1))
+            x = -np.linalg.lstsq(np.column_stack([b, b * c2]) * flat[:, None], y * flat, rcond=None)[0]
+            rd, ad = np.clip(x[0], S.RD_MIN, S.RD_MAX), np.clip(x[0] + x[1], S.AD_MIN, S.AD_MAX)
+            ad, rd = (ad, rd) if ad >= rd else ((ad + rd) / 2,) * 2
+            return ((s - iso - r["ff"] * np.exp(-b * (rd + (ad - rd) * c2))) ** 2).sum()
+
+        axis = np.array([r["ux"], r["uy"], r["uz"]])
+        best = (score(axis), axis)
+        for half, n in schedule:
+            for u in solvers.cone(best[1][None], half, n)[0]:
+                best = min(best, (score(u), u), key=lambda x: x[0])
+        assert r["ref_error"] == pytest.approx(best[0], rel=1e-6)
+
+
+def test_three_fibers(spark):
+    """Three crossing fibers, noise-free; and rows with two of three."""
+    b, g, u = np.array(X.PROTOCOL.b), np.array(X.PROTOCOL.g), np.eye(3)
+    truth = [(1.7e-3, 0.3e-3), (1.5e-3, 0.4e-3), (1.9e-3, 0.2e-3)]
+    parts = [0.2 * np.exp(-b * (rd + (ad - rd) * (g @ u[k]) ** 2)) for k, (ad, rd) in enumerate(truth)]
+    iso = 0.4 * np.exp(-b * 1e-3)
+    row = lambda i, n: (i, (iso + sum(parts[:n])).tolist(), iso.tolist(), *[0.2] * 3, *[x for k in range(3) for x in (u[k].tolist() if k < n else [None] * 3)])
+    schema = "voxel_id long, signal array<double>, iso_signal array<double>, f1 double, f2 double, f3 double, " + ", ".join(f"u{k}{c} double" for k in (1, 2, 3) for c in "xyz")
+    got = {r["voxel_id"]: r for r in solvers.crossing_fibers(spark.createDataFrame([row(3, 3), row(2, 2), row(1, 1)], schema), X.PROTOCOL, 3).collect()}
+    for n in (2, 3):
+        assert all(abs(got[n][f"ad{k + 1}"] - truth[k][0]) < 1e-6 and abs(got[n][f"rd{k + 1}"] - truth[k][1]) < 1e-6 for k in range(n))
+    assert got[2]["ad3"] is None and got[1]["ad1"] is None and got[1]["cost"] is None
+
+
+def test_result_channels(spark, tmp_path):
+    rows = X.signals(spark, SF).filter("voxel_id < 40")
+    for config in (fitting.Config(fibers=3), fitting.Config(fibers=1, joint=False), fitting.Config(resolve=False, grid="linear", compartments=2)):
+        out = fitting.results(fitting.fit(rows, X.PROTOCOL, config), compartments=config.compartments or 3)
+        assert out.columns == ["voxel_id", *S.channels(config.compartments or 3)]
+        got = out.toPandas()
+        n = got["n_fiber_populations"]
+        assert n.dropna().between(0, config.fibers).all() and (got["fiber_fraction"] >= 0).all()
+        assert got.loc[n == 1, "axial_diffusivity"].notna().all() and got.loc[~(n >= 2), "fiber_fraction_pop2"].isna().all()
+        assert got.loc[~(n >= 1), "dir1_x"].isna().all()
+    assert len(S.channels()) == 30
+    written = write_maps(out, str(tmp_path / "maps"))
+    assert "ad_linear" not in written and "nonrestricted_fraction" in written
+
+
+def brute_nnls(a, y, penalty):
+    """The best of all sets of columns."""
+    best = (0.0, np.zeros(a.shape[1]))
+    for mask in range(1, 1 << a.shape[1]):
+        on = [i for i in range(a.shape[1]) if mask >> i & 1]
+        m = a[:, on].T @ a[:, on] + penalty * np.eye(len(on))
+        w = np.linalg.solve(m, a[:, on].T @ y)
+        if (w >= 0).all():
+            value = w @ m @ w / 2 - w @ (a[:, on].T @ y)
+            if value < best[0]:
+                full = np.zeros(a.shape[1])
+                full[on] = w
+                best = (value, full)
+    return best[1]
+
+
+def test_bootstrap_and_sure_by_brute_force(spark):
+    b, sigma = np.array(X.PROTOCOL.b), 0.02
+    sample = signals.normalised(X.signals(spark, SF), X.PROTOCOL).filter("voxel_id between 1 and 4").select("voxel_id", "signal")
+    grids, penalties = {3: [1e-4, 1e-3, 3e-3], 4: [1e-4, 2.9e-4, 1e-3, 3e-3]}, {3: 0.01, 4: 0.02}
+    got = {r["n_iso"]: r for r in calibration.bootstrap_scores(sample, b, grids, penalties, sigma, 6).collect()}
+    risks = {r["value"]: r["risk"] for r in calibration.sure_risks(sample, b, [(0.01, grids[3], 0.01), (0.5, grids[4], 0.5)], sigma, 5).collect()}
+    rows = sample.collect()
+    for n, grid in grids.items():
+        a, cv, bias = np.exp(-b[:, None] * np.array(grid)[None]), [], []
+        share = lambda y: (lambda w: w[np.array(grid) <= 0.3e-3].sum() / w.sum())(brute_nnls(a, y, penalties[n]))
+        for r in rows:
+            s, found = np.array(r["signal"]), []
+            for k in range(6):
+                noise = np.random.default_rng([r["voxel_id"], k]).normal(0, sigma, (2, 64))
+                found.append(share(np.hypot(s + noise[0], noise[1])))
+            cv.append(100 * np.std(found) / (np.mean(found) + 1e-10))
+            bias.append(abs(np.mean(found) - share(s)))
+        assert got[n]["cv"] == pytest.approx(np.mean(cv), rel=1e-6) and got[n]["bias"] == pytest.approx(np.mean(bias), abs=1e-9)
+        assert got[n]["score"] == pytest.approx(np.mean(bias) ** 2 + (np.mean(cv) / 100 * 0.15) ** 2, rel=1e-6)
+    for value, grid in ((0.01, grids[3]), (0.5, grids[4])):
+        a, total = np.exp(-b[:, None] * np.array(grid)[None]), []
+        for r in rows:
+            s = np.array(r["signal"])
+            signs, made = np.random.default_rng([r["voxel_id"], 42]).choice([-1.0, 1.0], (5, 64)), a @ brute_nnls(a, s, value)
+            divergence = np.mean([z @ (a @ brute_nnls(a, s + 0.01 * sigma * z, value) - made) / (0.01 * sigma) for z in signs])
+            total.append(-64 * sigma**2 + ((s - made) ** 2).sum() + 2 * sigma**2 * divergence)
+        assert risks[value] == pytest.approx(np.mean(total), rel=1e-5)
+    choice = calibration.bootstrap_choice(spark.createDataFrame([(4, 5.0, 0.2, 1.0), (8, 5.0, 0.02, 0.1)], "n_iso int, cv double, bias double, score double")).first()
+    assert (choice["best"], choice["flat"], choice["homogeneous"], choice["n_iso"]) == (8, False, False, 8)
+    alike = calibration.bootstrap_choice(spark.createDataFrame([(4, 5.0, 0.001, 1.0), (8, 5.0, 0.002, 0.1)], "n_iso int, cv double, bias double, score double")).first()
+    assert alike["homogeneous"] and alike["n_iso"] == 10
+    check = calibration.sure_check(spark.createDataFrame([(1.0, 2.0), (2.0, 1.9), (3.0, 4.0)], "value double, risk double"), 1.0).first()
+    assert check["agrees"] and check["best"] == 2.0
+
+
+def test_discrepancy_search_meets_the_limit(spark):
+    rows = signals.normalised(X.signals(spark, SF), X.PROTOCOL).filter("voxel_id < 12").select("signal")
+    d = fitting.Config(directions=8).dictionary(X.PROTOCOL)
+    limit = calibration.residual_curve(rows, d, 0.005, [300.0]).first()["residual"]
+    value = calibration.discrepancy_search(rows, d, 0.005, limit)
+    got = calibration.residual_curve(rows, d, 0.005, [value]).first()["residual"]
+    assert got == pytest.approx(limit, rel=2e-3)
+
+
+def test_signal_tables(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, 0, 0, 0, True, [1.0, float("nan")]), ("b", 2, 0, 1, 0, None, [1.0]), ("b", 3, 0, 1, 1, True, None)], SIGNALS)
+    write_signals(rows, str(tmp_path / "s"))
+    got = {r["voxel_id"]: r for r in read_signals(spark, str(tmp_path / "s")).collect()}
+    assert got[1]["signal"] == [1.0, None] and got[2]["in_mask"] is False and got[3]["signal"] is None
+    assert read_signals(spark, str(tmp_path / "s"), ["a"]).count() == 1
+    with pytest.raises(Exception, match="voxel 2"):
+        read_signals(spark, str(tmp_path / "s"), measurements=2).collect()
+
+
+def test_entry_without_the_training_data_folders(tmp_path):
+    """The other queries are there when both folders are gone, with corpus_pipeline.py or without."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    for name in ("voxelmill", "__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).is_dir():
+            shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        elif (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    code = "import __spark_entry__ as e; print(sorted(e.queries())); assert 'tensor_fit' in e.queries() and not any(n.startswith('op') and n[2].isdigit() for n in e.queries()); e.oracle_sql()"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr

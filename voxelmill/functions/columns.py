@@ -62,8 +62,15 @@ def fiber_signal(b: Column, c2: Column, ad: Column, rd: Column) -> Column:
 def recover_iso(rf: Column, hf: Column, wf: Column, adc: Column) -> Column:
     """Hindered diffusivity that agrees with the mean isotropic one, three compartments."""
     tot = rf + hf + wf
-    d = (adc * tot - rf * S.D_RES - wf * 3.05e-3) / hf
-    return F.when(hf > 1e-6, F.greatest(F.lit(0.3e-3), F.least(F.lit(3e-3), d))).otherwise(F.lit(0.9e-3))
+    d = (adc * tot - rf * S.D_RES - wf * S.D_WAT_MEAN) / hf
+    return F.when((hf > 1e-6) & (tot >= 1e-10), F.greatest(F.lit(S.RES_MAX), F.least(F.lit(S.WAT_MIN), d))).otherwise(F.lit(0.9e-3))
+
+
+def recover_nonrestricted(rf: Column, nrf: Column, adc: Column) -> Column:
+    """The same of the non-restricted diffusivity, two compartments."""
+    tot = rf + nrf
+    d = F.greatest(F.lit(S.RES_MAX), F.least(F.lit(S.ISO_MAX), (adc * tot - rf * S.D_RES) / nrf))
+    return F.when(tot < 1e-10, F.lit(1e-3)).when(nrf > 1e-6, d).otherwise(adc)
 
 
 def confidence(d: Column, low: float, threshold: float, high: float, as_coded: bool = False) -> Column:

@@ -12,9 +12,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxelmill import schema as S
-from voxelmill.operators.solvers import ROWS, Dictionary, nnls
+from voxelmill.operators.quantiles import percentiles
+from voxelmill.operators.solvers import ROWS, Dictionary, fit_rows, matrix_of, nnls
 
 
 def moments(rows: DataFrame, n: int) -> np.ndarray:
@@ -143,8 +145,7 @@ def two_pass(sample: DataFrame, dictionary: Dictionary, sigma: float, method: st
 
     def fiber(iso: float, how: str) -> float:
         if how == "discrepancy":
-            curve = residual_curve(sample, dictionary, iso, list(np.logspace(-6, 4, 16)))
-            return discrepancy(curve, limit, fiber_floor(dictionary, iso)).first()["lambda"] or fiber_floor(dictionary, iso)
+            return discrepancy_search(sample, dictionary, iso, limit)
         curve = penalty_curve(spark, moments(sample, n), dictionary.matrix, dictionary.penalty(0.0, iso), dictionary.penalty(1.0, 0.0), np.logspace(-4, 4, 40))
         return (least(curve) if how == "gcv" else corner(curve)).first()["lambda"]
 
@@ -191,6 +192,80 @@ def crosscheck(scores: DataFrame, size: int, step: int = 2) -> DataFrame:
     return best.select(F.lit(size).alias("chosen"), "best", (F.abs(F.col("best") - size) <= step).alias("agrees"))
 
 
+#: Grid sizes that the bootstrap compares, noisy replicates of each voxel, and the restricted fraction that its spread is scaled by.
+SIZES, REPLICATES, TYPICAL = (4, 6, 8, 10, 12, 16, 20, 31), 50, 0.15
+
+
+def bootstrap_scores(sample: DataFrame, b: np.ndarray, grids: dict[int, list[float]], penalties: dict[int, float], sigma: float, replicates: int = REPLICATES) -> DataFrame:
+    """n_iso, cv (per cent), bias, score of each isotropic grid over a sample (voxel_id, signal).
+
+    Each voxel's restricted fraction is fitted to its signal, and to noisy replicates of it (Rician, seeded by voxel and replicate, the
+    same for all grids); cv is the mean spread of the replicates over their mean, bias the mean distance of their mean from the
+    first.  The score adds bias squared and the squared spread at a fraction of ``TYPICAL``.
+    """
+    atoms = {n: np.exp(-b[:, None] * np.array(grid)[None, :]) for n, grid in grids.items()}
+
+    def restricted(n: int, signals: np.ndarray) -> np.ndarray:
+        a = atoms[n]
+        w = nnls(a.T @ a + penalties[n] * np.eye(a.shape[1]), signals @ a)
+        total = w.sum(1)
+        own = w[:, np.array(grids[n]) <= S.RES_MAX].sum(1)
+        return np.where(total > 1e-10, own / np.maximum(total, 1e-10), np.nan)
+
+    def solve(part: pa.RecordBatch) -> list[pa.Array]:
+        out = np.full((2, part.num_rows), np.nan)
+        for i, (voxel, n, s) in enumerate(zip(part.column("voxel_id").to_pylist(), part.column("n_iso").to_pylist(), matrix_of(part, "signal", len(b)))):
+            noise = np.stack([np.random.default_rng([voxel or 0, r]).normal(0, sigma, (2, len(b))) for r in range(replicates)])
+            found = restricted(n, np.sqrt((s + noise[:, 0]) ** 2 + noise[:, 1] ** 2))
+            found = found[~np.isnan(found)]
+            if len(found):
+                out[:, i] = 100 * found.std() / (found.mean() + 1e-10), abs(found.mean() - np.nan_to_num(restricted(n, s[None]))[0])
+        return [pa.array(v, mask=np.isnan(v)) for v in out]
+
+    rows = sample.select("voxel_id", "signal", F.explode(F.array(*map(F.lit, grids))).alias("n_iso"))
+    rows = rows.repartition(sample.sparkSession.sparkContext.defaultParallelism, "n_iso", "voxel_id")
+    rows = fit_rows(rows, solve, [("cv", T.DoubleType()), ("bias", T.DoubleType())])
+    out = rows.groupBy("n_iso").agg(F.avg("cv").alias("cv"), F.avg("bias").alias("bias"))
+    return out.withColumn("score", F.col("bias") ** 2 + (F.col("cv") / 100 * TYPICAL) ** 2)
+
+
+def bootstrap_choice(scores: DataFrame, default: int = 10) -> DataFrame:
+    """One row: best (least score, the smaller of equals), flat (the scores hardly differ), homogeneous (no grid has a bias), and
+    n_iso, which is the default in either case."""
+    one = scores.agg(F.min_by("n_iso", F.struct("score", "n_iso")).alias("best"), F.min("score").alias("low"), F.max("score").alias("high"), F.max("bias").alias("bias"))
+    flat, alike = (F.col("high") - F.col("low")) / (F.col("low") + 1e-15) < 0.5, F.col("bias") < 0.01
+    one = one.select("best", flat.alias("flat"), alike.alias("homogeneous"))
+    return one.withColumn("n_iso", F.when(F.col("best").isNull() | F.col("flat") | F.col("homogeneous"), F.lit(default)).otherwise(F.col("best")))
+
+
+def sure_risks(sample: DataFrame, b: np.ndarray, candidates: list[tuple[float, list[float], float]], sigma: float, probes: int = 15) -> DataFrame:
+    """value, risk of each candidate (value, isotropic grid, penalty): Stein's unbiased estimate of the prediction risk of the non-negative
+    fit, mean over a sample (voxel_id, signal).  The divergence is taken from random signs, seeded by voxel, the same for
+    all candidates."""
+    atoms = [np.exp(-b[:, None] * np.array(grid)[None, :]) for _, grid, _ in candidates]
+    grams = [a.T @ a + penalty * np.eye(a.shape[1]) for a, (_, _, penalty) in zip(atoms, candidates)]
+    step = 0.01 * sigma if sigma > 0 else 1e-6
+
+    def solve(part: pa.RecordBatch) -> list[pa.Array]:
+        out = []
+        for voxel, k, s in zip(part.column("voxel_id").to_pylist(), part.column("k").to_pylist(), matrix_of(part, "signal", len(b))):
+            signs = np.random.default_rng([voxel or 0, 42]).choice([-1.0, 1.0], (probes, len(b)))
+            made = nnls(grams[k], np.vstack([s, s + step * signs]) @ atoms[k]) @ atoms[k].T
+            divergence = (signs * (made[1:] - made[0])).sum() / step / probes
+            out.append(-len(b) * sigma**2 + ((s - made[0]) ** 2).sum() + 2 * sigma**2 * divergence)
+        return [pa.array(out, pa.float64())]
+
+    rows = sample.select("voxel_id", "signal", F.posexplode(F.array(*[F.lit(float(v)) for v, _, _ in candidates])).alias("k", "value"))
+    rows = rows.repartition(sample.sparkSession.sparkContext.defaultParallelism, "k", "voxel_id")
+    return fit_rows(rows, solve, [("risk", T.DoubleType())]).groupBy("value").agg(F.avg("risk").alias("risk"))
+
+
+def sure_check(risks: DataFrame, chosen: float, within: float = 0.15) -> DataFrame:
+    """One row: the risk of the chosen value, the least one and its value, and whether the chosen is within a share of it."""
+    one = risks.agg(F.min_by("value", F.struct("risk", "value")).alias("best"), F.min("risk").alias("least"), F.min(F.when(F.col("value") == chosen, F.col("risk"))).alias("risk"))
+    return one.select(F.lit(float(chosen)).alias("chosen"), "risk", "best", "least", (F.col("risk") <= F.col("least") * (1 + within)).alias("agrees"))
+
+
 def discrepancy(curve: DataFrame, limit: float, floor: float) -> DataFrame:
     """One row: the value at which the rising residual meets the limit, by its logarithm between the two
     neighbours; the least value (not under the floor) if all exceed the limit, the greatest if none does."""
@@ -203,6 +278,30 @@ def discrepancy(curve: DataFrame, limit: float, floor: float) -> DataFrame:
     return one.select(F.when(F.col("at").isNotNull(), F.greatest(F.col("at"), F.lit(floor))).when(F.col("least") > limit, F.greatest(F.col("low"), F.lit(floor))).otherwise(F.col("high")).alias("lambda"))
 
 
+def discrepancy_search(sample: DataFrame, dictionary: Dictionary, iso: float, limit: float, tolerance: float = 1e-3, passes: int = 4) -> float:
+    """The fiber penalty at which a sample's mean residual meets the limit, to a relative tolerance of the residual.
+
+    The curve over ten decades gives the two neighbours of the crossing, and each further pass 8 values between these; only the
+    curve's few numbers come to the driver.  Edges are those of ``discrepancy``.
+    """
+    floor = fiber_floor(dictionary, iso)
+    curve = residual_curve(sample, dictionary, iso, list(np.logspace(-6, 4, 16)))
+    points = sorted((r["lambda"], r["residual"]) for r in curve.collect())  # a row a value
+    if not points:
+        return floor
+    for _ in range(passes):
+        cross = next((i for i in range(len(points) - 1) if points[i][1] <= limit < points[i + 1][1]), None)
+        if cross is None:
+            break
+        (a, low), (b, high) = points[cross : cross + 2]
+        if high - low <= tolerance * limit:
+            break
+        inner = residual_curve(sample, dictionary, iso, list(np.geomspace(a, b, 10)[1:-1]))
+        points = sorted([(a, low), (b, high), *((r["lambda"], r["residual"]) for r in inner.collect())])
+    spark = sample.sparkSession
+    return discrepancy(spark.createDataFrame(points, "lambda double, residual double"), limit, floor).first()["lambda"]
+
+
 def fiber_floor(dictionary: Dictionary, iso: float) -> float:
     """Least fiber penalty that a discrepancy may give."""
     return max(0.1 * iso, 0.075 * float(np.linalg.eigvalsh(dictionary.matrix.T @ dictionary.matrix)[-1]) / dictionary.fibers)
@@ -211,7 +310,8 @@ def fiber_floor(dictionary: Dictionary, iso: float) -> float:
 def concentration_gate(rows: DataFrame, percentile: float = 0.9, at_least: int = 30, default: float = S.CONCENTRATION_GATE) -> DataFrame:
     """One row: the percentile of ``concentration`` over fiber-free rows whose ff is over the threshold."""
     use = F.when(F.col("ff") > S.FIBER_THRESHOLD, F.col("concentration"))
-    return rows.agg(F.when(F.count(use) >= at_least, F.percentile(use, F.lit(percentile))).otherwise(F.lit(default)).alias("gate"), F.count(use).alias("rows"))
+    found = percentiles(rows, {"found": (use, percentile)}).crossJoin(F.broadcast(rows.agg(F.count(use).alias("rows"))))  # one row each
+    return found.select(F.when(F.col("rows") >= at_least, F.col("found")).otherwise(F.lit(default)).alias("gate"), "rows")
 
 
 def restricted_response(labelled: DataFrame) -> DataFrame:

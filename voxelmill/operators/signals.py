@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelmill import schema as S
 from voxelmill.functions import columns as C
+from voxelmill.operators.quantiles import percentiles
 from voxelmill.schema import Protocol
 
 
@@ -18,7 +19,7 @@ def in_mask(signals: DataFrame) -> DataFrame:
 def default_mask(signals: DataFrame) -> DataFrame:
     """Without a mask: voxels whose mean signal is over the 10th percentile of the positive means."""
     means = signals.withColumn("mean_signal", C.total(F.col("signal")) / F.size("signal"))
-    cut = means.agg(F.percentile(F.when(F.col("mean_signal") > 0, F.col("mean_signal")), F.lit(0.1)).alias("cut"))
+    cut = percentiles(means, {"cut": (F.when(F.col("mean_signal") > 0, F.col("mean_signal")), 0.1)})
     return means.crossJoin(F.broadcast(cut)).filter("mean_signal > cut").drop("cut")  # one row is broadcast
 
 
@@ -32,7 +33,8 @@ def temporal_noise(signals: DataFrame, protocol: Protocol) -> DataFrame:
     keep = [b < S.B0_NOISE for b in protocol.b]
     mean, std = C.mean_where(F.col("signal"), keep), C.std_where(F.col("signal"), keep)
     rows = in_mask(signals).select(mean.alias("mean"), F.when(std == 0, F.lit(1e-10)).otherwise(std).alias("std"))
-    one = rows.agg(F.avg(F.col("mean") / F.col("std")).alias("change"), F.percentile(F.col("mean") / F.col("std"), F.lit(0.5)).alias("ratio"), F.percentile("std", F.lit(0.5)).alias("spread"))
+    middle = percentiles(rows, {"ratio": (F.col("mean") / F.col("std"), 0.5), "spread": (F.col("std"), 0.5)})
+    one = rows.agg(F.avg(F.col("mean") / F.col("std")).alias("change")).crossJoin(F.broadcast(middle))  # one row each
     c = [2 / 3 + (-0.5) ** k / 3 for k in range(21)]
     root = [1 / x**0.5 for x in c]
     last = F.coalesce(*[F.when(F.col("change") * abs(root[k] - root[k - 1]) < 0.01, F.lit(k)) for k in range(1, 21)], F.lit(20))
@@ -43,10 +45,8 @@ def temporal_noise(signals: DataFrame, protocol: Protocol) -> DataFrame:
 def spatial_noise(signals: DataFrame) -> DataFrame:
     """One row: snr, sigma from the background of the first measurement; (20, 1) without one."""
     first = F.col("signal")[0]
-    one = signals.agg(
-        (F.avg(F.when(~F.col("in_mask") & (first > 0), first)) / 1.253).alias("sigma"),
-        F.percentile(F.when(F.col("in_mask"), first), F.lit(0.5)).alias("middle"),
-    )
+    middle = percentiles(signals, {"middle": (F.when(F.col("in_mask"), first), 0.5)})
+    one = signals.agg((F.avg(F.when(~F.col("in_mask") & (first > 0), first)) / 1.253).alias("sigma")).crossJoin(F.broadcast(middle))  # one row each
     return one.select(F.coalesce(F.col("middle") / F.col("sigma"), F.lit(20.0)).alias("snr"), F.coalesce("sigma", F.lit(1.0)).alias("sigma"))
 
 
@@ -67,7 +67,7 @@ def eligible(signals: DataFrame, protocol: Protocol) -> DataFrame:
     """Voxels for calibration: S0 over a twentieth of the median of the positive ones."""
     base = C.s0(F.col("signal"), protocol) if any(b < S.B0_NORMALISE for b in protocol.b) else F.col("signal")[0]
     rows = in_mask(signals).withColumn("s0", base)
-    cut = rows.agg((0.05 * F.percentile(F.when(F.col("s0") > 0, F.col("s0")), F.lit(0.5))).alias("cut"))
+    cut = percentiles(rows, {"cut": (F.when(F.col("s0") > 0, F.col("s0")), 0.5)}).select((0.05 * F.col("cut")).alias("cut"))
     return rows.crossJoin(F.broadcast(cut)).filter("s0 > cut").drop("cut")  # one row is broadcast
 
 
@@ -81,4 +81,4 @@ def sample_sigma(rows: DataFrame, protocol: Protocol) -> DataFrame:
     """One row: the normalised noise of a calibration sample with s0."""
     keep = [b < S.B0_NORMALISE for b in protocol.b]
     spread = C.std_where(F.col("signal"), keep) / F.col("s0") if sum(keep) >= 2 else 0.3 * C.std_where(F.col("signal"), [True] * len(keep), True)
-    return rows.agg(F.percentile(spread, F.lit(0.5)).alias("sigma"))
+    return percentiles(rows, {"sigma": (spread, 0.5)})

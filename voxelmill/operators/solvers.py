@@ -11,14 +11,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from voxelmill import schema as S
 from voxelmill.schema import Protocol
 
-#: Rows that are solved at once: the linear systems of a chunk stay within some 30 MB.
-ROWS = 256
+#: Rows that are solved at once, and bytes that their own matrices may take.
+ROWS, MATRIX_BYTES = 256, 32 << 20
 #: Concentration under which the fiber penalty grows, where it is greatest, and by what factor.
 SPREAD_LOW, SPREAD_HIGH, SPREAD_GAIN = 0.24, 0.36, 8.0
 #: Grid of the single-fiber fit: axial and radial (low, high, steps), least ratio.
@@ -30,7 +31,8 @@ def nnls(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
 
     An active-set method for all rows together: the variable of steepest descent is freed, the free ones
     are solved for, and those that would turn negative are stopped at zero first.  Free sets are small, so
-    only their part of G is solved.  A part in 1e10 is added to the diagonal for columns that all but coincide.
+    only their part of G is solved.  On the way a part in 1e10 is added to the diagonal for columns that all but coincide; the
+    last free sets are solved again without it.  Rows that don't settle raise an error.
     """
     rows, n = rhs.shape
     shared = gram.ndim == 2
@@ -40,23 +42,26 @@ def nnls(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
     limit = 1e-10 * np.maximum(1.0, np.abs(rhs).max(1, initial=0.0))
     going = np.arange(rows)
 
-    def solved(at: np.ndarray) -> np.ndarray:
+    def solved(at: np.ndarray, extra: np.ndarray = jitter) -> np.ndarray:
         """Of these rows, the minimiser over their free variables."""
-        most = int(free[at].sum(1).max())
+        most = int(free[at].sum(1).max(initial=0))
         if not most:
             return np.zeros((len(at), n))
         idx = np.argsort(~free[at], axis=1, kind="stable")[:, :most]
         own = np.take_along_axis(free[at], idx, 1)
         part = gram[idx[:, :, None], idx[:, None, :]] if shared else gram[at[:, None, None], idx[:, :, None], idx[:, None, :]]
         part = np.where(own[:, :, None] & own[:, None, :], part, 0.0)
-        part[:, np.arange(most), np.arange(most)] += np.where(own, jitter[at][:, None], 1.0)
+        part[:, np.arange(most), np.arange(most)] += np.where(own, extra[at][:, None], 1.0)
         value = np.linalg.solve(part, np.where(own, np.take_along_axis(rhs[at], idx, 1), 0.0)[:, :, None])[:, :, 0]
         out = np.zeros((len(at), n))
         np.put_along_axis(out, idx, np.where(own, value, 0.0), 1)
         return out
 
+    def slopes(at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return (x @ gram if shared else (gram[at] @ x[:, :, None])[:, :, 0]) - rhs[at]
+
     for _ in range(10 * n + 10):  # rounding alone could make it go round for ever
-        slope = (x[going] @ gram if shared else (gram[going] @ x[going][:, :, None])[:, :, 0]) - rhs[going]
+        slope = slopes(going, x[going])
         slope[free[going] | barred[going]] = np.inf
         pick = slope.argmin(1)
         more = slope[np.arange(len(going)), pick] < -limit[going]
@@ -85,27 +90,48 @@ def nnls(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
             free[at] &= ~stop
             x[at] = np.where(free[at], np.maximum(new, 0.0), 0.0)
             z = solved(at)
+    if len(going):
+        off = np.abs(np.minimum(x[going], slopes(going, x[going]))).max(1) > 1e4 * limit[going]
+        if off.any():
+            raise ArithmeticError(f"{int(off.sum())} of {rows} non-negative fits did not settle")
+    every = np.arange(rows)
+    try:
+        z = solved(every, np.zeros(rows))
+    except np.linalg.LinAlgError:  # columns that coincide
+        return x
+    error = lambda y: np.abs(np.where(free, slopes(every, y), 0.0)).max(1, initial=0.0)
+    better = np.isfinite(z).all(1) & (z >= 0).all(1) & (error(np.nan_to_num(z)) <= error(x))
+    x[better] = z[better]
     return x
 
 
-def _fit(rows: DataFrame, solve: Callable[[pa.RecordBatch], list[pa.Array]], added: list[tuple[str, T.DataType]]) -> DataFrame:
+def fit_rows(rows: DataFrame, solve: Callable[[pa.RecordBatch], list[pa.Array]], added: list[tuple[str, T.DataType]], at_once: int = ROWS) -> DataFrame:
     """``rows`` with the columns that ``solve`` makes of each chunk."""
     names = [*rows.columns, *[n for n, _ in added]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
                 yield pa.RecordBatch.from_arrays([*part.columns, *solve(part)], names=names)
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *[T.StructField(n, t) for n, t in added]]))
 
 
-def _matrix(part: pa.RecordBatch, name: str) -> np.ndarray:
-    return part.column(name).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1) if part.num_rows else np.zeros((0, 0))
+def matrix_of(part: pa.RecordBatch, name: str, width: int) -> np.ndarray:
+    """An array column as a matrix.  Rows with another number of values or with a null among them end the job with their id."""
+    column = part.column(name)
+    values = column.flatten()
+    short = pc.not_equal(pc.fill_null(pc.list_value_length(column), -1), width).to_numpy(zero_copy_only=False)
+    if short.any() or values.null_count:
+        bad = int(np.flatnonzero(short)[0]) if short.any() else int(np.flatnonzero(values.is_null())[0] // width)
+        own = part.column("voxel_id")[bad].as_py() if "voxel_id" in part.schema.names else bad
+        raise ValueError(f"{name} of voxel {own} must have {width} numbers and no nulls")
+    return values.to_numpy(zero_copy_only=False).reshape(part.num_rows, width)
 
 
-def _column(part: pa.RecordBatch, name: str) -> np.ndarray:
+def values_of(part: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column of numbers; null is NaN."""
     return part.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False)
 
 
@@ -116,7 +142,7 @@ def _lists(values: np.ndarray) -> pa.Array:
 class Dictionary:
     """Fiber atoms (pair-major: pair, then direction) and isotropic atoms of a protocol."""
 
-    def __init__(self, protocol: Protocol, directions: list, pairs: list, grid: list):
+    def __init__(self, protocol: Protocol, directions: list, pairs: list, grid: list, neighbours: int | None = None):
         self.b, self.g = np.array(protocol.b), np.array(protocol.g)
         self.u, self.pairs, self.grid = np.array(directions), list(pairs), np.array(grid)
         self.c2 = (self.g @ self.u.T) ** 2
@@ -126,7 +152,7 @@ class Dictionary:
         self.fibers = len(self.pairs) * len(self.u)
         near = np.round(self.u @ self.u.T, 12)
         np.fill_diagonal(near, -np.inf)
-        k = max(2, min(6, len(self.u) // 5))
+        k = neighbours or max(2, min(6, len(self.u) // 5))
         rank = np.lexsort((-np.arange(len(self.u))[None, :].repeat(len(self.u), 0), -near), axis=1)
         self.near, self.across = rank[:, :k], np.round(np.abs(self.u @ self.u.T), 12)
 
@@ -144,50 +170,55 @@ class Dictionary:
         np.add.at(mass, (np.arange(len(t))[:, None], home), np.where(peak.any(1)[:, None], t, 0.0))
         return mass
 
-    def dominant(self, mass: np.ndarray, gate: float, most: int) -> list[int]:
+    def dominant(self, mass: np.ndarray, gate: float, most: int, least: float = S.LEAST_WEIGHT, ratio: float = S.PEAK_RATIO, apart: float = S.SEPARATION_DEG) -> list[int]:
         """Directions of a voxel's fibers, the heaviest basin first."""
         top, total, out = mass.max(), mass.sum(), []
         if total < 1e-10 or top < gate * total:
             return out
         for d in np.argsort(-mass, kind="stable").tolist():
-            if len(out) == most or mass[d] < S.LEAST_WEIGHT * total or mass[d] < S.PEAK_RATIO * top:
+            if len(out) == most or mass[d] < least * total or mass[d] < ratio * top:
                 break
-            if all(self.across[d, e] <= np.cos(np.radians(S.SEPARATION_DEG)) for e in out):
+            if all(self.across[d, e] <= np.cos(np.radians(apart)) for e in out):
                 out.append(d)
         return out
 
 
-def spectra(rows: DataFrame, dictionary: Dictionary, fiber: float, iso: float, gate: float = S.CONCENTRATION_GATE, most: int = 2, again: bool = True) -> DataFrame:
+def spectra(rows: DataFrame, dictionary: Dictionary, fiber: float, iso: float, gate: float = S.CONCENTRATION_GATE, most: int = 2, again: bool = True, spread: tuple[float, float, float] = (SPREAD_LOW, SPREAD_HIGH, SPREAD_GAIN), select: tuple[float, float, float] = (S.LEAST_WEIGHT, S.PEAK_RATIO, S.SEPARATION_DEG)) -> DataFrame:
     """Ridge non-negative weights over the whole dictionary, solved ``again`` with a greater fiber penalty
     where the fiber weight is spread over directions.
 
-    Adds w, concentration (share of the largest basin), dirs (of the fibers) and shares (of their basins).
+    Adds w, concentration (share of the largest basin), dirs (of the fibers) and shares (of what their basins hold together).
+    ``spread``: concentration at which the penalty is greatest, at and over which it stays, and its greatest factor;
+    ``select``: least weight, least ratio to the heaviest and least angle of a fiber.
     """
     a, penalty = dictionary.matrix, dictionary.penalty(fiber, iso)
     gram = a.T @ a + np.diag(penalty)
     is_fiber = np.arange(a.shape[1]) < dictionary.fibers
+    low, high, gain = spread
+    block = max(1, MATRIX_BYTES // gram.nbytes)
 
     def share(mass: np.ndarray) -> np.ndarray:
         total = mass.sum(1)
         return np.where(total >= 1e-10, mass.max(1) / np.maximum(total, 1e-10), 0.0)
 
     def solve(part: pa.RecordBatch) -> list[pa.Array]:
-        h = _matrix(part, "signal") @ a
+        h = matrix_of(part, "signal", len(dictionary.b)) @ a
         w = nnls(gram, h)
         c = share(dictionary.basins(w))
-        spread = np.flatnonzero((c < SPREAD_HIGH) & again)
-        if len(spread):
-            grow = 1 + (SPREAD_GAIN - 1) * np.clip((SPREAD_HIGH - c[spread]) / (SPREAD_HIGH - SPREAD_LOW), 0, 1)
-            more = np.repeat(gram[None], len(spread), 0)
+        loose = np.flatnonzero((c < high) & again)
+        for i in range(0, len(loose), block):
+            own = loose[i : i + block]
+            grow = 1 + (gain - 1) * np.clip((high - c[own]) / (high - low), 0, 1)
+            more = np.repeat(gram[None], len(own), 0)
             more[:, is_fiber, is_fiber] += ((grow - 1) * fiber)[:, None]
-            w[spread] = nnls(more, h[spread])
+            w[own] = nnls(more, h[own])
         mass = dictionary.basins(w)
-        dirs = [dictionary.dominant(m, gate, most) for m in mass]
-        shares = [(m[d] / m.sum()).tolist() if d else [] for m, d in zip(mass, dirs)]
+        dirs = [dictionary.dominant(m, gate, most, *select) for m in mass]
+        shares = [(m[d] / m[d].sum()).tolist() if d else [] for m, d in zip(mass, dirs)]
         return [_lists(w), pa.array(share(mass)), pa.array(dirs, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float64()))]
 
     doubles = T.ArrayType(T.DoubleType())
-    return _fit(rows, solve, [("w", doubles), ("concentration", T.DoubleType()), ("dirs", T.ArrayType(T.IntegerType())), ("shares", doubles)])
+    return fit_rows(rows, solve, [("w", doubles), ("concentration", T.DoubleType()), ("dirs", T.ArrayType(T.IntegerType())), ("shares", doubles)])
 
 
 def single_fiber(rows: DataFrame, protocol: Protocol, grid: list, ad: tuple = FINE_AD, rd: tuple = FINE_RD, ratio: float = FINE_RATIO, signal: str = "signal") -> DataFrame:
@@ -217,8 +248,8 @@ def single_fiber(rows: DataFrame, protocol: Protocol, grid: list, ad: tuple = FI
         return float(residual[at]), pairs[at], w[at]
 
     def solve(part: pa.RecordBatch) -> list[pa.Array]:
-        y = _matrix(part, signal)
-        u = np.column_stack([_column(part, c) for c in ("ux", "uy", "uz")])
+        y = matrix_of(part, signal, len(b))
+        u = np.column_stack([values_of(part, c) for c in ("ux", "uy", "uz")])
         found = []
         for s, c2 in zip(y, (u @ g.T) ** 2):
             if np.isnan(c2[0]):
@@ -232,7 +263,7 @@ def single_fiber(rows: DataFrame, protocol: Protocol, grid: list, ad: tuple = FI
         return [pa.array([f[1][0] for f in found], pa.float64()), pa.array([f[1][1] for f in found], pa.float64()), _lists([f[2] for f in found]), pa.array([f[0] for f in found], pa.float64())]
 
     d = T.DoubleType()
-    return _fit(rows, solve, [("fit_ad", d), ("fit_rd", d), ("fit_w", T.ArrayType(d)), ("fit_residual", d)])
+    return fit_rows(rows, solve, [("fit_ad", d), ("fit_rd", d), ("fit_w", T.ArrayType(d)), ("fit_residual", d)])
 
 
 def anchored_fractions(rows: DataFrame, protocol: Protocol, fibers: int = 2, iso: tuple = (S.D_RES, S.D_HIN, S.D_WAT)) -> DataFrame:
@@ -242,12 +273,12 @@ def anchored_fractions(rows: DataFrame, protocol: Protocol, fibers: int = 2, iso
     fixed = np.exp(-b[:, None] * np.array(iso)[None, :])
 
     def solve(part: pa.RecordBatch) -> list[pa.Array]:
-        y = _matrix(part, "signal")
+        y = matrix_of(part, "signal", len(b))
         a = np.empty((len(y), len(b), fibers + len(iso)))
         a[:, :, fibers:] = fixed
         none = np.zeros((len(y), fibers + len(iso)), bool)
         for k in range(fibers):
-            ad, rd, *u = (_column(part, c.format(k + 1)) for c in ("ad{}", "rd{}", "u{}x", "u{}y", "u{}z"))
+            ad, rd, *u = (values_of(part, c.format(k + 1)) for c in ("ad{}", "rd{}", "u{}x", "u{}y", "u{}z"))
             none[:, k] = np.isnan(ad) | np.isnan(rd) | np.isnan(u[0])
             ad, rd, u = np.nan_to_num(ad), np.nan_to_num(rd), np.nan_to_num(np.column_stack(u))
             a[:, :, k] = np.exp(-b * (rd[:, None] + (ad - rd)[:, None] * (u @ g.T) ** 2))
@@ -256,10 +287,10 @@ def anchored_fractions(rows: DataFrame, protocol: Protocol, fibers: int = 2, iso
         gram[:, np.arange(a.shape[2]), np.arange(a.shape[2])] += none  # a column of zeros gets weight 0
         return [_lists(nnls(gram, h))]
 
-    return _fit(rows, solve, [("anchored", T.ArrayType(T.DoubleType()))])
+    return fit_rows(rows, solve, [("anchored", T.ArrayType(T.DoubleType()))])
 
 
-def _log_regression(s: np.ndarray, other: np.ndarray, part: np.ndarray, b: np.ndarray, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def log_regression(s: np.ndarray, other: np.ndarray, part: np.ndarray, b: np.ndarray, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Axial and radial diffusivity of one fiber when the rest of the signal is known; and where it can be solved."""
     y = np.log(np.clip((s - other) / (part[:, None] + 1e-12), 0.01, 1.0))
     weight, x = s * s, b * c2
@@ -274,33 +305,39 @@ def _log_regression(s: np.ndarray, other: np.ndarray, part: np.ndarray, b: np.nd
 
 
 def crossing_fibers(rows: DataFrame, protocol: Protocol, fibers: int = 2, rounds: int = 25) -> DataFrame:
-    """Diffusivities of crossing fibers with known fractions f1, f2, ..., directions u1x, u1y, u1z, ... and an
-    isotropic signal ``iso_signal``; null if a direction is.  Three rounds of one fiber after the other, then damped Gauss-Newton steps
-    on all of them within bounds.  Adds ad1, rd1, ad2, rd2, ..., cost0 (of the start) and cost.
+    """Diffusivities of two or more crossing fibers with known fractions f1, f2, ..., directions u1x, u1y, u1z, ... and an
+    isotropic signal ``iso_signal``.  A row has as many fibers as its first directions are not null; with fewer than two it gets nulls.
+    Three rounds of one fiber after the other, then damped Gauss-Newton steps on all of them within bounds.  Adds ad1, rd1,
+    ad2, rd2, ..., cost0 (of the start) and cost.
     """
     b, g = np.array(protocol.b), np.array(protocol.g)
-    low, high = np.tile([S.AD_MIN, S.RD_MIN], fibers), np.tile([S.AD_MAX, S.RD_MAX], fibers)
 
     def parts(p: np.ndarray, f: np.ndarray, c2: np.ndarray) -> np.ndarray:
         ad, rd = p[:, 0::2, None], p[:, 1::2, None]
         return f[:, :, None] * np.exp(-b * (rd + (ad - rd) * c2))
 
     def solve(part: pa.RecordBatch) -> list[pa.Array]:
-        known = ~np.isnan(np.column_stack([_column(part, f"u{k + 1}x") for k in range(fibers)])).any(1)
-        fitted = refine(part.filter(pa.array(known)))
-        at = pa.array(np.where(known, np.cumsum(known) - 1, 0), mask=~known)
-        return [pa.array(v, pa.float64()).take(at) for v in fitted]
-
-    def refine(part: pa.RecordBatch) -> list[np.ndarray]:
-        s, iso = _matrix(part, "signal").reshape(-1, len(b)), _matrix(part, "iso_signal").reshape(-1, len(b))
-        f = np.column_stack([_column(part, f"f{k + 1}") for k in range(fibers)])
-        u = np.stack([np.column_stack([_column(part, f"u{k + 1}{c}") for c in "xyz"]) for k in range(fibers)], 1)
+        there = ~np.isnan(np.column_stack([values_of(part, f"u{k + 1}x") for k in range(fibers)]))
+        count = np.cumprod(there, axis=1).sum(1)
+        out = np.full((2 * fibers + 2, part.num_rows), np.nan)
+        for n in range(2, fibers + 1):
+            at = np.flatnonzero(count == n)
+            if len(at):
+                *params, start, cost = refine(part.take(pa.array(at)), n)
+                out[: 2 * n, at], out[-2, at], out[-1, at] = params, start, cost
+        return [pa.array(v, mask=np.isnan(v)) for v in out]
+
+    def refine(part: pa.RecordBatch, fibers: int) -> list[np.ndarray]:
+        low, high = np.tile([S.AD_MIN, S.RD_MIN], fibers), np.tile([S.AD_MAX, S.RD_MAX], fibers)
+        s, iso = matrix_of(part, "signal", len(b)), matrix_of(part, "iso_signal", len(b))
+        f = np.column_stack([values_of(part, f"f{k + 1}") for k in range(fibers)])
+        u = np.stack([np.column_stack([values_of(part, f"u{k + 1}{c}") for c in "xyz"]) for k in range(fibers)], 1)
         c2 = (u @ g.T) ** 2
         p = np.tile([1.6e-3, 0.4e-3], (len(s), fibers))
         for _ in range(3):
             for k in range(fibers):
                 each = parts(p, f, c2)
-                ad, rd, good = _log_regression(s, iso + each.sum(1) - each[:, k], f[:, k], b, c2[:, k])
+                ad, rd, good = log_regression(s, iso + each.sum(1) - each[:, k], f[:, k], b, c2[:, k])
                 p[good, 2 * k], p[good, 2 * k + 1] = ad[good], rd[good]
         cost = ((s - iso - parts(p, f, c2).sum(1)) ** 2).sum(1)
         start, damping = cost.copy(), np.full(len(s), 1e-3)
@@ -331,4 +368,55 @@ def crossing_fibers(rows: DataFrame, protocol: Protocol, fibers: int = 2, rounds
         return [*p.T, start, cost]
 
     names = [f"{n}{k + 1}" for k in range(fibers) for n in ("ad", "rd")] + ["cost0", "cost"]
-    return _fit(rows, solve, [(n, T.DoubleType()) for n in names])
+    return fit_rows(rows, solve, [(n, T.DoubleType()) for n in names])
+
+
+def cone(axis: np.ndarray, half: float, n: int) -> np.ndarray:
+    """For each axis, n directions that fill the cone around it along a spiral: (axes, n, 3)."""
+    i = np.arange(n)
+    z = 1 - (i + 0.5) / n * (1 - np.cos(half))
+    r, turn = np.sqrt(np.maximum(0, 1 - z * z)), 2 * np.pi * i / ((1 + np.sqrt(5)) / 2)
+    help_ = np.where((np.abs(axis[:, :1]) < 0.9), [1.0, 0.0, 0.0], [0.0, 1.0, 0.0])
+    x = np.cross(axis, help_)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.cross(axis, x)
+    out = z[None, :, None] * axis[:, None, :] + r[None, :, None] * (np.cos(turn)[None, :, None] * x[:, None, :] + np.sin(turn)[None, :, None] * y[:, None, :])
+    return out / np.linalg.norm(out, axis=2, keepdims=True)
+
+
+def refined_directions(rows: DataFrame, protocol: Protocol, schedule: list[tuple[float, int]], names: tuple[str, ...] = ("rf", "hf", "wf"), fixed: tuple[float, ...] = (S.D_RES, S.D_HIN, S.D_WAT)) -> DataFrame:
+    """The direction (ux, uy, uz) of one fiber, searched anew in cones of (half angle, number) around it; null without one.
+
+    Each candidate gets the closed-form tensor for a normalised ``signal`` with fixed fractions ff and ``names``; the one with the least squared
+    error stays, the coarse direction itself included, so the error never grows.  The next cone is around the best so
+    far.  Adds ref_x, ref_y, ref_z, ref_ad, ref_rd, ref_error0 (of the coarse direction) and ref_error.
+    """
+    b, g = np.array(protocol.b), np.array(protocol.g)
+
+    def solve(part: pa.RecordBatch) -> list[pa.Array]:
+        s = matrix_of(part, "signal", len(b))
+        f = np.column_stack([values_of(part, c) for c in ("ff", *names)])
+        iso = sum((f[:, k + 1, None] * np.exp(-b * d) for k, d in enumerate(fixed)), np.zeros((1, len(b))))
+        unit = f / f.sum(1, keepdims=True)
+        rest = sum((unit[:, k + 1, None] * np.exp(-b * d) for k, d in enumerate(fixed)), np.zeros((1, len(b))))
+
+        def scored(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            c2 = (u @ g.T) ** 2
+            ad, rd, good = log_regression(np.maximum(s, 0.01), rest, unit[:, 0], b, c2)
+            made = iso + f[:, :1] * np.exp(-b * (rd[:, None] + (ad - rd)[:, None] * c2))
+            return ad, rd, np.where(good, ((s - made) ** 2).sum(1), np.inf)
+
+        u = np.column_stack([values_of(part, c) for c in ("ux", "uy", "uz")])
+        best, (ad, rd, error) = u.copy(), scored(u)
+        start = error.copy()
+        for half, n in schedule:
+            around = cone(best.copy(), half, n)
+            for k in range(n):
+                new_ad, new_rd, value = scored(around[:, k])
+                win = value < error
+                best[win], ad[win], rd[win], error[win] = around[win, k], new_ad[win], new_rd[win], value[win]
+        none = ~np.isfinite(error)
+        return [pa.array(v, mask=none | np.isnan(v)) for v in (*best.T, ad, rd, start, error)]
+
+    d = T.DoubleType()
+    return fit_rows(rows, solve, [(n, d) for n in ("ref_x", "ref_y", "ref_z", "ref_ad", "ref_rd", "ref_error0", "ref_error")])

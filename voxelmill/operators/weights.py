@@ -13,16 +13,16 @@ from voxelmill import schema as S
 def fractions(atoms: DataFrame) -> DataFrame:
     """Per voxel_id of atoms (kind aniso or iso, adc, w): fractions, centroids and mean isotropic ADC."""
     iso = F.col("kind") == "iso"
-    band = {"rf": iso & (F.col("adc") <= S.RES_MAX), "hf": iso & (F.col("adc") > S.RES_MAX) & (F.col("adc") <= S.WAT_MIN), "wf": iso & (F.col("adc") > S.WAT_MIN)}
+    band = {"nrf": iso & (F.col("adc") > S.RES_MAX), "rf": iso & (F.col("adc") <= S.RES_MAX), "hf": iso & (F.col("adc") > S.RES_MAX) & (F.col("adc") <= S.WAT_MIN), "wf": iso & (F.col("adc") > S.WAT_MIN)}
     of = lambda cond, x=F.col("w"): F.coalesce(F.sum(F.when(cond, x)), F.lit(0.0))
     sums = [of(F.col("kind") == "aniso").alias("ff"), of(iso, F.col("w") * F.col("adc")).alias("adc"), F.sum("w").alias("tot")]
     for n, c in band.items():
         sums += [of(c).alias(n), of(c, F.col("w") * F.col("adc")).alias(f"{n}_d")]
     out = atoms.groupBy("voxel_id").agg(*sums).filter("tot >= 1e-10")
     total_iso = F.col("rf") + F.col("hf") + F.col("wf")
-    default = {"rf": S.D_RES, "hf": S.D_HIN, "wf": S.D_WAT}
+    default = {"rf": S.D_RES, "hf": S.D_HIN, "wf": S.D_WAT, "nrf": S.D_NONRES}
     return out.select(
-        "voxel_id", (F.col("ff") / F.col("tot")).alias("fiber_fraction"), *[(F.col(n) / F.col("tot")).alias(x) for n, x in (("rf", "restricted_fraction"), ("hf", "hindered_fraction"), ("wf", "water_fraction"))],
+        "voxel_id", (F.col("ff") / F.col("tot")).alias("fiber_fraction"), *[(F.col(n) / F.col("tot")).alias(x) for n, x in (("rf", "restricted_fraction"), ("hf", "hindered_fraction"), ("wf", "water_fraction"), ("nrf", "nonrestricted_fraction"))],
         *[F.when(F.col(n) > 1e-10, F.col(f"{n}_d") / F.col(n)).otherwise(F.lit(default[n])).alias(f"{n}_centroid") for n in band],
         F.when(total_iso > 0, F.col("adc") / total_iso).otherwise(F.lit(0.0)).alias("mean_iso_adc"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,25 +33,57 @@ def _query(sql: str | None = None):  # noqa: ANN202
 
 @dataclass(frozen=True)
 class Config:
-    """Parameters of a fit.  Penalties of None are 0.005 for isotropic atoms, and that times the number of
-    fiber atoms for these; ``directions`` and ``compartments`` (isotropic, 2 or 3) of None follow the protocol."""
+    """Parameters of a fit.
+
+    Penalties of None are 0.005 for isotropic atoms, and that times the number of fiber atoms for these; ``directions`` and
+    ``compartments`` (isotropic, 2 or 3) of None follow the protocol.  The dictionary: ``ad``, ``rd`` (low, high, steps), ``ratio``, ``iso_steps``,
+    ``iso_range``, ``grid`` (anchored or linear), ``neighbours`` of a direction.  Fibers: ``threshold`` of their fraction, ``gate``, ``least_weight``,
+    ``peak_ratio``, ``separation`` (degrees), at most ``fibers``; ``spread`` and ``modulate`` of the second solution.  One fiber's tensor:
+    ``joint`` with the fractions, or in closed form, then with the direction searched anew to ``resolution`` degrees if ``refine``.
+    ``resolve``: fractions from the anchored fit at the end.
+    """
 
     directions: int | None = None
+    ad: tuple[float, float, int] = (0.5e-3, 2.2e-3, 3)
+    rd: tuple[float, float, int] = (0.05e-3, 1.2e-3, 3)
+    ratio: float = 2.0
     iso_steps: int = 10
+    iso_range: tuple[float, float] = (0.1e-3, 5.0e-3)
+    grid: str = "anchored"
+    neighbours: int | None = None
     fiber_penalty: float | None = None
     iso_penalty: float = 0.005
+    threshold: float = S.FIBER_THRESHOLD
     gate: float = S.CONCENTRATION_GATE
+    least_weight: float = S.LEAST_WEIGHT
+    peak_ratio: float = S.PEAK_RATIO
+    separation: float = S.SEPARATION_DEG
     fibers: int = 2
     compartments: int | None = None
+    modulate: bool = True
+    spread: tuple[float, float, float] = (solvers.SPREAD_LOW, solvers.SPREAD_HIGH, solvers.SPREAD_GAIN)
+    joint: bool = True
+    refine: bool = True
+    resolution: float = 1.0
+    resolve: bool = True
+    method: str = "gcv"
 
     def __post_init__(self) -> None:
         if self.compartments not in (None, 2, 3):
             raise ValueError("2 or 3 isotropic compartments can be fitted")
-        if not 1 <= self.fibers <= 2:
-            raise ValueError("1 or 2 fibers can be fitted")
+        if not 1 <= self.fibers <= 3:
+            raise ValueError("1 to 3 fibers can be fitted")
+        if self.grid not in ("anchored", "linear"):
+            raise ValueError(f"no such grid: {self.grid}")
+        if self.method not in ("discrepancy", "gcv", "corner"):
+            raise ValueError(f"no such method: {self.method}")
+        if self.iso_steps < 2 or not 0 < self.resolution:
+            raise ValueError("a grid has 2 steps or more, and a resolution is an angle")
 
     def dictionary(self, protocol: Protocol) -> solvers.Dictionary:
-        return solvers.Dictionary(protocol, hemisphere(self.directions or protocol.directions), pairs(), iso_grid(self.iso_steps))
+        lo, hi = self.iso_range
+        grid = iso_grid(self.iso_steps, lo, hi) if self.grid == "anchored" else S.linear_grid(self.iso_steps, 0.0, hi)
+        return solvers.Dictionary(protocol, hemisphere(self.directions or protocol.directions), pairs(self.ad, self.rd, self.ratio), grid, self.neighbours)
 
     def penalties(self, dictionary: solvers.Dictionary) -> tuple[float, float]:
         return self.iso_penalty * dictionary.fibers if self.fiber_penalty is None else self.fiber_penalty, self.iso_penalty
@@ -65,13 +98,20 @@ def _bands(weight, grid, offset: int) -> dict[str, Column]:  # noqa: ANN001
 
 
 def with_fractions(rows: DataFrame, dictionary: solvers.Dictionary) -> DataFrame:
-    """ff, rf, hf, wf and mean_iso_adc of spectra; voxels without weight are left out."""
+    """ff, rf, hf, wf and mean_iso_adc of spectra, and the mean diffusivity of each band (d_rf, d_hf, d_wf, d_nrf); voxels without
+    weight are left out."""
     parts = {"ff": C.total(F.slice("w", 1, dictionary.fibers)), **_bands(F.col("w"), dictionary.grid, dictionary.fibers)}
     rows = rows.withColumns({f"_{n}": c for n, c in parts.items()})
     iso = F.col("_rf") + F.col("_hf") + F.col("_wf")
     rows = rows.withColumn("_all", F.col("_ff") + iso).filter("_all >= 1e-10")
     adc = F.when(iso > 0, F.col("_adc") / iso).otherwise(F.lit(0.0))
-    rows = rows.withColumns({**{n: F.col(f"_{n}") / F.col("_all") for n in ("ff", "rf", "hf", "wf")}, "mean_iso_adc": adc})
+    grid, at = [float(d) for d in dictionary.grid], lambda k: F.element_at("w", dictionary.fibers + k + 1)
+    bands = {"rf": (lambda d: d <= S.RES_MAX, S.D_RES), "hf": (lambda d: S.RES_MAX < d <= S.WAT_MIN, S.D_HIN), "wf": (lambda d: d > S.WAT_MIN, S.D_WAT), "nrf": (lambda d: d > S.RES_MAX, S.D_NONRES)}
+    means = {}
+    for n, (inside, default) in bands.items():
+        weight, moment = (sum((at(k) * x for k, d in enumerate(grid) if inside(d) for x in [1.0 if i == 0 else d]), F.lit(0.0)) for i in (0, 1))
+        means[f"d_{n}"] = F.when(weight > 1e-10, moment / weight).otherwise(F.lit(default))
+    rows = rows.withColumns({**{n: F.col(f"_{n}") / F.col("_all") for n in ("ff", "rf", "hf", "wf")}, "mean_iso_adc": adc, **means})
     return rows.drop("_ff", "_rf", "_hf", "_wf", "_adc", "_all")
 
 
@@ -96,7 +136,17 @@ def calibrated(rows: DataFrame, protocol: Protocol, config: Config = Config(), n
     picked = rows.sparkSession.createDataFrame(picked.collect(), picked.schema)  # SAMPLE voxels
     sigma = signals.sample_sigma(picked, protocol).first()["sigma"] or 0.0
     unit = picked.withColumn("signal", F.transform("signal", lambda s: s / F.col("s0")))
-    return calibration.two_pass(unit, config.dictionary(protocol), sigma, "gcv")
+    return calibration.two_pass(unit, config.dictionary(protocol), sigma, config.method)
+
+
+def calibrated_grid(sample: DataFrame, protocol: Protocol, sigma: float, voxels: int = 60, replicates: int = calibration.REPLICATES, sizes: tuple[int, ...] = calibration.SIZES) -> DataFrame:
+    """best, flat, homogeneous, n_iso: steps of the isotropic grid from noisy replicates of a normalised sample (voxel_id, signal)."""
+    some = sample.select("voxel_id", "signal").orderBy("voxel_id").limit(voxels)
+    some = sample.sparkSession.createDataFrame(some.collect(), some.schema)  # that many voxels
+    b, grids = np.array(protocol.b), {n: iso_grid(n) for n in sizes}
+    best = calibration.grid_scores(sample.sparkSession, calibration.moments(some, len(b)), b, grids)
+    penalties = {r["n_iso"]: r["lambda"] for r in best.collect()}  # a row a size
+    return calibration.bootstrap_choice(calibration.bootstrap_scores(some, b, grids, penalties, sigma, replicates))
 
 
 def references(labelled: DataFrame, protocol: Protocol, config: Config = Config(), penalties: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
@@ -117,60 +167,97 @@ def fit(rows: DataFrame, protocol: Protocol, config: Config = Config(), noise: D
     """Fractions, fibers and diffusivities of voxels (voxel_id, in_mask, signal).
 
     The signal loses its Rician bias, the spectrum is fitted over the whole dictionary, and fibers are
-    looked for where they hold over 0.15 of it.  One fiber's tensor is fitted to the uncorrected signal,
-    two together to the corrected one.  Fractions come from the anchored fit at the end: with two fibers
+    looked for where they hold over the threshold of it (``searched``).  One fiber's tensor is fitted to the uncorrected signal,
+    several together to the corrected one.  Fractions come from the anchored fit at the end, of two fibers at most: with several
     their sum stays and the isotropic rest is shared out anew.  Voxels outside the mask, or without signal
     at b = 0, give no row.  The spectrum, each tensor and the anchored fit are Arrow passes over the rows'
     own partitions; only the noise is an aggregate, and a stream of rows will do where it is given.
 
     ``penalties`` (step, lambda; as of ``calibrated``) and ``gate`` (one row) stand for those of the config.
-    With a ``response`` table rf is corrected at the end, and hf makes up for it.  Where the protocol (or the
-    config) has two isotropic compartments, hf and wf are null and nrf is fitted; else nrf is their sum.
+    With a ``response`` table rf is corrected at the end, and hf (or nrf) makes up for it; rf_raw is what it was.  Where the protocol
+    (or the config) has two isotropic compartments, hf and wf are null and nrf is fitted; else nrf is their sum.
     """
     dictionary = config.dictionary(protocol)
     fiber, iso = _penalties(config, dictionary, penalties)
     least = config.gate if gate is None else gate.first()["gate"]
     three = (config.compartments or protocol.isotropic_parts) == 3
     names, fixed = (("rf", "hf", "wf"), (S.D_RES, S.D_HIN, S.D_WAT)) if three else (("rf", "nrf"), (S.D_RES, S.D_NONRES))
+    most = config.fibers
     noise = noise_of(rows, protocol) if noise is None else noise
     both = signals.corrected(rows.filter("signal is not null").select("voxel_id", "in_mask", "signal", F.col("signal").alias("raw")), noise)
     both = signals.normalised(signals.in_mask(both), protocol)
     raw0 = C.s0(F.col("raw"), protocol)
     both = both.withColumn("raw", F.transform("raw", lambda s: s / raw0))
-    found = with_fractions(solvers.spectra(both, dictionary, fiber, iso, least, config.fibers), dictionary).drop("w", "in_mask")
+    found = solvers.spectra(both, dictionary, fiber, iso, least, most, config.modulate, config.spread, (config.least_weight, config.peak_ratio, config.separation))
+    found = with_fractions(found, dictionary).drop("w", "in_mask")
     if not three:
         found = found.withColumn("nrf", F.col("hf") + F.col("wf")).drop("hf", "wf")
-    many = F.when(F.col("ff") > S.FIBER_THRESHOLD, F.size("dirs")).otherwise(F.lit(0))
-    found = found.withColumn("n_fibers", many)
+    found = found.withColumn("searched", F.col("ff") > config.threshold)
+    found = found.withColumn("n_fibers", F.when(F.col("searched"), F.size("dirs")).otherwise(F.lit(0)))
     u = dictionary.u
-    for k in (1, 2):
+    for k in range(1, most + 1):
         has = F.col("n_fibers") >= k
         near = F.coalesce(F.get("dirs", F.lit(k - 1)), F.lit(0))  # a null index into a literal array gives no null
         found = found.withColumns({f"u{k}{c}": F.when(has, F.element_at(C.doubles(u[:, i]), near + 1)) for i, c in enumerate("xyz")})
-        found = found.withColumn(f"f{k}", F.when(F.col("n_fibers") >= k, F.get("shares", F.lit(k - 1)) * F.col("ff")).otherwise(F.lit(0.0)))
-    tensor = ["ad1", "rd1", "ad2", "rd2"]
+        found = found.withColumn(f"f{k}", F.when(has, F.get("shares", F.lit(k - 1)) * F.col("ff")).otherwise(F.lit(0.0)))
     alone = F.col("n_fibers") == 1
     found = found.withColumns({f"u{c}": F.when(alone, F.col(f"u1{c}")) for c in "xyz"})
-    found = solvers.single_fiber(found, protocol, list(map(float, dictionary.grid)), signal="raw").drop("raw", "ux", "uy", "uz", "fit_w", "fit_residual")
-    b = C.doubles(protocol.b)
-    iso_signal = F.transform(b, lambda x: sum((F.col(n) * F.exp(-x * d) for n, d in zip(names, fixed)), F.lit(0.0)))
-    found = solvers.crossing_fibers(found.withColumn("iso_signal", iso_signal), protocol).drop("iso_signal", "cost0", "cost")
-    found = found.withColumns({"ad1": F.when(alone, F.col("fit_ad")).otherwise(F.col("ad1")), "rd1": F.when(alone, F.col("fit_rd")).otherwise(F.col("rd1"))})
-    out = solvers.anchored_fractions(found, protocol, iso=fixed)
-    w = [F.get("anchored", F.lit(i)) for i in range(2 + len(fixed))]
-    tot, rest = sum(w, F.lit(0.0)), sum(w[2:], F.lit(0.0))
-    solved = {"ff": (w[0] + w[1]) / tot, **{n: x / tot for n, x in zip(names, w[2:])}}
-    for n, x in zip(names, w[2:]):
-        kept = F.when(rest > 1e-10, x / rest * (1 - F.col("ff"))).otherwise(F.col(n))
-        solved[n] = F.when(F.col("n_fibers") == 2, kept).otherwise(F.when(tot > 1e-10, solved[n]).otherwise(F.col(n)))
-    solved["ff"] = F.when((F.col("n_fibers") == 2) | (tot <= 1e-10), F.col("ff")).otherwise(solved["ff"])
-    out = out.withColumns({f"_{n}": c for n, c in solved.items()})
-    out = out.withColumns({n: F.col(f"_{n}") for n in solved})
+    grid = list(map(float, dictionary.grid))
+    if config.joint:
+        found = solvers.single_fiber(found, protocol, grid, signal="raw")
+        weight = sum((F.get("fit_w", F.lit(i + 1)) for i in range(len(grid))), F.lit(0.0))
+        moment = sum((F.get("fit_w", F.lit(i + 1)) * d for i, d in enumerate(grid)), F.lit(0.0))
+        mean = F.when(weight > 1e-10, moment / weight).otherwise(F.lit(0.0))
+        found = found.withColumn("mean_iso_adc", F.when(F.col("fit_w").isNotNull(), mean).otherwise(F.col("mean_iso_adc"))).drop("fit_w", "fit_residual")
+    else:
+        schedule = S.cone_schedule(S.spacing([tuple(x) for x in u]), math.radians(config.resolution)) if config.refine else []
+        found = solvers.refined_directions(found, protocol, schedule, names, fixed).withColumnsRenamed({"ref_ad": "fit_ad", "ref_rd": "fit_rd"}).drop("ref_x", "ref_y", "ref_z", "ref_error0", "ref_error")
+    found = found.drop("raw", "ux", "uy", "uz")
+    if most > 1:
+        b = C.doubles(protocol.b)
+        iso_signal = F.transform(b, lambda x: sum((F.col(n) * F.exp(-x * F.col(f"d_{n}")) for n in names), F.lit(0.0)))
+        found = solvers.crossing_fibers(found.withColumn("iso_signal", iso_signal), protocol, most).drop("iso_signal", "cost0", "cost")
+    first = {n: F.when(alone, F.col(f"fit_{n}")).otherwise(F.col(f"{n}1") if most > 1 else F.lit(None).cast("double")) for n in ("ad", "rd")}
+    out = found.withColumns({f"{n}1": x for n, x in first.items()})
+    several = F.col("n_fibers") >= 2
+    if config.resolve:
+        anchors = min(2, most)
+        out = solvers.anchored_fractions(out, protocol, anchors, fixed)
+        w = [F.get("anchored", F.lit(i)) for i in range(anchors + len(fixed))]
+        tot, rest = sum(w, F.lit(0.0)), sum(w[anchors:], F.lit(0.0))
+        solved = {}
+        for n, x in zip(names, w[anchors:]):
+            kept = F.when(rest > 1e-10, x / rest * (1 - F.col("ff"))).otherwise(F.col(n))
+            solved[n] = F.when(several, kept).otherwise(F.when(tot > 1e-10, x / tot).otherwise(F.col(n)))
+        solved["ff"] = F.when(several | (tot <= 1e-10), F.col("ff")).otherwise(sum(w[:anchors], F.lit(0.0)) / tot)
+        out = out.withColumns({f"_{n}": c for n, c in solved.items()})
+        out = out.withColumns({n: F.col(f"_{n}") for n in solved})
+    out = out.withColumn("rf_raw", F.col("rf"))
     if response is not None:
         out = calibration.corrected_restricted(out.withColumn("hf", F.col(names[1])), response)
         out = out.withColumns({"rf": F.col("rf_corrected"), names[1]: F.col("hf_corrected")})
     out = out.withColumn("nrf", F.col("hf") + F.col("wf")) if three else out.withColumns({n: F.lit(None).cast("double") for n in ("hf", "wf")})
-    return out.select("voxel_id", "s0", "n_fibers", "concentration", "ff", "rf", "hf", "wf", "nrf", "mean_iso_adc", "f1", "f2", *tensor, *[f"u{k}{c}" for k in (1, 2) for c in "xyz"], C.fa(F.col("ad1"), F.col("rd1")).alias("fa1"), C.fa(F.col("ad2"), F.col("rd2")).alias("fa2"))
+    each = range(1, most + 1)
+    tensors = [c for k in each for c in (f"ad{k}", f"rd{k}", *(f"u{k}{c}" for c in "xyz"))]
+    fa = [C.fa(F.col(f"ad{k}"), F.col(f"rd{k}")).alias(f"fa{k}") for k in each]
+    return out.select("voxel_id", "s0", "n_fibers", "searched", "concentration", "ff", "rf", "hf", "wf", "nrf", "rf_raw", "mean_iso_adc", *[f"f{k}" for k in each], *tensors, *fa)
+
+
+def results(fitted: DataFrame, keys: tuple[str, ...] = ("voxel_id",), compartments: int = 3) -> DataFrame:
+    """The result channels of ``fit``, by their names in order; null where a voxel has no such fiber."""
+    null = F.lit(None).cast("double")
+    own = lambda c: F.col(c) if c in fitted.columns else null
+    named = {
+        "fiber_fraction": own("ff"), "restricted_fraction": own("rf"), "hindered_fraction": own("hf"), "water_fraction": own("wf"), "nonrestricted_fraction": own("nrf"),
+        "mean_iso_adc": own("mean_iso_adc"), "n_fiber_populations": F.when(F.col("searched"), F.col("n_fibers")), "dominant_basin_concentration": own("concentration"),
+        "axial_diffusivity": own("ad1"), "radial_diffusivity": own("rd1"), "fiber_fa": own("fa1"), "ad_linear": own("ad1"), "rd_linear": own("rd1"),
+    }
+    for k in (1, 2, 3):
+        named |= {f"dir{k}_{c}": own(f"u{k}{c}") for c in "xyz"}
+        if k > 1:
+            has = F.col("n_fibers") >= k
+            named |= {f"fiber_fraction_pop{k}": F.when(has, own(f"f{k}")), f"axial_diffusivity_pop{k}": own(f"ad{k}"), f"radial_diffusivity_pop{k}": own(f"rd{k}"), f"fiber_fa_pop{k}": own(f"fa{k}")}
+    return fitted.select(*keys, *[named[c].alias(c) for c in S.channels(compartments)])
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,11 +275,62 @@ def _rounded(rows: DataFrame, *same: str) -> DataFrame:
 
 @_query()
 def voxel_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fit of every voxel, with penalties of its own sample, and gate and response of labelled signals."""
+    """The result channels of every voxel, with grid and penalties of its own sample, and gate and response of labelled signals."""
     rows = X.signals(spark, sf_dir)
-    penalties = calibrated(rows, X.PROTOCOL)
-    gate, response = references(X.labelled_signals(spark, sf_dir), X.PROTOCOL, penalties=penalties)
-    return fit(rows, X.PROTOCOL, penalties=penalties, gate=gate, response=response)
+    sample = _sample(spark, sf_dir)
+    sigma = signals.sample_sigma(sample.withColumn("s0", F.lit(1.0)), X.PROTOCOL).first()["sigma"] or 0.0
+    config = Config(iso_steps=calibrated_grid(sample, X.PROTOCOL, sigma).first()["n_iso"], fibers=3)
+    penalties = calibrated(rows, X.PROTOCOL, config)
+    gate, response = references(X.labelled_signals(spark, sf_dir), X.PROTOCOL, config, penalties)
+    return results(fit(rows, X.PROTOCOL, config, penalties=penalties, gate=gate, response=response))
+
+
+@_query()
+def iso_grid_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of the isotropic grid by noisy replicates of a sample."""
+    sample = _sample(spark, sf_dir)
+    sigma = signals.sample_sigma(sample.withColumn("s0", F.lit(1.0)), X.PROTOCOL).first()["sigma"] or 0.0
+    return calibrated_grid(sample, X.PROTOCOL, sigma)
+
+
+@_query()
+def iso_penalty_sure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the isotropic penalty by cross-validation is near the least estimated risk of a sample."""
+    sample = _sample(spark, sf_dir).select("voxel_id", "signal", "s0")
+    sample = spark.createDataFrame(sample.collect(), sample.schema)  # SAMPLE voxels
+    sigma = signals.sample_sigma(sample.withColumn("s0", F.lit(1.0)), X.PROTOCOL).first()["sigma"] or 0.0
+    dictionary = Config().dictionary(X.PROTOCOL)
+    chosen = calibration.least(_iso_curve(spark, sample, dictionary)).first()["lambda"]
+    values = np.geomspace(chosen / 4, chosen * 4, 7)
+    values[3] = chosen
+    grid = list(map(float, dictionary.grid))
+    return calibration.sure_check(calibration.sure_risks(sample, dictionary.b, [(float(v), grid, float(v)) for v in values], sigma), float(chosen))
+
+
+@_query()
+def iso_grid_sure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the isotropic grid of the fit is near the least estimated risk among its neighbours, each with its own penalty."""
+    sample = _sample(spark, sf_dir).select("voxel_id", "signal", "s0")
+    sample = spark.createDataFrame(sample.collect(), sample.schema)  # SAMPLE voxels
+    sigma = signals.sample_sigma(sample.withColumn("s0", F.lit(1.0)), X.PROTOCOL).first()["sigma"] or 0.0
+    size, b = Config().iso_steps, np.array(X.PROTOCOL.b)
+    grids = {n: iso_grid(n) for n in range(size - 2, size + 3)}
+    best = calibration.grid_scores(spark, calibration.moments(sample, len(b)), b, grids)
+    penalties = {r["n_iso"]: r["lambda"] for r in best.collect()}  # five rows
+    return calibration.sure_check(calibration.sure_risks(sample, b, [(float(n), g, penalties[n]) for n, g in grids.items()], sigma), float(size))
+
+
+@_query()
+def refined_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The direction and tensor of one fiber, searched in cones around the nearest direction of a dictionary of 62."""
+    u = hemisphere(62)
+    rows = _rows(spark, sf_dir).withColumnsRenamed({"ux": "true_x", "uy": "true_y", "uz": "true_z"})
+    near = F.transform(F.array(*[F.array(*map(F.lit, d)) for d in u]), lambda d: F.abs(d[0] * F.col("true_x") + d[1] * F.col("true_y") + d[2] * F.col("true_z")))
+    at = F.array_position(near, F.array_max(near)).cast("int")
+    rows = rows.withColumn("at", at).withColumns({f"u{c}": F.element_at(C.doubles(d[i] for d in u), F.col("at")) for i, c in enumerate("xyz")})
+    out = solvers.refined_directions(rows, X.PROTOCOL, S.cone_schedule(S.spacing(u), math.radians(1.0)))
+    cos = lambda a: F.abs(sum((F.col(f"{a}{c}") * F.col(f"true_{c}") for c in "xyz"), F.lit(0.0)))
+    return out.select("voxel_id", "ref_x", "ref_y", "ref_z", "ref_ad", "ref_rd", "ref_error0", "ref_error", cos("u").alias("cos_grid"), cos("ref_").alias("cos_refined"), "ad_true", "rd_true")
 
 
 @_query()
@@ -248,6 +386,26 @@ def anchored_iso_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("voxel_id", *[_r(c / (w[0] + w[1] + w[2])).alias(n) for n, c in zip(("rf", "hf", "wf"), w)])
 
 
+_ANCHORED_TWO = """, short AS (SELECT voxel_id, b, s / avg(CASE WHEN b < 100 THEN s END) OVER (PARTITION BY voxel_id) AS sn FROM norm WHERE b <= 1000),
+h AS (SELECT voxel_id, sum(exp(-b * 0.3e-3)) AS xx, sum(exp(-b * 1.65e-3)) AS xy, sum(exp(-b * 3e-3)) AS yy, sum(exp(-b * 0.15e-3) * sn) AS xs, sum(exp(-b * 1.5e-3) * sn) AS ys FROM short GROUP BY voxel_id),
+c AS (SELECT voxel_id, xs, ys, xs / xx AS r, 0.0::DOUBLE AS i FROM h UNION ALL SELECT voxel_id, xs, ys, 0, ys / yy FROM h
+  UNION ALL SELECT voxel_id, xs, ys, (xs * yy - ys * xy) / (xx * yy - xy * xy), (ys * xx - xs * xy) / (xx * yy - xy * xy) FROM h),
+best AS (SELECT *, row_number() OVER (PARTITION BY voxel_id ORDER BY r * xs + i * ys DESC) AS place FROM c WHERE r >= 0 AND i >= 0)
+SELECT voxel_id, round(r / (r + i), 6) AS rf, round(i / (r + i), 6) AS nrf FROM best WHERE place = 1
+"""
+
+
+@_query(_ANCHORED_TWO)
+def anchored_two_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fractions of voxels without a fiber at the two fixed diffusivities of a protocol with one shell."""
+    keep = [i for i, b in enumerate(X.PROTOCOL.b) if b <= 1000]
+    protocol = Protocol(tuple(X.PROTOCOL.b[i] for i in keep), tuple(X.PROTOCOL.g[i] for i in keep))
+    rows = signals.normalised(X.signals(spark, sf_dir, protocol), protocol).select("voxel_id", "signal")
+    out = solvers.anchored_fractions(rows, protocol, fibers=0, iso=(S.D_RES, S.D_NONRES))
+    w = [F.get("anchored", F.lit(i)) for i in range(2)]
+    return out.select("voxel_id", *[_r(c / (w[0] + w[1])).alias(n) for n, c in zip(("rf", "nrf"), w)])
+
+
 @_query()
 def anchored_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fractions with the fiber's fitted tensor and known direction."""
@@ -290,7 +448,8 @@ def fiber_penalty_discrepancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     sigma = signals.sample_sigma(rows, X.PROTOCOL).first()["sigma"] or 0.0
     limit = len(X.PROTOCOL.b) * sigma**2
     curve = calibration.residual_curve(_sample(spark, sf_dir), dictionary, config.iso_penalty, list(np.logspace(-6, 4, 16)))
-    at = calibration.discrepancy(curve, limit, calibration.fiber_floor(dictionary, config.iso_penalty)).select(F.lit("discrepancy").alias("method"), "lambda")
+    value = calibration.discrepancy_search(_sample(spark, sf_dir), dictionary, config.iso_penalty, limit)
+    at = spark.createDataFrame([("discrepancy", float(value))], "method string, lambda double")
     return at.unionByName(calibration.cap(curve, limit).select(F.lit("cap").alias("method"), "lambda"))
 
 
@@ -341,7 +500,7 @@ def restricted_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(calibration.restricted_response(X.labelled(spark, sf_dir)), "ff_level", "rf_level")
 
 
-@_query(_LABELLED + """, m AS (SELECT ff_level, rf_level, max(rf_est) OVER (PARTITION BY ff_level ORDER BY rf_level) AS est, row_number() OVER (PARTITION BY ff_level ORDER BY rf_level) AS i, count(*) OVER (PARTITION BY ff_level) AS n FROM resp),
+_CORRECTED = _LABELLED + """, m AS (SELECT ff_level, rf_level, max(rf_est) OVER (PARTITION BY ff_level ORDER BY rf_level) AS est, row_number() OVER (PARTITION BY ff_level ORDER BY rf_level) AS i, count(*) OVER (PARTITION BY ff_level) AS n FROM resp),
 lev AS (SELECT ff_level, avg(ff_est) AS mid, row_number() OVER (ORDER BY avg(ff_est)) AS j, count(*) OVER () AS levels FROM resp GROUP BY ff_level),
 k AS (SELECT voxel_id, rf, m.ff_level, n, count(*) FILTER (WHERE est <= rf) AS below FROM truth CROSS JOIN m GROUP BY ALL),
 inv AS (SELECT k.voxel_id, k.ff_level, CASE WHEN below = 0 OR below = k.n THEN lo.rf_level ELSE lo.rf_level + (k.rf - lo.est) / (hi.est - lo.est) * (hi.rf_level - lo.rf_level) END AS v
@@ -349,8 +508,18 @@ inv AS (SELECT k.voxel_id, k.ff_level, CASE WHEN below = 0 OR below = k.n THEN l
 pick AS (SELECT voxel_id, ff, rf, hf, (SELECT count(*) FROM lev WHERE mid <= ff) AS nj FROM truth),
 out AS (SELECT p.voxel_id, p.rf, p.hf, greatest(0.0::DOUBLE, least(1.0::DOUBLE, a.v + CASE WHEN l.j < h.j AND p.ff > l.mid THEN (p.ff - l.mid) / (h.mid - l.mid) ELSE 0 END * (b.v - a.v))) AS c
   FROM pick p JOIN lev l ON l.j = greatest(nj, 1) JOIN lev h ON h.j = least(nj + 1, h.levels) JOIN inv a ON a.voxel_id = p.voxel_id AND a.ff_level = l.ff_level JOIN inv b ON b.voxel_id = p.voxel_id AND b.ff_level = h.ff_level)
-SELECT voxel_id, round(c, 6) AS rf_corrected, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, hf - (c - rf))), 6) AS hf_corrected FROM out""")
+"""
+
+
+@_query(_CORRECTED + "SELECT voxel_id, round(c, 6) AS rf_corrected, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, hf - (c - rf))), 6) AS hf_corrected FROM out")
 def restricted_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restricted and hindered fractions after inverting the response table."""
     out = calibration.corrected_restricted(X.truth(spark, sf_dir), calibration.restricted_response(X.labelled(spark, sf_dir)))
     return out.select("voxel_id", _r(F.col("rf_corrected")).alias("rf_corrected"), _r(F.col("hf_corrected")).alias("hf_corrected"))
+
+
+@_query(_CORRECTED + "SELECT count(*) FILTER (WHERE rf < 0.02) AS dead, round(avg(rf), 6) AS mean_before, round(avg(c), 6) AS mean_after FROM out")
+def restricted_dead_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels in the dead zone of the restricted fraction, and its mean before and after the correction."""
+    out = calibration.corrected_restricted(X.truth(spark, sf_dir), calibration.restricted_response(X.labelled(spark, sf_dir)))
+    return _rounded(diffusivity.dead_zone(out), "dead")

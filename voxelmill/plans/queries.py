@@ -132,15 +132,20 @@ def sample_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.sample_sigma(rows, X.PROTOCOL).select(_r(F.col("sigma")).alias("sigma"))
 
 
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = {"ad1": F.col("ad"), "rd1": F.col("rd"), "u1x": F.col("ux"), "u1y": F.col("uy"), "u1z": F.col("uz")}
+    return diffusivity.fit_quality(_fitted(spark, sf_dir).withColumns(one), X.PROTOCOL)
+
+
 @_query("SELECT voxel_id, round(r2, 6) AS r2, round(rmse, 6) AS rmse FROM qual")
 def fit_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diffusivity.fit_quality(_fitted(spark, sf_dir), X.PROTOCOL).select("voxel_id", _r(F.col("r2")).alias("r2"), _r(F.col("rmse")).alias("rmse"))
+    return _quality(spark, sf_dir).select("voxel_id", _r(F.col("r2")).alias("r2"), _r(F.col("rmse")).alias("rmse"))
 
 
 @_query("""SELECT round(quantile_cont(r2, 0.5), 6) AS median_r2, round(avg(r2), 6) AS mean_r2, round(avg((r2 > 0.99)::INT), 6) AS over_99, round(avg((r2 > 0.95)::INT), 6) AS over_95,
   round(avg((r2 > 0.9)::INT), 6) AS over_90, round(avg((r2 < 0.9)::INT), 6) AS under_90, round(quantile_cont(rmse, 0.5), 6) AS median_rmse, round(avg(rmse), 6) AS mean_rmse, round(avg((rmse > 0.05)::INT), 6) AS rmse_over_05 FROM qual""")
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = diffusivity.quality_report(diffusivity.fit_quality(_fitted(spark, sf_dir), X.PROTOCOL))
+    out = diffusivity.quality_report(_quality(spark, sf_dir))
     return out.select(*[_r(F.col(c)).alias(c) for c in out.columns])
 
 
@@ -153,6 +158,40 @@ def transition_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("voxel_id", _r(F.col("d"), 1000).alias("d_hin"), (_r(C.confidence(F.col("d"), 0.1e-3, 0.3e-3, 0.5e-3)) + 0.0).alias("conf_res_hin"), (_r(C.confidence(F.col("d"), 1.5e-3, 3e-3, 6e-3)) + 0.0).alias("conf_hin_wat"))
 
 
+@_query("""SELECT voxel_id, round(1000 * d, 6) AS d_nonrf, round(CASE WHEN d < 0.1e-3 OR d > 0.5e-3 THEN 1 WHEN d < 0.3e-3 THEN 1 - (d - 0.1e-3) / 0.2e-3 ELSE 1 - (0.5e-3 - d) / 0.2e-3 END, 6) + 0.0 AS conf_res,
+  round(CASE WHEN d < 1.5e-3 OR d > 6e-3 THEN 1 WHEN d < 3e-3 THEN 1 - (d - 1.5e-3) / 1.5e-3 ELSE 1 - (6e-3 - d) / 3e-3 END, 6) + 0.0 AS conf_wat
+  FROM (SELECT voxel_id, greatest(0.3e-3, least(3.5e-3, (adc * (rf + hf + wf) - rf * 0.15e-3) / (hf + wf))) AS d FROM (SELECT *, 2e-5 * (voxel_id % 120) AS adc FROM truth))""")
+def transition_confidence_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence at the compartments' limits where there are two isotropic ones."""
+    rows = X.truth(spark, sf_dir).withColumn("adc", 2e-5 * (F.col("voxel_id") % 120))
+    d = C.recover_nonrestricted(F.col("rf"), F.col("hf") + F.col("wf"), F.col("adc"))
+    return rows.withColumn("d", d).select("voxel_id", _r(F.col("d"), 1000).alias("d_nonrf"), (_r(C.confidence(F.col("d"), 0.1e-3, 0.3e-3, 0.5e-3)) + 0.0).alias("conf_res"), (_r(C.confidence(F.col("d"), 1.5e-3, 3e-3, 6e-3)) + 0.0).alias("conf_wat"))
+
+
+_TWO = """, two AS (
+  SELECT t.voxel_id, ff, rf, hf, wf, ad_true, rd_true, m, b, gx * u.ux + gy * u.uy + gz * u.uz AS c, gx * v.ux + gy * v.uy + gz * v.uz AS e, 1e-5 * (20 + voxel_id % 200) AS adc
+  FROM truth t JOIN dirs u ON u.d = t.dir_id JOIN dirs v ON v.d = (t.dir_id + 10) % 20 CROSS JOIN protocol),
+made AS (SELECT *, 0.6::DOUBLE * ff * exp(-b * (rd_true + (ad_true - rd_true) * c * c)) + 0.4::DOUBLE * ff * exp(-b * (rd_true + 1e-4 + (ad_true - rd_true - 1e-4) * e * e)) AS fibers,
+    rf * exp(-b * 0.15e-3) + hf * exp(-b * 1e-3) + wf * exp(-b * 3e-3) + 0.002::DOUBLE * (((7919 * voxel_id + 104729 * m) % 1000) / 999.0::DOUBLE - 0.5::DOUBLE) AS rest,
+    greatest(0.3e-3, least(3e-3, (adc * (rf + hf + wf) - rf * 0.15e-3 - wf * 3.05e-3) / hf)) AS d3, greatest(0.3e-3, least(3.5e-3, (adc * (rf + hf + wf) - rf * 0.15e-3) / (hf + wf))) AS d2 FROM two),
+off AS (SELECT voxel_id, fibers + rest AS s, rest - rf * exp(-b * 0.15e-3) - hf * exp(-b * d3) - wf * exp(-b * 3.05e-3) + CASE WHEN ff > 0.15 THEN 0 ELSE fibers END AS r3,
+    rest - rf * exp(-b * 0.15e-3) - (hf + wf) * exp(-b * d2) + CASE WHEN ff > 0.15 THEN 0 ELSE fibers END AS r2 FROM made),
+spread AS (SELECT voxel_id, sum(r3 * r3) AS q3, sum(r2 * r2) AS q2, sum(s * s) - sum(s) * sum(s) / 64 AS v FROM off GROUP BY voxel_id)
+SELECT voxel_id, round(1 - q3 / v, 6) AS r2, round(sqrt(q3 / 64), 6) AS rmse, round(1 - q2 / v, 6) AS r2_two, round(sqrt(q2 / 64), 6) AS rmse_two FROM spread
+"""
+
+
+@_query(_TWO)
+def fit_quality_populations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit quality of voxels with two fibers, with three and with two isotropic compartments whose diffusivities follow
+    from the mean one."""
+    rows = X.two_fibers(spark, sf_dir).withColumns({f"{n}{k}": F.col(f"{n}_{k}_true") for n in ("ad", "rd") for k in (1, 2)})
+    rows = rows.withColumns({"adc": 1e-5 * (20 + F.col("voxel_id") % 200), "nrf": F.col("hf") + F.col("wf")})
+    out = diffusivity.fit_quality(rows, X.PROTOCOL, 2, adc="adc").withColumnsRenamed({"r2": "r2_three", "rmse": "rmse_three"})
+    out = diffusivity.fit_quality(out, X.PROTOCOL, 2, three=False, adc="adc")
+    return out.select("voxel_id", _r(F.col("r2_three")).alias("r2"), _r(F.col("rmse_three")).alias("rmse"), _r(F.col("r2")).alias("r2_two"), _r(F.col("rmse")).alias("rmse_two"))
+
+
 @_query("""SELECT voxel_id, round(ad * 1000, 6) AS agg_ad, round(rd * 1000, 6) AS agg_rd, round(sqrt(1.5) * sqrt((ad - (ad + 2 * rd) / 3) ** 2 + 2 * (rd - (ad + 2 * rd) / 3) ** 2) / sqrt(ad * ad + 2 * rd * rd), 6) AS agg_fa
   FROM (SELECT voxel_id, (0.6 * ff * ad_true + 0.4 * ff * ad_true) / (0.6 * ff + 0.4 * ff) AS ad, (0.6 * ff * rd_true + 0.4 * ff * (rd_true + 1e-4)) / (0.6 * ff + 0.4 * ff) AS rd FROM truth)""")
 def fiber_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +213,17 @@ def compartment_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("voxel_id", *[_r(F.col(c)).alias(c) for c in shares], *[_r(F.col(c), 1000).alias(c) for c in ("hf_centroid", "mean_iso_adc")])
 
 
+@_query(""", a AS (SELECT l_orderkey AS voxel_id, 0.04::DOUBLE * l_discount AS adc, l_quantity::DOUBLE AS w, l_returnflag = 'R' AS aniso FROM lineitem),
+g AS (SELECT voxel_id, sum(w) AS tot, coalesce(sum(w) FILTER (WHERE NOT aniso AND adc <= 0.3e-3), 0) AS rf, coalesce(sum(w) FILTER (WHERE NOT aniso AND adc > 0.3e-3), 0) AS nrf, coalesce(sum(w) FILTER (WHERE NOT aniso AND adc > 3e-3), 0) AS wf,
+  sum(w * adc) FILTER (WHERE NOT aniso AND adc <= 0.3e-3) AS rd, sum(w * adc) FILTER (WHERE NOT aniso AND adc > 0.3e-3) AS nd, sum(w * adc) FILTER (WHERE NOT aniso AND adc > 3e-3) AS wd FROM a GROUP BY voxel_id)
+SELECT voxel_id, round(rf / tot, 6) AS restricted_fraction, round(nrf / tot, 6) AS nonrestricted_fraction, round(1000 * CASE WHEN rf > 1e-10 THEN rd / rf ELSE 0.15e-3 END, 6) AS rf_centroid,
+  round(1000 * CASE WHEN nrf > 1e-10 THEN nd / nrf ELSE 1.5e-3 END, 6) AS nrf_centroid, round(1000 * CASE WHEN wf > 1e-10 THEN wd / wf ELSE 3e-3 END, 6) AS wf_centroid FROM g""")
+def compartment_fractions_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fractions and centroids with two isotropic compartments."""
+    out = weights.fractions(X.atoms(spark, sf_dir))
+    return out.select("voxel_id", *[_r(F.col(c)).alias(c) for c in ("restricted_fraction", "nonrestricted_fraction")], *[_r(F.col(c), 1000).alias(c) for c in ("rf_centroid", "nrf_centroid", "wf_centroid")])
+
+
 _WEIGHTS = """, wd AS (
   SELECT i AS d, sqrt(1 - z * z) * cos(a) AS ux, sqrt(1 - z * z) * sin(a) AS uy, z AS uz
   FROM (SELECT i, 1 - (i + 0.5::DOUBLE) / 12 AS z, 2 * pi() * i / ((1 + sqrt(5)) / 2) AS a FROM range(12) t(i))),
@@ -224,6 +274,19 @@ def dominant_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("voxel_id", F.get("dirs", F.lit(0)).alias("first_dir"), F.coalesce(F.get("dirs", F.lit(1)), F.lit(-1)).alias("second_dir"))
 
 
+@_query(_WEIGHTS + """, x AS (SELECT *, row_number() OVER (PARTITION BY voxel_id ORDER BY mass DESC, peak) AS k, max(mass) OVER (PARTITION BY voxel_id) AS most FROM basin),
+one AS (SELECT * FROM x WHERE k = 1 AND mass >= 0.35 * total),
+two AS (SELECT DISTINCT voxel_id FROM x JOIN one o USING (voxel_id) JOIN wd a ON a.d = o.peak JOIN wd b ON b.d = x.peak
+  WHERE x.k > 1 AND x.mass >= 0.05 * x.total AND x.mass >= 0.35 * x.most AND abs(a.ux * b.ux + a.uy * b.uy + a.uz * b.uz) <= cos(radians(35)))
+SELECT count(*) AS voxels, (SELECT count(*) FROM one) AS fitted, (SELECT count(*) FROM two) AS several, round(100.0 * (SELECT count(*) FROM two) / (SELECT count(*) FROM one), 6) AS percent FROM embeddings""")
+def population_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels, those with a fiber, and those with several."""
+    dirs = weights.dominant_directions(weights.basins(*_totals(spark, sf_dir), X.WEIGHT_DIRECTIONS), X.WEIGHT_DIRECTIONS)
+    rows = X.weights(spark, sf_dir).select("voxel_id").join(dirs, "voxel_id", "left")
+    fitted, several = F.count("dirs"), F.count_if(F.size("dirs") > 1)
+    return rows.agg(F.count("*").alias("voxels"), fitted.alias("fitted"), several.alias("several"), _r(100.0 * several / fitted).alias("percent"))
+
+
 @_query("""SELECT scenario, round(0.4 * mae_ff + 0.6 * mae_rf + 0.3 * (mae_ad + mae_rd), 6) AS loss, round(mae_ad, 6) AS mae_ad, round(mae_rd, 6) AS mae_rd, round(weight, 6) AS weight FROM (
   SELECT scenario, avg(abs(ff - ff0)) AS mae_ff, avg(abs(rf - rf0)) AS mae_rf, avg(CASE WHEN ff > 0.15 THEN abs(ad - ad_true) / ad_true END) AS mae_ad,
     avg(CASE WHEN ff > 0.15 THEN abs(rd - rd_true) / rd_true END) AS mae_rd, avg(weight) AS weight FROM fit JOIN truth USING (voxel_id) GROUP BY scenario)""")

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 FIBER_THRESHOLD = 0.15
 RES_MAX, WAT_MIN = 0.3e-3, 3.0e-3
 D_RES, D_HIN, D_WAT, D_NONRES = 0.15e-3, 1.0e-3, 3.0e-3, 1.5e-3
+D_WAT_MEAN, ISO_MAX = 3.05e-3, 3.5e-3
 B0_NORMALISE, B0_NOISE = 100.0, 50.0
 AD_MIN, AD_MAX, RD_MIN, RD_MAX = 0.05e-3, 3.5e-3, 0.15e-3, 3.0e-3
 PEAK_RATIO, CONCENTRATION_GATE, LEAST_WEIGHT, SEPARATION_DEG = 0.35, 0.35, 0.05, 35.0
@@ -80,9 +81,34 @@ def iso_grid(n: int = 10, lo: float = 0.1e-3, hi: float = 5.0e-3) -> list[float]
     return out
 
 
+def linear_grid(n: int, lo: float = 0.0, hi: float = 3.0e-3) -> list[float]:
+    """n diffusivities at equal distances."""
+    return [lo + (hi - lo) * i / (n - 1) for i in range(n)] if n > 1 else [lo]
+
+
+def spacing(directions: list[tuple[float, float, float]]) -> float:
+    """Mean angle between each direction and the one nearest to it."""
+    nearest = (max(sum(a * b for a, b in zip(u, v)) for j, v in enumerate(directions) if j != i) for i, u in enumerate(directions))
+    return sum(math.acos(max(-1.0, min(1.0, x))) for x in nearest) / len(directions)
+
+
+def cone_schedule(grid: float, target: float) -> list[tuple[float, int]]:
+    """Half angle and number of directions of the cones that lead from a grid's spacing to a target angle, by equal ratios;
+    none where the grid is as fine as the target."""
+    if target >= grid:
+        return []
+    middle = math.sqrt(grid * target)
+    return [(grid, max(4, math.ceil((grid / middle) ** 2 - 1e-9))), (middle, max(4, math.ceil((middle / target) ** 2 - 1e-9)))]
+
+
 CHANNELS = (
     "fiber_fraction restricted_fraction hindered_fraction water_fraction nonrestricted_fraction axial_diffusivity radial_diffusivity fiber_fa "
     "mean_iso_adc ad_linear rd_linear n_fiber_populations dir1_x dir1_y dir1_z fiber_fraction_pop2 axial_diffusivity_pop2 radial_diffusivity_pop2 "
     "fiber_fa_pop2 dir2_x dir2_y dir2_z fiber_fraction_pop3 axial_diffusivity_pop3 radial_diffusivity_pop3 fiber_fa_pop3 dir3_x dir3_y dir3_z "
     "dominant_basin_concentration"
 ).split()
+
+
+def channels(compartments: int = 3) -> list[str]:
+    """Names of the result channels; two isotropic compartments have no hindered and water fractions."""
+    return [c for c in CHANNELS if compartments == 3 or c not in ("hindered_fraction", "water_fraction")]

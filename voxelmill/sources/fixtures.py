@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from voxelmill import schema as S
 from voxelmill.functions import columns as C
+from voxelmill.operators.solvers import fit_rows, values_of
 from voxelmill.schema import Protocol, hemisphere
 
 DIRECTIONS = hemisphere(20)
@@ -19,10 +24,17 @@ WEIGHT_DIRECTIONS = hemisphere(12)
 LABELLED = 1440
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table of few splits dealt to all cores; one with as many as there are stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, rows.columns[0]) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One voxel for each part."""
     k = F.col("voxel_id")
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("voxel_id"), F.col("p_retailprice").alias("s0_true"), F.col("p_brand").alias("scenario"), (F.col("p_size") / 50.0).alias("weight"))
+    rows = spread(rows)
     rows = rows.select("*", (0.20 + 0.01 * (37 * k % 61)).alias("ff"), (0.01 * (53 * k % 21)).alias("rf"), (0.10 + 0.01 * (71 * k % 41)).alias("hf"), (0.01 * (89 * k % 11)).alias("wf"))
     tot = F.col("ff") + F.col("rf") + F.col("hf") + F.col("wf")
     rows = rows.withColumns({n: F.col(n) / tot for n in ("ff", "rf", "hf", "wf")})
@@ -31,19 +43,33 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"ux": u[0], "uy": u[1], "uz": u[2]})
 
 
+def _noise(k: np.ndarray, n: int) -> np.ndarray:
+    """Noise of n measurements of each voxel, in [-0.5, 0.5]."""
+    return (7919 * k[:, None] + 104729 * np.arange(n)) % 1000 / 999.0 - 0.5
+
+
+def _parts(part: pa.RecordBatch, b: np.ndarray) -> np.ndarray:
+    """The isotropic signal of ``truth``."""
+    return sum(values_of(part, n)[:, None] * np.exp(-b * d) for n, d in (("rf", S.D_RES), ("hf", S.D_HIN), ("wf", S.D_WAT)))
+
+
+def _fiber(part: pa.RecordBatch, names: tuple[str, ...], b: np.ndarray, g: np.ndarray) -> np.ndarray:
+    f, ad, rd, *u = (values_of(part, n)[:, None] for n in names)
+    return f * np.exp(-b * (rd + (ad - rd) * (np.hstack(u) @ g.T) ** 2))
+
+
 def signals(spark: SparkSession, sf_dir: str, protocol: Protocol = PROTOCOL) -> DataFrame:
     """``truth`` with its noisy signal; every 97th voxel is dead (all zero)."""
-    rows = truth(spark, sf_dir).withColumn("_c2", C.squared_cosines(F.col("ux"), F.col("uy"), F.col("uz"), protocol))
-    points = F.arrays_zip(C.doubles(protocol.b).alias("b"), F.col("_c2").alias("c"), F.sequence(F.lit(0), F.lit(len(protocol.b) - 1)).alias("m"))
+    b, g = np.array(protocol.b), np.array(protocol.g)
 
-    def value(p):  # noqa: ANN001, ANN202
-        b = p["b"]
-        fiber = F.col("ff") * F.exp(-b * (F.col("rd_true") + (F.col("ad_true") - F.col("rd_true")) * p["c"]))
-        iso = F.col("rf") * F.exp(-b * 0.15e-3) + F.col("hf") * F.exp(-b * 1e-3) + F.col("wf") * F.exp(-b * 3e-3)
-        noise = 0.02 * F.col("s0_true") * (((7919 * F.col("voxel_id") + 104729 * p["m"]) % 1000) / 999.0 - 0.5)
-        return F.when(F.col("voxel_id") % 97 == 0, F.lit(0.0)).otherwise(F.col("s0_true") * (fiber + iso) + noise)
+    def solve(part: pa.RecordBatch) -> list[pa.Array]:
+        k = part.column("voxel_id").to_numpy()
+        s0 = values_of(part, "s0_true")[:, None]
+        s = s0 * (_fiber(part, ("ff", "ad_true", "rd_true", "ux", "uy", "uz"), b, g) + _parts(part, b)) + 0.02 * s0 * _noise(k, len(b))
+        s[k % 97 == 0] = 0.0
+        return [pa.array(list(s), pa.list_(pa.float64()))]
 
-    return rows.withColumn("signal", F.transform(points, value)).drop("_c2")
+    return fit_rows(truth(spark, sf_dir), solve, [("signal", T.ArrayType(T.DoubleType()))])
 
 
 def two_fibers(spark: SparkSession, sf_dir: str, protocol: Protocol = PROTOCOL) -> DataFrame:
@@ -53,16 +79,15 @@ def two_fibers(spark: SparkSession, sf_dir: str, protocol: Protocol = PROTOCOL)
     at = {1: F.col("dir_id"), 2: (F.col("dir_id") + 10) % 20}
     rows = rows.withColumns({f"u{k}{c}": F.element_at(C.doubles(d[i] for d in DIRECTIONS), at[k] + 1) for k in at for i, c in enumerate("xyz")})
     rows = rows.withColumns({"f1": 0.6 * F.col("ff"), "f2": 0.4 * F.col("ff"), "ad_1_true": F.col("ad_true"), "rd_1_true": F.col("rd_true"), "ad_2_true": F.col("ad_true"), "rd_2_true": F.col("rd_true") + 1e-4})
-    b = C.doubles(protocol.b)
-    iso = F.transform(b, lambda x: F.col("rf") * F.exp(-x * 0.15e-3) + F.col("hf") * F.exp(-x * 1e-3) + F.col("wf") * F.exp(-x * 3e-3))
+    b, g = np.array(protocol.b), np.array(protocol.g)
 
-    def fiber(k: int):  # noqa: ANN202
-        shape = C.squared_cosines(*[F.col(f"u{k}{c}") for c in "xyz"], protocol)
-        return F.transform(C.fiber_signal(b, shape, F.col(f"ad_{k}_true"), F.col(f"rd_{k}_true")), lambda x: F.col(f"f{k}") * x)
+    def solve(part: pa.RecordBatch) -> list[pa.Array]:
+        iso = _parts(part, b)
+        s = iso + sum(_fiber(part, (f"f{k}", f"ad_{k}_true", f"rd_{k}_true", f"u{k}x", f"u{k}y", f"u{k}z"), b, g) for k in (1, 2))
+        s = s + 0.002 * _noise(part.column("voxel_id").to_numpy(), len(b))
+        return [pa.array(list(x), pa.list_(pa.float64())) for x in (iso, s)]
 
-    points = F.arrays_zip(iso.alias("i"), fiber(1).alias("p"), fiber(2).alias("q"), F.sequence(F.lit(0), F.lit(len(protocol.b) - 1)).alias("m"))
-    noise = lambda m: 0.002 * (((7919 * F.col("voxel_id") + 104729 * m) % 1000) / 999.0 - 0.5)
-    return rows.withColumn("iso_signal", iso).withColumn("signal", F.transform(points, lambda x: x["i"] + x["p"] + x["q"] + noise(x["m"])))
+    return fit_rows(rows, solve, [("iso_signal", T.ArrayType(T.DoubleType())), ("signal", T.ArrayType(T.DoubleType()))])
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
