@@ -75,7 +75,9 @@ def test_simhash(docs, rows, empty):
         h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else []
         return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
-    fp = [brute(r[1][:2000] if r[0] == 304 else r[1]) for r in rows]
+    fp = [brute(r[1]) for r in rows]
+    hexed = simhash_dedup.simhash_classes(docs).select("doc_id", simhash_dedup.hexadecimal(F.col("fp")).alias("fp")).collect()
+    assert Counter((r.doc_id, r.fp) for r in hexed) == Counter((r[0], f"{f:016x}") for r, f in zip(rows, fp))
     parent = list(range(len(rows)))
 
     def find(x):
@@ -95,6 +97,19 @@ def test_simhash(docs, rows, empty):
     assert simhash_dedup.near_dedup(docs).count() == len({find(k) for k in range(len(rows))})
 
 
+def test_links_by_any_number_of_blocks(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(-(1 << 62), 1 << 62, 40)
+    fps = sorted({int(b) ^ sum(1 << int(k) for k in set(rng.integers(0, 63, rng.integers(0, 6)).tolist())) for b in base for _ in range(6)})
+    want = {(a, b) for a, b in itertools.combinations(fps, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
+    nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
+    closure = lambda links: {(r.node, r.root) for r in components.components(spark.createDataFrame(list(links), "a long, b long")).collect()}
+    for shared in (2, 3, 4):
+        got = [(r.a, r.b) for r in simhash_dedup.links(nodes, shared=shared).collect()]
+        assert all((min(p), max(p)) in want for p in got) and closure(got) == closure(want)
+    assert simhash_dedup.shared_blocks(10**6, 4) == 2 and simhash_dedup.shared_blocks(2 * 10**10, 4) == 3
+
+
 def test_simhash_dense_group():
     rng = np.random.default_rng(5)
     centre = int(rng.integers(1 << 62))
@@ -329,6 +344,57 @@ def test_decontamination(spark, empty):
     assert decontaminate.benchmark_matches(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_decontamination_recall(spark):
+    """Edited copies at similarities around the limit, against all windows of all documents."""
+    rng = np.random.default_rng(11)
+    item = [" ".join(f"w{x}" for x in rng.integers(0, 4000, int(rng.integers(30, 120)))) for _ in range(25)]
+    noise = lambda n: [f"n{x}" for x in rng.integers(0, 4000, n)]
+    texts = []
+    for t in item:
+        for edits in (0, 1, 2, 3, 4):
+            w = t.split()
+            for spot in rng.integers(0, len(w), edits):
+                w[spot] = f"e{spot}"
+            texts.append(" ".join(noise(12) + w + noise(9)))
+    docs, bench = make(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), spark.createDataFrame([*enumerate(item)], "item_id long, text string")
+    shingles = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    having = Counter(s for t in item for s in shingles(t.split()))
+    weigh = lambda bag: sum(c * math.log(1 + len(item) / having.get(s, 1)) for s, c in bag.items())
+    want = {}
+    for d, t in enumerate(texts):
+        w = t.split()
+        for i, own in enumerate(item):
+            mine, n = shingles(own.split()), len(own.split())
+            if not set(mine) & set(shingles(w)):
+                continue
+            best = max((weigh(mine & bag) / weigh(mine | bag) for bag in (shingles(w[a : a + n]) for a in range(len(w) - n + 1))), default=0)
+            if best >= decontaminate.SIMILARITY:
+                want[d, i] = best
+    got = {(r.doc_id, m.item_id): m.similarity for r in decontaminate.benchmark_matches(docs, bench).collect() for m in r.matches}
+    assert sum(0.8 <= v < 0.9 for v in want.values()) >= 15
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want) and all(math.isclose(got[k], want[k]) for k in got)
+
+
+def test_decontamination_in_small_steps(spark, monkeypatch):
+    """Bounds on what is in hand at once change no result."""
+    text = " ".join(["a b c d e f"] * 60)
+    docs = make(spark, [(1, text + " g h i", "en", "s"), (2, "x " + text, "en", "s")])
+    bench = spark.createDataFrame([(1, text[:200]), (2, "a b c d e f a b c d e f a b"), (3, "b c d e f a")], "item_id long, text string")
+    run = lambda: sorted(map(str, decontaminate.benchmark_matches(docs, bench).collect()))
+    want = run()
+    items = decontaminate.Items([1, 2, 3], [text[:200], "a b c d e f a b c d e f a b", "b c d e f a"])
+    words = decontaminate.plain_words(pa.array([text]))
+    found = {k: [i for i in range(len(words) - 4)] for k in range(3)}
+    for pairs, span in ((1 << 18, 1 << 14), (7, 5)):
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+        monkeypatch.setattr(decontaminate, "SPAN", span)
+        made = [items.matches(words.hashes(), found, lambda i, j: b" ".join(text.encode().split()[i:j]))]
+        assert made[0] == items.matches(words.hashes(), found, lambda i, j: b" ".join(text.encode().split()[i:j]))
+        got = [np.concatenate(x).tolist() for x in zip(*items.candidates(14, [1], found, len(words)))]
+        assert got[1] == list(range(len(words) - 13))
+    assert want == run() and "item_id=1" in want[0]
+
+
 def test_decontamination_blocks(spark):
     """Items that share phrases, in one block and in many."""
     rng = np.random.default_rng(18)
@@ -348,6 +414,43 @@ def test_decontamination_blocks(spark):
     assert any("item_id" in r for r in got[0]) and got[0] == got[1] == got[2]
 
 
+def test_quality_by_brute_force(spark):
+    """Scores against Gaussian log-densities with explicit covariances, their inverses and determinants."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(200)], "doc_id long, quality int")
+    got = {r.doc_id: (r.held_out, r.score, r.predicted) for r in quality.quality_scores(docs, labels).collect()}
+    rows = docs.select("doc_id", "text").toPandas()
+    x = quality.statistics(pa.array(rows["text"].tolist(), pa.string()))
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in rows["doc_id"]])
+    label = np.array([i % 3 % 2 if i < 200 else -1 for i in rows["doc_id"]])
+    use = [x[~held & (label == k)] for k in (0, 1)]
+    n = sum(map(len, use))
+    centred = [u - u.mean(0) for u in use]
+    pooled = sum(c.T @ c for c in centred) / n
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-12))
+    value = []
+    for k in (0, 1):
+        cov = ((1 - quality.POOL) * centred[k].T @ centred[k] / len(use[k]) + quality.POOL * pooled) / np.outer(scale, scale)
+        cov = (1 - quality.RIDGE) * cov + quality.RIDGE * np.trace(cov) / len(cov) * np.eye(len(cov))
+        off = (x - use[k].mean(0)) / scale
+        value.append(np.log(len(use[k]) / n) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off))
+    want = 1 / (1 + np.exp(value[0] - value[1]))
+    for i, h, s in zip(rows["doc_id"], held, want):
+        assert got[i][0] == h and math.isclose(got[i][1], s, abs_tol=1e-6) and got[i][2] == (got[i][1] >= 0.3)
+
+
+def test_statistics_of_a_text():
+    text = "The cat. THE CAT!\nfree | money $$$ a\n\nThe cat."
+    words, lines = text.split(), text.split("\n")
+    got = dict(zip(quality.NAMES, quality.statistics(pa.array([text]))[0]))
+    share = lambda k, n: math.asin(math.sqrt(k / n))
+    assert math.isclose(got["bytes"], math.log1p(len(text))) and math.isclose(got["words"], math.log1p(len(words)))
+    assert math.isclose(got["unique_words"], share(len(set(words)), len(words))) and math.isclose(got["unique_bigrams"], share(len(set(zip(words, words[1:]))), len(words) - 1))
+    assert math.isclose(got["upper"], share(sum(c.isupper() for c in text), len(text))) and math.isclose(got["bar"], share(1, len(text)))
+    assert math.isclose(got["mean_word"], math.log1p(np.mean([len(w) for w in words]))) and math.isclose(got["lines"], math.log1p(len(lines)))
+    assert math.isclose(got["entropy"], -sum(c / len(text) * math.log(c / len(text)) for c in Counter(text).values()))
+
+
 def test_quality(spark, docs, empty):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -449,6 +552,24 @@ def test_language(spark, docs, empty):
     labels = language.label_words(mixed, model).first()
     assert labels.langs[2] == "en" and labels.langs[-2] == "de"
     assert language.in_language(docs).columns == docs.columns
+    assert labels.words[2] == "of" and language.letter_words(pa.array(["\u0301a\u0301b c\u0301 1\u0301"])).first.tolist() == [0, 2]
+
+
+def test_in_language_rejects_what_was_not_learned(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(6)
+    junk = " ".join("".join(rng.choice(list("xqzjkvw"), 6)) for _ in range(60))
+    foreign = " ".join("".join(rng.choice(list("абвгдежзиклмн"), 5)) for _ in range(60))
+    planted = spark.createDataFrame([(10**9 + i, t, None, "s", 0) for i, t in enumerate((junk, foreign, "12345 !!", None))], table.schema)
+    kept = {r.doc_id for r in language.in_language(table.unionByName(planted)).select("doc_id").collect()}
+    assert not kept & {10**9 + i for i in range(4)} and len(kept) >= 0.999 * table.count()
+
+
+def test_language_sample_is_the_same_over_any_partitions(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    repeated = table.unionByName(table.limit(1).crossJoin(spark.range(50)).drop("id"))
+    a, b = (language.fit(repeated.repartition(n), 20) for n in (1, 5))
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.lexicon, b.lexicon)
 
 
 def test_forward_backward():

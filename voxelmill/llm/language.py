@@ -1,22 +1,26 @@
 """Word-level language ID with a linear-chain conditional random field.
 
-Words are maximal runs of letters (``\\p{L}``), lower-cased.  A word's emission score for each
-language is a sum of learned weights of hashed features: its prefixes and suffixes of up to
-``AFFIX`` bytes, its byte n-grams of the orders ``ORDERS``, and lexicon features (the whole word, for
-words of the training sample, each of which has its own weight).  Transitions between languages and
-the start scores are learned with the emissions by maximising the conditional likelihood with
+Words are maximal runs of letters and their marks (``[\\p{L}\\p{M}]``, from the first letter on), lower-cased.  A word's emission
+score for each language is a sum of learned weights: of its prefixes and suffixes of up to ``AFFIX`` bytes and its byte n-grams of
+the orders ``ORDERS``, which share 2**``BITS`` hashed slots (fewer with over 64 languages, so that the table stays within
+``TABLE_BYTES``), and of its entry in the lexicon, the words that the training sample has twice or more (all others share one entry).
+Transitions between languages and the start scores are learned with the emissions by maximising the conditional likelihood with
 forward-backward and AdaGrad.  A text's words are labelled by their marginals, so a text may switch
 languages; its language is the one with the largest sum of marginals, and the score is that sum's
 share.
 
 The model is fitted on a bounded sample: about ``PER_LANGUAGE`` rows of each language, chosen by a hash
-of ``doc_id`` among rows that are not held out (crc32 of ``doc_id`` as text not 0 modulo ``FOLDS``),
-at most ``WORDS`` words each from a random place.  Stretches of different rows are joined to training
-sequences, so that switches are seen.  Everything else covers all rows and whole texts.
+of ``doc_id`` among rows that are not held out (crc32 of ``doc_id`` as text not 0 modulo ``FOLDS``), never over twice that many,
+of each a piece of ``PIECE`` characters at a random place and of that at most ``WORDS`` words.  Stretches of different rows are joined to
+training sequences, so that switches are seen.  Everything else covers all rows and whole texts.
+
+``in_language`` keeps documents whose language is known: with a score of ``SCORE`` or more and, from ``EVIDENCE`` words on, with at least a share
+of ``KNOWN`` of them in the lexicon, without which any text would be given to the language that it resembles most.  A shorter
+text may have only words that the sample has not.
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything if nothing can be
 learned.  A null ``doc_id`` counts as held out.  Repeated rows each get a result; other columns are
-ignored.
+ignored.  A chunk of text takes some 200 bytes a byte while it is worked on; texts over ``chunks``' limit are chunks of their own.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelmill.llm.quality import held_out
@@ -36,6 +40,9 @@ from voxelmill.llm.textops import Spans, Words, chunks, column_bytes, mix
 AFFIX = 3
 ORDERS = (2, 3)
 BITS = 18
+TABLE_BYTES = 64 << 20
+#: Least score of a document whose language is known, and least share of words in the lexicon of one with ``EVIDENCE`` words or more.
+SCORE, KNOWN, EVIDENCE = 0.35, 0.1, 20
 PER_LANGUAGE = 400
 WORDS = 150
 #: Characters of a sampled row that are fetched.
@@ -51,8 +58,23 @@ LONG = 4096
 
 
 def letter_words(column: pa.Array) -> Words:
-    """The runs of letters of each text, lower-cased."""
-    return Words(*column_bytes(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(column.cast(pa.string()), "")), r"[^\p{L}]+", " ")))
+    """The runs of letters and marks of each text, lower-cased, from their first letter on."""
+    text = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(column.cast(pa.string()), "")), r"[^\p{L}\p{M}]+", " ")
+    data, offsets = column_bytes(text)
+    if len(data) and data.max() >= 0xCC:  # below that, there are no marks
+        data, offsets = column_bytes(pc.replace_substring_regex(text, r"(^| )\p{M}+", r"\1"))
+    return Words(data, offsets)
+
+
+def word_hashes(words: Words) -> np.ndarray:
+    return Spans(words.data.astype(np.uint64) + np.uint64(1), "byte").hash(words.start, words.end)
+
+
+def entries(hashes: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+    """The place of each word in the (rising) lexicon; its length for one that is not there."""
+    at = np.searchsorted(lexicon, hashes)
+    at[at < len(lexicon)] = np.where(lexicon[at[at < len(lexicon)]] == hashes[at < len(lexicon)], at[at < len(lexicon)], len(lexicon))
+    return at
 
 
 def _some(words: Words, which: np.ndarray) -> Words:
@@ -62,13 +84,12 @@ def _some(words: Words, which: np.ndarray) -> Words:
     return out
 
 
-def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, feature) of all features of all words."""
-    data = words.data.astype(np.uint64) + np.uint64(1)
-    spans = Spans(data, "byte")
+def features(words: Words, lexicon: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, feature) of all features of all words: hashed slots first, then the lexicon and its last entry."""
+    spans = Spans(words.data.astype(np.uint64) + np.uint64(1), "byte")
     size = words.end - words.start
     number = np.arange(len(words))
-    at, value = [number], [spans.hash(words.start, words.end)]
+    at, value = [], []
 
     def add(which: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int) -> None:
         at.append(which)
@@ -84,7 +105,9 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
         inside = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
         start = words.start[which] + inside
         add(which, start, start + k, 20 + k)
-    return np.concatenate(at), (np.concatenate(value) >> np.uint64(64 - BITS)).astype(np.int64)
+    slots = (np.concatenate(value) >> np.uint64(64 - bits)).astype(np.int64)
+    own = (1 << bits) + entries(spans.hash(words.start, words.end), lexicon)
+    return np.concatenate([*at, number]), np.concatenate([slots, own])
 
 
 def _emissions(at: np.ndarray, feature: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
@@ -173,23 +196,27 @@ def forward_backward(emission: np.ndarray, begins: np.ndarray, start: np.ndarray
 
 
 class Model:
-    """Weights of features, transitions and start, and the language of each column."""
+    """Weights of features, transitions and start, the language of each column, and the lexicon's hashes."""
 
-    def __init__(self, languages: list[str], weights: np.ndarray, transition: np.ndarray, start: np.ndarray):
-        self.languages, self.weights, self.transition, self.start = languages, weights, transition, start
+    def __init__(self, languages: list[str], weights: np.ndarray, transition: np.ndarray, start: np.ndarray, lexicon: np.ndarray, bits: int):
+        self.languages, self.weights, self.transition, self.start = languages, weights.astype(np.float32), transition, start
+        self.lexicon, self.bits = lexicon, bits
 
     def marginals(self, words: Words) -> np.ndarray:
         """For each word, the probability of each language given its whole text."""
         if not len(words):
             return np.zeros((0, len(self.languages)))
-        own = Spans(words.data.astype(np.uint64) + np.uint64(1), "byte").hash(words.start, words.end)
-        _, first, back = np.unique(own, return_index=True, return_inverse=True)
-        emission = _emissions(*features(_some(words, first)), self.weights, len(first))[back]
+        _, first, back = np.unique(word_hashes(words), return_index=True, return_inverse=True)
+        emission = _emissions(*features(_some(words, first), self.lexicon, self.bits), self.weights, len(first))[back]
         begins = np.zeros(len(words), bool)
         begins[words.first[:-1][np.diff(words.first) > 0]] = True
         alpha, beta = forward_backward(emission, begins, self.start, self.transition)
         return _normal(alpha * beta)
 
+    def known(self, words: Words) -> np.ndarray:
+        """Whether each word is in the lexicon."""
+        return entries(word_hashes(words), self.lexicon) < len(self.lexicon)
+
 
 def train(texts: list[str], labels: list[str], seed: int = 17, epochs: int = EPOCHS) -> Model:
     """Fits the field on whole texts, each of one language."""
@@ -209,13 +236,16 @@ def train(texts: list[str], labels: list[str], seed: int = 17, epochs: int = EPO
             stretches.append((n, n + c - a, languages.index(label)))
             n, a = n + c - a, c
     chosen, counts, parts = np.concatenate(taken), [], []
+    seen, times = np.unique(word_hashes(_some(words, chosen)), return_counts=True)
+    lexicon = seen[times > 1]
+    bits = min(BITS, int(np.log2(TABLE_BYTES / 4 / k)))
     for i in range(0, n, 20_000):
-        at, feature = features(_some(words, chosen[i : i + 20_000]))
+        at, feature = features(_some(words, chosen[i : i + 20_000]), lexicon, bits)
         counts.append(np.bincount(at, minlength=min(20_000, n - i)))
         parts.append(feature[np.argsort(at, kind="stable")].astype(np.int32))
     feature, edge = np.concatenate(parts or [np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum(np.concatenate(counts or [np.zeros(0, np.int64)]))])
     del words, parts, chosen, taken
-    weights, transition, start = np.zeros((1 << BITS, k)), np.zeros((k, k)), np.zeros(k)
+    weights, transition, start = np.zeros(((1 << bits) + len(lexicon) + 1, k)), np.zeros((k, k)), np.zeros(k)
     g_weights, g_transition, g_start = np.full_like(weights, 1e-2), np.full_like(transition, 1.0), np.full_like(start, 1.0)
     rate = 0.3
     for _ in range(epochs):
@@ -249,7 +279,7 @@ def train(texts: list[str], labels: list[str], seed: int = 17, epochs: int = EPO
             for value, grad, store in ((transition, d_transition + 0.1 * transition, g_transition), (start, d_start + 0.1 * start, g_start)):
                 store += grad * grad
                 value -= rate * grad / np.sqrt(store)
-    return Model(languages, weights, transition, start)
+    return Model(languages, weights, transition, start, lexicon, bits)
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
@@ -262,29 +292,32 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     chance = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # Of a sampled row, a piece at a random place, in which WORDS words are taken.
     cut = F.col("text").substr((F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.char_length("text") - PIECE, F.lit(1))) + 1).cast("int"), F.lit(PIECE))
-    sample = rows.filter(chance < F.try_element_at(share, F.col("lang"))).select("doc_id", cut.alias("text"), "lang").limit(4 * per_language * len(counts)).collect()
+    sample = rows.filter(chance < F.try_element_at(share, F.col("lang"))).select("doc_id", F.xxhash64("text").alias("uid"), cut.alias("text"), "lang", chance.alias("chance"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "doc_id", "uid"))  # only rows that repeat an id make it large
+    sample = sample.withColumn("place", place).filter(F.col("place") <= 2 * per_language).select("doc_id", "text", "lang").collect()
     sample = sorted(sample, key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in sample], [r["lang"] for r in sample]) if sample else None
 
 
-def _scores(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray]:
-    """The language of each text, and its share of the marginals."""
+def _scores(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The language of each text, its share of the marginals, and the share of words in the lexicon (1 for a short text)."""
     n = len(texts)
     if model is None:
-        return [UNKNOWN] * n, np.zeros(n)
+        return [UNKNOWN] * n, np.zeros(n), np.zeros(n)
     words = letter_words(texts)
     count = np.diff(words.first)
-    gamma = model.marginals(words)
-    total = np.stack([np.bincount(words.rows(), g, n) for g in gamma.T], axis=1)
+    gamma, rows = model.marginals(words), words.rows()
+    total = np.stack([np.bincount(rows, g, n) for g in gamma.T], axis=1)
     best = total.argmax(1)
     score = np.where(count > 0, np.clip(total[np.arange(n), best] / np.maximum(count, 1), 0, 1), 0.0)
-    return [model.languages[b] if c else UNKNOWN for b, c in zip(best.tolist(), count.tolist())], score
+    known = np.where(count >= EVIDENCE, np.bincount(rows, model.known(words), n) / np.maximum(count, 1), 1.0)
+    return [model.languages[b] if c else UNKNOWN for b, c in zip(best.tolist(), count.tolist())], score, known
 
 
 @released
 def _identify(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
-        pred, score = _scores(batch.column("text"), model)
+        pred, score, _ = _scores(batch.column("text"), model)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
 
@@ -313,8 +346,9 @@ def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return rows.mapInArrow(lambda it: _identify(it, sent.value), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def in_language(docs: DataFrame, least: float = 0.35) -> DataFrame:
-    """The documents, with all their columns, of which a language is known with score ``least`` or more.
+def in_language(docs: DataFrame, least: float = SCORE, known_share: float = KNOWN) -> DataFrame:
+    """The documents, with all their columns, of which a language is known: with this score or more, and at least this share
+    of many words in the lexicon.
 
     Only texts go to Python and only decisions come back; the other columns stay in the JVM.
     """
@@ -326,8 +360,8 @@ def in_language(docs: DataFrame, least: float = 0.35) -> DataFrame:
         for column in columns:
             keep: list[bool] = []
             for part in chunks(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text"):
-                pred, score = _scores(part.column("text"), sent.value)
-                keep += [p != UNKNOWN and s >= least for p, s in zip(pred, score.tolist())]
+                pred, score, share = _scores(part.column("text"), sent.value)
+                keep += [p != UNKNOWN and s >= least and k >= known_share for p, s, k in zip(pred, score.tolist(), share.tolist())]
             yield pa.array(keep, pa.bool_())
 
     return docs.filter(known(F.col("text")))
