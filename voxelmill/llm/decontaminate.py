@@ -31,10 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm.shared import packed, released
+from voxelmill.llm.shared import released
 from voxelmill.llm.textops import Spans, Words, chunks, column_bytes
 
 SHINGLE = 5
@@ -232,30 +233,35 @@ class Items:
         return sorted((self.ids[k], s, w, v) for k, (v, s, w) in out.items())
 
 
+def found_in(column: pa.Array, items: Items) -> list[list[tuple[int, int, int, float]]]:
+    """The matches of each text."""
+    words = plain_words(column)
+    hashes = words.hashes()
+    spans = Spans(hashes, "word")
+    row_of = words.rows()
+    found: dict[int, dict[int, list[int]]] = {}
+    for k, (unique, first, item) in items.index.items():
+        at = np.flatnonzero(np.arange(len(words)) + k <= words.first[1:][row_of]) if len(words) else np.zeros(0, np.int64)
+        value = spans.hash(at, at + k)
+        place = np.minimum(np.searchsorted(unique, value), len(unique) - 1)
+        hit = np.flatnonzero(unique[place] == value)
+        for x, p in zip(at[hit].tolist(), place[hit].tolist()):
+            own = found.setdefault(int(row_of[x]), {})
+            for i in item[first[p] : first[p + 1]].tolist():
+                own.setdefault(i, []).append(x - int(words.first[row_of[x]]))
+    out: list[list] = [[] for _ in range(len(column))]
+    for row, own in found.items():
+        a, b = int(words.first[row]), int(words.first[row + 1])
+        part = [words.data[i:j].tobytes() for i, j in zip(words.start[a:b].tolist(), words.end[a:b].tolist())]
+        out[row] = items.matches(hashes[a:b], own, lambda i, j, part=part: b" ".join(part[i:j]))
+    return out
+
+
 @released
 def _match(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("similarity", pa.float64())]))
     for batch in chunks(batches, "text"):
-        words = plain_words(batch.column("text"))
-        hashes = words.hashes()
-        spans = Spans(hashes, "word")
-        row_of = words.rows()
-        found: dict[int, dict[int, list[int]]] = {}
-        for k, (unique, first, item) in items.index.items():
-            at = np.flatnonzero(np.arange(len(words)) + k <= words.first[1:][row_of]) if len(words) else np.zeros(0, np.int64)
-            value = spans.hash(at, at + k)
-            place = np.minimum(np.searchsorted(unique, value), len(unique) - 1)
-            hit = np.flatnonzero(unique[place] == value)
-            for x, p in zip(at[hit].tolist(), place[hit].tolist()):
-                own = found.setdefault(int(row_of[x]), {})
-                for i in item[first[p] : first[p + 1]].tolist():
-                    own.setdefault(i, []).append(x - int(words.first[row_of[x]]))
-        out: list[list] = [[] for _ in range(len(batch))]
-        for row, own in found.items():
-            a, b = int(words.first[row]), int(words.first[row + 1])
-            part = [words.data[i:j].tobytes() for i, j in zip(words.start[a:b].tolist(), words.end[a:b].tolist())]
-            out[row] = items.matches(hashes[a:b], own, lambda i, j, part=part: b" ".join(part[i:j]))
-        lists = [[dict(zip(("item_id", "start", "words", "similarity"), m)) for m in row] for row in out]
+        lists = [[dict(zip(("item_id", "start", "words", "similarity"), m)) for m in row] for row in found_in(batch.column("text"), items)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array(lists, kind)], names=["doc_id", "uid", "matches"])
 
 
@@ -283,21 +289,24 @@ def shared_shingles(items: DataFrame) -> Shared:
     return Shared(number, found["hash"].to_numpy().view(np.uint64), texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, found["having"].to_numpy())
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS) -> DataFrame:
-    """One row per input row: doc_id, uid (a hash of the text), matches (item_id, start and number of
-    words, similarity; one for each item that the document holds)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("uid"), "text")
+def item_blocks(benchmark: DataFrame, items_at_once: int) -> list[Broadcast]:
+    """The benchmark as broadcast blocks of some ``items_at_once`` items."""
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
     blocks = max(1, -(-items.count() // items_at_once))
     shared = shared_shingles(items) if blocks > 1 else None
-    found = []
+    out = []
     for b in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect() if blocks > 1 else items.collect()
-        block = Items([r.item_id for r in own], [r.text for r in own], shared)
-        sent = spark.sparkContext.broadcast(block)
-        found.append(rows.mapInArrow(lambda it, sent=sent: _match(it, sent.value), _OUT))
-    if blocks == 1:
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Items([r.item_id for r in own], [r.text for r in own], shared)))
+    return out
+
+
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS) -> DataFrame:
+    """One row per input row: doc_id, uid (a hash of the text), matches (item_id, start and number of
+    words, similarity; one for each item that the document holds)."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("uid"), "text")
+    found = [rows.mapInArrow(lambda it, sent=sent: _match(it, sent.value), _OUT) for sent in item_blocks(benchmark, items_at_once)]
+    if len(found) == 1:
         return found[0]
     # Blocks meet on the document: one row of each block for it and for each repeat of it.
     out = found[0].withColumn("block", F.lit(0))
@@ -307,12 +316,25 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, items_at_once: int
     return rows.withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("repeats").cast("int")))).select("doc_id", "uid", F.array_sort("matches").alias("matches"))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    bad = benchmark_matches(docs, benchmark).filter(F.size("matches") > 0).select("doc_id", "uid").distinct()
-    rows = packed(docs).withColumns({"own_id": F.col("row.doc_id").cast("long"), "own_uid": F.xxhash64("row.text")})
-    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_uid") == F.col("uid"))
-    return rows.join(bad, same, "left_anti").select("row.*")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS) -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns.
+
+    Only texts go to Python and only decisions come back, block after block of items, so nothing is shuffled.
+    """
+    for sent in item_blocks(benchmark, items_at_once):
+        docs = docs.filter(_free(sent)(F.col("text")))
+    return docs
+
+
+def _free(items: Broadcast):  # noqa: ANN202
+    @F.arrow_udf("boolean")
+    @released
+    def free(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            parts = chunks(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text")
+            yield pa.array([not found for part in parts for found in found_in(part.column("text"), items.value)], pa.bool_())
+
+    return free
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

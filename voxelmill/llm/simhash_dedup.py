@@ -238,10 +238,14 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """One document of each class, with all its columns: the least ``doc_id`` (null last, ties by a
     hash of the text).  Of rows that repeat both id and text, one stays."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("keep")
-    keep = simhash_classes(docs).groupBy("root").agg(first).select(F.col("keep.doc_id").alias("keep_id"), F.col("keep.uid").alias("keep_uid"))
-    rows = packed(docs).withColumns({"id": F.col("row.doc_id").cast("long"), "uid": F.xxhash64("row.text")})
-    same = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("uid") == F.col("keep_uid"))
-    return rows.join(keep, same, "left_semi").dropDuplicates(["id", "uid"]).select("row.*")
+    keep = simhash_classes(docs).groupBy("root").agg(first)
+    keep = keep.select(_keyed("keep.doc_id").alias("key"), F.col("keep.uid").alias("uid"))
+    rows = packed(docs).withColumns({"key": _keyed("row.doc_id"), "uid": F.xxhash64("row.text")})
+    return rows.join(keep, ["key", "uid"], "left_semi").dropDuplicates(["key", "uid"]).select("row.*")  # one shuffle for both
+
+
+def _keyed(doc_id: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
