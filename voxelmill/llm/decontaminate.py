@@ -20,7 +20,9 @@ there is bounded, and each block meets every document.  Weights count the items
 more than one, Spark counts the items and their shingles once, and what two items or more share goes
 to each task (about 50 bytes a shared shingle), since windows hold shingles of other blocks too; any
 other shingle weighs as one that a single item has.  Null and empty texts match nothing, nor do null
-or empty items; repeated rows each get their result.  Columns other than the named are ignored.
+or empty items; repeated rows each get their result.  Columns other than the named are ignored.  Texts are worked on whole, a few
+megabytes at a time; a longer text is a chunk of its own, at some tens of bytes a byte of it, while windows and pairs of one are in
+hand in bounded pieces.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Learning uses every labelled row whose crc32 of ``doc_id`` as text is not 0 modu
 products are added up by Spark, so only two means and covariances reach the driver.  A null
 ``doc_id`` counts as held out; null labels are passed over; a document with several labels counts for
 each.  Null and empty texts have the statistics of an empty text and a score.  With no rows of a class
-the score is the share of label 1 in what there is (0.5 of nothing).
+the score is the share of label 1 in what there is (0.5 of nothing).  Columns other than the named are ignored.  Texts are worked
+on whole, a few megabytes of them at a time; a longer text is a chunk of its own, at some 100 bytes a byte of it.
 """
 
 from __future__ import annotations
