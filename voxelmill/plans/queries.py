@@ -158,14 +158,15 @@ def transition_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("voxel_id", _r(F.col("d"), 1000).alias("d_hin"), (_r(C.confidence(F.col("d"), 0.1e-3, 0.3e-3, 0.5e-3)) + 0.0).alias("conf_res_hin"), (_r(C.confidence(F.col("d"), 1.5e-3, 3e-3, 6e-3)) + 0.0).alias("conf_hin_wat"))
 
 
-@_query("""SELECT voxel_id, round(1000 * d, 6) AS d_nonrf, round(CASE WHEN d < 0.1e-3 OR d > 0.5e-3 THEN 1 WHEN d < 0.3e-3 THEN 1 - (d - 0.1e-3) / 0.2e-3 ELSE 1 - (0.5e-3 - d) / 0.2e-3 END, 6) + 0.0 AS conf_res,
-  round(CASE WHEN d < 1.5e-3 OR d > 6e-3 THEN 1 WHEN d < 3e-3 THEN 1 - (d - 1.5e-3) / 1.5e-3 ELSE 1 - (6e-3 - d) / 3e-3 END, 6) + 0.0 AS conf_wat
+@_query("""SELECT voxel_id, round(1000 * d, 9) AS d_nonrf, round(CASE WHEN d < 0.1e-3 OR d > 0.5e-3 THEN 1 WHEN d < 0.3e-3 THEN 1 - (d - 0.1e-3) / 0.2e-3 ELSE 1 - (0.5e-3 - d) / 0.2e-3 END, 9) + 0.0 AS conf_res,
+  round(CASE WHEN d < 1.5e-3 OR d > 6e-3 THEN 1 WHEN d < 3e-3 THEN 1 - (d - 1.5e-3) / 1.5e-3 ELSE 1 - (6e-3 - d) / 3e-3 END, 9) + 0.0 AS conf_wat
   FROM (SELECT voxel_id, greatest(0.3e-3, least(3.5e-3, (adc * (rf + hf + wf) - rf * 0.15e-3) / (hf + wf))) AS d FROM (SELECT *, 2e-5 * (voxel_id % 120) AS adc FROM truth))""")
 def transition_confidence_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence at the compartments' limits where there are two isotropic ones."""
     rows = X.truth(spark, sf_dir).withColumn("adc", 2e-5 * (F.col("voxel_id") % 120))
     d = C.recover_nonrestricted(F.col("rf"), F.col("hf") + F.col("wf"), F.col("adc"))
-    return rows.withColumn("d", d).select("voxel_id", _r(F.col("d"), 1000).alias("d_nonrf"), (_r(C.confidence(F.col("d"), 0.1e-3, 0.3e-3, 0.5e-3)) + 0.0).alias("conf_res"), (_r(C.confidence(F.col("d"), 1.5e-3, 3e-3, 6e-3)) + 0.0).alias("conf_wat"))
+    fine = lambda x: F.round(x, 9)  # noqa: E731  (some values are decimals that end in 5 at the seventh place)
+    return rows.withColumn("d", d).select("voxel_id", fine(F.col("d") * 1000).alias("d_nonrf"), (fine(C.confidence(F.col("d"), 0.1e-3, 0.3e-3, 0.5e-3)) + 0.0).alias("conf_res"), (fine(C.confidence(F.col("d"), 1.5e-3, 3e-3, 6e-3)) + 0.0).alias("conf_wat"))
 
 
 _TWO = """, two AS (
