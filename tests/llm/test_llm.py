@@ -452,6 +452,29 @@ def test_statistics_of_a_text():
     assert math.isclose(got["entropy"], -sum(c / len(text) * math.log(c / len(text)) for c in Counter(text).values()))
 
 
+def test_long_texts_in_pieces(monkeypatch, rows):
+    """Word hashes, statistics and languages are the same however small the pieces of a text are, one long word included."""
+    texts = pa.array([t for _, t, _, _ in rows[:70]] + ["x" * 5000 + " and the " + "ab" * 3000, None])
+    model = language.train(["the and of that with for " * 9, "der die das und nicht mit " * 9], ["en", "de"])
+
+    def all_of_it():
+        w = textops.Words(*textops.column_bytes(texts))
+        return w.hashes(), w.joined()[0], quality.statistics(texts), language._scores(texts, model)
+
+    want = all_of_it()
+    spans = textops.Spans(textops.column_bytes(texts)[0].astype(np.uint64) + np.uint64(1), "byte")
+    w = textops.Words(*textops.column_bytes(texts))
+    assert np.array_equal(want[0], spans.hash(w.start, w.end))
+    assert want[1] == b" ".join(x.encode() for t in texts.to_pylist() for x in words(t))
+    for name, value in (("PIECE_BYTES", 50), ("NUMBERS", 128), ("BLOCK", 7), ("LONG", 100)):
+        for module in (textops, quality, language):
+            if hasattr(module, name):
+                monkeypatch.setattr(module, name, value)
+    got = all_of_it()
+    assert np.array_equal(want[0], got[0]) and want[1] == got[1] and np.allclose(want[2], got[2])
+    assert want[3][0] == got[3][0] and np.allclose(want[3][1], got[3][1]) and np.allclose(want[3][2], got[3][2])
+
+
 def test_quality(spark, docs, empty):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -573,7 +596,7 @@ def test_language_sample_is_the_same_over_any_partitions(spark):
     assert np.array_equal(a.weights, b.weights) and np.array_equal(a.lexicon, b.lexicon)
 
 
-def test_forward_backward():
+def test_forward_backward(monkeypatch):
     rng = np.random.default_rng(0)
     emission, transition, start = rng.normal(size=(7, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
     begins = np.zeros(7, bool)
@@ -585,13 +608,14 @@ def test_forward_backward():
             for i, k in enumerate(y):
                 want[lo + i, k] += p
     want /= want.sum(1, keepdims=True)
-    keep = language.LONG
-    try:
-        for language.LONG in (keep, 2):
+    for long, step in ((language.LONG, language.STEP), (2, language.STEP), (2, 2)):
+        monkeypatch.setattr(language, "LONG", long)
+        monkeypatch.setattr(language, "STEP", step)
+        for numbers in (language.NUMBERS, 1):
+            monkeypatch.setattr(language, "NUMBERS", numbers)
             alpha, beta = language.forward_backward(emission, begins, start, transition)
             assert np.allclose(want, alpha * beta / (alpha * beta).sum(1, keepdims=True))
-    finally:
-        language.LONG = keep
+        monkeypatch.undo()
 
 
 def test_pipeline(spark):

@@ -20,12 +20,14 @@ text may have only words that the sample has not.
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything if nothing can be
 learned.  A null ``doc_id`` counts as held out.  Repeated rows each get a result; other columns are
-ignored.  A chunk of text takes some 200 bytes a byte while it is worked on; texts over ``chunks``' limit are chunks of their own.
+ignored.  A text over ``chunks``' limit is a chunk of its own, at some 30 bytes a byte of it; features and transfer matrices
+are in hand in bounded pieces, of one long word too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.llm.quality import held_out
 from voxelmill.llm.shared import released
-from voxelmill.llm.textops import Spans, Words, chunks, column_bytes, mix
+from voxelmill.llm.textops import PIECE_BYTES, Spans, Words, chunks, column_bytes, mix, span_hashes
 
 AFFIX = 3
 ORDERS = (2, 3)
@@ -55,6 +57,8 @@ UNKNOWN = "und"
 STEP = 64
 #: Words of a sequence beyond which its messages go by such chunks.
 LONG = 4096
+#: Numbers of transfer matrices, or features, that are in hand at once; words whose features are.
+NUMBERS, BLOCK = 1 << 20, 20_000
 
 
 def letter_words(column: pa.Array) -> Words:
@@ -67,7 +71,7 @@ def letter_words(column: pa.Array) -> Words:
 
 
 def word_hashes(words: Words) -> np.ndarray:
-    return Spans(words.data.astype(np.uint64) + np.uint64(1), "byte").hash(words.start, words.end)
+    return words.hashes()
 
 
 def entries(hashes: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
@@ -78,36 +82,49 @@ def entries(hashes: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
 
 
 def _some(words: Words, which: np.ndarray) -> Words:
-    """Some of the words, without their rows."""
+    """Some of the words, without their rows, and their bytes alone."""
     out = Words.__new__(Words)
-    out.data, out.start, out.end = words.data, words.start[which], words.end[which]
+    size = words.end[which] - words.start[which]
+    out.end = np.cumsum(size)
+    out.start = out.end - size
+    out.data = words.data[np.repeat(words.start[which] - out.start, size) + np.arange(int(size.sum()))]
     return out
 
 
-def features(words: Words, lexicon: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, feature) of all features of all words: hashed slots first, then the lexicon and its last entry."""
-    spans = Spans(words.data.astype(np.uint64) + np.uint64(1), "byte")
-    size = words.end - words.start
-    number = np.arange(len(words))
-    at, value = [], []
-
-    def add(which: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int) -> None:
+def features(words: Words, lexicon: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word number, feature) of all features of all words, some ``NUMBERS`` at a time: hashed slots first, then the lexicon
+    and its last entry."""
+    data, size, number = words.data, words.end - words.start, np.arange(len(words))
+    if len(data) <= PIECE_BYTES:
+        hashed = Spans(data.astype(np.uint64) + np.uint64(1), "byte").hash
+    else:
+        hashed = partial(span_hashes, data)
+
+    def spans() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        for k in range(1, AFFIX + 1):
+            long = number[size >= k]
+            yield long, words.start[long], words.start[long] + k, k
+            yield long, words.end[long] - k, words.end[long], 10 + k
+        for k in ORDERS:
+            count = np.maximum(size - k + 1, 0)
+            stop = np.cumsum(count)
+            for i in range(0, int(count.sum()), NUMBERS):
+                at = np.arange(i, min(i + NUMBERS, int(stop[-1])))
+                which = np.searchsorted(stop, at, "right")
+                start = words.start[which] + at - (stop - count)[which]
+                yield which, start, start + k, 20 + k
+
+    at, slots, held = [], [], 0
+    for which, start, end, kind in spans():
+        value = mix(hashed(start, end) + np.uint64(kind * 0x9E3779B97F4A7C15 % (1 << 64)))
         at.append(which)
-        value.append(mix(spans.hash(start, end) + np.uint64(kind * 0x9E3779B97F4A7C15 % (1 << 64))))
-
-    for k in range(1, AFFIX + 1):
-        long = number[size >= k]
-        add(long, words.start[long], words.start[long] + k, k)
-        add(long, words.end[long] - k, words.end[long], 10 + k)
-    for k in ORDERS:
-        count = np.maximum(size - k + 1, 0)
-        which = np.repeat(number, count)
-        inside = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        start = words.start[which] + inside
-        add(which, start, start + k, 20 + k)
-    slots = (np.concatenate(value) >> np.uint64(64 - bits)).astype(np.int64)
-    own = (1 << bits) + entries(spans.hash(words.start, words.end), lexicon)
-    return np.concatenate([*at, number]), np.concatenate([slots, own])
+        slots.append((value >> np.uint64(64 - bits)).astype(np.int64))
+        held += len(which)
+        if held >= NUMBERS:
+            yield np.concatenate(at), np.concatenate(slots)
+            at, slots, held = [], [], 0
+    own = (1 << bits) + entries(hashed(words.start, words.end), lexicon)
+    yield np.concatenate([*at, number]), np.concatenate([*slots, own])
 
 
 def _emissions(at: np.ndarray, feature: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
@@ -118,8 +135,8 @@ def _normal(a: np.ndarray) -> np.ndarray:
     return a / np.maximum(a.sum(-1, keepdims=True), 1e-300)
 
 
-def _pass(matrix: np.ndarray) -> np.ndarray:
-    """For row-vector messages m_t = m_(t-1) matrix_t, scaled to sum 1, all m_t.
+def _pass(matrix: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """For row-vector messages m_t = m_(t-1) matrix_t from m on, scaled to sum 1, all m_t.
 
     The sequence is cut into chunks of STEP; each chunk's product is built for all chunks at once, the
     messages at chunk edges follow one by one, and then those inside chunks, again at once.
@@ -134,7 +151,6 @@ def _pass(matrix: np.ndarray) -> np.ndarray:
         product = product @ block[:, t]
         product = product / product.sum((1, 2), keepdims=True)
     edge = np.empty((len(block), k))
-    m = np.full(k, 1.0 / k)
     for c in range(len(block)):
         edge[c] = m
         m = m @ product[c]
@@ -146,18 +162,25 @@ def _pass(matrix: np.ndarray) -> np.ndarray:
     return out.reshape(-1, k)[:n]
 
 
-def _pass_long(e: np.ndarray, begins: np.ndarray, first: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Messages of few, long sequences, by chunks within each."""
-    k = len(first)
-    into = np.broadcast_to(step, (len(e), k, k)).copy()
-    into[begins] = np.broadcast_to(first, (k, k))
-    alpha = _pass(into * e[:, None, :])
-    # Backwards, word t hands on step @ (e_(t+1) * beta_(t+1)); the last word of a sequence has 1.
-    last = np.append(begins[1:], True)
-    onward = np.empty((len(e), k, k))
-    onward[:-1] = step.T[None] * e[1:, :, None]
-    onward[last] = 1.0
-    return alpha, _pass(onward[::-1])[::-1]
+def _pass_long(e: np.ndarray, first: np.ndarray, step: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> None:
+    """Messages of one long sequence, by chunks within it, of which so many are in hand that their matrices are bounded."""
+    n, k = e.shape
+    size = max(1, NUMBERS // (k * k * STEP)) * STEP
+    m = np.full(k, 1.0 / k)
+    for a in range(0, n, size):
+        into = step[None] * e[a : a + size, None, :]
+        if a == 0:
+            into[0] = first * e[0]
+        alpha[a : a + size] = _pass(into, m)
+        m = alpha[min(a + size, n) - 1]
+    # Backwards, word t hands on step @ (e_(t+1) * beta_(t+1)); the last word has 1.
+    m = np.full(k, 1.0 / k)
+    for b in range(n, 0, -size):
+        a = max(0, b - size)
+        ahead, onward = e[a + 1 : b + 1], np.ones((b - a, k, k))
+        onward[: len(ahead)] = step.T[None] * ahead[:, :, None]
+        beta[a:b] = _pass(onward[::-1], m)[::-1]
+        m = beta[a]
 
 
 def _pass_short(e: np.ndarray, head: np.ndarray, size: np.ndarray, first: np.ndarray, step: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> None:
@@ -189,9 +212,8 @@ def forward_backward(emission: np.ndarray, begins: np.ndarray, start: np.ndarray
     alpha, beta = np.empty_like(e), np.empty_like(e)
     long = size > LONG
     _pass_short(e, head[~long], size[~long], first, step, alpha, beta)
-    if long.any():
-        part = np.repeat(long, size)
-        alpha[part], beta[part] = _pass_long(e[part], begins[part], first, step)
+    for a, n in zip(head[long].tolist(), size[long].tolist()):
+        _pass_long(e[a : a + n], first, step, alpha[a : a + n], beta[a : a + n])
     return alpha, beta
 
 
@@ -207,7 +229,11 @@ class Model:
         if not len(words):
             return np.zeros((0, len(self.languages)))
         _, first, back = np.unique(word_hashes(words), return_index=True, return_inverse=True)
-        emission = _emissions(*features(_some(words, first), self.lexicon, self.bits), self.weights, len(first))[back]
+        blocks = []
+        for i in range(0, len(first), BLOCK):
+            own = _some(words, first[i : i + BLOCK])
+            blocks.append(sum(_emissions(at, feature, self.weights, len(own)) for at, feature in features(own, self.lexicon, self.bits)))
+        emission = np.concatenate(blocks)[back]
         begins = np.zeros(len(words), bool)
         begins[words.first[:-1][np.diff(words.first) > 0]] = True
         alpha, beta = forward_backward(emission, begins, self.start, self.transition)
@@ -239,9 +265,9 @@ def train(texts: list[str], labels: list[str], seed: int = 17, epochs: int = EPO
     seen, times = np.unique(word_hashes(_some(words, chosen)), return_counts=True)
     lexicon = seen[times > 1]
     bits = min(BITS, int(np.log2(TABLE_BYTES / 4 / k)))
-    for i in range(0, n, 20_000):
-        at, feature = features(_some(words, chosen[i : i + 20_000]), lexicon, bits)
-        counts.append(np.bincount(at, minlength=min(20_000, n - i)))
+    for i in range(0, n, BLOCK):
+        at, feature = map(np.concatenate, zip(*features(_some(words, chosen[i : i + BLOCK]), lexicon, bits)))
+        counts.append(np.bincount(at, minlength=min(BLOCK, n - i)))
         parts.append(feature[np.argsort(at, kind="stable")].astype(np.int32))
     feature, edge = np.concatenate(parts or [np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum(np.concatenate(counts or [np.zeros(0, np.int64)]))])
     del words, parts, chosen, taken

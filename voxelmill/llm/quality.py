@@ -12,7 +12,7 @@ products are added up by Spark, so only two means and covariances reach the driv
 ``doc_id`` counts as held out; null labels are passed over; a document with several labels counts for
 each.  Null and empty texts have the statistics of an empty text and a score.  With no rows of a class
 the score is the share of label 1 in what there is (0.5 of nothing).  Columns other than the named are ignored.  Texts are worked
-on whole, a few megabytes of them at a time; a longer text is a chunk of its own, at some 100 bytes a byte of it.
+on whole, a few megabytes of them at a time; a longer text is a chunk of its own, at some 20 bytes a byte of it.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.llm.shared import released, stash
-from voxelmill.llm.textops import Spans, Words, chunks, column_bytes
+from voxelmill.llm.textops import PIECE_BYTES, Spans, Words, chunks, column_bytes, span_hashes
 
 FOLDS = 5
 POOL = 0.8
@@ -69,12 +69,22 @@ def _unique_share(rows: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndar
     return total, np.bincount(r[edge], minlength=n), most
 
 
+def _byte_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often each row has each byte value."""
+    table = np.zeros((len(offsets) - 1, 256))
+    for a in range(0, len(data), PIECE_BYTES):
+        b = min(len(data), a + PIECE_BYTES)
+        low, high = int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets, b))
+        row = np.repeat(np.arange(high - low), np.diff(offsets[low : high + 1].clip(a, b)))
+        table[low:high] += np.bincount(row * 256 + data[a:b], minlength=(high - low) * 256).reshape(-1, 256)
+    return table
+
+
 def statistics(column: pa.Array) -> np.ndarray:
     """The transformed statistics of each text, a row each."""
     data, offsets = column_bytes(column)
     n, size = len(offsets) - 1, np.diff(offsets)
-    row_of = np.repeat(np.arange(n), size)
-    table = np.bincount(row_of * 256 + data, minlength=n * 256).reshape(n, 256).astype(float)
+    table = _byte_counts(data, offsets)
     some = np.maximum(size, 1)
     out = {name: table[:, list(group)].sum(1) / some for name, group in _GROUPS.items()}
     p = table / some[:, None]
@@ -90,10 +100,9 @@ def statistics(column: pa.Array) -> np.ndarray:
     start = np.union1d(offsets[:-1][size > 0], breaks + 1)
     start = start[start < len(data)]
     end = np.minimum(np.append(start[1:], len(data)), len(data))
-    lines, lines_unique, _ = _unique_share(np.searchsorted(offsets, start, "right") - 1, Spans(data.astype(np.uint64) + np.uint64(1), "byte").hash(start, end), n)
-    capital = np.zeros(256, np.int64)
-    capital[65:91] = 1
-    ups = np.concatenate([[0], np.cumsum(capital[data])])
+    lines, lines_unique, _ = _unique_share(np.searchsorted(offsets, start, "right") - 1, span_hashes(data, start, end), n)
+    ups = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data >= 65) & (data <= 90), out=ups[1:])
     mark = np.zeros(256, bool)
     mark[list(_GROUPS["mark"] + b"!")] = True
     mean = np.bincount(rows, length, n) / at

@@ -20,7 +20,7 @@ windows, which sends more text.
 Documents are ordered by ``doc_id`` (null first) and then by a hash of the text, so documents that
 share an id have an order; rows that repeat id and text are one document and get the same result.
 Null and empty texts have no words.  An empty table gives no rows.  Other columns are ignored.  Texts are worked on whole, a few
-megabytes at a time; a longer text is a chunk of its own, at some tens of bytes a byte of it.
+megabytes at a time; a longer text is a chunk of its own, at some 25 bytes a byte of it.
 """
 
 from __future__ import annotations

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one NumPy pass works on (a longer document is a pass of its own).
 CHUNK_BYTES = 2 << 20
+#: Bytes whose numbers are in hand at once within such a pass.
+PIECE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -53,12 +55,35 @@ class Spans:
         n = len(values)
         up, self.down = powers(kind, n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values.astype(np.uint64) * up[:n], out=self.sums[1:])
+        np.cumsum(values.astype(np.uint64, copy=False) * up[:n], out=self.sums[1:])
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans of a byte buffer, as by ``Spans`` over its bytes plus 1, of which some ``PIECE_BYTES`` are in hand
+    at once.  Starts and ends rise."""
+    out = np.empty(len(start), np.uint64)
+    done = 0
+    while done < len(start):
+        a = int(start[done])
+        stop = max(done + 1, int(np.searchsorted(end, a + PIECE_BYTES, "right")))
+        b = int(end[stop - 1])
+        if b - a <= PIECE_BYTES:
+            spans = Spans(data[a:b].astype(np.uint64) + np.uint64(1), "byte")
+            out[done:stop] = spans.hash(start[done:stop] - a, end[done:stop] - a)
+        else:  # one long span: the sums of its pieces, each raised to its place
+            up, _ = powers("byte", PIECE_BYTES)
+            total = 0
+            for i in range(a, b, PIECE_BYTES):
+                part = data[i : min(b, i + PIECE_BYTES)].astype(np.uint64) + np.uint64(1)
+                total += int((part * up[: len(part)]).sum()) * pow(_BASES["byte"], i - a, 1 << 64)
+            out[done] = mix(np.array([total % (1 << 64)], np.uint64))[0]
+        done = stop
+    return out
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, end to end, and the n + 1 offsets of its rows; null is empty."""
     column = pc.fill_null(column, "" if not pa.types.is_binary(column.type) else b"").cast(pa.large_binary())
@@ -106,7 +131,7 @@ class Words:
         return len(self.start)
 
     def hashes(self) -> np.ndarray:
-        return Spans(self.data.astype(np.uint64) + np.uint64(1), "byte").hash(self.start, self.end)
+        return span_hashes(self.data, self.start, self.end)
 
     def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
         """All words joined by single spaces, and where each begins and ends in that."""
@@ -114,9 +139,9 @@ class Words:
         end = np.cumsum(size + 1) - 1
         start = end - size
         out = np.full(int(end[-1]) if len(end) else 0, 32, np.uint8)
-        solid = ~SPACE[self.data]
-        number = np.repeat(np.arange(len(size)), size)
-        out[np.arange(len(number)) + number] = self.data[solid]
+        solid = np.ones(len(out), bool)
+        solid[end[:-1]] = False
+        out[solid] = self.data[~SPACE[self.data]]
         return out.tobytes(), start, end
 
     def rows(self) -> np.ndarray:
