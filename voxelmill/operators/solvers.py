@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from voxelmill import schema as S
+from voxelmill.operators.directions import Directions
 from voxelmill.schema import Protocol
 
 #: Rows that are solved at once, and bytes that their own matrices may take.
@@ -150,37 +151,14 @@ class Dictionary:
         self.iso = np.exp(-self.b[:, None] * self.grid[None, :])
         self.matrix = np.hstack([*fiber, self.iso])
         self.fibers = len(self.pairs) * len(self.u)
-        near = np.round(self.u @ self.u.T, 12)
-        np.fill_diagonal(near, -np.inf)
-        k = neighbours or max(2, min(6, len(self.u) // 5))
-        rank = np.lexsort((-np.arange(len(self.u))[None, :].repeat(len(self.u), 0), -near), axis=1)
-        self.near, self.across = rank[:, :k], np.round(np.abs(self.u @ self.u.T), 12)
+        self.directions = Directions(directions, neighbours)
 
     def penalty(self, fiber: float, iso: float) -> np.ndarray:
         return np.concatenate([np.full(self.fibers, fiber), np.full(len(self.grid), iso)])
 
     def basins(self, w: np.ndarray) -> np.ndarray:
         """Weight of each direction's basin (0 for one that is no peak)."""
-        t = w[:, : self.fibers].reshape(len(w), len(self.pairs), -1).sum(1)
-        other = t[:, self.near]
-        beaten = (other > t[:, :, None]) | ((other == t[:, :, None]) & (self.near < np.arange(t.shape[1])[:, None])[None])
-        peak = (t > 0) & ~(beaten & (other > 0)).any(2)
-        home = np.where(peak[:, None, :], self.across[None], -1.0).argmax(2)
-        mass = np.zeros_like(t)
-        np.add.at(mass, (np.arange(len(t))[:, None], home), np.where(peak.any(1)[:, None], t, 0.0))
-        return mass
-
-    def dominant(self, mass: np.ndarray, gate: float, most: int, least: float = S.LEAST_WEIGHT, ratio: float = S.PEAK_RATIO, apart: float = S.SEPARATION_DEG) -> list[int]:
-        """Directions of a voxel's fibers, the heaviest basin first."""
-        top, total, out = mass.max(), mass.sum(), []
-        if total < 1e-10 or top < gate * total:
-            return out
-        for d in np.argsort(-mass, kind="stable").tolist():
-            if len(out) == most or mass[d] < least * total or mass[d] < ratio * top:
-                break
-            if all(self.across[d, e] <= np.cos(np.radians(apart)) for e in out):
-                out.append(d)
-        return out
+        return self.directions.basins(w[:, : self.fibers].reshape(len(w), len(self.pairs), -1).sum(1))
 
 
 def spectra(rows: DataFrame, dictionary: Dictionary, fiber: float, iso: float, gate: float = S.CONCENTRATION_GATE, most: int = 2, again: bool = True, spread: tuple[float, float, float] = (SPREAD_LOW, SPREAD_HIGH, SPREAD_GAIN), select: tuple[float, float, float] = (S.LEAST_WEIGHT, S.PEAK_RATIO, S.SEPARATION_DEG)) -> DataFrame:
@@ -213,7 +191,7 @@ def spectra(rows: DataFrame, dictionary: Dictionary, fiber: float, iso: float, g
             more[:, is_fiber, is_fiber] += ((grow - 1) * fiber)[:, None]
             w[own] = nnls(more, h[own])
         mass = dictionary.basins(w)
-        dirs = [dictionary.dominant(m, gate, most, *select) for m in mass]
+        dirs = [dictionary.directions.dominant(m, gate, most, *select) for m in mass]
         shares = [(m[d] / m[d].sum()).tolist() if d else [] for m, d in zip(mass, dirs)]
         return [_lists(w), pa.array(share(mass)), pa.array(dirs, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float64()))]
 

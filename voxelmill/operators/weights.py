@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxelmill import schema as S
+from voxelmill.functions import columns as C
+from voxelmill.operators.directions import Directions
+from voxelmill.operators.solvers import fit_rows, matrix_of
 
 
 def fractions(atoms: DataFrame) -> DataFrame:
@@ -28,50 +31,34 @@ def fractions(atoms: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(spark, directions: list, k: int) -> DataFrame:
-    """d, nb: the k nearest of each direction by dot product; the dictionary is a few hundred rows."""
-    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
-    rows = [(d, nb) for d, u in enumerate(directions) for _, nb in sorted((-dot(u, v), -e) for e, v in enumerate(directions) if e != d)[:k] for nb in [-nb]]
-    return spark.createDataFrame(rows, "d int, nb int")
+def with_totals(rows: DataFrame, n_dirs: int, n_pairs: int) -> DataFrame:
+    """Adds t: weights of a pair-major array column ``w`` summed over the pairs (null: 0)."""
+    at = lambda d, p: F.coalesce(F.get("w", d + p * n_dirs), F.lit(0.0))
+    return rows.withColumn("t", F.transform(F.sequence(F.lit(0), F.lit(n_dirs - 1)), lambda d: sum((at(d, p) for p in range(n_pairs)), F.lit(0.0))))
 
 
-def direction_totals(weights: DataFrame, n_dirs: int, n_pairs: int) -> DataFrame:
-    """voxel_id, d, w: weights of a pair-major array column ``w`` summed over the pairs."""
-    total = F.transform(F.sequence(F.lit(0), F.lit(n_dirs - 1)), lambda d: sum((F.element_at("w", d + (p * n_dirs + 1)) for p in range(n_pairs)), F.lit(0.0)))
-    return weights.select("voxel_id", F.posexplode(total).alias("d", "w"))
+def basins(rows: DataFrame, directions: Directions, gate: float = S.CONCENTRATION_GATE, most: int = 0) -> DataFrame:
+    """Adds mass (weight of each direction's basin, 0 for one that is no peak) to rows with ``t``, in one pass over their own
+    partitions, and with ``most`` dirs: up to so many directions of fibers, none where the gate is not passed."""
 
+    def solve(part: pa.RecordBatch) -> list[pa.Array]:
+        mass = directions.basins(matrix_of(part, "t", len(directions.u)))
+        out = [pa.array(list(mass), pa.list_(pa.float64()))]
+        return [*out, pa.array([directions.dominant(m, gate, most) for m in mass], pa.list_(pa.int32()))] if most else out
 
-def peaks(totals: DataFrame, graph: DataFrame) -> DataFrame:
-    """Directions with weight that no neighbour exceeds (an equal one of smaller index does)."""
-    near = totals.select("voxel_id", F.col("d").alias("nb"), F.col("w").alias("nw")).join(F.broadcast(graph), "nb")
-    higher = near.filter("nw > 0").join(totals, ["voxel_id", "d"]).filter("nw > w or (nw = w and nb < d)").select("voxel_id", "d").distinct()
-    return totals.filter("w > 0").join(higher, ["voxel_id", "d"], "left_anti")
+    dirs = [("dirs", T.ArrayType(T.IntegerType()))] if most else []
+    return fit_rows(rows, solve, [("mass", T.ArrayType(T.DoubleType())), *dirs])
 
 
-def basins(totals: DataFrame, graph: DataFrame, directions: list) -> DataFrame:
-    """voxel_id, peak, mass, total: each weighted direction counts for the peak nearest to it."""
-    u = totals.sparkSession.createDataFrame([(i, *map(float, x)) for i, x in enumerate(directions)], "d int, ux double, uy double, uz double")
-    u = F.broadcast(u)  # the dictionary of directions: a few hundred rows
-    tops = peaks(totals, graph).join(u, "d").select("voxel_id", F.col("d").alias("peak"), F.col("ux").alias("px"), F.col("uy").alias("py"), F.col("uz").alias("pz"))
-    own = totals.filter("w > 0").join(u, "d").join(tops, "voxel_id")
-    near = F.abs(F.col("ux") * F.col("px") + F.col("uy") * F.col("py") + F.col("uz") * F.col("pz"))
-    own = own.groupBy("voxel_id", "d", "w").agg(F.max_by("peak", F.struct(F.round(near, 12), -F.col("peak"))).alias("peak"))
-    return own.groupBy("voxel_id", "peak").agg(F.sum("w").alias("mass")).withColumn("total", F.sum("mass").over(Window.partitionBy("voxel_id")))
+def peaks(masses: DataFrame) -> DataFrame:
+    """voxel_id, d, w, mass, place (by mass, then d): a row for each peak of rows with ``t`` and ``mass``."""
+    every = F.transform("mass", lambda m, d: F.struct((-m).alias("less"), d.alias("d"), F.get("t", d).alias("w")))
+    rows = masses.select("voxel_id", F.posexplode(F.array_sort(F.filter(every, lambda x: x["less"] < 0))).alias("at", "x"))
+    return rows.select("voxel_id", F.col("x.d").alias("d"), F.col("x.w").alias("w"), (-F.col("x.less")).alias("mass"), (F.col("at") + 1).alias("place"))
 
 
 def concentration(masses: DataFrame) -> DataFrame:
-    """voxel_id, concentration: share of the largest basin."""
-    return masses.groupBy("voxel_id").agg(F.when(F.max("total") >= 1e-10, F.max("mass") / F.max("total")).otherwise(F.lit(0.0)).alias("concentration"))
-
-
-def dominant_directions(masses: DataFrame, directions: list, gate: float = S.CONCENTRATION_GATE, most: int = 2) -> DataFrame:
-    """voxel_id, dirs: up to ``most`` peaks by mass that are large, not near an accepted one, and in a
-    voxel whose largest basin passes the gate."""
-    cos = math.cos(math.radians(S.SEPARATION_DEG))
-    close = {(a, b) for a, x in enumerate(directions) for b, y in enumerate(directions) if abs(sum(i * j for i, j in zip(x, y))) > cos}
-    table = F.array(*[F.array(*[F.lit((a, b) in close) for b in range(len(directions))]) for a in range(len(directions))])
-    rows = masses.groupBy("voxel_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("mass")).alias("k"), F.col("peak").alias("d")))).alias("p"), F.max("total").alias("total"))
-    rows = rows.filter(-F.col("p")[0]["k"] >= gate * F.col("total"))
-    rows = rows.withColumn("p", F.filter("p", lambda x: (-x["k"] >= S.LEAST_WEIGHT * F.col("total")) & (-x["k"] >= -S.PEAK_RATIO * F.col("p")[0]["k"])))
-    take = lambda acc, x: F.when((F.size(acc) < most) & ~F.exists(acc, lambda a: table[a][x["d"]]), F.array_append(acc, x["d"])).otherwise(acc)
-    return rows.select("voxel_id", F.aggregate("p", F.array().cast("array<int>"), take).alias("dirs"))
+    """voxel_id, concentration: share of the largest basin; voxels without weight are left out."""
+    total = C.total(F.col("mass"))
+    share = F.when(total >= 1e-10, F.array_max("mass") / total).otherwise(F.lit(0.0))
+    return masses.filter(total > 0).select("voxel_id", share.alias("concentration"))

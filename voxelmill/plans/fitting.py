@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from voxelmill import schema as S
 from voxelmill.functions import columns as C
 from voxelmill.operators import calibration, diffusivity, signals, solvers, weights
-from voxelmill.plans.queries import _BASE, _WEIGHTS, _fitted, _r, _totals
+from voxelmill.plans.queries import _BASE, _WEIGHTS, _fitted, _masses, _r
 from voxelmill.schema import Protocol, hemisphere, iso_grid, pairs
 from voxelmill.sources import fixtures as X
 
@@ -483,7 +483,7 @@ fibers AS (SELECT vec_id AS voxel_id, list_sum(list_transform(embedding[1:60], l
 SELECT round(CASE WHEN count(*) >= 30 THEN quantile_cont(c, 0.9) ELSE 0.35::DOUBLE END, 6) AS gate, count(*) AS rows FROM conc JOIN fibers USING (voxel_id) WHERE ff > 0.15""")
 def concentration_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate that nine in ten of the fiber-free reference voxels stay under."""
-    found = weights.concentration(weights.basins(*_totals(spark, sf_dir), X.WEIGHT_DIRECTIONS))
+    found = weights.concentration(_masses(spark, sf_dir))
     free = X.weights(spark, sf_dir).filter("label = 0").select("voxel_id", (C.total(F.slice("w", 1, 60)) / C.total(F.col("w"))).alias("ff"))
     return _rounded(calibration.concentration_gate(found.join(free, "voxel_id")), "rows")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.functions import columns as C
 from voxelmill.operators import diffusivity, signals, weights
+from voxelmill.operators.directions import Directions
 from voxelmill.sources import fixtures as X
 
 QUERIES: dict = {}
@@ -237,32 +238,32 @@ basin AS (SELECT voxel_id, peak, sum(w) AS mass, sum(sum(w)) OVER (PARTITION BY
 """
 
 
-def _totals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return weights.direction_totals(X.weights(spark, sf_dir), 12, 5), weights.neighbours(spark, X.WEIGHT_DIRECTIONS, 2)
+def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weights.with_totals(X.weights(spark, sf_dir).select("voxel_id", "w"), 12, 5).select("voxel_id", "t")
+
+
+def _masses(spark: SparkSession, sf_dir: str, most: int = 0) -> DataFrame:
+    return weights.basins(_totals(spark, sf_dir), Directions(X.WEIGHT_DIRECTIONS, 2), most=most)
 
 
 @_query(_WEIGHTS + "SELECT voxel_id, d::INT AS d, round(w, 6) AS w FROM tot")
 def direction_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _totals(spark, sf_dir)[0].select("voxel_id", "d", _r(F.col("w")).alias("w"))
+    return _totals(spark, sf_dir).select("voxel_id", F.posexplode("t").alias("d", "w")).select("voxel_id", "d", _r(F.col("w")).alias("w"))
 
 
 @_query(_WEIGHTS + "SELECT voxel_id, d::INT AS d, round(w, 6) AS w FROM peak")
 def direction_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weights.peaks(*_totals(spark, sf_dir)).select("voxel_id", "d", _r(F.col("w")).alias("w"))
+    return weights.peaks(_masses(spark, sf_dir)).select("voxel_id", "d", _r(F.col("w")).alias("w"))
 
 
 @_query(_WEIGHTS + "SELECT voxel_id, peak::INT AS peak, round(mass, 6) AS mass, row_number() OVER (PARTITION BY voxel_id ORDER BY mass DESC, peak)::INT AS place FROM basin")
 def basin_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    masses = weights.basins(*_totals(spark, sf_dir), X.WEIGHT_DIRECTIONS)
-    place = F.row_number().over(Window.partitionBy("voxel_id").orderBy(F.desc("mass"), "peak"))
-    return masses.select("voxel_id", "peak", _r(F.col("mass")).alias("mass"), place.alias("place"))
+    return weights.peaks(_masses(spark, sf_dir)).select("voxel_id", F.col("d").alias("peak"), _r(F.col("mass")).alias("mass"), "place")
 
 
 @_query(_WEIGHTS + "SELECT voxel_id, round(CASE WHEN max(total) >= 1e-10 THEN max(mass) / max(total) ELSE 0 END, 6) AS concentration FROM basin GROUP BY voxel_id")
 def basin_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weights.concentration(weights.basins(*_totals(spark, sf_dir), X.WEIGHT_DIRECTIONS)).select("voxel_id", _r(F.col("concentration")).alias("concentration"))
+    return weights.concentration(_masses(spark, sf_dir)).select("voxel_id", _r(F.col("concentration")).alias("concentration"))
 
 
 @_query(_WEIGHTS + """, x AS (SELECT *, row_number() OVER (PARTITION BY voxel_id ORDER BY mass DESC, peak) AS k, max(mass) OVER (PARTITION BY voxel_id) AS most FROM basin),
@@ -271,7 +272,7 @@ two AS (SELECT voxel_id, min_by(x.peak, x.k) AS peak FROM x JOIN one o USING (vo
   WHERE x.k > 1 AND x.mass >= 0.05 * x.total AND x.mass >= 0.35 * x.most AND abs(a.ux * b.ux + a.uy * b.uy + a.uz * b.uz) <= cos(radians(35)) GROUP BY voxel_id)
 SELECT voxel_id, one.peak::INT AS first_dir, coalesce(two.peak, -1)::INT AS second_dir FROM one LEFT JOIN two USING (voxel_id)""")
 def dominant_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = weights.dominant_directions(weights.basins(*_totals(spark, sf_dir), X.WEIGHT_DIRECTIONS), X.WEIGHT_DIRECTIONS)
+    out = _masses(spark, sf_dir, most=2).filter("size(dirs) > 0")
     return out.select("voxel_id", F.get("dirs", F.lit(0)).alias("first_dir"), F.coalesce(F.get("dirs", F.lit(1)), F.lit(-1)).alias("second_dir"))
 
 
@@ -282,9 +283,8 @@ two AS (SELECT DISTINCT voxel_id FROM x JOIN one o USING (voxel_id) JOIN wd a ON
 SELECT count(*) AS voxels, (SELECT count(*) FROM one) AS fitted, (SELECT count(*) FROM two) AS several, round(100.0 * (SELECT count(*) FROM two) / (SELECT count(*) FROM one), 6) AS percent FROM embeddings""")
 def population_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voxels, those with a fiber, and those with several."""
-    dirs = weights.dominant_directions(weights.basins(*_totals(spark, sf_dir), X.WEIGHT_DIRECTIONS), X.WEIGHT_DIRECTIONS)
-    rows = X.weights(spark, sf_dir).select("voxel_id").join(dirs, "voxel_id", "left")
-    fitted, several = F.count("dirs"), F.count_if(F.size("dirs") > 1)
+    rows = _masses(spark, sf_dir, most=2)
+    fitted, several = F.count_if(F.size("dirs") > 0), F.count_if(F.size("dirs") > 1)
     return rows.agg(F.count("*").alias("voxels"), fitted.alias("fitted"), several.alias("several"), _r(100.0 * several / fitted).alias("percent"))
 
 
