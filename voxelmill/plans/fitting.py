@@ -406,13 +406,55 @@ def anchored_two_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("voxel_id", *[_r(c / (w[0] + w[1])).alias(n) for n, c in zip(("rf", "nrf"), w)])
 
 
-@_query()
+# Each set of the four columns is a system of its own, in which the others have the unit matrix's row and weight 0.
+_ANCHORED_FIBER = """, a AS (SELECT voxel_id, ff, sn AS y, [CASE WHEN ad IS NULL THEN 0.0::DOUBLE ELSE exp(-b * (rd + (ad - rd) * c2)) END, exp(-b * 0.15e-3), exp(-b * 1e-3), exp(-b * 3e-3)] AS x FROM norm JOIN fit USING (voxel_id)),
+h AS (SELECT voxel_id, any_value(ff) AS ff_true, sum(x[1] * y) AS y1, sum(x[2] * y) AS y2, sum(x[3] * y) AS y3, sum(x[4] * y) AS y4, sum(x[1] * x[1]) AS g11, sum(x[1] * x[2]) AS g12, sum(x[1] * x[3]) AS g13,
+  sum(x[1] * x[4]) AS g14, sum(x[2] * x[2]) AS g22, sum(x[2] * x[3]) AS g23, sum(x[2] * x[4]) AS g24, sum(x[3] * x[3]) AS g33, sum(x[3] * x[4]) AS g34, sum(x[4] * x[4]) AS g44 FROM a GROUP BY voxel_id),
+o AS (SELECT i, i % 2 AS p, i // 2 % 2 AS q, i // 4 % 2 AS r, i // 8 AS s FROM range(1, 16) t(i)),
+m AS (SELECT voxel_id, ff_true, i, p * y1 AS y1, q * y2 AS y2, r * y3 AS y3, s * y4 AS y4, p * g11 + (1 - p) AS d1, p * q * g12 AS g12, p * r * g13 AS g13, p * s * g14 AS g14,
+  q * g22 + 1 - q AS g22, q * r * g23 AS g23, q * s * g24 AS g24, r * g33 + 1 - r AS g33, r * s * g34 AS g34, s * g44 + 1 - s AS g44 FROM h CROSS JOIN o WHERE p = 0 OR g11 > 0),
+m1 AS (SELECT *, g12 / d1 AS l2, g13 / d1 AS l3, g14 / d1 AS l4 FROM m),
+m2 AS (SELECT *, g22 - l2 * g12 AS d2, g23 - l2 * g13 AS e3, g24 - l2 * g14 AS e4, y2 - l2 * y1 AS z2 FROM m1),
+m3 AS (SELECT *, e3 / d2 AS k3, e4 / d2 AS k4 FROM m2),
+m4 AS (SELECT *, g33 - l3 * g13 - k3 * e3 AS d3, g34 - l3 * g14 - k3 * e4 AS c4, y3 - l3 * y1 - k3 * z2 AS z3 FROM m3),
+m5 AS (SELECT *, g44 - l4 * g14 - k4 * e4 - c4 / d3 * c4 AS d4, y4 - l4 * y1 - k4 * z2 - c4 / d3 * z3 AS z4 FROM m4),
+w4 AS (SELECT *, z4 / d4 AS w4 FROM m5),
+w3 AS (SELECT *, z3 / d3 - c4 / d3 * w4 AS w3 FROM w4),
+w2 AS (SELECT *, z2 / d2 - k3 * w3 - k4 * w4 AS w2 FROM w3),
+w1 AS (SELECT *, y1 / d1 - l2 * w2 - l3 * w3 - l4 * w4 AS w1 FROM w2),
+best AS (SELECT *, w1 + w2 + w3 + w4 AS tot, row_number() OVER (PARTITION BY voxel_id ORDER BY w1 * y1 + w2 * y2 + w3 * y3 + w4 * y4 DESC, i) AS place FROM w1 WHERE least(w1, w2, w3, w4) >= 0)
+SELECT voxel_id, round(ff_true, 6) AS ff_true, round(w1 / tot, 6) AS ff, round(w2 / tot, 6) AS rf, round(w3 / tot, 6) AS hf, round(w4 / tot, 6) AS wf FROM best WHERE place = 1
+"""
+
+
+@_query(_ANCHORED_FIBER)
 def anchored_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fractions with the fiber's fitted tensor and known direction."""
     rows = _fitted(spark, sf_dir).select("voxel_id", "signal", F.col("ad").alias("ad1"), F.col("rd").alias("rd1"), F.col("ux").alias("u1x"), F.col("uy").alias("u1y"), F.col("uz").alias("u1z"), F.col("ff").alias("ff_true"))
     out = solvers.anchored_fractions(rows, X.PROTOCOL, fibers=1)
     tot = C.total(F.col("anchored"))
-    return out.select("voxel_id", "ff_true", *[(F.get("anchored", F.lit(i)) / tot).alias(n) for i, n in enumerate(("ff", "rf", "hf", "wf"))])
+    return _rounded(out.select("voxel_id", "ff_true", *[(F.get("anchored", F.lit(i)) / tot).alias(n) for i, n in enumerate(("ff", "rf", "hf", "wf"))]), "voxel_id")
+
+
+def _ridge(grids: dict[int, list[float]]) -> str:
+    """SQL of scores(n, lam, gcv): cross-validation of each grid and penalty from sums over all voxels, with inverses by elimination."""
+    own = ", ".join(f"({n}, {list(map(float, g))}::DOUBLE[])" for n, g in grids.items())
+    return f""", grids AS (SELECT * FROM (VALUES {own}) t(n, ds)),
+atom AS (SELECT n, i, ds[i + 1] AS d, len(ds) AS size FROM grids, range({max(map(len, grids.values()))}) t(i) WHERE i < len(ds)),
+gram AS (SELECT x.n, x.i, y.i AS j, sum(exp(-b * (x.d + y.d))) AS g FROM atom x JOIN atom y ON x.n = y.n CROSS JOIN protocol GROUP BY ALL),
+mom AS (SELECT p.m, q.m AS o, avg(p.sn * q.sn) AS v FROM (SELECT voxel_id, m, sn FROM norm WHERE in_mask) p JOIN (SELECT voxel_id, m, sn FROM norm WHERE in_mask) q USING (voxel_id) GROUP BY ALL),
+half AS (SELECT n, i, o, sum(exp(-b * d) * v) AS v FROM atom CROSS JOIN mom JOIN protocol USING (m) GROUP BY ALL),
+proj AS (SELECT half.n, half.i, y.i AS j, sum(v * exp(-b * y.d)) AS h FROM half JOIN protocol p ON p.m = half.o JOIN atom y ON y.n = half.n GROUP BY ALL),
+lams AS (SELECT l, 10.0::DOUBLE ** (-5 + 6 * l / 39.0::DOUBLE) AS lam FROM range(40) t(l)),
+inverse AS (WITH RECURSIVE e AS (
+    SELECT 0 AS k, n, l, i, size, list_concat(list(g + CASE WHEN i = j THEN lam ELSE 0 END ORDER BY j), list(CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0 END ORDER BY j)) AS r FROM gram JOIN atom USING (n, i) CROSS JOIN lams GROUP BY n, l, i, size
+    UNION ALL SELECT k + 1, n, l, i, size, CASE WHEN i = k THEN [x / r[k + 1] for x in r] ELSE [r[c] - r[k + 1] / p[k + 1] * p[c] for c in range(1, 2 * size + 1)] END
+      FROM (SELECT *, max(r) FILTER (WHERE i = k) OVER (PARTITION BY n, l) AS p FROM e WHERE k < size))
+  SELECT n, l, i, j, r[size + j + 1] AS v, size FROM e, range({max(map(len, grids.values()))}) t(j) WHERE k = size AND j < size),
+twice AS (SELECT x.n, x.l, x.i, y.j, sum(x.v * y.v) AS v FROM inverse x JOIN inverse y ON x.n = y.n AND x.l = y.l AND x.j = y.i GROUP BY ALL),
+sums AS (SELECT n, l, any_value(size) AS size, sum(CASE WHEN i = j THEN a.v ELSE 0 END) AS tr, sum(a.v * h) AS once, sum(c.v * h) AS two FROM inverse a JOIN twice c USING (n, l, i, j) JOIN proj USING (n, i, j) GROUP BY n, l),
+scores AS (SELECT n, lam, greatest((SELECT sum(v) FROM mom WHERE m = o) - once - lam * two, 0) / 64 / greatest((1 - (size - lam * tr) / 64) ** 2, 1e-12) AS gcv FROM sums JOIN lams USING (l))
+"""
 
 
 def _iso_curve(spark: SparkSession, rows: DataFrame, dictionary: solvers.Dictionary) -> DataFrame:
@@ -424,10 +466,11 @@ def _fiber_curve(spark: SparkSession, rows: DataFrame, dictionary: solvers.Dicti
     return calibration.penalty_curve(spark, calibration.moments(rows, len(dictionary.b)), dictionary.matrix, dictionary.penalty(0.0, iso), dictionary.penalty(1.0, 0.0), np.logspace(-4, 4, 40))
 
 
-@_query()
+@_query(_ridge({10: iso_grid(10)}) + "SELECT round(min_by(lam, gcv), 9) AS lambda, round(min(gcv), 9) AS score FROM scores")
 def iso_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isotropic penalty by generalised cross-validation over the moments of all voxels."""
-    return calibration.least(_iso_curve(spark, _rows(spark, sf_dir), Config().dictionary(X.PROTOCOL)))
+    found = calibration.least(_iso_curve(spark, _rows(spark, sf_dir), Config().dictionary(X.PROTOCOL)))
+    return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
 
 
 @_query()
@@ -465,13 +508,18 @@ def _grid_scores(spark: SparkSession, sf_dir: str, sizes: list[int]) -> DataFram
     return calibration.grid_scores(spark, calibration.moments(_rows(spark, sf_dir), len(b)), b, {n: iso_grid(n) for n in sizes})
 
 
-@_query()
+_BY_GRID = ", g AS (SELECT n, min(gcv) AS s FROM scores GROUP BY n), o AS (SELECT min(s) AS lo, max(s) AS hi, min_by(n, s) AS best FROM g)\n"
+
+
+@_query(_ridge({n: iso_grid(n) for n in range(4, 36, 2)}) + _BY_GRID + """SELECT any_value(best)::INT AS best, round(any_value((hi - lo) / lo), 6) AS span,
+  (CASE WHEN any_value((hi - lo) / lo) >= 0.005 THEN min(n) FILTER (WHERE s <= lo * 1.02) END)::DOUBLE AS n_iso FROM g CROSS JOIN o""")
 def iso_grid_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest isotropic grid that scores like the best one, over the moments of all voxels."""
-    return calibration.fewest(_grid_scores(spark, sf_dir, list(range(4, 36, 2))))
+    found = calibration.fewest(_grid_scores(spark, sf_dir, list(range(4, 36, 2))))
+    return _rounded(found.withColumn("n_iso", F.col("n_iso").cast("double")), "best")
 
 
-@_query()
+@_query(_ridge({n: iso_grid(n) for n in calibration.near_sizes(10)}) + _BY_GRID + "SELECT 10 AS chosen, best::INT AS best, abs(best - 10) <= 2 AS agrees FROM o")
 def iso_grid_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether cross-validation over all voxels agrees with the isotropic grid of the fit."""
     size = Config().iso_steps
