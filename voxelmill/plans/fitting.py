@@ -473,13 +473,43 @@ def iso_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
 
 
-@_query()
+def _fiber_scores(config: Config) -> str:
+    """SQL of curve(l, lam, rss, eta2, gcv) over fiber penalties: by the inverse of the measurements' matrix, not of the atoms'."""
+    d = config.dictionary(X.PROTOCOL)
+    shapes = ", ".join(f"({ad!r}, {rd!r})" for ad, rd in (map(float, p) for p in d.pairs))
+    return f""", fd AS (SELECT sqrt(1 - z * z) * cos(a) AS ux, sqrt(1 - z * z) * sin(a) AS uy, z AS uz
+  FROM (SELECT 1 - (i + 0.5::DOUBLE) / {len(d.u)} AS z, 2 * pi() * i / ((1 + sqrt(5)) / 2) AS a FROM range({len(d.u)}) t(i))),
+shape AS (SELECT ad::DOUBLE AS ad, rd::DOUBLE AS rd FROM (VALUES {shapes}) t(ad, rd)),
+fib AS (SELECT row_number() OVER () AS i, ux, uy, uz, ad, rd FROM fd CROSS JOIN shape),
+col AS (SELECT i, m, exp(-b * (rd + (ad - rd) * (gx * ux + gy * uy + gz * uz) ** 2)) AS a FROM fib CROSS JOIN protocol),
+fk AS (SELECT x.m, y.m AS o, sum(x.a * y.a) AS f FROM col x JOIN col y USING (i) GROUP BY ALL),
+ik AS (SELECT p.m, q.m AS o, sum(exp(-(p.b + q.b) * d)) AS g FROM protocol p CROSS JOIN protocol q CROSS JOIN (SELECT unnest({list(map(float, d.grid))}::DOUBLE[]) AS d) GROUP BY ALL),
+lams AS (SELECT l, 10.0::DOUBLE ** (-4 + 8 * l / 39.0::DOUBLE) AS lam FROM range(40) t(l)),
+inverse AS (WITH RECURSIVE e AS (
+    SELECT 0 AS k, l, m, list_concat(list(f / lam + g / {config.iso_penalty!r} + CASE WHEN m = o THEN 1 ELSE 0 END ORDER BY o), list(CASE WHEN m = o THEN 1.0::DOUBLE ELSE 0 END ORDER BY o)) AS r FROM fk JOIN ik USING (m, o) CROSS JOIN lams GROUP BY l, m
+    UNION ALL SELECT k + 1, l, m, CASE WHEN m = k THEN [x / r[k + 1] for x in r] ELSE [r[c] - r[k + 1] / p[k + 1] * p[c] for c in range(1, 129)] END
+      FROM (SELECT *, max(r) FILTER (WHERE m = k) OVER (PARTITION BY l) AS p FROM e WHERE k < 64))
+  SELECT l, m, o, r[65 + o] AS v FROM e, range(64) t(o) WHERE k = 64),
+mom AS (SELECT p.m, q.m AS o, avg(p.sn * q.sn) AS v FROM (SELECT voxel_id, m, sn FROM norm WHERE in_mask) p JOIN (SELECT voxel_id, m, sn FROM norm WHERE in_mask) q USING (voxel_id) GROUP BY ALL),
+pm AS (SELECT l, x.m, y.o, sum(x.v * y.v) AS v FROM inverse x JOIN mom y ON x.o = y.m GROUP BY ALL),
+off AS (SELECT x.l, x.m, y.o, sum(x.v * y.v) AS v FROM pm x JOIN inverse y ON x.l = y.l AND x.o = y.m GROUP BY ALL),
+sums AS (SELECT l, sum(CASE WHEN m = o THEN off.v ELSE 0 END) AS rss, sum(off.v * (f / lam / lam + g / {config.iso_penalty**2!r})) AS eta2, sum(CASE WHEN m = o THEN inverse.v ELSE 0 END) AS rest
+  FROM off JOIN inverse USING (l, m, o) JOIN fk USING (m, o) JOIN ik USING (m, o) JOIN lams USING (l) GROUP BY l),
+curve AS (SELECT l, lam, rss, eta2, rss / 64 / greatest((rest / 64) ** 2, 1e-12) AS gcv FROM sums JOIN lams USING (l)),
+point AS (SELECT l, lam, ln(rss) / 2 AS x, ln(eta2) / 2 AS y FROM curve),
+three AS (SELECT q.lam, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy, r.x AS rx, r.y AS ry FROM point q JOIN point p ON p.l = q.l - 1 JOIN point r ON r.l = q.l + 1),
+bends AS (SELECT lam, 2 * abs((qx - px) * (ry - py) - (rx - px) * (qy - py)) / (sqrt((px - qx) ** 2 + (py - qy) ** 2) * sqrt((qx - rx) ** 2 + (qy - ry) ** 2) * sqrt((px - rx) ** 2 + (py - ry) ** 2)) AS bend FROM three)
+"""
+
+
+@_query(_fiber_scores(Config()) + "SELECT 'gcv' AS method, round(min_by(lam, gcv), 9) AS lambda FROM curve UNION ALL SELECT 'corner', round(max_by(lam, bend), 9) FROM bends")
 def fiber_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fiber penalty by cross-validation and by the corner of the residual's curve."""
     config = Config()
     curve = _fiber_curve(spark, _rows(spark, sf_dir), config.dictionary(X.PROTOCOL), config.iso_penalty)
     by_gcv = calibration.least(curve).select(F.lit("gcv").alias("method"), "lambda")
-    return by_gcv.unionByName(calibration.corner(curve).select(F.lit("corner").alias("method"), "lambda"))
+    both = by_gcv.unionByName(calibration.corner(curve).select(F.lit("corner").alias("method"), "lambda"))
+    return both.select("method", F.round("lambda", 9).alias("lambda"))
 
 
 @_query()
