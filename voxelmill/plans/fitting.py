@@ -427,13 +427,19 @@ SELECT voxel_id, round(ff_true, 6) AS ff_true, round(w1 / tot, 6) AS ff, round(w
 """
 
 
-@_query(_ANCHORED_FIBER)
+@_query()
 def anchored_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fractions with the fiber's fitted tensor and known direction."""
     rows = _fitted(spark, sf_dir).select("voxel_id", "signal", F.col("ad").alias("ad1"), F.col("rd").alias("rd1"), F.col("ux").alias("u1x"), F.col("uy").alias("u1y"), F.col("uz").alias("u1z"), F.col("ff").alias("ff_true"))
     out = solvers.anchored_fractions(rows, X.PROTOCOL, fibers=1)
     tot = C.total(F.col("anchored"))
-    return _rounded(out.select("voxel_id", "ff_true", *[(F.get("anchored", F.lit(i)) / tot).alias(n) for i, n in enumerate(("ff", "rf", "hf", "wf"))]), "voxel_id")
+    return out.select("voxel_id", "ff_true", *[(F.get("anchored", F.lit(i)) / tot).alias(n) for i, n in enumerate(("ff", "rf", "hf", "wf"))])
+
+
+@_query(_ANCHORED_FIBER)
+def anchored_fiber_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same to six places."""
+    return _rounded(anchored_fractions(spark, sf_dir), "voxel_id")
 
 
 def _ridge(grids: dict[int, list[float]]) -> str:
