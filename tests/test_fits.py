@@ -348,3 +348,18 @@ def test_entry_without_the_training_data_folders(tmp_path):
     code = "import __spark_entry__ as e; print(sorted(e.queries())); assert 'tensor_fit' in e.queries() and not any(n.startswith('op') and n[2].isdigit() for n in e.queries()); e.oracle_sql()"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+
+
+def test_basins_of_rows_with_nulls_ties_and_nothing(spark):
+    from voxelmill.operators import weights
+    from voxelmill.operators.directions import Directions
+
+    u = Directions(S.hemisphere(12), 2)
+    rows = [(1, None), (2, [0.0] * 24), (3, [1.0] * 24), (4, [None] * 3 + [2.0] + [0.0] * 20), (4, [None] * 3 + [2.0] + [0.0] * 20)]
+    found = weights.basins(weights.with_totals(spark.createDataFrame(rows, "voxel_id long, w array<double>"), 12, 2), u, most=2)
+    mass = {r["voxel_id"]: (sum(r["mass"]), list(r["dirs"])) for r in found.collect()}
+    assert mass[1] == mass[2] == (0.0, []) and mass[4] == (2.0, [3]) and abs(mass[3][0] - 24) < 1e-9
+    peaks = [tuple(r) for r in weights.peaks(found).filter("voxel_id <> 3").collect()]
+    assert peaks == [(4, 3, 2.0, 2.0, 1)] * 2
+    assert {r["voxel_id"] for r in weights.concentration(found).collect()} == {3, 4}
+    assert weights.peaks(found.limit(0)).count() == 0
