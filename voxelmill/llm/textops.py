@@ -18,6 +18,7 @@ CHUNK_BYTES = 2 << 20
 #: Bytes whose numbers are in hand at once within such a pass.
 PIECE_BYTES = 1 << 20
 
+_HIGH, _ONES = np.uint64(0x8080808080808080), np.uint64(0x0101010101010101)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -109,15 +110,15 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
 
 
 class Words:
-    """Words of the rows of a byte buffer.
+    """Words of the rows of a byte buffer: runs of bytes outside ``gap``.
 
     ``start`` and ``end`` are byte positions of each word, ``first`` the n + 1 word numbers at which
     the rows begin.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE):
         self.data, self.offsets = data, offsets
-        solid = ~SPACE[data]
+        solid = ~gap[data]
         begins, ends = solid.copy(), solid.copy()
         if len(data):
             edge = np.zeros(len(data) + 1, bool)
@@ -149,6 +150,37 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+class Units:
+    """Ends of the code points of a UTF-8 buffer, marked eight bytes at a time."""
+
+    def __init__(self, data: np.ndarray):
+        padded = np.zeros(len(data) // 8 * 8 + 16, np.uint8)  # a zero byte after the last one ends it
+        padded[: len(data)] = data
+        w = padded.view("<u8")
+        starts = ~(w & ~(w << np.uint64(1))) & _HIGH  # bytes other than 10xxxxxx, marked in their highest bits
+        ends = starts[:-1] >> np.uint64(8) | starts[1:] << np.uint64(56)
+        last = len(data) % 8
+        ends[len(data) // 8 :] &= np.uint64((1 << 8 * last) - 1)  # the padding ends nothing
+        self.marks = ends
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(ends), dtype=np.int64)])
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """How many code points end before each byte position."""
+        word, byte = at >> 3, (at & 7).astype(np.uint64)
+        below = (np.uint64(1) << (byte * np.uint64(8))) - np.uint64(1)
+        here = np.append(self.marks, np.uint64(0))[word] & below
+        return self.before[word] + np.bitwise_count(here)
+
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """The position after the k-th code point (from 1), 0 for k = 0."""
+        word = np.clip(np.searchsorted(self.before, k, "left") - 1, 0, max(len(self.marks) - 1, 0))
+        left = (k - self.before[word]).astype(np.uint64)  # 1 to 8 marks into the word
+        sums = (self.marks[word] >> np.uint64(7)) * _ONES  # byte i: marks in bytes 0 to i
+        less = ((((left - np.uint64(1)) * _ONES) | _HIGH) - sums) & _HIGH  # bytes whose sum is under the wanted number
+        byte = np.bitwise_count(less)
+        return np.where(k > 0, word * 8 + byte.astype(np.int64) + 1, 0)
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of ``width`` consecutive values."""
     have = 1
