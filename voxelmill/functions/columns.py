@@ -60,23 +60,24 @@ def fiber_signal(b: Column, c2: Column, ad: Column, rd: Column) -> Column:
 
 
 def recover_iso(rf: Column, hf: Column, wf: Column, adc: Column) -> Column:
-    """Hindered diffusivity that agrees with the mean isotropic one, three compartments."""
+    """Hindered diffusivity that agrees with the mean isotropic one, three compartments; null where the mean is not positive, or the
+    hindered or all isotropic fractions are not over 1e-6."""
     tot = rf + hf + wf
     d = (adc * tot - rf * S.D_RES - wf * S.D_WAT_MEAN) / hf
-    return F.when((hf > 1e-6) & (tot >= 1e-10), F.greatest(F.lit(S.RES_MAX), F.least(F.lit(S.WAT_MIN), d))).otherwise(F.lit(0.9e-3))
+    return F.when((adc > 0) & (hf > 1e-6) & (tot > 1e-6), F.greatest(F.lit(S.RES_MAX), F.least(F.lit(S.WAT_MIN), d)))
 
 
 def recover_nonrestricted(rf: Column, nrf: Column, adc: Column) -> Column:
     """The same of the non-restricted diffusivity, two compartments."""
     tot = rf + nrf
-    d = F.greatest(F.lit(S.RES_MAX), F.least(F.lit(S.ISO_MAX), (adc * tot - rf * S.D_RES) / nrf))
-    return F.when(tot < 1e-10, F.lit(1e-3)).when(nrf > 1e-6, d).otherwise(adc)
+    d = (adc * tot - rf * S.D_RES) / nrf
+    return F.when((adc > 0) & (nrf > 1e-6) & (tot > 1e-6), F.greatest(F.lit(S.RES_MAX), F.least(F.lit(S.ISO_MAX), d)))
 
 
 def confidence(d: Column, low: float, threshold: float, high: float, as_coded: bool = False) -> Column:
-    """0 at a compartment's threshold, rising to 1 at the edges of its zone and beyond.
+    """0 at a compartment's threshold, rising to 1 at the edges of its zone and beyond; null without a diffusivity.
 
     ``as_coded`` gives the opposite ramp inside the zone.
     """
     ramp = F.when(d < threshold, (d - low) / (threshold - low)).otherwise((high - d) / (high - threshold))
-    return F.when((d < low) | (d > high), F.lit(1.0)).otherwise(ramp if as_coded else 1 - ramp)
+    return F.when(d.isNull() | F.isnan(d), F.lit(None).cast("double")).when((d < low) | (d > high), F.lit(1.0)).otherwise(ramp if as_coded else 1 - ramp)

@@ -6,11 +6,11 @@ only their second moments: an N x N sum that Spark adds up over any number of vo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,18 +19,23 @@ from voxelmill.operators.quantiles import percentiles
 from voxelmill.operators.solvers import ROWS, Dictionary, fit_rows, matrix_of, nnls
 
 
+def _named(rows: DataFrame) -> list[str]:
+    """The id that errors name, where there is one."""
+    return [c for c in rows.columns if c == "voxel_id"]
+
+
 def moments(rows: DataFrame, n: int) -> np.ndarray:
     """Mean of s s' over the signals of n measurements (zeros without rows)."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, count = np.zeros((n, n)), 0
         for batch in batches:
-            s = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            s = matrix_of(batch, "signal", n)
             total, count = total + s.T @ s, count + len(s)
         yield pa.RecordBatch.from_pydict({"at": np.arange(n * n + 1), "value": np.append(total.ravel(), float(count))})
 
     out = np.zeros(n * n + 1)
-    for row in rows.select("signal").mapInArrow(sums, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():  # n * n + 1 numbers
+    for row in rows.select(*_named(rows), "signal").mapInArrow(sums, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():  # n * n + 1 numbers
         out[row["at"]] = row["value"]
     return out[:-1].reshape(n, n) / max(out[-1], 1.0)
 
@@ -55,17 +60,17 @@ def penalty_curve(spark: SparkSession, moment: np.ndarray, matrix: np.ndarray, f
     return spark.createDataFrame(_points(moment, matrix, fixed, varied, values), "lambda double, rss double, eta2 double, dof double, gcv double")  # one row a value
 
 
-def least(curve: DataFrame, score: str = "gcv") -> DataFrame:
-    """One row: the value of least score, the first of equals."""
-    return curve.agg(F.min_by("lambda", F.struct(score, "lambda")).alias("lambda"), F.min(score).alias("score"))
+def least(curve: DataFrame, score: str = "gcv", by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each key ``by``: the value of least score, the first of equals."""
+    return curve.groupBy(*by).agg(F.min_by("lambda", F.struct(score, "lambda")).alias("lambda"), F.min(score).alias("score"))
 
 
-def corner(curve: DataFrame) -> DataFrame:
-    """One row: the value at which (ln rss / 2, ln eta2 / 2) bends most, and whether that is weak.
+def corner(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each key ``by``: the value at which (ln rss / 2, ln eta2 / 2) bends most, and whether that is weak.
 
     The bend at a point is the curvature of the circle through it and its two neighbours; ends have none.
     """
-    order = Window.orderBy("lambda")  # a curve of a few dozen rows
+    order = Window.partitionBy(*by).orderBy("lambda")  # a curve of a few dozen rows
     point = F.struct((F.log(F.greatest("rss", F.lit(1e-300))) / 2).alias("x"), (F.log(F.greatest("eta2", F.lit(1e-300))) / 2).alias("y"))
     rows = curve.withColumn("q", point).withColumn("p", F.lag("q").over(order)).withColumn("r", F.lead("q").over(order))
     d = lambda a, b: F.hypot(F.col(f"{a}.x") - F.col(f"{b}.x"), F.col(f"{a}.y") - F.col(f"{b}.y"))
@@ -73,14 +78,14 @@ def corner(curve: DataFrame) -> DataFrame:
     sides = d("p", "q") * d("q", "r") * d("p", "r")
     bend = F.when(F.col("p").isNotNull() & F.col("r").isNotNull(), F.when(sides > 1e-300, 4 * area / sides).otherwise(F.lit(0.0)))
     rows = rows.withColumn("bend", bend).filter("bend is not null")
-    return rows.agg(F.min_by("lambda", F.struct(-F.col("bend"), F.col("lambda"))).alias("lambda"), (F.max("bend") < 1e-6).alias("weak"))
+    return rows.groupBy(*by).agg(F.min_by("lambda", F.struct(-F.col("bend"), F.col("lambda"))).alias("lambda"), (F.max("bend") < 1e-6).alias("weak"))
 
 
-def cap(curve: DataFrame, limit: float) -> DataFrame:
-    """One row: the last value before ``residual`` first exceeds the limit; the least one if it does at once."""
-    order = Window.orderBy("lambda").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = curve.withColumn("fine", F.min((F.col("residual") <= limit).cast("int")).over(order))
-    return rows.agg(F.coalesce(F.max(F.when(F.col("fine") == 1, F.col("lambda"))), F.min("lambda")).alias("lambda"))
+def cap(curve: DataFrame, limit: float | str, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each key ``by``: the last value before ``residual`` first exceeds the limit; the least one if it does at once."""
+    order = Window.partitionBy(*by).orderBy("lambda").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = curve.withColumn("fine", F.min((F.col("residual") <= _of(limit)).cast("int")).over(order))
+    return rows.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("fine") == 1, F.col("lambda"))), F.min("lambda")).alias("lambda"))
 
 
 def _residuals(sample: DataFrame, matrix: np.ndarray, penalties: dict[float, np.ndarray]) -> DataFrame:
@@ -90,13 +95,13 @@ def _residuals(sample: DataFrame, matrix: np.ndarray, penalties: dict[float, np.
         for batch in batches:
             value = batch.column("lambda").to_numpy()
             for v in np.unique(value):
-                s = batch.column("signal").filter(pa.array(value == v)).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(matrix))
+                s = matrix_of(batch.filter(pa.array(value == v)), "signal", len(matrix))
                 for at in range(0, len(s), ROWS):
                     part = s[at : at + ROWS]
                     off = part - nnls(grams[float(v)], part @ matrix) @ matrix.T
                     yield pa.RecordBatch.from_pydict({"lambda": np.full(len(part), v), "residual": (off * off).sum(1)})
 
-    each = sample.select("signal", F.explode(F.array(*[F.lit(v) for v in penalties])).alias("lambda")).repartition(4 * len(penalties), "lambda", "signal")
+    each = sample.select(*_named(sample), "signal", F.explode(F.array(*[F.lit(v) for v in penalties])).alias("lambda")).repartition(4 * len(penalties), "lambda", "signal")
     return each.mapInArrow(run, "lambda double, residual double").groupBy("lambda").agg(F.avg("residual").alias("residual"))
 
 
@@ -117,13 +122,13 @@ def without_fibers(sample: DataFrame, dictionary: Dictionary, fiber: float, iso:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(a))
+            s = matrix_of(batch, "signal", len(a))
             for at in range(0, len(s), ROWS):
                 part = s[at : at + ROWS]
                 w = nnls(gram, part @ a)[:, : dictionary.fibers]
                 yield pa.RecordBatch.from_pydict({"signal": list(part - w @ a[:, : dictionary.fibers].T)})
 
-    return sample.select("signal").mapInArrow(run, "signal array<double>")
+    return sample.select(*_named(sample), "signal").mapInArrow(run, "signal array<double>")
 
 
 def two_pass(sample: DataFrame, dictionary: Dictionary, sigma: float, method: str = "discrepancy") -> DataFrame:
@@ -266,16 +271,28 @@ def sure_check(risks: DataFrame, chosen: float, within: float = 0.15) -> DataFra
     return one.select(F.lit(float(chosen)).alias("chosen"), "risk", "best", "least", (F.col("risk") <= F.col("least") * (1 + within)).alias("agrees"))
 
 
-def discrepancy(curve: DataFrame, limit: float, floor: float) -> DataFrame:
-    """One row: the value at which the rising residual meets the limit, by its logarithm between the two
+def _of(value: float | str) -> Column:
+    """A number, or a column by its name."""
+    return F.col(value) if isinstance(value, str) else F.lit(float(value))
+
+
+def _neighbours(curve: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A curve with the value and residual that follow each."""
+    order = Window.partitionBy(*by).orderBy("lambda")
+    return curve.withColumn("next", F.lead("residual").over(order)).withColumn("next_lambda", F.lead("lambda").over(order))
+
+
+def discrepancy(curve: DataFrame, limit: float | str, floor: float | str, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each key ``by``: the value at which the rising residual meets the limit, by its logarithm between the two
     neighbours; the least value (not under the floor) if all exceed the limit, the greatest if none does."""
-    order = Window.orderBy("lambda")
-    rows = curve.withColumn("next", F.lead("residual").over(order)).withColumn("next_lambda", F.lead("lambda").over(order))
+    limit, floor = _of(limit), _of(floor)
+    rows = _neighbours(curve, by)
     share = (limit - F.col("residual")) / (F.col("next") - F.col("residual"))
     meets = (F.col("residual") <= limit) & (F.col("next") > limit)
     at = F.exp(F.log("lambda") + share * (F.log("next_lambda") - F.log("lambda")))
-    one = rows.agg(F.min(F.when(meets, at)).alias("at"), F.min("residual").alias("least"), F.min("lambda").alias("low"), F.max("lambda").alias("high"))
-    return one.select(F.when(F.col("at").isNotNull(), F.greatest(F.col("at"), F.lit(floor))).when(F.col("least") > limit, F.greatest(F.col("low"), F.lit(floor))).otherwise(F.col("high")).alias("lambda"))
+    one = rows.groupBy(*by).agg(F.min(F.when(meets, at)).alias("at"), F.min("residual").alias("least"), F.min("lambda").alias("low"), F.max("lambda").alias("high"), F.max(limit).alias("_limit"), F.max(floor).alias("_floor"))
+    value = F.when(F.col("at").isNotNull(), F.greatest("at", "_floor")).when(F.col("least") > F.col("_limit"), F.greatest("low", "_floor")).otherwise(F.col("high"))
+    return one.select(*by, value.alias("lambda"))
 
 
 def discrepancy_search(sample: DataFrame, dictionary: Dictionary, iso: float, limit: float, tolerance: float = 1e-3, passes: int = 4) -> float:
@@ -304,7 +321,11 @@ def discrepancy_search(sample: DataFrame, dictionary: Dictionary, iso: float, li
 
 def fiber_floor(dictionary: Dictionary, iso: float) -> float:
     """Least fiber penalty that a discrepancy may give."""
-    return max(0.1 * iso, 0.075 * float(np.linalg.eigvalsh(dictionary.matrix.T @ dictionary.matrix)[-1]) / dictionary.fibers)
+    return max(0.1 * iso, _fiber_scale(dictionary))
+
+
+def _fiber_scale(dictionary: Dictionary) -> float:
+    return 0.075 * float(np.linalg.eigvalsh(dictionary.matrix.T @ dictionary.matrix)[-1]) / dictionary.fibers
 
 
 def concentration_gate(rows: DataFrame, percentile: float = 0.9, at_least: int = 30, default: float = S.CONCENTRATION_GATE) -> DataFrame:

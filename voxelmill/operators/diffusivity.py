@@ -6,9 +6,11 @@ lambdas are interpreted element by element; what is left is column expressions.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,29 +99,34 @@ def fit_quality(rows: DataFrame, protocol: Protocol, populations: int = 1, three
     return fit_rows(rows, solve, [("r2", T.DoubleType()), ("rmse", T.DoubleType())])
 
 
-def quality_report(rows: DataFrame) -> DataFrame:
-    """One row over r2 and rmse: medians, means and shares beyond limits."""
-    share = lambda cond: F.avg(cond.cast("int"))
+def quality_report(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A row (for each key ``by``) over r2 and rmse: medians, means and shares beyond limits."""
     r2, rmse = F.col("r2"), F.col("rmse")
-    middle = percentiles(rows, {"median_r2": (r2, 0.5), "median_rmse": (rmse, 0.5)})
-    means = rows.agg(
-        F.avg(r2).alias("mean_r2"), share(r2 > 0.99).alias("over_99"), share(r2 > 0.95).alias("over_95"),
-        share(r2 > 0.9).alias("over_90"), share(r2 < 0.9).alias("under_90"), F.avg(rmse).alias("mean_rmse"), share(rmse > 0.05).alias("rmse_over_05"),
-    )
-    return means.crossJoin(F.broadcast(middle))  # one row each
+    share = lambda cond: (cond.cast("int"), F.avg)
+    also = {
+        "mean_r2": (r2, F.avg), "over_99": share(r2 > 0.99), "over_95": share(r2 > 0.95), "over_90": share(r2 > 0.9), "under_90": share(r2 < 0.9),
+        "mean_rmse": (rmse, F.avg), "rmse_over_05": share(rmse > 0.05),
+    }
+    return percentiles(rows, {"median_r2": (r2, 0.5), "median_rmse": (rmse, 0.5)}, by, also)
 
 
 def fiber_maps(rows: DataFrame, populations: int = 2) -> DataFrame:
-    """Fraction-weighted AD, RD over the populations f1, ad1, rd1, ... and FA of the mean tensor."""
-    def part(k: int, name: str) -> Column:
-        use = (F.col(f"f{k}") > 1e-6) & F.col(f"ad{k}").isNotNull()
-        return F.when(use, F.col(f"f{k}") * (F.col(f"{name}{k}") if name else F.lit(1.0))).otherwise(F.lit(0.0))
+    """agg_ff, agg_ad, agg_rd and agg_fa over up to three populations, from the total fiber fraction ff, the others' fractions f2, f3
+    and their tensors ad1, rd1, ...
 
-    weight, ad, rd = (sum((part(k, n) for k in range(1, populations + 1)), F.lit(0.0)) for n in ("", "ad", "rd"))
-    rows = rows.withColumn("_w", weight).withColumn("agg_ad", F.when(weight > 0, ad / weight)).withColumn("agg_rd", F.when(weight > 0, rd / weight))
+    The first population has what the others leave of the total; diffusivities are sums of fraction times value (null: 0) over the
+    total.  All but agg_ff are null without a first tensor or without fibers; agg_fa, of the mean tensor, also where that is 0.
+    """
+    value = lambda name: F.coalesce(F.nanvl(F.col(name), F.lit(0.0)), F.lit(0.0))
+    total = F.greatest(value("ff"), F.lit(0.0))
+    rest = [value(f"f{k}") for k in range(2, populations + 1)]
+    shares = [F.greatest(total - sum(rest, F.lit(0.0)), F.lit(0.0)), *rest]
+    there = F.col("ad1").isNotNull() & ~F.isnan("ad1") & (total > 0)
+    mean = {n: F.when(there, sum((f * value(f"{n}{k}") for k, f in enumerate(shares, 1)), F.lit(0.0)) / total) for n in ("ad", "rd")}
+    rows = rows.withColumns({"agg_ff": F.nanvl(F.col("ff"), F.lit(None).cast("double")), "agg_ad": mean["ad"], "agg_rd": mean["rd"]})
     a, r = F.col("agg_ad"), F.col("agg_rd")
-    md = (a + 2 * r) / 3
-    return rows.withColumn("agg_fa", F.sqrt(F.lit(1.5)) * F.sqrt((a - md) * (a - md) + 2 * (r - md) * (r - md)) / F.sqrt(a * a + 2 * r * r)).drop("_w")
+    md, size = (a + 2 * r) / 3, F.sqrt(a * a + 2 * r * r)
+    return rows.withColumn("agg_fa", F.when(size > 0, F.sqrt(F.lit(1.5)) * F.sqrt((a - md) * (a - md) + 2 * (r - md) * (r - md)) / size))
 
 
 def dead_zone(rows: DataFrame, before: str = "rf", after: str = "rf_corrected", limit: float = 0.02) -> DataFrame:

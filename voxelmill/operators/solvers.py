@@ -21,6 +21,8 @@ from voxelmill.schema import Protocol
 
 #: Rows that are solved at once, and bytes that their own matrices may take.
 ROWS, MATRIX_BYTES = 256, 32 << 20
+#: Matrices of different penalties that a task keeps.
+KEPT = 64
 #: Concentration under which the fiber penalty grows, where it is greatest, and by what factor.
 SPREAD_LOW, SPREAD_HIGH, SPREAD_GAIN = 0.24, 0.36, 8.0
 #: Grid of the single-fiber fit: axial and radial (low, high, steps), least ratio.
@@ -156,24 +158,42 @@ class Dictionary:
     def penalty(self, fiber: float, iso: float) -> np.ndarray:
         return np.concatenate([np.full(self.fibers, fiber), np.full(len(self.grid), iso)])
 
+    def sums(self) -> np.ndarray:
+        """Columns that sum weights: of the fibers, of the bands rf, hf, wf of the isotropic atoms, and of these times their diffusivity."""
+        out = np.zeros((self.matrix.shape[1], 7))
+        out[: self.fibers, 0] = 1.0
+        for k, inside in enumerate((self.grid <= S.RES_MAX, (self.grid > S.RES_MAX) & (self.grid <= S.WAT_MIN), self.grid > S.WAT_MIN)):
+            out[self.fibers :, 1 + k], out[self.fibers :, 4 + k] = inside, inside * self.grid
+        return out
+
     def basins(self, w: np.ndarray) -> np.ndarray:
         """Weight of each direction's basin (0 for one that is no peak)."""
         return self.directions.basins(w[:, : self.fibers].reshape(len(w), len(self.pairs), -1).sum(1))
 
 
-def spectra(rows: DataFrame, dictionary: Dictionary, fiber: float, iso: float, gate: float = S.CONCENTRATION_GATE, most: int = 2, again: bool = True, spread: tuple[float, float, float] = (SPREAD_LOW, SPREAD_HIGH, SPREAD_GAIN), select: tuple[float, float, float] = (S.LEAST_WEIGHT, S.PEAK_RATIO, S.SEPARATION_DEG)) -> DataFrame:
+def spectra(rows: DataFrame, dictionary: Dictionary, fiber: float | str, iso: float | str, gate: float | str = S.CONCENTRATION_GATE, most: int = 2, again: bool = True, spread: tuple[float, float, float] = (SPREAD_LOW, SPREAD_HIGH, SPREAD_GAIN), select: tuple[float, float, float] = (S.LEAST_WEIGHT, S.PEAK_RATIO, S.SEPARATION_DEG)) -> DataFrame:
     """Ridge non-negative weights over the whole dictionary, solved ``again`` with a greater fiber penalty
     where the fiber weight is spread over directions.
 
-    Adds w, concentration (share of the largest basin), dirs (of the fibers) and shares (of what their basins hold together).
+    Adds parts (sums of the weights: of the fibers, of the isotropic bands rf, hf, wf, and of these weighted by diffusivity), concentration
+    (share of the largest basin), dirs (of the fibers) and shares (of what their basins hold together).  Penalties and ``gate`` are
+    numbers, or names of columns; a task keeps the matrices of the penalties that it has met last.
     ``spread``: concentration at which the penalty is greatest, at and over which it stays, and its greatest factor;
     ``select``: least weight, least ratio to the heaviest and least angle of a fiber.
     """
-    a, penalty = dictionary.matrix, dictionary.penalty(fiber, iso)
-    gram = a.T @ a + np.diag(penalty)
+    a = dictionary.matrix
+    plain, sums = a.T @ a, dictionary.sums()
     is_fiber = np.arange(a.shape[1]) < dictionary.fibers
     low, high, gain = spread
-    block = max(1, MATRIX_BYTES // gram.nbytes)
+    block = max(1, MATRIX_BYTES // plain.nbytes)
+    grams: dict[tuple[float, float], np.ndarray] = {}
+
+    def gram_of(penalties: tuple[float, float]) -> np.ndarray:
+        if penalties not in grams:
+            if len(grams) >= KEPT:
+                grams.clear()
+            grams[penalties] = plain + np.diag(dictionary.penalty(*penalties))
+        return grams[penalties]
 
     def share(mass: np.ndarray) -> np.ndarray:
         total = mass.sum(1)
@@ -181,22 +201,27 @@ def spectra(rows: DataFrame, dictionary: Dictionary, fiber: float, iso: float, g
 
     def solve(part: pa.RecordBatch) -> list[pa.Array]:
         h = matrix_of(part, "signal", len(dictionary.b)) @ a
-        w = nnls(gram, h)
+        of_fiber, of_iso, least = (values_of(part, x) if isinstance(x, str) else np.full(len(h), float(x)) for x in (fiber, iso, gate))
+        w = np.empty_like(h)
+        pairs, which = np.unique(np.column_stack([of_fiber, of_iso]), axis=0, return_inverse=True)
+        for k, pair in enumerate(pairs.tolist()):
+            own = np.flatnonzero(which.reshape(-1) == k)
+            w[own] = nnls(gram_of(tuple(pair)), h[own])
         c = share(dictionary.basins(w))
         loose = np.flatnonzero((c < high) & again)
         for i in range(0, len(loose), block):
             own = loose[i : i + block]
             grow = 1 + (gain - 1) * np.clip((high - c[own]) / (high - low), 0, 1)
-            more = np.repeat(gram[None], len(own), 0)
-            more[:, is_fiber, is_fiber] += ((grow - 1) * fiber)[:, None]
+            more = np.repeat(plain[None], len(own), 0)
+            more[:, np.arange(len(plain)), np.arange(len(plain))] += np.where(is_fiber, (grow * of_fiber[own])[:, None], of_iso[own][:, None])
             w[own] = nnls(more, h[own])
         mass = dictionary.basins(w)
-        dirs = [dictionary.directions.dominant(m, gate, most, *select) for m in mass]
+        dirs = [dictionary.directions.dominant(m, g, most, *select) for m, g in zip(mass, least)]
         shares = [(m[d] / m[d].sum()).tolist() if d else [] for m, d in zip(mass, dirs)]
-        return [_lists(w), pa.array(share(mass)), pa.array(dirs, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float64()))]
+        return [_lists(w @ sums), pa.array(share(mass)), pa.array(dirs, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float64()))]
 
     doubles = T.ArrayType(T.DoubleType())
-    return fit_rows(rows, solve, [("w", doubles), ("concentration", T.DoubleType()), ("dirs", T.ArrayType(T.IntegerType())), ("shares", doubles)])
+    return fit_rows(rows, solve, [("parts", doubles), ("concentration", T.DoubleType()), ("dirs", T.ArrayType(T.IntegerType())), ("shares", doubles)])
 
 
 def single_fiber(rows: DataFrame, protocol: Protocol, grid: list, ad: tuple = FINE_AD, rd: tuple = FINE_RD, ratio: float = FINE_RATIO, signal: str = "signal") -> DataFrame:
@@ -204,7 +229,8 @@ def single_fiber(rows: DataFrame, protocol: Protocol, grid: list, ad: tuple = FI
 
     For each admissible pair of diffusivities the fiber's column and the isotropic ones get the best
     non-negative weights; the pair with the least residual stays, and 5 x 5 pairs around it at half the
-    spacing are tried.  Adds fit_ad, fit_rd, fit_w (fiber, then ``grid``), fit_residual.
+    spacing are tried.  Voxels times pairs are solved in blocks, whose matrices share the isotropic part.
+    Adds fit_ad, fit_rd, fit_w (fiber, then ``grid``), fit_residual.
     """
     b, g = np.array(protocol.b), np.array(protocol.g)
     iso = np.exp(-b[:, None] * np.array(grid)[None, :])
@@ -212,33 +238,40 @@ def single_fiber(rows: DataFrame, protocol: Protocol, grid: list, ad: tuple = FI
     axes = [np.linspace(*x) for x in (ad, rd)]
     step = [x[1] - x[0] for x in axes]
     coarse = np.array([(x, y) for x in axes[0] for y in axes[1] if x >= y * ratio])
-
-    def best(y: np.ndarray, c2: np.ndarray, pairs: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        fiber = np.exp(-b[None, :] * (pairs[:, 1:] + (pairs[:, :1] - pairs[:, 1:]) * c2[None, :]))
-        gram = np.empty((len(pairs), k + 1, k + 1))
-        gram[:, 0, 0], gram[:, 1:, 1:] = (fiber * fiber).sum(1), iso_gram
-        gram[:, 0, 1:] = gram[:, 1:, 0] = fiber @ iso
-        h = np.column_stack([fiber @ y, np.broadcast_to(iso.T @ y, (len(pairs), k))])
-        w = nnls(gram, h)
-        off = y[None, :] - w[:, :1] * fiber - w[:, 1:] @ iso.T
-        residual = (off * off).sum(1)
-        at = int(residual.argmin())
-        return float(residual[at]), pairs[at], w[at]
+    offsets = np.array([((i - 2) * step[0] / 2, (j - 2) * step[1] / 2) for i in range(5) for j in range(5)])
+    block = max(1, MATRIX_BYTES // (8 * len(coarse) * ((k + 1) ** 2 + len(b))))
+
+    def best(y: np.ndarray, c2: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Least residual of each voxel over its pairs (voxels, pairs, 2), inadmissible ones left out, and its pair and weights."""
+        n, p = pairs.shape[:2]
+        fiber = np.exp(-b * (pairs[:, :, 1:] + (pairs[:, :, :1] - pairs[:, :, 1:]) * c2[:, None, :]))
+        use = pairs[:, :, 0] >= pairs[:, :, 1] * ratio
+        at, own = np.nonzero(use)[0], fiber[use]
+        gram = np.empty((len(own), k + 1, k + 1))
+        gram[:, 0, 0], gram[:, 1:, 1:] = (own * own).sum(1), iso_gram
+        gram[:, 0, 1:] = gram[:, 1:, 0] = own @ iso
+        w = nnls(gram, np.column_stack([(own * y[at]).sum(1), (y @ iso)[at]]))
+        off = y[at] - w[:, :1] * own - w[:, 1:] @ iso.T
+        residual, weights = np.full((n, p), np.inf), np.zeros((n, p, k + 1))
+        residual[use], weights[use] = (off * off).sum(1), w
+        first, every = residual.argmin(1), np.arange(n)
+        return residual[every, first], pairs[every, first], weights[every, first]
 
     def solve(part: pa.RecordBatch) -> list[pa.Array]:
         y = matrix_of(part, signal, len(b))
         u = np.column_stack([values_of(part, c) for c in ("ux", "uy", "uz")])
-        found = []
-        for s, c2 in zip(y, (u @ g.T) ** 2):
-            if np.isnan(c2[0]):
-                found.append((None, (None, None), None))
-                continue
-            one = best(s, c2, coarse)
-            around = [(max(0.2e-3, one[1][0] + (i - 2) * step[0] / 2), max(S.RD_MIN, one[1][1] + (j - 2) * step[1] / 2)) for i in range(5) for j in range(5)]
-            around = np.array([p for p in around if p[0] >= p[1] * ratio])
-            two = best(s, c2, around) if len(around) else one
-            found.append(two if two[0] < one[0] else one)
-        return [pa.array([f[1][0] for f in found], pa.float64()), pa.array([f[1][1] for f in found], pa.float64()), _lists([f[2] for f in found]), pa.array([f[0] for f in found], pa.float64())]
+        c2 = (u @ g.T) ** 2
+        residual, found, w = np.full(len(y), np.nan), np.full((len(y), 2), np.nan), np.full((len(y), k + 1), np.nan)
+        has = np.flatnonzero(~np.isnan(c2[:, 0]))
+        for i in range(0, len(has), block):
+            own = has[i : i + block]
+            residual[own], found[own], w[own] = best(y[own], c2[own], np.broadcast_to(coarse, (len(own), *coarse.shape)))
+            around = np.maximum(found[own][:, None, :] + offsets, [0.2e-3, S.RD_MIN])
+            value, pair, weight = best(y[own], c2[own], around)
+            win = value < residual[own]
+            residual[own[win]], found[own[win]], w[own[win]] = value[win], pair[win], weight[win]
+        none = np.isnan(residual)
+        return [pa.array(found[:, 0], mask=none), pa.array(found[:, 1], mask=none), pa.array([None if x else v for x, v in zip(none, w)], pa.list_(pa.float64())), pa.array(residual, mask=none)]
 
     d = T.DoubleType()
     return fit_rows(rows, solve, [("fit_ad", d), ("fit_rd", d), ("fit_w", T.ArrayType(d)), ("fit_residual", d)])

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 from voxelmill import schema as S
 from voxelmill.functions import columns as C
 from voxelmill.operators import calibration, diffusivity, signals, solvers, weights
+from voxelmill.operators.quantiles import beside
 from voxelmill.plans.queries import _BASE, _WEIGHTS, _fitted, _masses, _r
 from voxelmill.schema import Protocol, hemisphere, iso_grid, pairs
 from voxelmill.sources import fixtures as X
+from voxelmill.storage import stash
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -40,7 +43,8 @@ class Config:
     ``iso_range``, ``grid`` (anchored or linear), ``neighbours`` of a direction.  Fibers: ``threshold`` of their fraction, ``gate``, ``least_weight``,
     ``peak_ratio``, ``separation`` (degrees), at most ``fibers``; ``spread`` and ``modulate`` of the second solution.  One fiber's tensor:
     ``joint`` with the fractions, or in closed form, then with the direction searched anew to ``resolution`` degrees if ``refine``.
-    ``resolve``: fractions from the anchored fit at the end.
+    ``resolve``: fractions from the anchored fit at the end.  Calibration: ``sample`` voxels for the penalties, chosen by ``method``; the isotropic grid by
+    ``grid_method`` (bootstrap of ``grid_voxels`` voxels with ``replicates`` each, sweep, or fixed); ``percentile`` of the gate.
     """
 
     directions: int | None = None
@@ -67,6 +71,11 @@ class Config:
     resolution: float = 1.0
     resolve: bool = True
     method: str = "gcv"
+    sample: int = 500
+    grid_method: str = "bootstrap"
+    grid_voxels: int = 60
+    replicates: int = calibration.REPLICATES
+    percentile: float = 0.9
 
     def __post_init__(self) -> None:
         if self.compartments not in (None, 2, 3):
@@ -77,6 +86,8 @@ class Config:
             raise ValueError(f"no such grid: {self.grid}")
         if self.method not in ("discrepancy", "gcv", "corner"):
             raise ValueError(f"no such method: {self.method}")
+        if self.grid_method not in ("bootstrap", "sweep", "fixed"):
+            raise ValueError(f"no such way to choose a grid: {self.grid_method}")
         if self.iso_steps < 2 or not 0 < self.resolution:
             raise ValueError("a grid has 2 steps or more, and a resolution is an angle")
 
@@ -97,28 +108,23 @@ def _bands(weight, grid, offset: int) -> dict[str, Column]:  # noqa: ANN001
     return out | {"adc": sum((at(k) * float(d) for k, d in enumerate(grid)), F.lit(0.0))}
 
 
-def with_fractions(rows: DataFrame, dictionary: solvers.Dictionary) -> DataFrame:
+def with_fractions(rows: DataFrame) -> DataFrame:
     """ff, rf, hf, wf and mean_iso_adc of spectra, and the mean diffusivity of each band (d_rf, d_hf, d_wf, d_nrf); voxels without
     weight are left out."""
-    parts = {"ff": C.total(F.slice("w", 1, dictionary.fibers)), **_bands(F.col("w"), dictionary.grid, dictionary.fibers)}
-    rows = rows.withColumns({f"_{n}": c for n, c in parts.items()})
-    iso = F.col("_rf") + F.col("_hf") + F.col("_wf")
-    rows = rows.withColumn("_all", F.col("_ff") + iso).filter("_all >= 1e-10")
-    adc = F.when(iso > 0, F.col("_adc") / iso).otherwise(F.lit(0.0))
-    grid, at = [float(d) for d in dictionary.grid], lambda k: F.element_at("w", dictionary.fibers + k + 1)
-    bands = {"rf": (lambda d: d <= S.RES_MAX, S.D_RES), "hf": (lambda d: S.RES_MAX < d <= S.WAT_MIN, S.D_HIN), "wf": (lambda d: d > S.WAT_MIN, S.D_WAT), "nrf": (lambda d: d > S.RES_MAX, S.D_NONRES)}
-    means = {}
-    for n, (inside, default) in bands.items():
-        weight, moment = (sum((at(k) * x for k, d in enumerate(grid) if inside(d) for x in [1.0 if i == 0 else d]), F.lit(0.0)) for i in (0, 1))
-        means[f"d_{n}"] = F.when(weight > 1e-10, moment / weight).otherwise(F.lit(default))
-    rows = rows.withColumns({**{n: F.col(f"_{n}") / F.col("_all") for n in ("ff", "rf", "hf", "wf")}, "mean_iso_adc": adc, **means})
-    return rows.drop("_ff", "_rf", "_hf", "_wf", "_adc", "_all")
-
-
-def noise_of(rows: DataFrame, protocol: Protocol) -> DataFrame:
-    """One row: snr, sigma from the repeats at b = 0, or from the background where there is one or none."""
+    part = {n: F.get("parts", F.lit(i)) for i, n in enumerate(("ff", "rf", "hf", "wf", "m_rf", "m_hf", "m_wf"))}
+    iso, moment = part["rf"] + part["hf"] + part["wf"], part["m_rf"] + part["m_hf"] + part["m_wf"]
+    total = part["ff"] + iso
+    bands = {n: (part[n], part[f"m_{n}"], d) for n, d in (("rf", S.D_RES), ("hf", S.D_HIN), ("wf", S.D_WAT))}
+    bands["nrf"] = part["hf"] + part["wf"], part["m_hf"] + part["m_wf"], S.D_NONRES
+    means = {f"d_{n}": F.when(w > 1e-10, m / w).otherwise(F.lit(d)) for n, (w, m, d) in bands.items()}
+    adc = F.when(iso > 0, moment / iso).otherwise(F.lit(0.0))
+    return rows.filter(total >= 1e-10).withColumns({**{n: part[n] / total for n in ("ff", "rf", "hf", "wf")}, "mean_iso_adc": adc, **means}).drop("parts")
+
+
+def noise_of(rows: DataFrame, protocol: Protocol, by: Sequence[str] = ()) -> DataFrame:
+    """A row a subject: snr, sigma from the repeats at b = 0, or from the background where there is one or none."""
     repeated = sum(b < S.B0_NOISE for b in protocol.b) >= 2
-    return signals.temporal_noise(rows, protocol) if repeated else signals.spatial_noise(rows)
+    return signals.temporal_noise(rows, protocol, by) if repeated else signals.spatial_noise(rows, by)
 
 
 def _penalties(config: Config, dictionary: solvers.Dictionary, table: DataFrame | None) -> tuple[float, float]:
@@ -128,21 +134,25 @@ def _penalties(config: Config, dictionary: solvers.Dictionary, table: DataFrame
     return own["fiber"], own["iso"]
 
 
+def unit_sample(rows: DataFrame, protocol: Protocol, config: Config = Config(), noise: DataFrame | None = None, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """The calibration sample of each subject's corrected voxels (voxel_id, s0, signal over s0), and the noise of each sample (sigma)."""
+    noise = noise_of(rows, protocol, by) if noise is None else noise
+    both = signals.corrected(rows.filter("signal is not null").select(*by, "voxel_id", "in_mask", "signal"), noise, by)
+    picked = stash(signals.sample(signals.eligible(both, protocol, by), config.sample, by=by), "sample")
+    sigma = signals.sample_sigma(picked, protocol, by)
+    return picked.withColumn("signal", F.transform("signal", lambda s: s / F.col("s0"))), sigma
+
+
 def calibrated(rows: DataFrame, protocol: Protocol, config: Config = Config(), noise: DataFrame | None = None) -> DataFrame:  # noqa: B008
-    """step, lambda: penalties of ``fit`` from a sample of the corrected voxels, in two passes, by cross-validation."""
-    noise = noise_of(rows, protocol) if noise is None else noise
-    both = signals.corrected(rows.filter("signal is not null").select("voxel_id", "in_mask", "signal"), noise)
-    picked = signals.sample(signals.eligible(both, protocol), SAMPLE)
-    picked = rows.sparkSession.createDataFrame(picked.collect(), picked.schema)  # SAMPLE voxels
-    sigma = signals.sample_sigma(picked, protocol).first()["sigma"] or 0.0
-    unit = picked.withColumn("signal", F.transform("signal", lambda s: s / F.col("s0")))
-    return calibration.two_pass(unit, config.dictionary(protocol), sigma, config.method)
+    """step, lambda: penalties of ``fit`` from a sample of the corrected voxels, in two passes."""
+    unit, sigma = unit_sample(rows, protocol, config, noise)
+    return calibration.two_pass(unit, config.dictionary(protocol), sigma.first()["sigma"] or 0.0, config.method)
 
 
 def calibrated_grid(sample: DataFrame, protocol: Protocol, sigma: float, voxels: int = 60, replicates: int = calibration.REPLICATES, sizes: tuple[int, ...] = calibration.SIZES) -> DataFrame:
-    """best, flat, homogeneous, n_iso: steps of the isotropic grid from noisy replicates of a normalised sample (voxel_id, signal)."""
-    some = sample.select("voxel_id", "signal").orderBy("voxel_id").limit(voxels)
-    some = sample.sparkSession.createDataFrame(some.collect(), some.schema)  # that many voxels
+    """best, flat, homogeneous, n_iso: steps of the isotropic grid from noisy replicates of so many voxels, by hash, of a normalised
+    sample (voxel_id, signal)."""
+    some = stash(signals.sample(sample.select("voxel_id", "signal"), voxels), "grid-sample")
     b, grids = np.array(protocol.b), {n: iso_grid(n) for n in sizes}
     best = calibration.grid_scores(sample.sparkSession, calibration.moments(some, len(b)), b, grids)
     penalties = {r["n_iso"]: r["lambda"] for r in best.collect()}  # a row a size
@@ -150,46 +160,82 @@ def calibrated_grid(sample: DataFrame, protocol: Protocol, sigma: float, voxels:
 
 
 def references(labelled: DataFrame, protocol: Protocol, config: Config = Config(), penalties: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """Gate and response table of ``fit`` from a bounded table of labelled signals (voxel_id, ff_level,
-    rf_level, signal): their spectra with the fit's own dictionary and penalties.  The gate is of those without a fiber."""
+    """Gate and response table of ``fit`` from a table of labelled signals (voxel_id, ff_level, rf_level, signal) of any size: their
+    spectra with the fit's own dictionary and penalties.  The gate is of those without a fiber."""
     dictionary = config.dictionary(protocol)
-    labelled = labelled.select("voxel_id", "ff_level", "rf_level", "signal")
-    labelled = labelled.sparkSession.createDataFrame(labelled.collect(), labelled.schema)  # a bounded table; ends a plan of large formulas
-    unit = signals.normalised(labelled, protocol)
-    found = with_fractions(solvers.spectra(unit, dictionary, *_penalties(config, dictionary, penalties), again=False), dictionary)
-    found = found.select("ff_level", "rf_level", "concentration", "ff", F.col("ff").alias("ff_est"), F.col("rf").alias("rf_est"))
-    found = labelled.sparkSession.createDataFrame(found.collect(), found.schema)  # six numbers a labelled voxel
-    gate = calibration.concentration_gate(found.filter("ff_level = 0"), default=config.gate)
-    return gate, calibration.restricted_response(found)
-
-
-def fit(rows: DataFrame, protocol: Protocol, config: Config = Config(), noise: DataFrame | None = None, penalties: DataFrame | None = None, gate: DataFrame | None = None, response: DataFrame | None = None) -> DataFrame:  # noqa: B008
-    """Fractions, fibers and diffusivities of voxels (voxel_id, in_mask, signal).
+    unit = signals.normalised(labelled.select("voxel_id", "ff_level", "rf_level", "signal"), protocol)
+    found = with_fractions(solvers.spectra(unit, dictionary, *_penalties(config, dictionary, penalties), again=False))
+    found = stash(found.select("ff_level", "rf_level", "concentration", "ff", F.col("ff").alias("ff_est"), F.col("rf").alias("rf_est")), "references")
+    gate = calibration.concentration_gate(found.filter("ff_level = 0"), config.percentile, default=config.gate)
+    return gate, stash(calibration.restricted_response(found), "response")
+
+
+def chosen_grid(unit: DataFrame, sigma: float, protocol: Protocol, config: Config) -> int:
+    """Steps of the isotropic grid by the config's way, from a normalised sample."""
+    if config.grid_method == "fixed":
+        return config.iso_steps
+    if config.grid_method == "bootstrap":
+        return calibrated_grid(unit, protocol, sigma, config.grid_voxels, config.replicates).first()["n_iso"]
+    b = np.array(protocol.b)
+    scores = calibration.grid_scores(unit.sparkSession, calibration.moments(unit, len(b)), b, {n: iso_grid(n) for n in range(4, 36, 2)})
+    return calibration.fewest(scores).first()["n_iso"] or config.iso_steps
+
+
+def calibrated_fit(rows: DataFrame, protocol: Protocol, config: Config = Config(), labelled: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """``fit`` with grid and penalties of the rows' own sample, and gate and response of ``labelled`` signals where they are given."""
+    noise = stash(noise_of(rows, protocol), "noise")
+    unit, sigma = unit_sample(rows, protocol, config, noise)
+    sigma = sigma.first()["sigma"] or 0.0
+    config = replace(config, iso_steps=chosen_grid(unit, sigma, protocol, config))
+    penalties = calibration.two_pass(unit, config.dictionary(protocol), sigma, config.method)
+    gate, response = references(labelled, protocol, config, penalties) if labelled is not None else (None, None)
+    return fit(rows, protocol, config, noise, penalties, gate, response)
+
+
+def fit(rows: DataFrame, protocol: Protocol, config: Config = Config(), noise: DataFrame | None = None, penalties: DataFrame | None = None, gate: DataFrame | None = None, response: DataFrame | None = None, keys: Sequence[str] = ("voxel_id",), by: Sequence[str] = ()) -> DataFrame:  # noqa: B008
+    """Fractions, fibers and diffusivities of voxels (``keys``, in_mask, signal).
 
     The signal loses its Rician bias, the spectrum is fitted over the whole dictionary, and fibers are
     looked for where they hold over the threshold of it (``searched``).  One fiber's tensor is fitted to the uncorrected signal,
-    several together to the corrected one.  Fractions come from the anchored fit at the end, of two fibers at most: with several
-    their sum stays and the isotropic rest is shared out anew.  Voxels outside the mask, or without signal
+    several together to the corrected one.  The joint fit of one fiber gives its fractions too; with ``resolve`` they come from the anchored fit
+    at the end, of two fibers at most: with several their sum stays and the isotropic rest is shared out anew.  A lone fiber has
+    all of the fiber fraction.  Voxels outside the mask, or without signal
     at b = 0, give no row.  The spectrum, each tensor and the anchored fit are Arrow passes over the rows'
     own partitions; only the noise is an aggregate, and a stream of rows will do where it is given.
 
     ``penalties`` (step, lambda; as of ``calibrated``) and ``gate`` (one row) stand for those of the config.
     With a ``response`` table rf is corrected at the end, and hf (or nrf) makes up for it; rf_raw is what it was.  Where the protocol
     (or the config) has two isotropic compartments, hf and wf are null and nrf is fitted; else nrf is their sum.
+
+    The ``keys`` (voxel_id among them) are carried along.  Those in ``by`` tell subjects apart: then noise, penalties and gate are tables with a subject's
+    rows each, which are joined to its voxels, and a subject that a table lacks has the config's penalties and gate.
     """
+    keys, by = list(keys), list(by)
+    if "voxel_id" not in keys or not set(by) <= set(keys):
+        raise ValueError("keys must hold voxel_id and the columns that tell subjects apart")
     dictionary = config.dictionary(protocol)
-    fiber, iso = _penalties(config, dictionary, penalties)
-    least = config.gate if gate is None else gate.first()["gate"]
     three = (config.compartments or protocol.isotropic_parts) == 3
     names, fixed = (("rf", "hf", "wf"), (S.D_RES, S.D_HIN, S.D_WAT)) if three else (("rf", "nrf"), (S.D_RES, S.D_NONRES))
     most = config.fibers
-    noise = noise_of(rows, protocol) if noise is None else noise
-    both = signals.corrected(rows.filter("signal is not null").select("voxel_id", "in_mask", "signal", F.col("signal").alias("raw")), noise)
+    noise = noise_of(rows, protocol, by) if noise is None else noise
+    both = signals.corrected(rows.filter("signal is not null").select(*keys, "in_mask", "signal", F.col("signal").alias("raw")), noise, by)
     both = signals.normalised(signals.in_mask(both), protocol)
     raw0 = C.s0(F.col("raw"), protocol)
     both = both.withColumn("raw", F.transform("raw", lambda s: s / raw0))
+    if by:
+        default = config.penalties(dictionary)
+        fiber, iso, least = "_fiber", "_iso", "_gate"
+        if penalties is not None:
+            step = lambda n: F.max(F.when(F.col("step") == n, F.col("lambda")))
+            both = beside(both, penalties.groupBy(*by).agg(step("fiber").alias(fiber), step("iso").alias(iso)), by)
+        both = beside(both, gate.select(*by, F.col("gate").alias(least)), by) if gate is not None else both
+        given = {n: F.coalesce(F.col(n), F.lit(float(x))) if n in both.columns else F.lit(float(x)) for n, x in ((fiber, default[0]), (iso, default[1]), (least, config.gate))}
+        both = both.withColumns(given)
+    else:
+        fiber, iso = _penalties(config, dictionary, penalties)
+        least = config.gate if gate is None else gate.first()["gate"]
     found = solvers.spectra(both, dictionary, fiber, iso, least, most, config.modulate, config.spread, (config.least_weight, config.peak_ratio, config.separation))
-    found = with_fractions(found, dictionary).drop("w", "in_mask")
+    found = with_fractions(found).drop("in_mask", "_fiber", "_iso", "_gate")
     if not three:
         found = found.withColumn("nrf", F.col("hf") + F.col("wf")).drop("hf", "wf")
     found = found.withColumn("searched", F.col("ff") > config.threshold)
@@ -204,11 +250,7 @@ def fit(rows: DataFrame, protocol: Protocol, config: Config = Config(), noise: D
     found = found.withColumns({f"u{c}": F.when(alone, F.col(f"u1{c}")) for c in "xyz"})
     grid = list(map(float, dictionary.grid))
     if config.joint:
-        found = solvers.single_fiber(found, protocol, grid, signal="raw")
-        weight = sum((F.get("fit_w", F.lit(i + 1)) for i in range(len(grid))), F.lit(0.0))
-        moment = sum((F.get("fit_w", F.lit(i + 1)) * d for i, d in enumerate(grid)), F.lit(0.0))
-        mean = F.when(weight > 1e-10, moment / weight).otherwise(F.lit(0.0))
-        found = found.withColumn("mean_iso_adc", F.when(F.col("fit_w").isNotNull(), mean).otherwise(F.col("mean_iso_adc"))).drop("fit_w", "fit_residual")
+        found = _own_fractions(solvers.single_fiber(found, protocol, grid, signal="raw"), grid, three)
     else:
         schedule = S.cone_schedule(S.spacing([tuple(x) for x in u]), math.radians(config.resolution)) if config.refine else []
         found = solvers.refined_directions(found, protocol, schedule, names, fixed).withColumnsRenamed({"ref_ad": "fit_ad", "ref_rd": "fit_rd"}).drop("ref_x", "ref_y", "ref_z", "ref_error0", "ref_error")
@@ -232,7 +274,7 @@ def fit(rows: DataFrame, protocol: Protocol, config: Config = Config(), noise: D
         solved["ff"] = F.when(several | (tot <= 1e-10), F.col("ff")).otherwise(sum(w[:anchors], F.lit(0.0)) / tot)
         out = out.withColumns({f"_{n}": c for n, c in solved.items()})
         out = out.withColumns({n: F.col(f"_{n}") for n in solved})
-    out = out.withColumn("rf_raw", F.col("rf"))
+    out = out.withColumns({"f1": F.when(alone, F.col("ff")).otherwise(F.col("f1")), "rf_raw": F.col("rf")})
     if response is not None:
         out = calibration.corrected_restricted(out.withColumn("hf", F.col(names[1])), response)
         out = out.withColumns({"rf": F.col("rf_corrected"), names[1]: F.col("hf_corrected")})
@@ -240,7 +282,20 @@ def fit(rows: DataFrame, protocol: Protocol, config: Config = Config(), noise: D
     each = range(1, most + 1)
     tensors = [c for k in each for c in (f"ad{k}", f"rd{k}", *(f"u{k}{c}" for c in "xyz"))]
     fa = [C.fa(F.col(f"ad{k}"), F.col(f"rd{k}")).alias(f"fa{k}") for k in each]
-    return out.select("voxel_id", "s0", "n_fibers", "searched", "concentration", "ff", "rf", "hf", "wf", "nrf", "rf_raw", "mean_iso_adc", *[f"f{k}" for k in each], *tensors, *fa)
+    return out.select(*keys, "s0", "n_fibers", "searched", "concentration", "ff", "rf", "hf", "wf", "nrf", "rf_raw", "mean_iso_adc", *[f"f{k}" for k in each], *tensors, *fa)
+
+
+def _own_fractions(found: DataFrame, grid: list[float], three: bool) -> DataFrame:
+    """Fractions and mean isotropic diffusivity of the joint fit of one fiber, where it has weight."""
+    weight = lambda i: F.get("fit_w", F.lit(i))
+    bands = _bands(F.col("fit_w"), grid, 1)
+    moment, iso = bands.pop("adc"), sum(bands.values(), F.lit(0.0))
+    total = weight(0) + iso
+    if not three:
+        bands = {"rf": bands["rf"], "nrf": bands["hf"] + bands["wf"]}
+    new = {n: F.when(total > 1e-10, x / total).otherwise(F.col(n)) for n, x in ({"ff": weight(0)} | bands).items()}
+    new["mean_iso_adc"] = F.when(total > 1e-10, F.when(iso > 1e-10, moment / iso).otherwise(F.lit(0.0))).otherwise(F.col("mean_iso_adc"))
+    return found.withColumns({f"_{n}": x for n, x in new.items()}).withColumns({n: F.col(f"_{n}") for n in new}).drop("fit_w", "fit_residual", *[f"_{n}" for n in new])
 
 
 def results(fitted: DataFrame, keys: tuple[str, ...] = ("voxel_id",), compartments: int = 3) -> DataFrame:
@@ -265,7 +320,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = signals.sample(signals.eligible(X.signals(spark, sf_dir), X.PROTOCOL), SAMPLE)
+    rows = stash(signals.sample(signals.eligible(X.signals(spark, sf_dir), X.PROTOCOL), SAMPLE), "sample")
     return rows.withColumn("signal", F.transform("signal", lambda s: s / F.col("s0")))
 
 
@@ -276,13 +331,7 @@ def _rounded(rows: DataFrame, *same: str) -> DataFrame:
 @_query()
 def voxel_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result channels of every voxel, with grid and penalties of its own sample, and gate and response of labelled signals."""
-    rows = X.signals(spark, sf_dir)
-    sample = _sample(spark, sf_dir)
-    sigma = signals.sample_sigma(sample.withColumn("s0", F.lit(1.0)), X.PROTOCOL).first()["sigma"] or 0.0
-    config = Config(iso_steps=calibrated_grid(sample, X.PROTOCOL, sigma).first()["n_iso"], fibers=3)
-    penalties = calibrated(rows, X.PROTOCOL, config)
-    gate, response = references(X.labelled_signals(spark, sf_dir), X.PROTOCOL, config, penalties)
-    return results(fit(rows, X.PROTOCOL, config, penalties=penalties, gate=gate, response=response))
+    return results(calibrated_fit(X.signals(spark, sf_dir), X.PROTOCOL, Config(fibers=3), X.labelled_signals(spark, sf_dir)))
 
 
 @_query()
@@ -297,7 +346,6 @@ def iso_grid_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def iso_penalty_sure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the isotropic penalty by cross-validation is near the least estimated risk of a sample."""
     sample = _sample(spark, sf_dir).select("voxel_id", "signal", "s0")
-    sample = spark.createDataFrame(sample.collect(), sample.schema)  # SAMPLE voxels
     sigma = signals.sample_sigma(sample.withColumn("s0", F.lit(1.0)), X.PROTOCOL).first()["sigma"] or 0.0
     dictionary = Config().dictionary(X.PROTOCOL)
     chosen = calibration.least(_iso_curve(spark, sample, dictionary)).first()["lambda"]
@@ -311,7 +359,6 @@ def iso_penalty_sure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def iso_grid_sure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the isotropic grid of the fit is near the least estimated risk among its neighbours, each with its own penalty."""
     sample = _sample(spark, sf_dir).select("voxel_id", "signal", "s0")
-    sample = spark.createDataFrame(sample.collect(), sample.schema)  # SAMPLE voxels
     sigma = signals.sample_sigma(sample.withColumn("s0", F.lit(1.0)), X.PROTOCOL).first()["sigma"] or 0.0
     size, b = Config().iso_steps, np.array(X.PROTOCOL.b)
     grids = {n: iso_grid(n) for n in range(size - 2, size + 3)}
@@ -338,7 +385,7 @@ def spectrum_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fractions, concentration and fiber directions of every voxel's spectrum."""
     config = Config()
     dictionary = config.dictionary(X.PROTOCOL)
-    out = with_fractions(solvers.spectra(_rows(spark, sf_dir).select("voxel_id", "signal"), dictionary, *config.penalties(dictionary)), dictionary)
+    out = with_fractions(solvers.spectra(_rows(spark, sf_dir).select("voxel_id", "signal"), dictionary, *config.penalties(dictionary)))
     return out.select("voxel_id", "ff", "rf", "hf", "wf", "mean_iso_adc", "concentration", "dirs")
 
 
@@ -523,11 +570,11 @@ def fiber_penalty_discrepancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fiber penalty at which a sample's residual meets its noise, and the greatest one tried below that."""
     config = Config()
     dictionary = config.dictionary(X.PROTOCOL)
-    rows = signals.sample(signals.eligible(X.signals(spark, sf_dir), X.PROTOCOL), SAMPLE)
-    sigma = signals.sample_sigma(rows, X.PROTOCOL).first()["sigma"] or 0.0
+    sample = _sample(spark, sf_dir)
+    sigma = signals.sample_sigma(sample.withColumn("s0", F.lit(1.0)), X.PROTOCOL).first()["sigma"] or 0.0
     limit = len(X.PROTOCOL.b) * sigma**2
-    curve = calibration.residual_curve(_sample(spark, sf_dir), dictionary, config.iso_penalty, list(np.logspace(-6, 4, 16)))
-    value = calibration.discrepancy_search(_sample(spark, sf_dir), dictionary, config.iso_penalty, limit)
+    curve = calibration.residual_curve(sample, dictionary, config.iso_penalty, list(np.logspace(-6, 4, 16)))
+    value = calibration.discrepancy_search(sample, dictionary, config.iso_penalty, limit)
     at = spark.createDataFrame([("discrepancy", float(value))], "method string, lambda double")
     return at.unionByName(calibration.cap(curve, limit).select(F.lit("cap").alias("method"), "lambda"))
 
@@ -535,8 +582,9 @@ def fiber_penalty_discrepancy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def two_pass_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both penalties of a sample, chosen in two passes."""
-    sigma = signals.sample_sigma(signals.sample(signals.eligible(X.signals(spark, sf_dir), X.PROTOCOL), SAMPLE), X.PROTOCOL).first()["sigma"] or 0.0
-    return calibration.two_pass(_sample(spark, sf_dir), Config().dictionary(X.PROTOCOL), sigma)
+    sample = _sample(spark, sf_dir)
+    sigma = signals.sample_sigma(sample.withColumn("s0", F.lit(1.0)), X.PROTOCOL).first()["sigma"] or 0.0
+    return calibration.two_pass(sample, Config().dictionary(X.PROTOCOL), sigma)
 
 
 def _grid_scores(spark: SparkSession, sf_dir: str, sizes: list[int]) -> DataFrame:

@@ -150,24 +150,42 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[_r(F.col(c)).alias(c) for c in out.columns])
 
 
-@_query("""SELECT voxel_id, round(1000 * d, 6) AS d_hin, round(CASE WHEN d < 0.1e-3 OR d > 0.5e-3 THEN 1 WHEN d < 0.3e-3 THEN 1 - (d - 0.1e-3) / 0.2e-3 ELSE 1 - (0.5e-3 - d) / 0.2e-3 END, 6) + 0.0 AS conf_res_hin,
-  round(CASE WHEN d < 1.5e-3 OR d > 6e-3 THEN 1 WHEN d < 3e-3 THEN 1 - (d - 1.5e-3) / 1.5e-3 ELSE 1 - (6e-3 - d) / 3e-3 END, 6) + 0.0 AS conf_hin_wat
-  FROM (SELECT voxel_id, greatest(0.3e-3, least(3e-3, (adc * (rf + hf + wf) - rf * 0.15e-3 - wf * 3.05e-3) / hf)) AS d FROM (SELECT *, 2e-5 * (voxel_id % 120) AS adc FROM truth))""")
+# Voxels without a mean diffusivity, without a hindered part and without any isotropic part are among these.
+_ISO = """, iso AS (SELECT voxel_id, 2e-5 * (voxel_id % 120) AS adc, CASE WHEN voxel_id % 7 = 0 THEN 0 ELSE rf END AS rf, CASE WHEN voxel_id % 11 = 0 OR voxel_id % 7 = 0 THEN 0 ELSE hf END AS hf,
+  CASE WHEN voxel_id % 11 = 0 AND voxel_id % 2 = 0 OR voxel_id % 7 = 0 THEN 0 ELSE wf END AS wf FROM truth)"""
+
+
+def _iso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("voxel_id")
+    none = {"rf": k % 7 == 0, "hf": (k % 11 == 0) | (k % 7 == 0), "wf": ((k % 11 == 0) & (k % 2 == 0)) | (k % 7 == 0)}
+    rows = X.truth(spark, sf_dir).select("voxel_id", (2e-5 * (k % 120)).alias("adc"), *[F.when(c, F.lit(0.0)).otherwise(F.col(n)).alias(n) for n, c in none.items()])
+    return rows.withColumn("nrf", F.col("hf") + F.col("wf"))
+
+
+def _confidences(rows: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+    fine = lambda x: F.round(x, 9)  # noqa: E731  (some values are decimals that end in 5 at the seventh place)
+    d = F.col("d")
+    return rows.select("voxel_id", fine(d * 1000).alias(names[0]), (fine(C.confidence(d, 0.1e-3, 0.3e-3, 0.5e-3)) + 0.0).alias(names[1]), (fine(C.confidence(d, 1.5e-3, 3e-3, 6e-3)) + 0.0).alias(names[2]))
+
+
+_RAMPS = """round(CASE WHEN d < 0.1e-3 OR d > 0.5e-3 THEN 1 WHEN d < 0.3e-3 THEN 1 - (d - 0.1e-3) / 0.2e-3 WHEN d IS NOT NULL THEN 1 - (0.5e-3 - d) / 0.2e-3 END, 9) + 0.0 AS {},
+  round(CASE WHEN d < 1.5e-3 OR d > 6e-3 THEN 1 WHEN d < 3e-3 THEN 1 - (d - 1.5e-3) / 1.5e-3 WHEN d IS NOT NULL THEN 1 - (6e-3 - d) / 3e-3 END, 9) + 0.0 AS {}"""
+
+
+@_query(_ISO + "SELECT voxel_id, round(1000 * d, 9) AS d_hin, " + _RAMPS.format("conf_res_hin", "conf_hin_wat") + """
+  FROM (SELECT voxel_id, CASE WHEN adc > 0 AND hf > 1e-6 AND rf + hf + wf > 1e-6 THEN greatest(0.3e-3, least(3e-3, (adc * (rf + hf + wf) - rf * 0.15e-3 - wf * 3.05e-3) / hf)) END AS d FROM iso)""")
 def transition_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.truth(spark, sf_dir).withColumn("adc", 2e-5 * (F.col("voxel_id") % 120))
-    rows = rows.withColumn("d", C.recover_iso(F.col("rf"), F.col("hf"), F.col("wf"), F.col("adc")))
-    return rows.select("voxel_id", _r(F.col("d"), 1000).alias("d_hin"), (_r(C.confidence(F.col("d"), 0.1e-3, 0.3e-3, 0.5e-3)) + 0.0).alias("conf_res_hin"), (_r(C.confidence(F.col("d"), 1.5e-3, 3e-3, 6e-3)) + 0.0).alias("conf_hin_wat"))
+    """Confidence at the compartments' limits; null where there is no hindered diffusivity to tell it from."""
+    rows = _iso(spark, sf_dir).withColumn("d", C.recover_iso(F.col("rf"), F.col("hf"), F.col("wf"), F.col("adc")))
+    return _confidences(rows, ("d_hin", "conf_res_hin", "conf_hin_wat"))
 
 
-@_query("""SELECT voxel_id, round(1000 * d, 9) AS d_nonrf, round(CASE WHEN d < 0.1e-3 OR d > 0.5e-3 THEN 1 WHEN d < 0.3e-3 THEN 1 - (d - 0.1e-3) / 0.2e-3 ELSE 1 - (0.5e-3 - d) / 0.2e-3 END, 9) + 0.0 AS conf_res,
-  round(CASE WHEN d < 1.5e-3 OR d > 6e-3 THEN 1 WHEN d < 3e-3 THEN 1 - (d - 1.5e-3) / 1.5e-3 ELSE 1 - (6e-3 - d) / 3e-3 END, 9) + 0.0 AS conf_wat
-  FROM (SELECT voxel_id, greatest(0.3e-3, least(3.5e-3, (adc * (rf + hf + wf) - rf * 0.15e-3) / (hf + wf))) AS d FROM (SELECT *, 2e-5 * (voxel_id % 120) AS adc FROM truth))""")
+@_query(_ISO + "SELECT voxel_id, round(1000 * d, 9) AS d_nonrf, " + _RAMPS.format("conf_res", "conf_wat") + """
+  FROM (SELECT voxel_id, CASE WHEN adc > 0 AND hf + wf > 1e-6 AND rf + hf + wf > 1e-6 THEN greatest(0.3e-3, least(3.5e-3, (adc * (rf + hf + wf) - rf * 0.15e-3) / (hf + wf))) END AS d FROM iso)""")
 def transition_confidence_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confidence at the compartments' limits where there are two isotropic ones."""
-    rows = X.truth(spark, sf_dir).withColumn("adc", 2e-5 * (F.col("voxel_id") % 120))
-    d = C.recover_nonrestricted(F.col("rf"), F.col("hf") + F.col("wf"), F.col("adc"))
-    fine = lambda x: F.round(x, 9)  # noqa: E731  (some values are decimals that end in 5 at the seventh place)
-    return rows.withColumn("d", d).select("voxel_id", fine(F.col("d") * 1000).alias("d_nonrf"), (fine(C.confidence(F.col("d"), 0.1e-3, 0.3e-3, 0.5e-3)) + 0.0).alias("conf_res"), (fine(C.confidence(F.col("d"), 1.5e-3, 3e-3, 6e-3)) + 0.0).alias("conf_wat"))
+    """The same where there are two isotropic compartments."""
+    rows = _iso(spark, sf_dir).withColumn("d", C.recover_nonrestricted(F.col("rf"), F.col("nrf"), F.col("adc")))
+    return _confidences(rows, ("d_nonrf", "conf_res", "conf_wat"))
 
 
 _TWO = """, two AS (
@@ -194,13 +212,22 @@ def fit_quality_populations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("voxel_id", _r(F.col("r2_three")).alias("r2"), _r(F.col("rmse_three")).alias("rmse"), _r(F.col("r2")).alias("r2_two"), _r(F.col("rmse")).alias("rmse_two"))
 
 
-@_query("""SELECT voxel_id, round(ad * 1000, 6) AS agg_ad, round(rd * 1000, 6) AS agg_rd, round(sqrt(1.5) * sqrt((ad - (ad + 2 * rd) / 3) ** 2 + 2 * (rd - (ad + 2 * rd) / 3) ** 2) / sqrt(ad * ad + 2 * rd * rd), 6) AS agg_fa
-  FROM (SELECT voxel_id, (0.6 * ff * ad_true + 0.4 * ff * ad_true) / (0.6 * ff + 0.4 * ff) AS ad, (0.6 * ff * rd_true + 0.4 * ff * (rd_true + 1e-4)) / (0.6 * ff + 0.4 * ff) AS rd FROM truth)""")
+@_query(""", pops AS (SELECT voxel_id, CASE WHEN voxel_id % 29 = 0 THEN 0 ELSE ff END AS ff, CASE WHEN voxel_id % 13 = 0 THEN NULL ELSE ad_true END AS ad1, CASE WHEN voxel_id % 13 = 0 THEN NULL ELSE rd_true END AS rd1,
+    CASE WHEN voxel_id % 17 = 0 THEN 1.2 * ff ELSE 0.3 * ff END AS f2, CASE WHEN voxel_id % 7 = 0 THEN NULL ELSE ad_true END AS ad2, CASE WHEN voxel_id % 7 = 0 THEN NULL ELSE rd_true + 1e-4 END AS rd2,
+    CASE WHEN voxel_id % 3 = 0 THEN 0.2 * ff END AS f3, CASE WHEN voxel_id % 3 = 0 THEN ad_true - 1e-4 END AS ad3, CASE WHEN voxel_id % 3 = 0 THEN rd_true END AS rd3 FROM truth),
+parts AS (SELECT *, greatest(ff - f2 - coalesce(f3, 0), 0) AS f1 FROM pops),
+mean AS (SELECT voxel_id, ff, CASE WHEN ff > 0 AND ad1 IS NOT NULL THEN (f1 * ad1 + f2 * coalesce(ad2, 0) + coalesce(f3 * ad3, 0)) / ff END AS ad, CASE WHEN ff > 0 AND ad1 IS NOT NULL THEN (f1 * rd1 + f2 * coalesce(rd2, 0) + coalesce(f3 * rd3, 0)) / ff END AS rd FROM parts)
+SELECT voxel_id, round(ff, 6) AS agg_ff, round(ad * 1000, 6) AS agg_ad, round(rd * 1000, 6) AS agg_rd, round(sqrt(1.5) * sqrt((ad - (ad + 2 * rd) / 3) ** 2 + 2 * (rd - (ad + 2 * rd) / 3) ** 2) / sqrt(ad * ad + 2 * rd * rd), 6) AS agg_fa FROM mean""")
 def fiber_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = X.truth(spark, sf_dir)
-    t = t.withColumns({"f1": 0.6 * F.col("ff"), "ad1": F.col("ad_true"), "rd1": F.col("rd_true"), "f2": 0.4 * F.col("ff"), "ad2": F.col("ad_true"), "rd2": F.col("rd_true") + 1e-4})
-    out = diffusivity.fiber_maps(t)
-    return out.select("voxel_id", _r(F.col("agg_ad"), 1000).alias("agg_ad"), _r(F.col("agg_rd"), 1000).alias("agg_rd"), _r(F.col("agg_fa")).alias("agg_fa"))
+    """Total fiber fraction, and diffusivities and FA over up to three populations, some without a tensor, a fraction or fibers."""
+    k, ff, null = F.col("voxel_id"), F.col("ff"), F.lit(None).cast("double")
+    rows = X.truth(spark, sf_dir).select(
+        "voxel_id", F.when(k % 29 == 0, F.lit(0.0)).otherwise(ff).alias("ff"), *[F.when(k % 13 == 0, null).otherwise(F.col(f"{n}_true")).alias(f"{n}1") for n in ("ad", "rd")],
+        F.when(k % 17 == 0, 1.2 * ff).otherwise(0.3 * ff).alias("f2"), F.when(k % 7 != 0, F.col("ad_true")).alias("ad2"), F.when(k % 7 != 0, F.col("rd_true") + 1e-4).alias("rd2"),
+        F.when(k % 3 == 0, 0.2 * ff).alias("f3"), F.when(k % 3 == 0, F.col("ad_true") - 1e-4).alias("ad3"), F.when(k % 3 == 0, F.col("rd_true")).alias("rd3"),
+    )
+    out = diffusivity.fiber_maps(rows, 3)
+    return out.select("voxel_id", _r(F.col("agg_ff")).alias("agg_ff"), _r(F.col("agg_ad"), 1000).alias("agg_ad"), _r(F.col("agg_rd"), 1000).alias("agg_rd"), _r(F.col("agg_fa")).alias("agg_fa"))
 
 
 @_query(""", a AS (SELECT l_orderkey AS voxel_id, l_returnflag = 'R' AS aniso, 0.04::DOUBLE * l_discount AS adc, l_quantity::DOUBLE AS w FROM lineitem),
@@ -304,8 +331,9 @@ def scenario_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT count(*) AS voxels, count(ad) AS fitted, round(100.0 * count(ad) / count(*), 6) AS percent FROM truth LEFT JOIN fit USING (voxel_id)")
 def fit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.truth(spark, sf_dir).select("voxel_id").join(_fitted(spark, sf_dir).select("voxel_id", "ad"), "voxel_id", "left")
-    return rows.agg(F.count("*").alias("voxels"), F.count("ad").alias("fitted"), _r(100.0 * F.count("ad") / F.count("*")).alias("percent"))
+    rows = X.truth(spark, sf_dir).select(F.lit(1).alias("voxel"), F.lit(0).alias("fitted"))
+    rows = rows.unionByName(_fitted(spark, sf_dir).select(F.lit(0).alias("voxel"), F.col("ad").isNotNull().cast("int").alias("fitted")))
+    return rows.agg(F.sum("voxel").alias("voxels"), F.sum("fitted").alias("fitted"), _r(100.0 * F.sum("fitted") / F.sum("voxel")).alias("percent"))
 
 
 @_query("""SELECT voxel_id, channel, round(value, 6) AS value FROM (UNPIVOT (SELECT voxel_id, ff AS fiber_fraction, rf AS restricted_fraction, hf AS hindered_fraction, wf AS water_fraction, ad * 1000 AS axial_diffusivity, rd * 1000 AS radial_diffusivity FROM truth JOIN fit USING (voxel_id))

@@ -20,8 +20,6 @@ PROTOCOL = Protocol(
     tuple([(0.0, 0.0, 0.0)] * 4 + [DIRECTIONS[i % 20] for i in range(60)]),
 )
 WEIGHT_DIRECTIONS = hemisphere(12)
-#: Labelled voxels: 40 for each of 4 x 9 cells.
-LABELLED = 1440
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -102,11 +100,11 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_signals(spark: SparkSession, sf_dir: str, protocol: Protocol = PROTOCOL) -> DataFrame:
-    """The signals of voxels of known cell (ff_level, rf_level), up to ``LABELLED`` of them, whose other
+    """The signals of the voxels of ``labelled``, of known cell (ff_level, rf_level), whose other
     parameters vary by closed formulas: the rest's shares and diffusivities, and one fiber or two."""
     k, b = F.col("voxel_id"), C.doubles(protocol.b)
     part = lambda factor, of, lo, hi: lo + (hi - lo) * (factor * k % of) / (of - 1.0)
-    rows = labelled(spark, sf_dir).filter(k <= LABELLED).select("voxel_id", "ff_level", "rf_level")
+    rows = spread(labelled(spark, sf_dir).select("voxel_id", "ff_level", "rf_level"))
     rows = rows.withColumns({"_r": part(37, 61, 0.1e-3, 0.28e-3), "_h": part(53, 101, 0.4e-3, 2.5e-3), "_w": part(71, 41, 3.0e-3, 5.0e-3), "_s": part(89, 31, 0.4, 0.95)})
     rows = rows.withColumns({"_ad": part(29, 83, 1.2e-3, 2.0e-3), "_rd": part(43, 47, 0.1e-3, 0.8e-3), "_f": F.when(F.floor(k / 36) % 2 == 0, F.lit(1.0)).otherwise(part(11, 17, 0.0, 1.0))})
     at = {1: (13 * k % 20).cast("int"), 2: (13 * k % 20).cast("int") + F.lit(10)}
