@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from voxelmill.plans import fitting, queries
+from voxelmill.plans import fitting, queries, subjects
 
-QUERIES, SQL = queries.QUERIES | fitting.QUERIES, queries.SQL | fitting.SQL
+QUERIES, SQL = queries.QUERIES | fitting.QUERIES | subjects.QUERIES, queries.SQL | fitting.SQL | subjects.SQL
 SF = "/root/testdata/sf0.001"
 
 

@@ -489,15 +489,17 @@ def anchored_fiber_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(anchored_fractions(spark, sf_dir), "voxel_id")
 
 
-def _ridge(grids: dict[int, list[float]]) -> str:
-    """SQL of scores(n, lam, gcv): cross-validation of each grid and penalty from sums over all voxels, with inverses by elimination."""
+def _ridge(grids: dict[int, list[float]], by: str = "") -> str:
+    """SQL of scores(n, lam, gcv): cross-validation of each grid and penalty from sums over all voxels, or those of each key, with inverses by
+    elimination."""
+    key, same = (f", {by}", f" AND mom.{by} = sums.{by}") if by else ("", "")
     own = ", ".join(f"({n}, {list(map(float, g))}::DOUBLE[])" for n, g in grids.items())
     return f""", grids AS (SELECT * FROM (VALUES {own}) t(n, ds)),
 atom AS (SELECT n, i, ds[i + 1] AS d, len(ds) AS size FROM grids, range({max(map(len, grids.values()))}) t(i) WHERE i < len(ds)),
 gram AS (SELECT x.n, x.i, y.i AS j, sum(exp(-b * (x.d + y.d))) AS g FROM atom x JOIN atom y ON x.n = y.n CROSS JOIN protocol GROUP BY ALL),
-mom AS (SELECT p.m, q.m AS o, avg(p.sn * q.sn) AS v FROM (SELECT voxel_id, m, sn FROM norm WHERE in_mask) p JOIN (SELECT voxel_id, m, sn FROM norm WHERE in_mask) q USING (voxel_id) GROUP BY ALL),
-half AS (SELECT n, i, o, sum(exp(-b * d) * v) AS v FROM atom CROSS JOIN mom JOIN protocol USING (m) GROUP BY ALL),
-proj AS (SELECT half.n, half.i, y.i AS j, sum(v * exp(-b * y.d)) AS h FROM half JOIN protocol p ON p.m = half.o JOIN atom y ON y.n = half.n GROUP BY ALL),
+mom AS (SELECT p.m, q.m AS o{key and ", p." + by}, avg(p.sn * q.sn) AS v FROM (SELECT voxel_id, m, sn{key} FROM norm WHERE in_mask) p JOIN (SELECT voxel_id, m, sn FROM norm WHERE in_mask) q USING (voxel_id) GROUP BY ALL),
+half AS (SELECT n, i, o{key}, sum(exp(-b * d) * v) AS v FROM atom CROSS JOIN mom JOIN protocol USING (m) GROUP BY ALL),
+proj AS (SELECT half.n, half.i, y.i AS j{key}, sum(v * exp(-b * y.d)) AS h FROM half JOIN protocol p ON p.m = half.o JOIN atom y ON y.n = half.n GROUP BY ALL),
 lams AS (SELECT l, 10.0::DOUBLE ** (-5 + 6 * l / 39.0::DOUBLE) AS lam FROM range(40) t(l)),
 inverse AS (WITH RECURSIVE e AS (
     SELECT 0 AS k, n, l, i, size, list_concat(list(g + CASE WHEN i = j THEN lam ELSE 0 END ORDER BY j), list(CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0 END ORDER BY j)) AS r FROM gram JOIN atom USING (n, i) CROSS JOIN lams GROUP BY n, l, i, size
@@ -505,8 +507,8 @@ inverse AS (WITH RECURSIVE e AS (
       FROM (SELECT *, max(r) FILTER (WHERE i = k) OVER (PARTITION BY n, l) AS p FROM e WHERE k < size))
   SELECT n, l, i, j, r[size + j + 1] AS v, size FROM e, range({max(map(len, grids.values()))}) t(j) WHERE k = size AND j < size),
 twice AS (SELECT x.n, x.l, x.i, y.j, sum(x.v * y.v) AS v FROM inverse x JOIN inverse y ON x.n = y.n AND x.l = y.l AND x.j = y.i GROUP BY ALL),
-sums AS (SELECT n, l, any_value(size) AS size, sum(CASE WHEN i = j THEN a.v ELSE 0 END) AS tr, sum(a.v * h) AS once, sum(c.v * h) AS two FROM inverse a JOIN twice c USING (n, l, i, j) JOIN proj USING (n, i, j) GROUP BY n, l),
-scores AS (SELECT n, lam, greatest((SELECT sum(v) FROM mom WHERE m = o) - once - lam * two, 0) / 64 / greatest((1 - (size - lam * tr) / 64) ** 2, 1e-12) AS gcv FROM sums JOIN lams USING (l))
+sums AS (SELECT n, l{key}, any_value(size) AS size, sum(CASE WHEN i = j THEN a.v ELSE 0 END) AS tr, sum(a.v * h) AS once, sum(c.v * h) AS two FROM inverse a JOIN twice c USING (n, l, i, j) JOIN proj USING (n, i, j) GROUP BY n, l{key}),
+scores AS (SELECT n, lam{key}, greatest((SELECT sum(v) FROM mom WHERE m = o{same}) - once - lam * two, 0) / 64 / greatest((1 - (size - lam * tr) / 64) ** 2, 1e-12) AS gcv FROM sums JOIN lams USING (l))
 """
 
 

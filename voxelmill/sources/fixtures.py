@@ -70,6 +70,25 @@ def signals(spark: SparkSession, sf_dir: str, protocol: Protocol = PROTOCOL) ->
     return fit_rows(truth(spark, sf_dir), solve, [("signal", T.ArrayType(T.DoubleType()))])
 
 
+#: The first measurements of ``PROTOCOL``: one shell.
+SHORT = Protocol(PROTOCOL.b[:24], PROTOCOL.g[:24])
+
+
+def subjects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Signals of four subjects (subject_id, voxel_id, x, y, z, in_mask, signal), whose voxel numbers are the same, and their protocols:
+    every other one has ``SHORT``."""
+    k = F.col("voxel_id")
+    names = ["subject_id", "voxel_id", "x", "y", "z", "in_mask", "signal"]
+    every = signals(spark, sf_dir).withColumns({"subject_id": F.concat(F.lit("S"), (k % 4).cast("string")), "signal": F.when(k % 2 == 0, F.col("signal")).otherwise(F.slice("signal", 1, len(SHORT.b)))})
+    own = F.floor(k / 4)
+    place = {"x": own % 16, "y": F.floor(own / 16) % 16, "z": F.floor(own / 256)}
+    rows = every.withColumns({n: c.cast("int") for n, c in place.items()}).withColumn("voxel_id", own).select(*names)
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % 4).alias("n")).distinct()
+    m = F.explode(F.arrays_zip(*[F.array(*map(F.lit, x)).alias(n) for n, x in (("m", range(len(PROTOCOL.b))), ("b", PROTOCOL.b), *((f"g{c}", [g[i] for g in PROTOCOL.g]) for i, c in enumerate("xyz")))]))
+    protocols = parts.select(F.concat(F.lit("S"), F.col("n").cast("string")).alias("subject_id"), "n", m.alias("p")).filter((F.col("n") % 2 == 0) | (F.col("p.m") < len(SHORT.b)))
+    return rows, protocols.select("subject_id", "p.*")
+
+
 def two_fibers(spark: SparkSession, sf_dir: str, protocol: Protocol = PROTOCOL) -> DataFrame:
     """Voxels with two crossing fibers (fractions f1, f2, directions u1x, ..., u2z; diffusivities ad_k_true,
     rd_k_true), their normalised signal with noise, and its isotropic part."""
