@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from voxelmill.plans import fitting, queries, subjects
+from voxelmill.plans import fitting, queries, subjects, twins
 
-QUERIES, SQL = queries.QUERIES | fitting.QUERIES | subjects.QUERIES, queries.SQL | fitting.SQL | subjects.SQL
+QUERIES, SQL = queries.QUERIES | fitting.QUERIES | subjects.QUERIES | twins.QUERIES, queries.SQL | fitting.SQL | subjects.SQL | twins.SQL
 SF = "/root/testdata/sf0.001"
 
 

@@ -49,7 +49,7 @@ def moments_by(rows: DataFrame, n: int, by: Sequence[str]) -> DataFrame:
         types: list[pa.DataType] = []
         for batch in batches:
             types = [batch.column(k).type for k in by]
-            keys = list(zip(*(batch.column(k).to_pylist() for k in by)))
+            keys = list(zip(*(batch.column(k).to_pylist() for k in by))) if by else [()] * batch.num_rows
             s = matrix_of(batch, "signal", n)
             where: dict[tuple, list[int]] = {}
             for i, k in enumerate(keys):
@@ -71,27 +71,26 @@ def moments_by(rows: DataFrame, n: int, by: Sequence[str]) -> DataFrame:
 
 def curves_by(moments: DataFrame, dictionary: Dictionary, by: Sequence[str], iso: str | None = None) -> DataFrame:
     """lambda, rss, eta2, dof, gcv for each subject of ``moments_by``: of ridge penalties on the isotropic atoms alone or, where ``iso`` names
-    the column of the isotropic penalty, of fiber penalties over the whole dictionary."""
-    by, n = list(by), len(dictionary.b)
-    names = ("lambda", "rss", "eta2", "dof", "gcv")
-    point = T.StructType([T.StructField(x, T.DoubleType()) for x in names])
-    of = pa.list_(pa.struct([(x, pa.float64()) for x in names]))
+    the column of the isotropic penalty, of fiber penalties over the whole dictionary.  Each subject and penalty is a row of its own, dealt to
+    all tasks."""
+    by, n, k = list(by), len(dictionary.b), len(dictionary.grid)
+    names = ("rss", "eta2", "dof", "gcv")
 
     def solve(part: pa.RecordBatch) -> list[pa.Array]:
         out = []
         fixed = values_of(part, iso) if iso else np.zeros(part.num_rows)
-        for moment, value in zip(part.column("moment").flatten().to_numpy(zero_copy_only=False).reshape(-1, n, n), fixed):
+        for moment, value, penalty in zip(matrix_of(part, "moment", n * n), fixed, values_of(part, "lambda")):
             if iso:
-                points = _points(moment, dictionary.matrix, dictionary.penalty(0.0, value), dictionary.penalty(1.0, 0.0), np.logspace(*FIBER_VALUES))
+                points = _points(moment.reshape(n, n), dictionary.matrix, dictionary.penalty(0.0, value), dictionary.penalty(1.0, 0.0), np.array([penalty]))
             else:
-                k = len(dictionary.grid)
-                points = _points(moment, dictionary.iso, np.zeros(k), np.ones(k), np.logspace(*ISO_VALUES))
-            out.append([dict(zip(names, p)) for p in points])
-        return [pa.array(out, of)]
-
-    kept = [*by, "moment", *([iso] if iso else [])]
-    rows = fit_rows(moments.select(*kept), solve, [("curve", T.ArrayType(point))])
-    return rows.select(*by, F.explode("curve").alias("p")).select(*by, "p.*")
+                points = _points(moment.reshape(n, n), dictionary.iso, np.zeros(k), np.ones(k), np.array([penalty]))
+            out.append(points[0][1:])
+        return [pa.array(x, pa.float64()) for x in zip(*out)] if out else [pa.array([], pa.float64()) for _ in names]
+
+    values = np.logspace(*(FIBER_VALUES if iso else ISO_VALUES))
+    rows = moments.select(*by, "moment", *([iso] if iso else []), F.explode(F.array(*[F.lit(float(v)) for v in values])).alias("lambda"))
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *by, "lambda")
+    return fit_rows(rows, solve, [(x, T.DoubleType()) for x in names]).select(*by, "lambda", *names)
 
 
 def residuals_by(rows: DataFrame, dictionary: Dictionary, by: Sequence[str], values: Column, iso: str | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from voxelmill import schema as S
 from voxelmill.functions import columns as C
 from voxelmill.operators import calibration, diffusivity, signals, solvers, weights
+from voxelmill.operators import subjects as keyed
 from voxelmill.operators.quantiles import beside
 from voxelmill.plans.queries import _BASE, _WEIGHTS, _fitted, _masses, _r
 from voxelmill.schema import Protocol, hemisphere, iso_grid, pairs
@@ -348,7 +349,7 @@ def iso_penalty_sure(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = _sample(spark, sf_dir).select("voxel_id", "signal", "s0")
     sigma = signals.sample_sigma(sample.withColumn("s0", F.lit(1.0)), X.PROTOCOL).first()["sigma"] or 0.0
     dictionary = Config().dictionary(X.PROTOCOL)
-    chosen = calibration.least(_iso_curve(spark, sample, dictionary)).first()["lambda"]
+    chosen = calibration.least(_iso_curve(sample, dictionary)).first()["lambda"]
     values = np.geomspace(chosen / 4, chosen * 4, 7)
     values[3] = chosen
     grid = list(map(float, dictionary.grid))
@@ -512,19 +513,18 @@ scores AS (SELECT n, lam{key}, greatest((SELECT sum(v) FROM mom WHERE m = o{same
 """
 
 
-def _iso_curve(spark: SparkSession, rows: DataFrame, dictionary: solvers.Dictionary) -> DataFrame:
-    k = len(dictionary.grid)
-    return calibration.penalty_curve(spark, calibration.moments(rows, len(dictionary.b)), dictionary.iso, np.zeros(k), np.ones(k), np.logspace(-5, 1, 40))
+def _iso_curve(rows: DataFrame, dictionary: solvers.Dictionary) -> DataFrame:
+    return stash(keyed.curves_by(keyed.moments_by(rows, len(dictionary.b), []), dictionary, []), "curve")
 
 
-def _fiber_curve(spark: SparkSession, rows: DataFrame, dictionary: solvers.Dictionary, iso: float) -> DataFrame:
-    return calibration.penalty_curve(spark, calibration.moments(rows, len(dictionary.b)), dictionary.matrix, dictionary.penalty(0.0, iso), dictionary.penalty(1.0, 0.0), np.logspace(-4, 4, 40))
+def _fiber_curve(rows: DataFrame, dictionary: solvers.Dictionary, iso: float) -> DataFrame:
+    return stash(keyed.curves_by(keyed.moments_by(rows, len(dictionary.b), []).withColumn("iso", F.lit(float(iso))), dictionary, [], "iso"), "curve")
 
 
 @_query(_ridge({10: iso_grid(10)}) + "SELECT round(min_by(lam, gcv), 9) AS lambda, round(min(gcv), 9) AS score FROM scores")
 def iso_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isotropic penalty by generalised cross-validation over the moments of all voxels."""
-    found = calibration.least(_iso_curve(spark, _rows(spark, sf_dir), Config().dictionary(X.PROTOCOL)))
+    found = calibration.least(_iso_curve(_rows(spark, sf_dir), Config().dictionary(X.PROTOCOL)))
     return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
 
 
@@ -561,7 +561,7 @@ bends AS (SELECT lam, 2 * abs((qx - px) * (ry - py) - (rx - px) * (qy - py)) / (
 def fiber_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fiber penalty by cross-validation and by the corner of the residual's curve."""
     config = Config()
-    curve = _fiber_curve(spark, _rows(spark, sf_dir), config.dictionary(X.PROTOCOL), config.iso_penalty)
+    curve = _fiber_curve(_rows(spark, sf_dir), config.dictionary(X.PROTOCOL), config.iso_penalty)
     by_gcv = calibration.least(curve).select(F.lit("gcv").alias("method"), "lambda")
     both = by_gcv.unionByName(calibration.corner(curve).select(F.lit("corner").alias("method"), "lambda"))
     return both.select("method", F.round("lambda", 9).alias("lambda"))

@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.functions import columns as C
-from voxelmill.operators import calibration, diffusivity, signals
+from voxelmill.operators import calibration, diffusivity, dictionaries, signals
 from voxelmill.operators import subjects as by_subject
+from voxelmill.operators.intervals import corrected_by_table
 from voxelmill.plans import fitting
 from voxelmill.plans.fitting import Config
 from voxelmill.plans.queries import _BASE, _quality, _r
 from voxelmill.schema import Protocol, iso_grid
 from voxelmill.sources import fixtures as X
 from voxelmill.sources import protocols as P
-from voxelmill.storage import stash
+from voxelmill.sources.maps import read_maps, replace_maps
+from voxelmill.storage import new_path, stash
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -209,3 +211,88 @@ def scores_by_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, protocols = X.subjects(spark, sf_dir)
     fitted = stash(fit_subjects(rows, protocols), "fits")
     return scored(fitted, rows, protocols).join(derived_maps(fitted), ["subject_id", "voxel_id"])
+
+
+_MEASURED = """, sizes AS (SELECT 'S' || n AS subject_id, m, b FROM (SELECT DISTINCT p_partkey % 4 AS n FROM part) CROSS JOIN protocol WHERE n % 2 = 0 OR m < 24),
+shell AS (SELECT subject_id, round_even(b, -2) AS shell, count(*) AS measurements FROM sizes GROUP BY ALL),
+top AS (SELECT subject_id, max(b) AS b_max FROM sizes GROUP BY ALL),
+summary AS (SELECT subject_id, sum(measurements)::BIGINT AS measurements, any_value(b_max) AS b_max, count(*) FILTER (WHERE shell > 50) AS shells,
+  CASE WHEN any_value(b_max) >= 2000 AND count(*) FILTER (WHERE shell > 50) >= 2 THEN 3 ELSE 2 END AS isotropic_parts, coalesce(floor(1.3 * max(measurements) FILTER (WHERE shell > 50)), 30)::INT AS directions,
+  CASE WHEN count(*) FILTER (WHERE shell > 50) <= 1 OR any_value(b_max) < 1500 THEN 4 WHEN count(*) FILTER (WHERE shell > 50) <= 2 OR any_value(b_max) < 2500 THEN 6 ELSE 8 END AS steps,
+  CASE WHEN count(*) FILTER (WHERE shell > 50) <= 1 OR any_value(b_max) < 1500 THEN 1.2 WHEN count(*) FILTER (WHERE shell > 50) <= 2 OR any_value(b_max) < 2500 THEN 1.15 ELSE 1.1 END::DOUBLE AS ratio
+  FROM shell JOIN top USING (subject_id) GROUP BY subject_id)
+"""
+
+
+@_query(_MEASURED + "SELECT subject_id, shell, measurements FROM shell")
+def shells_by_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements of each b-value of each subject's protocol."""
+    return dictionaries.protocol_shells(X.subjects(spark, sf_dir)[1])
+
+
+@_query(_MEASURED + "SELECT * FROM summary")
+def protocols_by_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compartments, directions and advised dictionary of each subject's protocol."""
+    return dictionaries.protocol_summary(X.subjects(spark, sf_dir)[1])
+
+
+@_query(_MEASURED + """, line AS (SELECT subject_id, ratio, x.i, y.i AS j, 0.5e-3 + 1.7e-3 * x.i / (steps - 1) AS ad, 0.05e-3 + 1.15e-3 * y.i / (steps - 1) AS rd FROM summary, range(8) x(i), range(8) y(i) WHERE x.i < steps AND y.i < steps)
+SELECT subject_id, (row_number() OVER (PARTITION BY subject_id ORDER BY i, j) - 1)::INT AS p, round(1000 * ad, 6) AS ad, round(1000 * rd, 6) AS rd FROM line WHERE ad >= rd * ratio""")
+def pairs_by_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Admissible diffusivities of each subject, as advised for its protocol."""
+    sizes = dictionaries.protocol_summary(X.subjects(spark, sf_dir)[1]).select("subject_id", "steps", "ratio")
+    return dictionaries.pair_table(sizes).select("subject_id", "p", _r(F.col("ad"), 1000).alias("ad"), _r(F.col("rd"), 1000).alias("rd"))
+
+
+@_query(""", sized AS (SELECT scenario AS key, 4 + count(*) % 28 AS n FROM truth GROUP BY scenario),
+point AS (SELECT key, 1e-4 * 50.0::DOUBLE ** (i / (n - 1.0::DOUBLE)) AS adc FROM sized, range(32) t(i) WHERE i < n),
+anchor AS (SELECT key, a AS adc FROM sized, (VALUES (0.3e-3::DOUBLE - 1e-6), (3e-3::DOUBLE + 1e-6)) t(a) WHERE NOT EXISTS (SELECT 1 FROM point p WHERE p.key = sized.key AND abs(p.adc - a) <= 1e-6)),
+gap AS (SELECT key, adc, lead(adc) OVER (PARTITION BY key ORDER BY adc) AS next FROM (SELECT * FROM point UNION SELECT * FROM anchor)),
+cut AS (SELECT key, adc, next, CASE WHEN next / adc > 2 THEN 2 ** greatest(ceil(log2(log2(next / adc)) - 1e-12), 0) ELSE 1 END AS parts FROM gap)
+SELECT key, (row_number() OVER (PARTITION BY key ORDER BY adc * coalesce(next / adc, 1) ** (i / parts)) - 1)::INT AS k, round(1000 * adc * coalesce(next / adc, 1) ** (i / parts), 6) AS adc FROM cut, range(16) t(i) WHERE i < parts""")
+def iso_grids_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The isotropic grid of each brand, of a size by its number of voxels."""
+    sizes = X.truth(spark, sf_dir).groupBy(F.col("scenario").alias("key")).agg((4 + F.count("*") % 28).cast("int").alias("n"))
+    return dictionaries.grid_table(sizes).select("key", "k", _r(F.col("adc"), 1000).alias("adc"))
+
+
+_STORED = """, named AS (SELECT 'S' || (voxel_id % 4) AS subject_id, voxel_id // 4 AS voxel_id, ff, rf, hf, wf, ad * 1000 AS ad, rd * 1000 AS rd, r2, rmse FROM truth JOIN fit USING (voxel_id) JOIN qual USING (voxel_id))
+SELECT subject_id, voxel_id, channel, round(value, 6) AS value FROM (UNPIVOT (SELECT subject_id, voxel_id, ff AS fiber_fraction, rf AS restricted_fraction, hf AS hindered_fraction, wf AS water_fraction, ad AS axial_diffusivity, rd AS radial_diffusivity, r2, rmse FROM named)
+  ON fiber_fraction, restricted_fraction, hindered_fraction, water_fraction, axial_diffusivity, radial_diffusivity, r2, rmse INTO NAME channel VALUE value)"""
+
+
+@_query(_STORED)
+def stored_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result and quality maps of four subjects, written by subject and channel, one subject's again, and read back."""
+    k = F.col("voxel_id")
+    keys = {"subject_id": F.concat(F.lit("S"), (k % 4).cast("string")), "voxel_id": F.floor(k / 4)}
+    names = {"ff": "fiber_fraction", "rf": "restricted_fraction", "hf": "hindered_fraction", "wf": "water_fraction", "r2": "r2", "rmse": "rmse"}
+    scaled = [(F.col(n) * 1000).alias(x) for n, out in (("ad", ("axial_diffusivity", "ad_linear")), ("rd", ("radial_diffusivity", "rd_linear"))) for x in out]
+    rows = stash(_quality(spark, sf_dir).select(*[c.alias(n) for n, c in keys.items()], *[F.col(a).alias(b) for a, b in names.items()], (F.col("hf") + F.col("wf")).alias("nonrestricted_fraction"), *scaled), "maps")
+    path = new_path(spark, "stored-maps")
+    replace_maps(rows.drop("r2", "rmse"), path)
+    replace_maps(rows.select("subject_id", "voxel_id", "r2", "rmse"), path)
+    replace_maps(rows.filter("subject_id = 'S1'").drop("r2", "rmse"), path)  # this subject's parts alone are replaced
+    return read_maps(spark, path).select("subject_id", "voxel_id", "channel", _r(F.col("value")).alias("value"))
+
+
+_TABLES = fitting._LABELLED + """, resp3 AS (SELECT voxel_id % 3 AS key, ff_level, rf_level, avg(ff_est) AS ff_est, avg(rf_est) AS rf_est FROM lab GROUP BY ALL),
+m AS (SELECT key, ff_level, rf_level, max(rf_est) OVER (PARTITION BY key, ff_level ORDER BY rf_level) AS est, row_number() OVER (PARTITION BY key, ff_level ORDER BY rf_level) AS i, count(*) OVER (PARTITION BY key, ff_level) AS n FROM resp3),
+lev AS (SELECT key, ff_level, avg(ff_est) AS mid, row_number() OVER (PARTITION BY key ORDER BY avg(ff_est)) AS j, count(*) OVER (PARTITION BY key) AS levels FROM resp3 GROUP BY key, ff_level),
+k AS (SELECT voxel_id, rf, m.key, m.ff_level, n, count(*) FILTER (WHERE est <= rf) AS below FROM truth JOIN m ON m.key = voxel_id % 3 GROUP BY ALL),
+inv AS (SELECT k.voxel_id, k.ff_level, CASE WHEN below = 0 OR below = k.n THEN lo.rf_level ELSE lo.rf_level + (k.rf - lo.est) / (hi.est - lo.est) * (hi.rf_level - lo.rf_level) END AS v
+  FROM k JOIN m lo ON lo.key = k.key AND lo.ff_level = k.ff_level AND lo.i = greatest(below, 1) LEFT JOIN m hi ON hi.key = k.key AND hi.ff_level = k.ff_level AND hi.i = below + 1),
+pick AS (SELECT voxel_id, voxel_id % 3 AS key, ff, rf, hf, (SELECT count(*) FROM lev WHERE mid <= ff AND lev.key = voxel_id % 3) AS nj FROM truth),
+out AS (SELECT p.voxel_id, p.rf, p.hf, greatest(0.0::DOUBLE, least(1.0::DOUBLE, a.v + CASE WHEN l.j < h.j AND p.ff > l.mid THEN (p.ff - l.mid) / (h.mid - l.mid) ELSE 0 END * (b.v - a.v))) AS c
+  FROM pick p JOIN lev l ON l.key = p.key AND l.j = greatest(nj, 1) JOIN lev h ON h.key = p.key AND h.j = least(nj + 1, h.levels) JOIN inv a ON a.voxel_id = p.voxel_id AND a.ff_level = l.ff_level JOIN inv b ON b.voxel_id = p.voxel_id AND b.ff_level = h.ff_level)
+SELECT voxel_id, round(c, 6) AS rf_corrected, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, hf - (c - rf))), 6) AS hf_corrected FROM out
+"""
+
+
+@_query(_TABLES)
+def restricted_correction_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Restricted and hindered fractions after inverting the response table of the voxel's key, one of three, by interval joins."""
+    key = (F.col("voxel_id") % 3).alias("key")
+    response = X.labelled(spark, sf_dir).groupBy(key, "ff_level", "rf_level").agg(F.avg("ff_est").alias("ff_est"), F.avg("rf_est").alias("rf_est"))
+    out = corrected_by_table(X.truth(spark, sf_dir).select("*", key), stash(response, "responses"), ["key"])
+    return out.select("voxel_id", _r(F.col("rf_corrected")).alias("rf_corrected"), _r(F.col("hf_corrected")).alias("hf_corrected"))
