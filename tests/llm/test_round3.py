@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from voxelmill.llm import fill_middle, ranked_search, secret_scan, textops
+from voxelmill.llm import fill_middle, html_text, ranked_search, secret_scan, textops
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, seed boolean, n long, terms string, base string, output string"
 
@@ -237,3 +237,58 @@ def test_the_sample_is_the_same_over_any_partitions(spark):
     rows = [(i, f"token = {'%040x' % (i * 7919**9)} and mail{i}.example.com") for i in range(60)]
     samples = [secret_scan.labelled_sample(secret_scan.findings(make(spark, rows).repartition(n)), 20) for n in (1, 5)]
     assert samples[0] == samples[1] and Counter(f.label for f in samples[0]) == {True: 20, False: 20}
+
+
+PROSE = "Some long text of the article that goes on and on. " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body><form id='aspnetForm'><nav>menu</nav><article><h1>T</h1><p>{}</p></article></form>", "T {}"),
+        ("<body><form id='aspnetForm'><div><p>{}</p></div></form>", "{}"),
+        ("<article><p>{}</p><section id='navigation'><h2>Navigation at sea</h2><p>Stars guide.</p></section></article>", "{} Navigation at sea Stars guide."),
+        ("<article><p>{}</p><h2 id='comments'>Comments on the law</h2><p class='notice'>Take note.</p></article>", "{} Comments on the law Take note."),
+        ("<article><div class='article-header'><h1>The Title</h1></div><div class='header'>By Ann</div><p>{}</p></article>", "The Title By Ann {}"),
+        ("<article><p>{}</p></article><div class='comments'><article><p>nice post!</p></article></div>", "{}"),
+        ("<div class='content'><p>{}</p></div><div class='comments'>" + "<article><p>nice post, and more, and more, and more</p></article>" * 9 + "</div>", "{}"),
+        ("<div><p>a <span style='display:none'>no</span> b</p><p>{}</p></div>", "a b {}"),
+        ("<article><p>{}</p><div class='menu'><a href=x>one</a> <a href=y>two</a></div><div class='share'>Share it</div><form>mail <input></form></article>", "{}"),
+        ("<div class='comments'><p>only this</p></div>", "only this"),
+        ("<p class='ad'>Buy</p><div><p>{}</p></div>", "{}"),
+        ("<div class='header'><a href=x>Home</a></div><div><p>{}</p></div>", "{}"),
+    ],
+)
+def test_parts_of_pages(page, want):
+    text = PROSE.strip()
+    assert html_text.main_text(page.replace("{}", text)) == want.replace("{}", text)
+
+
+def test_generated_sites(spark):
+    """Pages whose article is known, in frames that each hide it otherwise."""
+    rng = np.random.default_rng(7)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdeiorst"), rng.integers(2, 9))) for _ in range(n))
+    frames = [
+        "<body><nav>{n}</nav><article>{a}</article><footer>{n}</footer>", "<body><form id=f><div class=header>{n}</div><main>{a}</main></form>",
+        "<body><div class='sidebar'>{n}</div><div id=content>{a}</div><div class='comments'><article><p>{n}</p></article></div>",
+        "<div class='page-wrapper'><header>{n}</header><article>{a}<div class='related'>{n}</div></article><aside>{n}</aside></div>",
+        "<div class='cookie-notice'>{n}</div><div role=main>{a}</div><script>var a = '<p>{n}</p>'</script><p hidden>{n}</p>",
+    ]
+    rows, want = [], {}
+    for i in range(100):
+        parts = [words(int(rng.integers(15, 40))) for _ in range(int(rng.integers(2, 6)))]
+        body = "".join(f"<h2 id=part{k}>{t}</h2>" if k % 3 == 2 else f"<p>{t.replace(' ', ' <b>', 1)}</b></p>" for k, t in enumerate(parts))
+        rows.append((i, f"http://host{i % 5}.example/{i}", frames[i % 5].replace("{a}", body).replace("{n}", words(6))))
+        want[i] = " ".join(parts)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == want
+
+
+def test_style_nodes_of_large_hosts(spark, monkeypatch):
+    """Where the lists are too many to broadcast, pages of a large host and of none are dealt out, with the same results."""
+    rows = [(i, None if i % 3 == 0 else f"http://h{i % 3}.example/", f"<div class=x>same words here</div><div class=y>own{i} text{i} of{i} page{i}</div>") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = Counter(map(tuple, html_text.extract(pages).collect()))
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", -1)
+    assert Counter(map(tuple, html_text.extract(pages).collect())) == want and len(want) == 60
+    assert all("same words" not in r[2] for r in want)

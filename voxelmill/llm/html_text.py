@@ -14,10 +14,13 @@ of what a page declares as ``article`` or ``main``, only ``div`` and ``section``
 an element.  A page of which the tree would leave nothing keeps what the markup leaves.
 
 The tree says nothing of hosts with one page, and menus or adverts with other words on each page look like content to it, so it is
-joined with what the markup declares.  Elements and roles that are never main text (menus, footers, asides, forms, scripts,
-...) go, as do elements hidden by an attribute.  Elements with a class or id that names a menu, an advert, a notice, a side bar or comments go,
+joined with what the markup declares.  Elements and roles that are never main text (menus, footers, asides, scripts,
+...) go, as do elements hidden by an attribute.  Reader comments, known by class or id, go with all they hold, articles of their own included, unless the page has
+nothing else.  Forms and elements with a class or id that names a menu, an advert, a notice or a side bar go,
 unless they hold an ``article`` or ``main`` element or, where the page has no such element, over half of its remaining text; words that tell a state of a
-wrapper (``with-sidebar``, ``no-comments``) name nothing.  If ``article`` and ``main`` elements hold half or more of what is then left, only they stay.
+wrapper (``with-sidebar``, ``no-comments``) name nothing, nor do names of headings.  Inside ``article`` and ``main``, and for paragraphs, names of menus, headers
+and notices count only where half or more of the element's text is links, since articles have parts about such things and headers of
+their own.  If ``article`` and ``main`` elements hold half or more of what is then left, only they stay.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by
 one space.  Null and empty html give an empty text; a null url is a host of its own.  Repeated rows
@@ -44,6 +47,8 @@ from voxelmill.llm.textops import chunks
 
 GAMMA = 0.9
 LEAST = 0.3
+#: Tasks that a large host's pages are dealt to where its style nodes are too many to broadcast.
+SALTS = 64
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -55,22 +60,27 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 _CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in _RAW}
-_NEVER = frozenset("head nav footer aside form button select dialog menu svg canvas object audio video datalist".split()) | _RAW
+_NEVER = frozenset("head nav footer aside button select dialog menu svg canvas object audio video datalist".split()) | _RAW
 _BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _ENDS_P = _BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "option"}
 _FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tr td th tbody thead figure figcaption article main body html".split())
-#: Words that name parts that aren't main text, and those that may stand around them in a class or id.
-_PARTS = (
-    "ads? adverts? advertisements? advertising banners? sponsor(?:ed|s)? promos? promotions? cookies? consent notices? alerts? gdpr popups? modals? overlays? newsletters? "
-    "subscribe subscription signup login share sharing social related recommend(?:ed|ations?)? sidebars? nav navbar navigation menus? breadcrumbs? pagination pager footer "
-    "masthead comments? commentlist respond reply replies disqus widgets? toolbar skip searchbox header"
+#: Words that name comments, other parts that aren't main text wherever they stand, parts that are so by their links or outside
+#: of articles, and words that may stand around these in a class or id.
+_COMMENTS = "comments? commentlist respond reply replies disqus".replace(" ", "|")
+_FIRM = (
+    "ads? adverts? advertisements? advertising sponsor(?:ed|s)? promos? promotions? cookies? consent gdpr popups? modals? overlays? newsletters? "
+    "subscribe subscription signup login share sharing social related recommend(?:ed|ations?)? sidebars? widgets? searchbox"
 ).replace(" ", "|")
+_SOFT = "banners? notices? alerts? nav navbar navigation menus? breadcrumbs? pagination pager footer masthead toolbar skip header".replace(" ", "|")
 _AROUND = "site|page|main|global|top|bottom|left|right|side|primary|secondary|post|article|user|reader|google|js"
 _BEHIND = r"\d+|bar|box|block|container|wrapper|wrap|area|list|items?|section|unit|slot|links?|content|inner|form|panel|top|bottom|left|right"
-_NAMED = re.compile(rf"(?:(?:{_AROUND})[_-])*(?:{_PARTS})(?:[_-](?:{_PARTS}|{_BEHIND}))*\d*", re.I)
+_ANY = f"{_COMMENTS}|{_FIRM}|{_SOFT}"
+_NAMED = re.compile(rf"(?:(?:{_AROUND})[_-])*(?P<part>{_ANY})(?:[_-](?:{_ANY}|{_BEHIND}))*\d*", re.I)
+_KINDS = ((re.compile(_COMMENTS, re.I), 3), (re.compile(_FIRM, re.I), 2), (re.compile(_SOFT, re.I), 1))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TELLING = re.compile(r"class|id\s*=|role|hidden|style", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
@@ -80,21 +90,22 @@ def _step(parent: int, key: str) -> int:
 
 
 class Element:
-    """``noise``: it or an element around it is never main text; ``named``: its class or id names such a part."""
+    """``noise``: it or an element around it is never main text; ``named``: its class or id names such a part (1 softly, 2 firmly, 3
+    comments); ``size`` and ``linked``: characters of its text, and of those of links."""
 
-    __slots__ = ("tag", "parent", "node", "noise", "named", "main", "holds", "size", "kinds", "texts", "block")
+    __slots__ = ("tag", "parent", "node", "noise", "named", "main", "holds", "size", "linked", "kinds", "texts", "block")
 
-    def __init__(self, tag: str, parent: Element | None, node: int, noise: bool, named: bool, main: bool, block: Element | None):
+    def __init__(self, tag: str, parent: Element | None, node: int, noise: bool, named: int, main: bool, block: Element | None):
         self.tag, self.parent, self.node, self.noise, self.named, self.main = tag, parent, node, noise, named, main
-        self.holds, self.size = False, 0
+        self.holds, self.size, self.linked = False, 0, 0
         self.kinds: list[int] = []
         self.texts: list[str] = []
         self.block = block or self
 
 
 @lru_cache(maxsize=65536)
-def _marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """Of a start tag: its key in a style path, and whether it is noise, named like noise, or main."""
+def _marks(tag: str, attributes: str) -> tuple[str, bool, int, bool]:
+    """Of a start tag: its key in a style path, whether it is noise, what it is named like, and whether it is main."""
     names, role, hidden = [], "", False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
@@ -104,18 +115,21 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
             role = value.lower()
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             hidden = True
-    named = tag == "header" or (tag not in ("body", "html") and any(map(_NAMED.fullmatch, names)))
+    named = 1 if tag == "header" else 2 if tag == "form" else 0
+    if tag not in _HEADINGS and tag not in ("body", "html"):
+        found = [m["part"] for m in map(_NAMED.fullmatch, names) if m]
+        named = max([named, *(kind for part in found for pattern, kind in _KINDS if pattern.fullmatch(part))])
     key = re.sub(r"\d+", "", f"{tag}.{names[0] if names else ''}")
     return key, hidden or tag in _NEVER or role in _ROLES, named, tag in ("article", "main") or role == "main"
 
 
 def _open(tag: str, attributes: str, above: Element) -> Element:
     if tag not in _BLOCK and tag not in _NEVER and not _TELLING.search(attributes):
-        return Element(tag, above, above.node, above.noise, False, above.main, above.block)
+        return Element(tag, above, above.node, above.noise, 0, above.main, above.block)
     key, noise, named, main = _marks(tag, attributes if _TELLING.search(attributes) else "")
-    noise, named = above.noise or noise, named and not (tag == "header" and above.main)
+    noise = above.noise or noise
     if tag not in _BLOCK and tag not in _NEVER and noise == above.noise and not named:
-        return Element(tag, above, above.node, noise, False, above.main or main, above.block)
+        return Element(tag, above, above.node, noise, 0, above.main or main, above.block)
     node = _step(above.node, key)
     above.block.kinds.append(node)
     return Element(tag, above, node, noise, named, above.main or main, None)
@@ -123,7 +137,7 @@ def _open(tag: str, attributes: str, above: Element) -> Element:
 
 def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
     """Blocks of text in page order, each with its block element; and all block elements."""
-    root = Element("", None, 1, False, False, False, None)
+    root = Element("", None, 1, False, 0, False, None)
     now, elements = root, [root]
     blocks: list[tuple[Element, str]] = []
     pending: list[str] = []
@@ -136,14 +150,17 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
                 now.block.texts.append(text)
                 blocks.append((now.block, text))
 
-    at, end = 0, len(page)
+    at, end, links = 0, len(page), 0
     while at < end:
         m = _TOKEN.match(page, at)
         at = m.end()
         text = m[7]
         if text is not None:
             if not now.noise or not text.isspace():
-                pending.append(entities.unescape(text) if "&" in text else text)
+                text = entities.unescape(text) if "&" in text else text
+                pending.append(text)
+                if links:
+                    now.block.linked += len(" ".join(text.split()))
             continue
         tag = m[2] or m[5]
         if tag is None:
@@ -156,9 +173,10 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
             while x is not root and x.tag != tag:
                 x = x.parent
             if x is not root:
-                if x.block is not now.block:
+                if now.block is not x.parent.block:
                     flush()
                 now = x.parent
+            links = max(0, links - (tag == "a"))
             continue
         if tag in _RAW:
             stop = _CLOSING[tag].search(page, at)
@@ -172,6 +190,7 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
                 x = x.parent
             if x.tag == "p" or (x.tag == "li" and tag == "li"):
                 now = x.parent
+        links += tag == "a"
         new = _open(tag, m[3] or m[6] or "", now)
         if new.block is new:
             flush()
@@ -183,15 +202,26 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
 
 def _settle(blocks: list[tuple[Element, str]], elements: list[Element]) -> None:
     """Which elements hold main ones, and which of those named like noise are it."""
+    apart = [e.noise for e in elements]
+    for e in elements[1:]:
+        e.noise |= e.parent.block.noise or e.named == 3
+    if not any(not e.noise for e, _ in blocks):  # comments are all there is
+        for e, before in zip(elements, apart):
+            e.noise = before
     for e, text in blocks:
         e.size += 0 if e.noise else len(text)
     for e in reversed(elements[1:]):  # inner ones come after those around them
         above = e.parent.block
         above.size += e.size
-        above.holds |= e.holds or (e.main and not e.parent.main)
+        above.linked += 0 if e.noise else e.linked
+        above.holds |= e.holds or (e.main and not e.parent.main and not e.noise)
     most = elements[0].size / 2 if not elements[0].holds else -1  # a page with a main element has its text there
     for e in elements[1:]:
-        e.noise |= e.parent.block.noise or (e.named and not e.holds and not (e.main and not e.parent.main) and (e.size <= most or most < 0))
+        above = e.parent.block
+        gone = e.named and not e.holds and not (e.main and not e.parent.main) and (e.size <= most or most < 0)
+        if gone and e.named == 1 and (above.main or e.tag == "p"):
+            gone = 2 * e.linked >= e.size
+        e.noise |= above.noise or bool(gone)
 
 
 def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
@@ -315,12 +345,14 @@ def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
     same = F.col("host").eqNullSafe(F.col("own"))
     if size <= BROADCAST_BYTES:
         rows = pages.join(F.broadcast(low), same, "left")
-    else:  # pages of large hosts stay where they are
+    else:  # pages of large hosts are dealt to SALTS tasks each, their hosts' lists to all of these
         counts = pages.groupBy("host").agg(F.count("*").alias("rows"))
-        hot = hot_keys(counts.filter("host is not null"), pages.count(), "op6-hot")
-        large = F.broadcast(hot)  # under HOT rows
-        warm = pages.join(large, "host", "left_semi").join(F.broadcast(low.join(large, F.col("own") == F.col("host"), "left_semi")), same, "left")
-        rows = pages.join(large, "host", "left_anti").join(low, same, "left").unionByName(warm)
+        hot = F.broadcast(hot_keys(counts, pages.count(), "op6-hot").withColumnsRenamed({"host": "_host"}).withColumn("_hot", F.lit(True)))  # under HOT rows
+        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+        salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        dealt = pages.join(hot, F.col("host").eqNullSafe(F.col("_host")), "left").withColumn("_salt", salt).drop("_host", "_hot")
+        lists = low.join(hot, F.col("own").eqNullSafe(F.col("_host")), "left").select("own", "low", F.explode(salts).alias("_of"))
+        rows = dealt.join(lists, same & (F.col("_salt") == F.col("_of")), "left")
     return rows.select("page_id", "url", "html", "low").mapInArrow(_extract, "page_id long, url string, text string")
 
 
