@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from voxelmill.llm import fill_middle, html_text, ranked_search, secret_scan, textops
+from voxelmill.llm import fill_middle, html_text, mixing, ranked_search, secret_scan, textops
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, seed boolean, n long, terms string, base string, output string"
 
@@ -292,3 +292,29 @@ def test_style_nodes_of_large_hosts(spark, monkeypatch):
     monkeypatch.setattr(html_text, "BROADCAST_BYTES", -1)
     assert Counter(map(tuple, html_text.extract(pages).collect())) == want and len(want) == 60
     assert all("same words" not in r[2] for r in want)
+
+
+def test_mix_is_near_its_targets_at_any_size(spark):
+    """Sources of 3 to 400 documents, with groups of the tree of any size: a source misses by less than a small document of it."""
+    rng = np.random.default_rng(21)
+    rows = [(1000 * s + i, " ".join(["w"] * int(k)), f"s{s}") for s, n in enumerate((3, 40, 400, 400)) for i, k in enumerate(rng.integers(1, 300, n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {s: sorted(len(t.split()) for _, t, o in rows if o == s) for s in ("s0", "s1", "s2", "s3")}
+    for fan in (2, 16, 4096):
+        got = mixing.mix(docs, fan=fan).collect()
+        assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+        for s in ("s1", "s2", "s3"):
+            taken, target = sum(r.taken for r in got if r.source == s), next(r.target for r in got if r.source == s)
+            assert abs(taken - target) <= sizes[s][len(sizes[s]) // 5]
+
+
+def test_pairs_keep_expected_copies():
+    rng = np.random.default_rng(5)
+    size = np.array([9, 4, 4, 1, 30])
+    mass = np.array([3.0, 2.0, 1.0, 0.25, 7.5])
+    total = np.zeros(5)
+    for _ in range(4000):
+        out, held = mixing.pivotal(size, mass, rng.random(5))
+        assert abs(out.sum() - mass.sum()) < 1e-9 and all(out[i] in (0, size[i]) for i in range(5) if i != held)
+        total += out
+    assert np.allclose(total / 4000, mass, atol=0.6)

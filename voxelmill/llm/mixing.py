@@ -5,17 +5,15 @@ code point with null last, weigh ``weights`` in turn and share ``share`` times a
 exceeds ``cap`` times its source's size, the excess going to the others by weight until none is above.
 
 Each document is owed target / source size copies: a whole part, and a fractional one, whose words are its
-mass.  Pivotal rounding moves mass at random between a document and the pool of all smaller ones that are still
-fractional, each of which gives or takes in proportion to its size, until the document or one of the pool becomes
-integral; the expected copies stay as owed, and the words that are taken stay the same.  Documents
-are settled from the largest down, so the one that is left is one that all smaller ones together could not settle; these are
-then integral.
+mass.  Pivotal rounding takes two documents that are still fractional and moves mass from one to the other, at random so that neither's expected
+copies change, until one of them is integral; the other meets the next.  The words that are taken stay the same.
 
 A reduction tree does this at scale: documents of a source are dealt to groups of about ``FAN`` by a hash, each
-group leaves at most one fractional document, and those meet in the next level until one group is left.  The document that this one
-leaves becomes whole or nothing, and as many words of smaller ones of that group as fit are exchanged for it, in random order; the
-smallest that did not fit stays fractional and is rounded by chance.  A source misses its target by less than that one's size,
-which is among the smallest unless one document outweighs all smaller ones of its source.
+group leaves at most one fractional document, and those meet in the next level until one is left for each source.  It is settled last, by the same rule
+for a source of any size: it becomes whole or nothing, and as many words as that adds or lacks are exchanged for it among documents not larger than
+it, integral so far, in random order, the ``CHANGE`` smallest last.  They are taken from a part of the source, chosen by hash, that has some ``POOL`` times its words (all of
+a smaller source).  The smallest that did not fit stays fractional and is rounded by chance.  A source misses its target by less than that
+one's size, which is among the smallest unless one document outweighs all smaller ones of its source.
 
 Copies are 0 to ``cap``; sizes of 0 are never fractional.  Draws come from hashes of ids, so reruns
 agree.  Rows that repeat a ``doc_id`` are separate documents.  An empty table, or one without words,
@@ -25,8 +23,7 @@ their names.
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,6 +37,10 @@ SHARE = 1.5
 CAP = 2
 #: Documents of a group of the reduction tree.
 FAN = 4096
+#: Words of the documents that the last one is exchanged with, as a multiple of its own.
+POOL = 64
+#: The smallest of these, which come last in an exchange.
+CHANGE = 8
 _ITEM = "source string, doc_id long, uid long, nth int, size long, place long, mass double, copies int, open boolean"
 
 
@@ -65,7 +66,17 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 def exchange(size: np.ndarray, mass: np.ndarray, draws: np.ndarray, held: int) -> tuple[np.ndarray, int]:
     """Settles the document that is left by smaller, integral ones: it becomes 0 or whole, and smaller ones are taken or given
-    back for it, as far as they are not larger than what is missing.  The smallest of the others then holds the rest."""
+    back for it, as far as they are not larger than what is missing.  The smallest of the others then holds the rest, and is settled
+    likewise, as long as that leaves a smaller one."""
+    while held >= 0:
+        new, last = _swapped(size, mass.copy(), draws, held)
+        if last >= 0 and size[last] >= size[held]:
+            return mass, held
+        mass, held = new, last
+    return mass, held
+
+
+def _swapped(size: np.ndarray, mass: np.ndarray, draws: np.ndarray, held: int) -> tuple[np.ndarray, int]:
     gap = {True: float(size[held] - mass[held]), False: float(mass[held])}  # it is taken, or not
     turn = {up: np.flatnonzero((size <= size[held]) & (np.arange(len(size)) != held) & ((mass > 0) == up)) for up in gap}
     able = [up for up in gap if size[turn[up]].sum() >= gap[up]]
@@ -73,7 +84,9 @@ def exchange(size: np.ndarray, mass: np.ndarray, draws: np.ndarray, held: int) -
         return mass, held
     up = bool(draws[held] * size[held] < mass[held]) if len(able) == 2 else able[0]
     rest, others = gap[up], []
-    for j in turn[up][np.argsort(draws[turn[up]], kind="stable")].tolist():
+    own = turn[up][np.argsort(size[turn[up]], kind="stable")]
+    change, bulk = own[:CHANGE][::-1], own[CHANGE:]
+    for j in [*bulk[np.argsort(draws[bulk], kind="stable")].tolist(), *change.tolist()]:
         if size[j] <= rest + 1e-9:
             rest -= float(size[j])
             mass[j] = 0.0 if up else float(size[j])
@@ -88,74 +101,57 @@ def exchange(size: np.ndarray, mass: np.ndarray, draws: np.ndarray, held: int) -
 
 
 def pivotal(size: np.ndarray, mass: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int]:
-    """Rounds masses in (0, size) to 0 or size, keeping their sum but for one document.
+    """Rounds masses in (0, size) to 0 or size in pairs, the largest documents first, keeping their sum but for one document.
 
-    Returns the masses and the position of the document that stays fractional, or -1.  The pool's documents all move
-    by the same share of their sizes, so one number holds their common shift, and two heaps find those that
-    become integral first.
+    Returns the masses and the position of the document that stays fractional, or -1.
     """
-    n, total = len(size), float(mass.sum())
-    out = np.zeros(n)
-    share = [float(m) / float(s) for m, s in zip(mass, size)]
-    order = np.argsort(-size, kind="stable").tolist()
-    low, high = [(r, i) for i, r in enumerate(share)], [(-r, i) for i, r in enumerate(share)]
-    heapq.heapify(low)
-    heapq.heapify(high)
-    pooled, shift, room, step = [True] * n, 0.0, int(size.sum()), 0
+    out, held, total = mass.astype(float), -1, float(mass.sum())
     eps = 1e-9
-    for i in order:
-        if not pooled[i]:
+    for step, j in enumerate(np.argsort(-size, kind="stable").tolist()):
+        if held < 0:
+            held = j
             continue
-        pooled[i] = False
-        s = float(size[i])
-        room -= int(size[i])
-        a = (share[i] + shift) * s
-        while eps * s < a < s - eps * s:
-            while low and not pooled[low[0][1]]:
-                heapq.heappop(low)
-            while high and not pooled[high[0][1]]:
-                heapq.heappop(high)
-            if not low:  # no smaller one is left
-                out[i] = total - out.sum()
-                return out, i
-            rise, fall = min(s - a, (low[0][0] + shift) * room), min(a, (1 + high[0][0] - shift) * room)
-            if draws[step] * (rise + fall) < fall:  # the document gains
-                a, shift = a + rise, shift - rise / room
-            else:
-                a, shift = a - fall, shift + fall / room
-            step += 1
-            for heap, sign in ((low, 1), (high, -1)):
-                while heap and (not pooled[heap[0][1]] or not eps < sign * heap[0][0] + shift < 1 - eps):
-                    j = heapq.heappop(heap)[1]
-                    if pooled[j]:
-                        pooled[j] = False
-                        room -= int(size[j])
-                        out[j] = float(size[j]) if share[j] + shift > 0.5 else 0.0
-        out[i] = s if a > s / 2 else 0.0
-    return out, -1
-
-
-def _settle(group: pd.DataFrame, last: bool) -> pd.DataFrame:
+        i = held
+        a, b, s, t = out[i], out[j], float(size[i]), float(size[j])
+        rise, fall = min(s - a, b), min(a, t - b)
+        move = rise if draws[step] * (rise + fall) < fall else -fall  # what the one gains and the other gives
+        a, b = a + move, b - move
+        a, b = (0.0 if x < eps * y else y if x > y - eps * y else x for x, y in ((a, s), (b, t)))
+        out[i], out[j] = a, b
+        held = i if 0 < a < s else j if 0 < b < t else -1
+    if held >= 0:
+        out[held] += total - out.sum()  # what rounding of numbers has lost
+    return out, held
+
+
+def _ordered(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """A group in an order of its own, sizes, and draws of its documents."""
     group = group.sort_values(["place", "size", "uid", "nth"], kind="stable").reset_index(drop=True)
-    size = group["size"].to_numpy()
     draws = ((group["place"].to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) / float(1 << 53)
+    return group, group["size"].to_numpy(), draws
+
+
+def _settle(group: pd.DataFrame) -> pd.DataFrame:
+    group, size, draws = _ordered(group)
     mass, held = pivotal(size, group["mass"].to_numpy(), draws)
-    if last and held >= 0:
-        mass, held = exchange(size, mass, draws, held)
-    group["copies"] += ((mass >= size) & (np.arange(len(group)) != held)).astype(np.int32)
-    group["mass"] = mass
     group["open"] = np.arange(len(group)) == held
+    group["copies"] += ((mass >= size) & ~group["open"]).astype(np.int32)
+    group["mass"] = mass
     return group.drop(columns=["bucket"])
 
 
-def _settler(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        return _settle(group, last)
-
-    return settle
+def _exchanged(group: pd.DataFrame) -> pd.DataFrame:
+    """A source's last fractional document and those that may be exchanged for it."""
+    group, size, draws = _ordered(group)
+    mass, before = group["mass"].to_numpy().copy(), ((group["mass"] >= group["size"]) & ~group["open"]).to_numpy()
+    mass, held = exchange(size, mass, draws, int(group["open"].to_numpy().argmax()))
+    group["open"] = np.arange(len(group)) == held
+    group["copies"] += ((mass >= size) & ~group["open"]).astype(np.int32) - before.astype(np.int32)
+    group["mass"] = mass
+    return group
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, fan: int = FAN) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, fan: int = FAN, pool: int = POOL) -> DataFrame:
     """One row per input row: doc_id, uid, nth, source, size, source_size, target, copies, taken."""
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
     items = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("uid"), F.col("source").cast("string"), words.alias("size"))
@@ -177,14 +173,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     while most:
         groups = max(1, -(-most // fan))
         bucket = F.pmod(F.xxhash64("place", F.lit(depth)), F.lit(groups))
-        done = stash(level.withColumn("bucket", bucket).groupBy("source", "bucket").applyInPandas(_settler(groups == 1), _ITEM), "op9-level")
+        done = stash(level.withColumn("bucket", bucket).groupBy("source", "bucket").applyInPandas(_settle, _ITEM), "op9-level")
         settled.append(done.filter("not open"))
         level, most, depth = done.filter("open"), groups if groups > 1 else 0, depth + 1
+    out = reduce(DataFrame.unionByName, [*settled, level])
+    last = level.select(F.col("source").alias("_source"), F.col("size").alias("_last"))  # a row a source
+    words = goal.select(F.col("_source").alias("_of"), F.col("source_size").alias("_words"))
+    last = last.join(small(words, count, 200), F.col("_source").eqNullSafe(F.col("_of")))
+    out = out.join(small(last, count, 200), F.col("source").eqNullSafe(F.col("_source")), "left")
+    near = F.pmod(F.xxhash64("place", F.lit(-2)), F.lit(1 << 30)) * F.col("_words") < F.col("_last") * F.lit(pool * (1 << 30))
+    meets = F.coalesce((F.col("size") > 0) & (F.col("size") <= F.col("_last")) & (near | F.col("open")), F.lit(False))
+    out = stash(out.withColumn("_meets", meets).select(*columns, "_meets"), "op9-rounded")
+    swapped = out.filter("_meets").select(columns).groupBy("source").applyInPandas(_exchanged, _ITEM)
+    out = out.filter("not _meets").select(columns).unionByName(swapped)
     chance = F.pmod(F.xxhash64("place", F.lit(-1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    settled.append(level.withColumn("copies", F.col("copies") + (chance * F.col("size") < F.col("mass")).cast("int")).select(columns))
-    out = settled[0]
-    for more in settled[1:]:
-        out = out.unionByName(more)
+    out = out.withColumn("copies", F.col("copies") + (F.col("open") & (chance * F.col("size") < F.col("mass"))).cast("int"))
     out = out.join(small(goal, count, 200), F.col("source").eqNullSafe(F.col("_source")), "left")
     return out.select("doc_id", "uid", "nth", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 

@@ -1,49 +1,23 @@
-"""Writing intermediate tables to the folder that driver and executors share."""
+"""What operators share: intermediate tables, joins of skewed keys, memory of tasks."""
 
 from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelmill.storage import new_path, shared_dir, stash
+
 #: Largest table, in bytes, that an operator may broadcast after measuring it.
 BROADCAST_BYTES = 8 << 20
 #: A key is hot if it has over 1 / HOT of all rows, so there are fewer than that many.
 HOT = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``.  Where that is unset, one is made and set in local mode alone: on a
-    cluster, executors would each write to a disk of their own."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="voxelmill-")
-        spark.sparkContext.setCheckpointDir(path)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/voxelmill/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and reread: the lineage ends there, and the
-    files outlive lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` marked for broadcasting if ``rows * row_bytes`` is within the bound; else as it is,
     so that the join shuffles."""
@@ -94,3 +68,6 @@ def released(task: Callable[..., Iterator]) -> Callable[..., Iterator]:
             give_back()
 
     return run
+
+
+__all__ = ["BROADCAST_BYTES", "HOT", "give_back", "hot_keys", "new_path", "packed", "partitions", "released", "shared_dir", "small", "spread_join", "stash"]
