@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from voxelmill.llm import fill_middle, html_text, mixing, ranked_search, secret_scan, textops
+from voxelmill.llm import fill_middle, html_text, language, mixing, ranked_search, secret_scan, textops
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, seed boolean, n long, terms string, base string, output string"
 
@@ -318,3 +318,14 @@ def test_pairs_keep_expected_copies():
         assert abs(out.sum() - mass.sum()) < 1e-9 and all(out[i] in (0, size[i]) for i in range(5) if i != held)
         total += out
     assert np.allclose(total / 4000, mass, atol=0.6)
+
+
+def test_short_junk_is_rejected_and_short_texts_stay(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(9)
+    junk = [" ".join("".join(rng.choice(list("xqzjkvw"), 6)) for _ in range(19)) for _ in range(20)]
+    clean = [" ".join(r.text.split()[5 : 5 + n]) for r in table.filter("length(text) > 400 and text not like '%$$%' and text not like '%|%'").orderBy("doc_id").limit(40).collect() for n in (3, 8, 12)]
+    planted = spark.createDataFrame([(10**9 + i, t, None, "s", 0) for i, t in enumerate(junk + clean)], table.schema)
+    kept = {r.doc_id - 10**9 for r in language.in_language(table.unionByName(planted)).select("doc_id").collect()}
+    assert not kept & set(range(20))
+    assert sum(20 + i in kept for i in range(len(clean))) >= 0.98 * len(clean)

@@ -14,9 +14,10 @@ of ``doc_id`` among rows that are not held out (crc32 of ``doc_id`` as text not
 of each a piece of ``PIECE`` characters at a random place and of that at most ``WORDS`` words.  Stretches of different rows are joined to
 training sequences, so that switches are seen.  Everything else covers all rows and whole texts.
 
-``in_language`` keeps documents whose language is known: with a score of ``SCORE`` or more and, from ``EVIDENCE`` words on, with at least a share
-of ``KNOWN`` of them in the lexicon, without which any text would be given to the language that it resembles most.  A shorter
-text may have only words that the sample has not.
+``in_language`` keeps documents whose language is known: with a score of ``SCORE`` or more, and unless their words speak against it: the log-odds of a
+text in which a share of ``KNOWN`` of the words is in the lexicon to one in which ``STRAY`` is, over all its words, must not be under -``DOUBT``.  Without that any text
+would be given to the language that it resembles most.  The rule is the same for texts of any length: some fifteen words of which none is
+known are enough against a text, and a few say little.
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything if nothing can be
 learned.  A null ``doc_id`` counts as held out.  Repeated rows each get a result; other columns are
@@ -43,8 +44,8 @@ AFFIX = 3
 ORDERS = (2, 3)
 BITS = 18
 TABLE_BYTES = 64 << 20
-#: Least score of a document whose language is known, and least share of words in the lexicon of one with ``EVIDENCE`` words or more.
-SCORE, KNOWN, EVIDENCE = 0.35, 0.1, 20
+#: Least score of a document whose language is known; shares of words in the lexicon of texts of a language and of others; log-odds against a text.
+SCORE, KNOWN, STRAY, DOUBT = 0.35, 0.3, 0.02, 5.0
 PER_LANGUAGE = 400
 WORDS = 150
 #: Characters of a sampled row that are fetched.
@@ -326,7 +327,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 
 
 def _scores(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The language of each text, its share of the marginals, and the share of words in the lexicon (1 for a short text)."""
+    """The language of each text, its share of the marginals, and the log-odds of its words in the lexicon."""
     n = len(texts)
     if model is None:
         return [UNKNOWN] * n, np.zeros(n), np.zeros(n)
@@ -336,8 +337,9 @@ def _scores(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray
     total = np.stack([np.bincount(rows, g, n) for g in gamma.T], axis=1)
     best = total.argmax(1)
     score = np.where(count > 0, np.clip(total[np.arange(n), best] / np.maximum(count, 1), 0, 1), 0.0)
-    known = np.where(count >= EVIDENCE, np.bincount(rows, model.known(words), n) / np.maximum(count, 1), 1.0)
-    return [model.languages[b] if c else UNKNOWN for b, c in zip(best.tolist(), count.tolist())], score, known
+    known = np.bincount(rows, model.known(words), n)
+    odds = known * np.log(KNOWN / STRAY) + (count - known) * np.log((1 - KNOWN) / (1 - STRAY))
+    return [model.languages[b] if c else UNKNOWN for b, c in zip(best.tolist(), count.tolist())], score, odds
 
 
 @released
@@ -372,9 +374,9 @@ def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return rows.mapInArrow(lambda it: _identify(it, sent.value), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def in_language(docs: DataFrame, least: float = SCORE, known_share: float = KNOWN) -> DataFrame:
-    """The documents, with all their columns, of which a language is known: with this score or more, and at least this share
-    of many words in the lexicon.
+def in_language(docs: DataFrame, least: float = SCORE, doubt: float = DOUBT) -> DataFrame:
+    """The documents, with all their columns, of which a language is known: with this score or more, and log-odds of their words not
+    under -``doubt``.
 
     Only texts go to Python and only decisions come back; the other columns stay in the JVM.
     """
@@ -386,8 +388,8 @@ def in_language(docs: DataFrame, least: float = SCORE, known_share: float = KNOW
         for column in columns:
             keep: list[bool] = []
             for part in chunks(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text"):
-                pred, score, share = _scores(part.column("text"), sent.value)
-                keep += [p != UNKNOWN and s >= least and k >= known_share for p, s, k in zip(pred, score.tolist(), share.tolist())]
+                pred, score, odds = _scores(part.column("text"), sent.value)
+                keep += [p != UNKNOWN and s >= least and o >= -doubt for p, s, o in zip(pred, score.tolist(), odds.tolist())]
             yield pa.array(keep, pa.bool_())
 
     return docs.filter(known(F.col("text")))
