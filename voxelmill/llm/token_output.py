@@ -2,8 +2,9 @@
 
 ``write_tokens`` deals documents by ranges of ``doc_id``, encodes each whole text, appends an end id
 and writes shards in ascending order of ``doc_id`` (null first; documents that share an id, by a hash
-of their text).  The container is Spark's own committed Parquet writer, uncompressed, with one shard in each
-file, so retried and speculative tasks leave no second copy and any file system that Spark writes will do.
+of their text).  The container is Spark's own committed Parquet writer, uncompressed, so retried and speculative tasks leave no second
+copy and any file system that Spark writes will do.  Each shard is a row group; a file holds up to ``FILE_SHARDS`` of them, so
+the number of files follows the tasks, not the shards.
 
 Columns of a shard: ``task`` and ``shard`` (its place in the order), ``first_key``, ``last_key``, ``docs`` and ``n_ids``
 (the manifest: read without the rest), ``entry`` (the index) and ``payload`` (the raw ids, little-endian, 2 bytes each for
@@ -12,8 +13,8 @@ a minimal perfect hash: a displacement for each bucket of about 2 keys, and for
 of its key with a 32-bit fingerprint, so a lookup costs one bucket, one slot and one comparison, and
 a key that is not there is told by its fingerprint (and then by the key stored with the document).
 
-``lookup`` opens only the shards whose range of keys holds a wanted one: the file reader passes over all others by
-the statistics of ``first_key`` and ``last_key``.  ``token_digests`` takes each document's offsets through the index of its shard
+``lookup`` reads only the shards whose range of keys holds a wanted one: the file reader passes over the row groups of all others by
+their statistics of ``first_key`` and ``last_key``.  ``token_digests`` takes each document's offsets through the index of its shard
 too, and stops if a slot or a fingerprint leads elsewhere.  Null keys are stored but can't be looked up (they are read in
 order); documents that share a key lie side by side, as their keys show, also over shards.
 
@@ -39,6 +40,8 @@ from voxelmill.llm.shared import new_path, partitions, released, small
 END_ID = 2
 #: Payload bytes, and documents, after which a shard is closed.
 SHARD_BYTES, SHARD_DOCS = 8 << 20, 1 << 18
+#: Shards of a file at most.
+FILE_SHARDS = 256
 NULL_KEY = -(1 << 63)
 _MAGIC = b"VMTOKEN1"
 #: magic, id width, documents, keys, displacements, ids
@@ -189,7 +192,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), F.xxhash64("text").alias("uid"), "text")
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "key", "uid").sortWithinPartitions("key", "uid")
     shards = rows.select("key", "text").mapInArrow(lambda it: _shards(it, vocabulary, end_id, shard_bytes), _SHARD)
-    shards.write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(path)
+    layout = {"maxRecordsPerFile": FILE_SHARDS, "compression": "none", "parquet.block.row.count.limit": 1, "parquet.enable.dictionary": "false"}
+    shards.write.options(**layout).parquet(path)
 
 
 def open_shards(spark: SparkSession, path: str) -> DataFrame:
