@@ -173,6 +173,25 @@ def test_substring_sql(spark, tmp_path):
     assert got == sorted(con.execute(substring_dedup.ORACLE).fetchall())
 
 
+def test_substring_slots_follow_the_bytes(spark, tmp_path, monkeypatch):
+    assert [substring_dedup.slots_of(n << 20) for n in (0, 1 << 20, (1 << 20) + 1, 100 << 20, 1 << 30)] == [1 << 16, 1 << 16, 1 << 17, 1 << 23, 1 << 23]
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 3, 80)), "en", "s") for i in range(40)]
+    rows += [(50 + i, rows[i % 7][1], "en", "s") for i in range(9)]
+    make(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.execute(substring_dedup.ORACLE).fetchall())
+    keyed = spark.read.parquet(str(tmp_path / "documents.parquet")).selectExpr("doc_id as key", "xxhash64(text) as uid", "text")
+    monkeypatch.setattr(substring_dedup, "SLOTS", 4)
+    for slot_bytes, most, slots in ((1 << 20, 64, 4), (1000, 64, 16), (10, 64, 64)):
+        monkeypatch.setattr(substring_dedup, "SLOT_BYTES", slot_bytes)
+        monkeypatch.setattr(substring_dedup, "MOST_SLOTS", most)
+        first, ways = substring_dedup.deal(keyed, 20, 3)
+        assert len(first) == len(ways) == slots
+        assert sorted(map(tuple, substring_dedup.op5_substring_dedup(spark, str(tmp_path)).collect())) == want
+
+
 def test_substring_common_line(spark, tmp_path, monkeypatch):
     """A line that many documents have between different neighbours fills no bucket."""
     rng = np.random.default_rng(5)

@@ -10,12 +10,13 @@ sorting brings equal windows together; contents are compared wherever hashes agr
 each pass over a chunk of text keeps only the first of its equal windows, so a passage that a third of
 all documents share reaches its bucket once a chunk, not once a document.
 
-A first pass counts what each slot of minimisers (``SLOTS`` of them) would hold.  Slots are packed into
+A first pass counts what each slot of minimisers would hold.  There are as many slots as the bytes of all texts ask for
+(``slots_of``: ``SLOT_BYTES`` each, ``SLOTS`` to ``MOST_SLOTS`` of them).  Slots are packed into
 buckets of about ``BUCKET_BYTES``, so the number of buckets follows the input; a slot that is larger, as
 that of a short phrase which many documents have between different neighbours, is dealt by a hash of the
 whole window instead: equal windows still meet.  What can't be split is one window's own copies, one a
-chunk.  Where the mean slot passes ``BUCKET_BYTES`` (at several hundred GB of text) all are dealt by
-windows, which sends more text.
+chunk.  With the most slots the table of them that tasks get has 64 MB; only past some 150 TB of text, where the mean slot
+passes ``BUCKET_BYTES``, would all be dealt by windows, which sends more text.
 
 Documents are ordered by ``doc_id`` (null first) and then by a hash of the text, so documents that
 share an id have an order; rows that repeat id and text are one document and get the same result.
@@ -43,8 +44,8 @@ BUCKETS = 8
 #: Bytes that a bucket should take in its task, and what a window takes of them besides text.
 BUCKET_BYTES = 64 << 20
 _WINDOW_BYTES = 64
-#: Minimisers are counted in so many slots.
-SLOTS = 1 << 16
+#: Minimisers are counted in slots, one for so many bytes of text; at least and at most so many of them.
+SLOT_BYTES, SLOTS, MOST_SLOTS = 16 << 20, 1 << 16, 1 << 23
 #: Bytes of a bucket's text that are hashed at a time.
 _SLICE = 1 << 20
 _ZSTD = pa.Codec("zstd", compression_level=6)
@@ -78,15 +79,20 @@ def _hashes(words: Words, start: np.ndarray, window: int, gram: int) -> tuple[np
     return spans.hash(start, start + window), sliding_min(spans.hash(number, number + gram), window - gram + 1)[start]
 
 
-def _slot(least: np.ndarray) -> np.ndarray:
-    return (mix(least) % np.uint64(SLOTS)).astype(np.int64)
+def slots_of(size: int) -> int:
+    """The slots for texts of so many bytes: a power of two."""
+    return min(MOST_SLOTS, max(SLOTS, 1 << max(0, -(-size // SLOT_BYTES) - 1).bit_length()))
+
+
+def _slot(least: np.ndarray, slots: int) -> np.ndarray:
+    return (mix(least) % np.uint64(slots)).astype(np.int64)
 
 
 @released
-def slot_sizes(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+def slot_sizes(batches: Iterator[pa.RecordBatch], window: int, gram: int, slots: int = SLOTS) -> Iterator[pa.RecordBatch]:
     """From text: the bytes that each slot's different windows of a chunk take as super-k-mers, and
     window by window."""
-    together, apart = np.zeros(SLOTS), np.zeros(SLOTS)
+    together, apart = np.zeros(slots), np.zeros(slots)
     for batch in chunks(batches, "text"):
         words = Words(*column_bytes(batch.column("text")))
         start, row = _windows(words, window)
@@ -99,21 +105,23 @@ def slot_sizes(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Ite
         size = sums[start + window] - sums[start]
         more = np.zeros(len(start), bool)
         more[1:] = (np.diff(start) == 1) & (np.diff(row) == 0) & (least[1:] == least[:-1])
-        slot = _slot(least)
-        apart += np.bincount(slot, size + _WINDOW_BYTES, SLOTS)
-        together += np.bincount(slot, np.where(more, sums[start + window] - sums[start + window - 1], size) + _WINDOW_BYTES, SLOTS)
-    slot = np.flatnonzero(apart)
-    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(together[slot].astype(np.int64)), pa.array(apart[slot].astype(np.int64))], names=["slot", "together", "apart"])
+        slot = _slot(least, slots)
+        apart += np.bincount(slot, size + _WINDOW_BYTES, slots)
+        together += np.bincount(slot, np.where(more, sums[start + window] - sums[start + window - 1], size) + _WINDOW_BYTES, slots)
+    held = np.flatnonzero(apart)
+    for slot in np.split(held, range(1 << 16, len(held), 1 << 16)):
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(together[slot].astype(np.int64)), pa.array(apart[slot].astype(np.int64))], names=["slot", "together", "apart"])
 
 
 def deal(docs: DataFrame, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """For each slot: its first bucket, and the number of buckets that its windows are dealt to."""
-    sizes = docs.select("text").mapInArrow(lambda it: slot_sizes(it, window, gram), "slot long, together long, apart long")
-    sizes = sizes.groupBy("slot").agg(F.sum("together").alias("together"), F.sum("apart").alias("apart")).toArrow()  # SLOTS rows
+    slots = slots_of(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    sizes = docs.select("text").mapInArrow(lambda it: slot_sizes(it, window, gram, slots), "slot long, together long, apart long")
+    sizes = sizes.groupBy("slot").agg(F.sum("together").alias("together"), F.sum("apart").alias("apart")).toArrow()  # MOST_SLOTS rows at most
     slot, together, apart = (sizes[c].to_numpy() for c in ("slot", "together", "apart"))
     hot = together > BUCKET_BYTES
     n = max(partitions(docs.sparkSession) * BUCKETS, -(-int(together[~hot].sum()) // BUCKET_BYTES))
-    first, ways = (np.arange(SLOTS) % n).astype(np.int32), np.ones(SLOTS, np.int32)
+    first, ways = (np.arange(slots) % n).astype(np.int32), np.ones(slots, np.int32)
     # The largest slot first, each to the bucket that holds least.
     held = [(0, b) for b in range(n)]
     for k in np.lexsort((slot, -together)).tolist():
@@ -153,7 +161,7 @@ def super_kmers(batches: Iterator[pa.RecordBatch], window: int, gram: int, first
         ranges["key"], ranges["uid"], ranges["start"], ranges["stop"] = key[r], uid[r], a - words.first[r], b - words.first[r]
 
         at = np.flatnonzero(sent)
-        slot = _slot(least[at])
+        slot = _slot(least[at], len(first_bucket))
         dealt = first_bucket[slot] + (hashes[at] % ways[slot].astype(np.uint64)).astype(np.int32)
         cut = np.flatnonzero((np.diff(start[at]) != 1) | (np.diff(row[at]) != 0) | (least[at][1:] != least[at][:-1]) | (np.diff(dealt) != 0))
         head, tail = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
