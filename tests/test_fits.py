@@ -305,6 +305,15 @@ def test_bootstrap_and_sure_by_brute_force(spark):
             divergence = np.mean([z @ (a @ brute_nnls(a, s + 0.01 * sigma * z, value) - made) / (0.01 * sigma) for z in signs])
             total.append(-64 * sigma**2 + ((s - made) ** 2).sum() + 2 * sigma**2 * divergence)
         assert risks[value] == pytest.approx(np.mean(total), rel=1e-5)
+    exact = {r["value"]: r["risk"] for r in calibration.sure_risks(sample, b, [(0.01, grids[3], 0.01), (0.5, grids[4], 0.5)], sigma, None).collect()}
+    for value, grid in ((0.01, grids[3]), (0.5, grids[4])):
+        a, total = np.exp(-b[:, None] * np.array(grid)[None]), []
+        for r in rows:  # the divergence measurement by measurement
+            s, step = np.array(r["signal"]), 1e-7
+            made = a @ brute_nnls(a, s, value)
+            divergence = sum((a @ brute_nnls(a, s + step * e, value) - made)[i] / step for i, e in enumerate(np.eye(64)))
+            total.append(-64 * sigma**2 + ((s - made) ** 2).sum() + 2 * sigma**2 * divergence)
+        assert exact[value] == pytest.approx(np.mean(total), rel=1e-4)
     choice = calibration.bootstrap_choice(spark.createDataFrame([(4, 5.0, 0.2, 1.0), (8, 5.0, 0.02, 0.1)], "n_iso int, cv double, bias double, score double")).first()
     assert (choice["best"], choice["flat"], choice["homogeneous"], choice["n_iso"]) == (8, False, False, 8)
     alike = calibration.bootstrap_choice(spark.createDataFrame([(4, 5.0, 0.001, 1.0), (8, 5.0, 0.002, 0.1)], "n_iso int, cv double, bias double, score double")).first()

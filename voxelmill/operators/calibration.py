@@ -243,14 +243,31 @@ def bootstrap_choice(scores: DataFrame, default: int = 10) -> DataFrame:
     return one.withColumn("n_iso", F.when(F.col("best").isNull() | F.col("flat") | F.col("homogeneous"), F.lit(default)).otherwise(F.col("best")))
 
 
-def sure_risks(sample: DataFrame, b: np.ndarray, candidates: list[tuple[float, list[float], float]], sigma: float, probes: int = 15) -> DataFrame:
+def _freedom(gram: np.ndarray, plain: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Degrees of freedom of each row of non-negative weights: the trace of the penalised fit on its free columns."""
+    free = weights > 0
+    both = free[:, :, None] & free[:, None, :]
+    return np.trace(np.linalg.solve(np.where(both, gram, np.eye(len(gram))), np.where(both, plain, 0.0)), axis1=1, axis2=2)
+
+
+def sure_risks(sample: DataFrame, b: np.ndarray, candidates: list[tuple[float, list[float], float]], sigma: float, probes: int | None = 15) -> DataFrame:
     """value, risk of each candidate (value, isotropic grid, penalty): Stein's unbiased estimate of the prediction risk of the non-negative
-    fit, mean over a sample (voxel_id, signal).  The divergence is taken from random signs, seeded by voxel, the same for
-    all candidates."""
+    fit, mean over a sample (voxel_id, signal).  The divergence is taken from so many random signs, seeded by voxel, the same for
+    all candidates, or with ``probes`` None from the fit's free columns, of which it is the degrees of freedom."""
     atoms = [np.exp(-b[:, None] * np.array(grid)[None, :]) for _, grid, _ in candidates]
-    grams = [a.T @ a + penalty * np.eye(a.shape[1]) for a, (_, _, penalty) in zip(atoms, candidates)]
+    plain = [a.T @ a for a in atoms]
+    grams = [g + penalty * np.eye(len(g)) for g, (_, _, penalty) in zip(plain, candidates)]
     step = 0.01 * sigma if sigma > 0 else 1e-6
 
+    def exact(part: pa.RecordBatch) -> list[pa.Array]:
+        which, s = part.column("k").to_numpy(), matrix_of(part, "signal", len(b))
+        out = np.empty(len(s))
+        for k in np.unique(which):
+            own = np.flatnonzero(which == k)
+            w = nnls(grams[k], s[own] @ atoms[k])
+            out[own] = ((s[own] - w @ atoms[k].T) ** 2).sum(1) + sigma**2 * (2 * _freedom(grams[k], plain[k], w) - len(b))
+        return [pa.array(out)]
+
     def solve(part: pa.RecordBatch) -> list[pa.Array]:
         out = []
         for voxel, k, s in zip(part.column("voxel_id").to_pylist(), part.column("k").to_pylist(), matrix_of(part, "signal", len(b))):
@@ -262,7 +279,7 @@ def sure_risks(sample: DataFrame, b: np.ndarray, candidates: list[tuple[float, l
 
     rows = sample.select("voxel_id", "signal", F.posexplode(F.array(*[F.lit(float(v)) for v, _, _ in candidates])).alias("k", "value"))
     rows = rows.repartition(sample.sparkSession.sparkContext.defaultParallelism, "k", "voxel_id")
-    return fit_rows(rows, solve, [("risk", T.DoubleType())]).groupBy("value").agg(F.avg("risk").alias("risk"))
+    return fit_rows(rows, exact if probes is None else solve, [("risk", T.DoubleType())]).groupBy("value").agg(F.avg("risk").alias("risk"))
 
 
 def sure_check(risks: DataFrame, chosen: float, within: float = 0.15) -> DataFrame:
