@@ -329,3 +329,23 @@ def test_short_junk_is_rejected_and_short_texts_stay(spark):
     kept = {r.doc_id - 10**9 for r in language.in_language(table.unionByName(planted)).select("doc_id").collect()}
     assert not kept & set(range(20))
     assert sum(20 + i in kept for i in range(len(clean))) >= 0.98 * len(clean)
+
+
+def test_targets_of_many_sources(spark):
+    """Places and running sums by ranges: targets by taking the sources at the cap out one after the other."""
+    from voxelmill.llm import mixing
+
+    size = {(None if i == 7 else f"s{i * 7919 % 90}"): (0, 3, 3, 50, i * 37 % 101)[i % 5] for i in range(90)}
+    names = [*sorted(s for s in size if s is not None), None]
+    weight = {s: (3.0, 1.0, 2.0)[i % 3] for i, s in enumerate(names)}
+    for share in (0.4, 1.5, 1.9, 2.5):
+        free, left, want = set(names), share * sum(size.values()), {}
+        while free:
+            unit = left / sum(weight[s] for s in free)
+            over = {s for s in free if weight[s] * unit > 2 * size[s]}
+            want |= {s: 2.0 * size[s] if over else weight[s] * unit for s in over or free}
+            left -= sum(want[s] for s in over)
+            free -= over or set(free)
+        rows = spark.createDataFrame([(s, n) for s, n in size.items()], "source string, size long")
+        got = {r["source"]: (r["source_size"], r["target"]) for r in mixing.targets(rows, share=share).collect()}
+        assert got == {s: (size[s], pytest.approx(want[s])) for s in names}

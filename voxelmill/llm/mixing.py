@@ -27,10 +27,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxelmill.llm.shared import packed, small, stash
+from voxelmill.llm.shared import packed, partitions, small, stash
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -44,24 +44,40 @@ CHANGE = 8
 _ITEM = "source string, doc_id long, uid long, nth int, size long, place long, mass double, copies int, open boolean"
 
 
+def ahead(rows: DataFrame, order: list[Column], sums: tuple[str, ...], name: str) -> DataFrame:
+    """``rows``, different ones, with their ``place`` in an order (from 0) and, of each column of ``sums``, the sum ``before_<column>`` of the rows before.
+
+    Rows are dealt by ranges of the order and written; windows run inside a range, and one over a row a range tells what is before it.
+    """
+    dealt = rows.repartitionByRange(partitions(rows.sparkSession), *order).withColumn("_range", F.spark_partition_id())
+    dealt = stash(dealt, name)
+    totals = dealt.groupBy("_range").agg(F.count("*").alias("_place"), *[F.sum(c).alias(f"_{c}") for c in sums])
+    over = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(F.col("_range").alias("_of"), *[over(Window.orderBy("_range"), f"_{c}").alias(f"_{c}") for c in ("place", *sums)])
+    own = Window.partitionBy("_range").orderBy(*order)
+    out = dealt.join(F.broadcast(totals), F.col("_range") == F.col("_of"))  # a row a range
+    out = out.withColumn("place", F.row_number().over(own) - 1 + F.col("_place")).withColumns({f"before_{c}": over(own, c) + F.col(f"_{c}") for c in sums})
+    return out.drop("_range", "_of", "_place", *[f"_{c}" for c in sums])
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """source, source_size, target of each source; the windows are over one row a source.
+    """source, source_size, target of each source; no window is wider than a range of them.
 
     Which sources reach the cap follows from sorting them by cap * size / weight: with the k first of
     them at the cap, the rest share what is left, and k is the least number that leaves none above.
     """
-    by = Window.orderBy(F.col("source").isNull(), "source")
-    of = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by) - 1, F.lit(len(weights))) + 1).cast("int"))
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("weight", of)
-    rows = rows.withColumn("limit", F.lit(float(cap)) * F.col("source_size"))
-    full = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").isNull(), "source")
-    every = full.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = full.rowsBetween(Window.unboundedPreceding, -1)
-    left = F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
-    unit = left / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    rows = rows.withColumn("unit", unit).withColumn("free", F.col("weight") * F.col("unit") <= F.col("limit"))
-    level = F.min(F.when(F.col("free"), F.struct(F.col("limit") / F.col("weight"), F.col("unit")))).over(every)["unit"]
-    return rows.select("source", "source_size", F.when(level.isNull(), F.col("limit")).otherwise(F.least("limit", F.col("weight") * level)).alias("target"))
+    by_name = [F.col("source").isNull(), F.col("source")]
+    rows = ahead(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), by_name, (), "op9-sources")
+    of = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    rows = rows.withColumn("weight", of).withColumn("limit", F.lit(float(cap)) * F.col("source_size")).drop("place")
+    rows = ahead(rows, [F.col("limit") / F.col("weight"), *by_name], ("limit", "weight"), "op9-limits")
+    every = rows.agg(F.sum("source_size").alias("_size"), F.sum("weight").alias("_weight"))
+    unit = (F.lit(float(share)) * F.col("_size") - F.col("before_limit")) / (F.col("_weight") - F.col("before_weight"))
+    rows = rows.crossJoin(F.broadcast(every)).withColumn("unit", unit)  # one row
+    free = F.col("weight") * F.col("unit") <= F.col("limit")
+    level = rows.agg(F.min(F.when(free, F.struct("place", "unit")))["unit"].alias("_level"))
+    target = F.when(F.col("_level").isNull(), F.col("limit")).otherwise(F.least("limit", F.col("weight") * F.col("_level")))
+    return rows.crossJoin(F.broadcast(level)).select("source", "source_size", target.alias("target"))  # one row
 
 
 def exchange(size: np.ndarray, mass: np.ndarray, draws: np.ndarray, held: int) -> tuple[np.ndarray, int]:
