@@ -258,16 +258,17 @@ class Encoder:
             known.append(self.whole(part.decode()) if k in texts else self.cache.many([part])[0])
         return number, known
 
-    def encoded(self, batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, Encoded]]:
-        """Parts of the batches with their ids."""
-        for part in chunks(batches, text, PIECE):
+    def encoded(self, batches: Iterator[pa.RecordBatch], text: str, piece: int | None = None) -> Iterator[tuple[pa.RecordBatch, Encoded]]:
+        """Parts of the batches, of some ``piece`` bytes of text (``PIECE`` where it is not given), with their ids."""
+        piece = piece or PIECE
+        for part in chunks(batches, text, piece):
             column = part.column(text)
             own = column[0].as_buffer().to_pybytes() if len(part) == 1 and column[0].is_valid else b""
-            if len(own) <= PIECE or not self._joint:
+            if len(own) <= piece or not self._joint:
                 yield part, self.batch(column)
                 continue
             cuts = [0]
-            while cut := self._joint.search(own, min(cuts[-1] + PIECE, len(own))):
+            while cut := self._joint.search(own, min(cuts[-1] + piece, len(own))):
                 cuts.append(cut.start() + 1)
             pieces = [self.batch(pa.array([own[a:b].decode()], pa.string())) for a, b in zip(cuts, [*cuts[1:], len(own)])]
             yield part, Encoded.joined(pieces)

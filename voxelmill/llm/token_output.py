@@ -39,7 +39,9 @@ from voxelmill.llm.shared import new_path, partitions, released, small
 
 END_ID = 2
 #: Payload bytes, and documents, after which a shard is closed.
-SHARD_BYTES, SHARD_DOCS = 8 << 20, 1 << 18
+SHARD_BYTES, SHARD_DOCS = 4 << 20, 1 << 18
+#: Bytes of text that are encoded at once.
+PIECE = 2 << 20
 #: Shards of a file at most.
 FILE_SHARDS = 256
 NULL_KEY = -(1 << 63)
@@ -167,7 +169,7 @@ def _shards(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, lim
             x.clear()
         return pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for v in row], names=names)
 
-    for part, made in enc.encoded(batches, "text"):
+    for part, made in enc.encoded(batches, "text", PIECE):
         key, n = part.column("key").to_numpy(), np.diff(made.at)
         ids = np.insert(made.ids, made.at[1:], end_id)
         at = made.at + np.arange(len(part) + 1)
