@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelmill.llm.quality import held_out
-from voxelmill.llm.shared import released
+from voxelmill.llm.shared import give_back, released
 from voxelmill.llm.textops import PIECE_BYTES, Spans, Words, chunks, column_bytes, mix, span_hashes
 
 AFFIX = 3
@@ -381,6 +381,7 @@ def in_language(docs: DataFrame, least: float = SCORE, doubt: float = DOUBT) ->
     Only texts go to Python and only decisions come back; the other columns stay in the JVM.
     """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    give_back()  # what the fit held on the driver
 
     @F.arrow_udf("boolean")
     @released

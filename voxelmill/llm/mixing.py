@@ -37,6 +37,8 @@ SHARE = 1.5
 CAP = 2
 #: Documents of a group of the reduction tree.
 FAN = 4096
+#: Sources whose targets one task finds; more are dealt by ranges.
+SOURCES = 100_000
 #: Words of the documents that the last one is exchanged with, as a multiple of its own.
 POOL = 64
 #: The smallest of these, which come last in an exchange.
@@ -44,15 +46,19 @@ CHANGE = 8
 _ITEM = "source string, doc_id long, uid long, nth int, size long, place long, mass double, copies int, open boolean"
 
 
-def ahead(rows: DataFrame, order: list[Column], sums: tuple[str, ...], name: str) -> DataFrame:
+def ahead(rows: DataFrame, order: list[Column], sums: tuple[str, ...], name: str, one: bool) -> DataFrame:
     """``rows``, different ones, with their ``place`` in an order (from 0) and, of each column of ``sums``, the sum ``before_<column>`` of the rows before.
 
     Rows are dealt by ranges of the order and written; windows run inside a range, and one over a row a range tells what is before it.
+    Where one task can hold all rows (``one``), they are one range.
     """
+    over = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if one:
+        every = Window.orderBy(*order)
+        return rows.withColumn("place", F.row_number().over(every) - 1).withColumns({f"before_{c}": over(every, c) for c in sums})
     dealt = rows.repartitionByRange(partitions(rows.sparkSession), *order).withColumn("_range", F.spark_partition_id())
     dealt = stash(dealt, name)
     totals = dealt.groupBy("_range").agg(F.count("*").alias("_place"), *[F.sum(c).alias(f"_{c}") for c in sums])
-    over = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = totals.select(F.col("_range").alias("_of"), *[over(Window.orderBy("_range"), f"_{c}").alias(f"_{c}") for c in ("place", *sums)])
     own = Window.partitionBy("_range").orderBy(*order)
     out = dealt.join(F.broadcast(totals), F.col("_range") == F.col("_of"))  # a row a range
@@ -60,17 +66,19 @@ def ahead(rows: DataFrame, order: list[Column], sums: tuple[str, ...], name: str
     return out.drop("_range", "_of", "_place", *[f"_{c}" for c in sums])
 
 
-def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """source, source_size, target of each source; no window is wider than a range of them.
+def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, at_once: int = SOURCES) -> DataFrame:
+    """source, source_size, target of each source; no window is wider than ``at_once`` sources or a range of them.
 
     Which sources reach the cap follows from sorting them by cap * size / weight: with the k first of
     them at the cap, the rest share what is left, and k is the least number that leaves none above.
     """
     by_name = [F.col("source").isNull(), F.col("source")]
-    rows = ahead(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), by_name, (), "op9-sources")
+    rows = stash(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "op9-sources")
+    one = rows.count() <= at_once
+    rows = ahead(rows, by_name, (), "op9-places", one)
     of = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
     rows = rows.withColumn("weight", of).withColumn("limit", F.lit(float(cap)) * F.col("source_size")).drop("place")
-    rows = ahead(rows, [F.col("limit") / F.col("weight"), *by_name], ("limit", "weight"), "op9-limits")
+    rows = ahead(rows, [F.col("limit") / F.col("weight"), *by_name], ("limit", "weight"), "op9-limits", one)
     every = rows.agg(F.sum("source_size").alias("_size"), F.sum("weight").alias("_weight"))
     unit = (F.lit(float(share)) * F.col("_size") - F.col("before_limit")) / (F.col("_weight") - F.col("before_weight"))
     rows = rows.crossJoin(F.broadcast(every)).withColumn("unit", unit)  # one row
