@@ -4,7 +4,8 @@ import pytest
 
 from voxelmill import schema as S
 from voxelmill.operators import signals, solvers
-from voxelmill.plans import fitting
+from voxelmill.operators.quantiles import beside
+from voxelmill.plans import fitting, subjects
 from voxelmill.sources import fixtures as X
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +79,27 @@ def test_spectra_exchange_many_variables_at_once(voxels, counted):
     d = fitting.Config().dictionary(X.PROTOCOL)
     got = solvers.spectra(voxels, d, *fitting.Config().penalties(d))
     assert len(got) > 100 and sum(counted) < 0.1 * len(got)  # one by one for all of them before
+
+
+def plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_signals_are_not_broadcast_to_meet_a_table_by_key(spark):
+    rows = signals.eligible(X.signals(spark, SF), X.PROTOCOL, ["scenario"])
+    assert "BuildLeft" not in plan(rows) and "BuildRight" in plan(rows)
+    assert "BuildLeft" not in plan(signals.default_mask(X.signals(spark, SF), ["scenario"]))
+    few, many = spark.range(3).selectExpr("id as k", "id * 2 as v"), spark.range(10**7).selectExpr("id % 9 as k", "id as w")
+    table = many.groupBy("k").agg({"w": "max"}).withColumnRenamed("max(w)", "x")
+    joined = beside(few.unionByName(spark.createDataFrame([(None, 5), (77, 6)], "k long, v long")), table.unionByName(spark.createDataFrame([(None, 8)], "k long, x long")), ["k"])
+    assert "BuildLeft" not in plan(joined.filter("x > v"))
+    got = {(r.k, r.v, r.x) for r in joined.collect()}
+    assert {(k, v) for k, v, _ in got} == {(0, 0), (1, 2), (2, 4), (None, 5), (77, 6)} and {x for k, _, x in got if k in (None, 77)} == {8, None}
+    assert all(x == max(w for w in range(10**7 - 9, 10**7) if w % 9 == k) for k, _, x in got if k in (0, 1, 2))
+
+
+def test_scores_merge_tables_of_voxels(spark):
+    rows, protocols = X.subjects(spark, SF)
+    names = ["ff", "rf", "hf", "wf", "nrf", "mean_iso_adc", *[f"{n}{k}" for k in (1, 2) for n in ("f", "ad", "rd")], *[f"u{k}{c}" for k in (1, 2) for c in "xyz"]]
+    fitted = rows.selectExpr("subject_id", "voxel_id", *[f"0.1D as {n}" for n in names])
+    assert plan(subjects.scored(fitted, rows, protocols)).count("SortMergeJoin") == 2
