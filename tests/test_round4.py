@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 
 from voxelmill import schema as S
-from voxelmill.operators import signals, solvers
+from voxelmill.operators import calibration, signals, solvers
 from voxelmill.operators.quantiles import beside
 from voxelmill.plans import fitting, subjects
 from voxelmill.sources import fixtures as X
@@ -103,3 +103,13 @@ def test_scores_merge_tables_of_voxels(spark):
     names = ["ff", "rf", "hf", "wf", "nrf", "mean_iso_adc", *[f"{n}{k}" for k in (1, 2) for n in ("f", "ad", "rd")], *[f"u{k}{c}" for k in (1, 2) for c in "xyz"]]
     fitted = rows.selectExpr("subject_id", "voxel_id", *[f"0.1D as {n}" for n in names])
     assert plan(subjects.scored(fitted, rows, protocols)).count("SortMergeJoin") == 2
+
+
+def test_calibration_curves_are_those_of_the_active_set(spark, voxels):
+    d = fitting.Config(directions=8).dictionary(X.PROTOCOL)
+    rows = spark.createDataFrame([(int(i), s.tolist()) for i, s in zip(voxels.batch.column("voxel_id").to_pylist(), solvers.matrix_of(voxels.batch, "signal", 64)[:20])], "voxel_id long, signal array<double>")
+    curve = {r["lambda"]: r["residual"] for r in calibration.residual_curve(rows, d, 0.005, [1e-5, 0.1, 10.0]).collect()}
+    h = solvers.matrix_of(voxels.batch, "signal", 64)[:20]
+    for value, residual in curve.items():
+        off = h - solvers.nnls(d.matrix.T @ d.matrix + np.diag(d.penalty(value, 0.005)), h @ d.matrix) @ d.matrix.T
+        assert residual == pytest.approx((off * off).sum(1).mean(), rel=1e-9)
