@@ -31,7 +31,7 @@ def test_the_network_is_the_same_over_any_partitions(spark, monkeypatch):
     assert all(np.array_equal(a.p[k], b.p[k]) for k in a.p) and a.line == b.line and a.thresholds == b.thresholds
 
 
-@pytest.mark.parametrize("shard", [1 << 19, 30_000])
+@pytest.mark.parametrize("shard", [1 << 20, 30_000])
 def test_quality_by_shards(spark, monkeypatch, shard):
     monkeypatch.setattr(secret_scan, "SHARD", shard)
     network = secret_scan.fit_all(found(spark, 300))

@@ -47,7 +47,7 @@ _MAYBE = {"assign": f"(?i){ASSIGN[:-2]}{{8}})", "access": r"AKIA[A-Z0-9]{12}", "
 LEFT, RIGHT, WIDTH, SPACES = 24, 12, 5, 8
 PER_LABEL, MADE, BODY, RECALL, SEED = 1000, 2000, 256, 0.98, 12
 #: Characters of the findings of a shard, and steps of a unit in exact sums and in thresholds.
-SHARD, UNIT = 1 << 19, 1 << 30
+SHARD, UNIT = 1 << 17, 1 << 30
 EMBEDDED, FILTERS, HIDDEN, EPOCHS, BATCH = 8, 24, 16, 8, 64
 #: Positions that are convolved at once.
 PIECE = 1 << 14
@@ -263,8 +263,8 @@ class Network:
         each = np.einsum("nfk,nf->fk", taken, back)
         g["conv"], g["conv0"] = (each[:FILTERS] + each[FILTERS:]).T, (back.sum(0)[:FILTERS] + back.sum(0)[FILTERS:])
         inner = (back[:, :, None] * self.p["conv"].T[filters][None]).reshape(*back.shape, WIDTH, EMBEDDED + 1)[..., :EMBEDDED]
-        g["embed"] = np.zeros_like(self.p["embed"])
-        np.add.at(g["embed"], codes, inner)
+        flat = codes.ravel()
+        g["embed"] = np.column_stack([np.bincount(flat, inner[..., d].ravel(), _PAD + 1) for d in range(EMBEDDED)])
         return float(loss), g
 
     def train(self, found: list[Finding], epochs: int = EPOCHS, rate: float = 3e-3, seed: int = SEED) -> None:
