@@ -49,3 +49,15 @@ def test_small_penalties_of_the_calibration_settle_by_exchanges(spark, monkeypat
     assert np.allclose(got @ d.matrix.T, nnls(plain + np.diag(penalty), h) @ d.matrix.T, atol=1e-8)
     slope = got @ plain + got * penalty - h
     assert (got >= 0).all() and (slope >= -1e-7).all() and np.abs(slope[got > 0]).max() < 1e-7
+
+
+def test_dominant_directions_of_many_rows_are_those_of_each():
+    random, d = np.random.default_rng(5), fitting.Config().dictionary(X.PROTOCOL).directions
+    mass = np.where(random.random((300, len(d.u))) < 0.3, np.round(random.random((300, len(d.u))) ** 3, 1), 0.0)
+    mass[0] = 0.0
+    gate = random.random(300) * 0.3
+    for most, select in ((1, ()), (3, ()), (3, (0.0, 0.0, 20.0)), (2, (0.1, 0.9, 60.0))):
+        dirs, there = d.dominant_of(mass, gate, most, *select)
+        want = [d.dominant(m, g, most, *select) for m, g in zip(mass, gate)]
+        assert [x[t].tolist() for x, t in zip(dirs, there)] == want
+        assert any(want) and not all(want)
