@@ -61,3 +61,12 @@ def test_dominant_directions_of_many_rows_are_those_of_each():
         want = [d.dominant(m, g, most, *select) for m, g in zip(mass, gate)]
         assert [x[t].tolist() for x, t in zip(dirs, there)] == want
         assert any(want) and not all(want)
+
+
+def test_rows_of_few_splits_are_dealt_to_all_cores(spark):
+    """As many splits as cores may hold all rows in one of them."""
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 1000, numPartitions=cores).filter("id >= 0")
+    assert X.spread(rows).rdd.getNumPartitions() == 2 * cores
+    many = spark.range(0, 1000, numPartitions=4 * cores)
+    assert X.spread(many) is many
